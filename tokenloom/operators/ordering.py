@@ -31,28 +31,43 @@ def default_bucket(df: DataFrame, key: str, width: int = DEFAULT_WIDTH) -> Colum
     return F.floor(F.col(key) / F.lit(width)).cast("long")
 
 
-def global_rank(df: DataFrame, order: Sequence[str] | str, *, bucket: Column | None = None,
-                rank_col: str = "rank", total_col: str | None = "n_total") -> DataFrame:
-    """1-based rank of every row under ``order`` (must be a total order), plus the row count.
-
-    Plan: window(partition by bucket, order by key) for the rank inside the bucket;
-    a tiny group-by of bucket totals whose running sum gives each bucket's offset;
-    join back on the bucket (AQE broadcasts the offsets once measured small).
+def prefix_sum(df: DataFrame, order: Sequence[str] | str, value: Column | str | None = None, *,
+               bucket: Column | None = None, partition: Sequence[str] = (),
+               start_col: str = "start", total_col: str | None = "n_total") -> DataFrame:
+    """Exclusive running sum of ``value`` (default 1 per row) under a total ``order``.
+
+    Plan: a window partitioned by (partition, bucket) for the sum inside each
+    fixed-width key bucket; a group-by of bucket totals (one row per bucket)
+    whose own running sum is each bucket's offset; a join back on the bucket
+    (AQE broadcasts the offsets once it has measured them). ``partition``
+    restarts the sum per group (e.g. per shard).
     """
     order = [order] if isinstance(order, str) else list(order)
-    require_columns(df, order, "global_rank input")
+    part = list(partition)
+    require_columns(df, order + part, "prefix_sum input")
     b = bucket if bucket is not None else default_bucket(df, order[0])
-    x = df.withColumn("_bkt", b)
-    w = Window.partitionBy("_bkt").orderBy(*[F.col(c) for c in order])
-    x = x.withColumn("_lr", F.row_number().over(w))
-    totals = x.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_bn"))
-    running = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offs = totals.select("_bkt", (F.sum("_bn").over(running) - F.col("_bn")).alias("_off"),
-                         F.sum("_bn").over(Window.partitionBy(F.lit(1))).alias("_tot"))
-    out = x.join(offs, "_bkt").withColumn(rank_col, F.col("_off") + F.col("_lr"))
+    v = F.lit(1).cast("long") if value is None else col_(value).cast("long")
+    x = df.withColumn("__ps_bkt", b).withColumn("__ps_v", v)
+    w = (Window.partitionBy(*part, "__ps_bkt").orderBy(*[F.col(c) for c in order])
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = x.withColumn("__ps_ls", F.sum("__ps_v").over(w) - F.col("__ps_v"))
+    totals = x.groupBy(*part, "__ps_bkt").agg(F.sum("__ps_v").alias("__ps_bn"))
+    running = (Window.partitionBy(*part).orderBy("__ps_bkt")
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    offs = totals.select(*part, "__ps_bkt", (F.sum("__ps_bn").over(running) - F.col("__ps_bn")).alias("__ps_off"),
+                         F.sum("__ps_bn").over(Window.partitionBy(*part) if part else Window.partitionBy(F.lit(1)))
+                         .alias("__ps_tot"))
+    out = x.join(offs, part + ["__ps_bkt"]).withColumn(start_col, F.col("__ps_off") + F.col("__ps_ls"))
     if total_col:
-        out = out.withColumn(total_col, F.col("_tot"))
-    return out.drop("_bkt", "_lr", "_off", "_tot")
+        out = out.withColumn(total_col, F.col("__ps_tot"))
+    return out.drop("__ps_bkt", "__ps_v", "__ps_ls", "__ps_off", "__ps_tot")
+
+
+def global_rank(df: DataFrame, order: Sequence[str] | str, *, bucket: Column | None = None,
+                rank_col: str = "rank", total_col: str | None = "n_total") -> DataFrame:
+    """1-based rank of every row under ``order`` (must be a total order), plus the row count."""
+    out = prefix_sum(df, order, None, bucket=bucket, start_col="_start", total_col=total_col)
+    return out.withColumn(rank_col, F.col("_start") + 1).drop("_start")
 
 
 def named_splits(df: DataFrame, sizes: Mapping[str, float], order: Sequence[str] | str, *,
