@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +34,6 @@ def tokenize(df: DataFrame, text: str = "text", *, ids_col: str = "input_ids", t
 
 
 def _callable_udf(fn):
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def _tok(s: pd.Series) -> pd.Series:
         return pd.Series(fn([("" if x is None else x) for x in s.tolist()]))
