@@ -17,7 +17,7 @@ def topk_indices(values, k: int) -> Column:
     if k < 1:
         raise ValueError("k must be >= 1")
     tagged = F.transform(col_(values), lambda x, i: F.struct((-x.cast("double")).alias("nv"), i.alias("i")))
-    return F.transform(F.slice(F.array_sort(tagged), 1, k), lambda s: s["i"])
+    return F.transform(F.slice(F.sort_array(tagged), 1, k), lambda s: s["i"])
 
 
 def has_nan(values) -> Column:

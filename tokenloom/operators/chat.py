@@ -45,7 +45,7 @@ def assemble_conversations(turns: DataFrame, *, conv: str = "conv_id", turn: str
     One shuffle on ``conv``; a conversation's turns are its own bounded group.
     """
     require_columns(turns, [conv, turn, role, text], "turns")
-    msgs = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"),
+    msgs = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"),
                                                 F.col(text).alias("content"))))
     return (turns.groupBy(conv).agg(msgs.alias("_m"))
             .select(conv, F.transform("_m", lambda x: F.struct(x["role"].alias("role"),

@@ -66,15 +66,21 @@ def random_token_budget(n_tokens, fraction: float, seed, key) -> Column:
 
     Positions are ranked by ``md5('seed:key:pos')``: a sort inside the row by the
     hash, the rank taken, then a sort back to position order (O(n log n), no shuffle).
+    ``key`` may be a column holding the ready ``'seed:key:'`` prefix (see ``with_token_budget``).
     """
     n = col_(n_tokens)
     k = F.floor(n * F.lit(float(fraction))).cast("int")
     pos = F.sequence(F.lit(0), n - 1)
-    hashed = F.transform(pos, lambda p: F.struct(
-        F.md5(F.concat_ws(":", F.lit(str(seed)), col_(key).cast("string"), p.cast("string"))).alias("h"),
-        p.alias("p")))
-    ranked = F.transform(F.array_sort(hashed), lambda x, r: F.struct(x["p"].alias("p"), (r < k).cast("int").alias("m")))
-    return F.when(n > 0, F.transform(F.array_sort(ranked), lambda x: x["m"])).otherwise(F.array().cast("array<int>"))
+    pre = F.concat(F.lit(f"{seed}:"), col_(key).cast("string"), F.lit(":")) if seed is not None else col_(key)
+    hashed = F.transform(pos, lambda p: F.struct(F.md5(F.concat(pre, p.cast("string"))).alias("h"), p.alias("p")))
+    ranked = F.transform(F.sort_array(hashed), lambda x, r: F.struct(x["p"].alias("p"), (r < k).cast("int").alias("m")))
+    return F.when(n > 0, F.transform(F.sort_array(ranked), lambda x: x["m"])).otherwise(F.array().cast("array<int>"))
+
+
+def with_token_budget(df: DataFrame, n_tokens: str, fraction: float, seed, key: str, out: str = "mask") -> DataFrame:
+    """F4 as a DataFrame step: the per-row hash prefix is materialised once, not per position."""
+    x = df.withColumn("_f4pre", F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"), F.lit(":")))
+    return x.withColumn(out, random_token_budget(n_tokens, fraction, None, "_f4pre")).drop("_f4pre")
 
 
 def zero_bad_words(mask, tokens, bad_words: Sequence[str]) -> Column:

@@ -52,7 +52,7 @@ def pack_sequences(df: DataFrame, max_seq_len: int, order: Sequence[str] | str,
     piece = F.struct(lo.alias("at"), F.slice("_seq", (lo - off + 1).cast("int"), (hi - lo).cast("int")).alias("ids"),
                      F.slice("_msk", (lo - off + 1).cast("int"), (hi - lo).cast("int")).alias("mask"))
     pieces = x.select(*part, "chunk", piece.alias("p"))
-    g = (pieces.groupBy(*part, "chunk").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    g = (pieces.groupBy(*part, "chunk").agg(F.sort_array(F.collect_list("p")).alias("ps"))
          .select(*part, "chunk", F.flatten(F.col("ps.ids")).alias("input_ids"),
                  F.flatten(F.col("ps.mask")).alias("attention_mask")))
     if not keep_tail:

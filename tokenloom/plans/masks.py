@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.functions.text import unit_score, ws_tokens
+from tokenloom.functions.text import WS_CLASS, unit_score, ws_tokens
 from tokenloom.operators.masks import (
     char_to_token_long,
     drop_unmaskable,
     mask_to_tokens,
-    random_token_budget,
+    with_token_budget,
     segment_token_mask,
     span_segments,
     zero_bad_words,
@@ -39,7 +39,7 @@ def line_spans(docs: DataFrame) -> DataFrame:
     x = x.where(F.length("line") > 0)
     sp = F.struct("k", (F.col("end_") - F.length("line")).cast("int").alias("start"), F.col("end_").alias("end"),
                   unit_score("line").alias("score"))
-    g = x.groupBy("doc_id").agg(F.array_sort(F.collect_list(sp)).alias("_s"))
+    g = x.groupBy("doc_id").agg(F.sort_array(F.collect_list(sp)).alias("_s"))
     return g.select("doc_id", F.transform("_s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
                                                                   s["score"].alias("score"))).alias("spans"))
 
@@ -83,6 +83,11 @@ def q_span_segments(spark, sf_dir):
                     .alias("mask_md5"))
 
 
+def _nonblank_docs(spark, sf_dir) -> DataFrame:
+    """Documents with at least one token (a cheap scan-side predicate, not a second tokenisation)."""
+    return table(spark, sf_dir, "documents").where(F.col("text").rlike(f"[^{WS_CLASS[1:-1]}]"))
+
+
 _BUDGET_SQL = f"""
 WITH t AS (SELECT doc_id, {TOKENS_SQL.format(t='text')} AS toks FROM documents),
 u AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos FROM t),
@@ -101,9 +106,8 @@ FROM m GROUP BY doc_id
 """)
 def q_token_budget_mask(spark, sf_dir):
     """exactly int(n * 0.25) seeded positions per document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", ws_tokens("text").alias("tokens"))
-    m = random_token_budget(F.size("tokens"), 0.25, SEED, "doc_id")
-    x = d.select("doc_id", "tokens", m.alias("mask")).where(F.size("tokens") > 0)
+    d = _nonblank_docs(spark, sf_dir).select("doc_id", ws_tokens("text").alias("tokens"))
+    x = with_token_budget(d.withColumn("n", F.size("tokens")), "n", 0.25, SEED, "doc_id")
     return x.select("doc_id", F.size("mask").alias("n_tokens"),
                     F.aggregate("mask", F.lit(0), lambda a, v: a + v).alias("n_selected"),
                     F.md5(F.array_join(F.transform("mask", lambda v: v.cast("string")), "")).alias("mask_md5"))
@@ -116,9 +120,8 @@ FROM m GROUP BY doc_id
 """)
 def q_badword_mask(spark, sf_dir):
     """F4 + H12: seeded token budget, then bad words zeroed."""
-    d = table(spark, sf_dir, "documents").select("doc_id", ws_tokens("text").alias("tokens"))
-    m = random_token_budget(F.size("tokens"), 0.25, SEED, "doc_id")
-    x = d.select("doc_id", "tokens", m.alias("mask")).where(F.size("tokens") > 0)
+    d = _nonblank_docs(spark, sf_dir).select("doc_id", ws_tokens("text").alias("tokens"))
+    x = with_token_budget(d.withColumn("n", F.size("tokens")), "n", 0.25, SEED, "doc_id")
     x = x.withColumn("kept", zero_bad_words("mask", "tokens", BAD_WORDS))
     return x.select("doc_id", F.aggregate("mask", F.lit(0), lambda a, v: a + v).alias("n_selected"),
                     F.aggregate("kept", F.lit(0), lambda a, v: a + v).alias("n_kept"),
@@ -171,7 +174,7 @@ def q_mask_to_token(spark, sf_dir):
     """C4 + E7: tokens overlapping a character mask (uppercase ASCII letters), and the shifted loss indices."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     offs = (token_offsets(d, ["doc_id"]).groupBy("doc_id")
-            .agg(F.array_sort(F.collect_list(F.struct("token_index", "start", "end"))).alias("offsets")))
+            .agg(F.sort_array(F.collect_list(F.struct("token_index", "start", "end"))).alias("offsets")))
     char_mask = F.transform(F.split("text", ""), lambda c: F.when(c.rlike("[A-Z]"), 1).otherwise(0))
     x = offs.join(d, "doc_id").select("doc_id", "offsets", char_mask.alias("mask"))
     sel = mask_to_tokens("offsets", "mask")

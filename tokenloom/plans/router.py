@@ -153,3 +153,22 @@ def q_request_prediction_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request and prediction row counts per conversation."""
     req, pred = chat_requests(spark, sf_dir)
     return row_count_parity(req, pred, by=["conv_id"])
+
+
+@query("router_jsonl_roundtrip", SPEC_SQL.format(k=8, where=""))
+def q_router_jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12 -> A4/A6 -> D2: router records written as JSON lines (one directory per domain) to the
+    shared checkpoint folder, read back with an explicit schema and line numbers, then analysed."""
+    import uuid
+
+    from tokenloom.session import checkpoint_dir
+    from tokenloom.sources.readers import ROUTER_SCHEMA, load_jsonl
+    from tokenloom.sources.writers import write_results
+
+    rec = router_records(spark, sf_dir).select(
+        F.concat_ws(":", F.lit("vec"), "vec_id").alias("prompt"), F.lit(0).alias("token_index"),
+        F.col("router_logits").cast("array<array<array<double>>>").alias("router_logits"), "domain")
+    path = f"{checkpoint_dir(spark)}/router-{uuid.uuid4().hex}"
+    write_results(rec, path, "router", partition_by="domain")
+    back = load_jsonl(spark, path, ROUTER_SCHEMA + ", domain int")
+    return _spec_out(domain_specialization(back, k=8, token_index="token_index"))
