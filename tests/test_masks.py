@@ -9,7 +9,7 @@ from tokenloom.operators.masks import (
     span_segments,
     zero_bad_words,
 )
-from tokenloom.operators.tokenize import token_offsets
+from tokenloom.operators.tokenize import token_offsets, token_spans
 
 
 def test_span_segments(spark):
@@ -29,15 +29,12 @@ def test_segment_mask_and_drop(spark):
 
 
 def test_char_and_mask_to_token(spark):
-    df = spark.createDataFrame([([(0, 2), (2, 4), (4, 7)],)], "o array<struct<start:int,end:int>>")
-    out = []
-    for c in (4, 3, 7):
-        t, a = char_to_token("o", F.lit(c))
-        out.append(tuple(df.select(t, a).first()))
+    df = spark.createDataFrame([([0, 2, 4], [2, 4, 7], c) for c in (4, 3, 7)], "s array<int>, e array<int>, c int")
+    t, a = char_to_token("s", "e", "c")
+    out = [tuple(r) for r in df.select(t, a).collect()]
     assert out == [(2, True), (1, False), (2, False)]
-    m = spark.createDataFrame([([(0, 2), (2, 4), (4, 5), (0, 0)], [0, 0, 1, 1, 0])],
-                              "o array<struct<start:int,end:int>>, m array<int>")
-    r = m.select(mask_to_tokens("o", "m").alias("a"), mask_to_tokens("o", "m", shift=True).alias("b")).first()
+    m = spark.createDataFrame([([0, 2, 4, 0], [2, 4, 5, 0], [0, 0, 1, 1, 0])], "s array<int>, e array<int>, m array<int>")
+    r = m.select(mask_to_tokens("s", "e", "m").alias("a"), mask_to_tokens("s", "e", "m", shift=True).alias("b")).first()
     assert r.a == [1] and r.b == [0]
 
 
@@ -53,3 +50,9 @@ def test_token_offsets(spark):
     df = spark.createDataFrame([(1, "  ab cd\n e")], "doc_id long, text string")
     rows = [(r.token_index, r.token, r.start, r.end) for r in token_offsets(df, ["doc_id"]).orderBy("start").collect()]
     assert rows == [(0, "ab", 2, 4), (1, "cd", 5, 7), (2, "e", 9, 10)]
+
+
+def test_token_spans_in_row(spark):
+    df = spark.createDataFrame([(1, "  ab cd\n e"), (2, "")], "doc_id long, text string")
+    r = {x.doc_id: (x.o.starts, x.o.ends) for x in df.select("doc_id", token_spans("text").alias("o")).collect()}
+    assert r[1] == ([2, 5, 9], [4, 7, 10]) and r[2] == ([], [])

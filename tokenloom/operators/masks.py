@@ -74,7 +74,10 @@ def random_token_budget(n_tokens, fraction: float, seed, key) -> Column:
     pre = F.concat(F.lit(f"{seed}:"), col_(key).cast("string"), F.lit(":")) if seed is not None else col_(key)
     hashed = F.transform(pos, lambda p: F.struct(F.md5(F.concat(pre, p.cast("string"))).alias("h"), p.alias("p")))
     ranked = F.transform(F.sort_array(hashed), lambda x, r: F.struct(x["p"].alias("p"), (r < k).cast("int").alias("m")))
-    return F.when(n > 0, F.transform(F.sort_array(ranked), lambda x: x["m"])).otherwise(F.array().cast("array<int>"))
+    # The guard references ``pre`` outside the lambda too, so the optimizer keeps it a column
+    # instead of inlining its expression into the per-position lambda.
+    return F.when((n > 0) & pre.isNotNull(), F.transform(F.sort_array(ranked), lambda x: x["m"])).otherwise(
+        F.array().cast("array<int>"))
 
 
 def with_token_budget(df: DataFrame, n_tokens: str, fraction: float, seed, key: str, out: str = "mask") -> DataFrame:
@@ -87,8 +90,9 @@ def zero_bad_words(mask, tokens, bad_words: Sequence[str]) -> Column:
     """Zero the mask where ``lower(strip(token))`` is a bad word (literal set, plan time)."""
     bad = F.array(*[F.lit(w) for w in bad_words]) if bad_words else F.array().cast("array<string>")
     t = col_(tokens)
-    return F.transform(col_(mask), lambda m, i: F.when((m == 1) & F.array_contains(bad, py_lower_strip(F.get(t, i))),
-                                                        F.lit(0)).otherwise(m))
+    out = F.transform(col_(mask), lambda m, i: F.when((m == 1) & F.array_contains(bad, py_lower_strip(F.get(t, i))),
+                                                       F.lit(0)).otherwise(m))
+    return F.when(t.isNotNull(), out)
 
 
 def char_to_token_long(offsets: DataFrame, chars: DataFrame, id_cols: Sequence[str], char_col: str = "char_index"
@@ -109,22 +113,30 @@ def char_to_token_long(offsets: DataFrame, chars: DataFrame, id_cols: Sequence[s
                     (chosen["start"] == c).alias("aligned"))
 
 
-def char_to_token(offsets, char_index) -> tuple[Column, Column]:
-    """C3 in array form over ``array<struct<start, end>>``: ``(token_index, aligned)``."""
-    o, c = col_(offsets), col_(char_index)
-    idx = F.filter(F.sequence(F.lit(0), F.size(o) - 1),
-                   lambda i: (F.get(o, i)["start"] <= c) & (c < F.get(o, i)["end"]))
-    tok = F.coalesce(F.get(idx, 0), F.size(o) - 1)
-    return tok, F.get(o, tok)["start"] == c
+def char_to_token(starts, ends, char_index) -> tuple[Column, Column]:
+    """C3 in array form over parallel ``starts``/``ends``: ``(token_index, aligned)``.
+
+    First token with ``start <= c < end``, else the last token. Inputs should be
+    columns (not expressions) since lambdas re-evaluate what they reference; the
+    NULL guards also keep the optimizer from inlining producers into the lambda.
+    """
+    s, e, c = col_(starts), col_(ends), col_(char_index)
+    idx = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (F.get(s, i) <= c) & (c < F.get(e, i)))
+    tok = F.coalesce(F.get(idx, 0), F.size(s) - 1)
+    ok = s.isNotNull() & e.isNotNull() & c.isNotNull() & (F.size(s) > 0)
+    return F.when(ok, tok), F.when(ok, F.get(s, tok) == c)
 
 
-def mask_to_tokens(offsets, char_mask, shift: bool = False) -> Column:
+def mask_to_tokens(starts, ends, char_mask, shift: bool = False) -> Column:
     """C4: indices of tokens overlapping any masked character (``shift`` = E7's index - 1, dropping -1)."""
-    o, m = col_(offsets), col_(char_mask)
-    idx = F.filter(F.sequence(F.lit(0), F.size(o) - 1),
-                   lambda i: F.exists(F.slice(m, F.get(o, i)["start"] + 1,
-                                              F.get(o, i)["end"] - F.get(o, i)["start"]), lambda v: v > 0))
-    idx = F.when(F.size(o) > 0, idx).otherwise(F.array().cast("array<int>"))
-    if shift:
-        idx = F.filter(F.transform(idx, lambda i: i - 1), lambda i: i >= 0)
-    return idx
+    s, e, m = col_(starts), col_(ends), col_(char_mask)
+    idx = F.filter(F.sequence(F.lit(0), F.size(s) - 1),
+                   lambda i: F.exists(F.slice(m, F.get(s, i) + 1, F.get(e, i) - F.get(s, i)), lambda v: v > 0))
+    ok = s.isNotNull() & e.isNotNull() & m.isNotNull() & (F.size(s) > 0)
+    idx = F.when(ok, idx).otherwise(F.array().cast("array<int>"))
+    return shift_indices(idx) if shift else idx
+
+
+def shift_indices(idx) -> Column:
+    """E7 for important-token indices: index - 1 (next-token loss), dropping the first token."""
+    return F.filter(F.transform(col_(idx), lambda i: i - 1), lambda i: i >= 0)

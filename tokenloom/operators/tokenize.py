@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,13 +44,35 @@ def _callable_udf(fn):
     return _tok
 
 
+# Built-in tokens as a Python pattern (same class as WS_CLASS) for the offsets helper.
+_TOKEN_RE = re.compile(r"[^ \t\n\x0b\f\r]+")
+OFFSETS_TYPE = T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())),
+                             T.StructField("ends", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(OFFSETS_TYPE)
+def token_spans(texts: pd.Series) -> pd.DataFrame:
+    """Half-open code-point offsets of the built-in tokens: ``struct<starts, ends>``.
+
+    A small Arrow-batched helper (regex scan per text, numpy out): it keeps every
+    document in its own row, so offsets need no shuffle, unlike a window over
+    exploded pieces.
+    """
+    starts, ends = [], []
+    for t in texts.tolist():
+        sp = np.array([m.span() for m in _TOKEN_RE.finditer(t or "")], dtype=np.int32).reshape(-1, 2)
+        starts.append(sp[:, 0])
+        ends.append(sp[:, 1])
+    return pd.DataFrame({"starts": starts, "ends": ends})
+
+
 def decode(tokens_col: str = "tokens", sep: str = " "):
     """Decode built-in tokens back to text (a projection)."""
     return F.array_join(F.col(tokens_col), sep)
 
 
 def token_offsets(df: DataFrame, id_cols: Sequence[str], text: str = "text") -> DataFrame:
-    """Long form ``id_cols..., token_index, token, start, end`` with half-open char offsets.
+    """Long form (for range joins against other long tables; ``token_spans`` is the in-row form) ``id_cols..., token_index, token, start, end`` with half-open char offsets.
 
     The text is cut into alternating whitespace / non-whitespace runs; a window
     per document (bounded by the document's length) turns run lengths into

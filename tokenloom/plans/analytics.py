@@ -202,7 +202,7 @@ SELECT source, count(*)::BIGINT AS n_rows, (ceil(count(*) / 32) * 3)::BIGINT AS
 """)
 def q_training_steps(spark, sf_dir):
     """Optimiser steps per source for batch 8, accumulation 4, 3 epochs."""
-    c = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
+    c = table(spark, sf_dir, "documents", spread=False).groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
     return training_steps(c, n="n_rows", batch_size=8, grad_accum=4, epochs=3)
 
 
@@ -213,7 +213,7 @@ FROM pages
 """)
 def q_path_columns(spark, sf_dir):
     """Parent, stem and cleaned form of every page URL."""
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    p = table(spark, sf_dir, "pages", spread=False).select("page_id", "url")
     return path_columns(p, "url").select("page_id", "parent", "stem", "clean")
 
 

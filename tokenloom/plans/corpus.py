@@ -12,7 +12,8 @@ from tokenloom.plans.registry import query, table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    # Projections and rank-only plans: no per-row CPU work worth spreading a few-file input for.
+    return table(spark, sf_dir, "documents", spread=False)
 
 
 @query("prepare_corpus_orig", """

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.text import WS_CLASS, unit_score, ws_tokens
 from tokenloom.operators.masks import (
-    char_to_token_long,
+    char_to_token,
     drop_unmaskable,
     mask_to_tokens,
+    shift_indices,
     with_token_budget,
     segment_token_mask,
     span_segments,
     zero_bad_words,
 )
-from tokenloom.operators.tokenize import token_offsets
+from tokenloom.operators.tokenize import token_spans
 from tokenloom.plans.chat import strip_sql
 from tokenloom.plans.registry import query, table
 from tokenloom.plans.training import TOKENS_SQL
@@ -155,11 +156,15 @@ SELECT pick.doc_id, pick.ch::INTEGER AS char_index, pick.ti::INTEGER AS token_in
 FROM pick JOIN tok ON pick.doc_id = tok.doc_id AND pick.ti = tok.ti
 """)
 def q_char_to_token(spark, sf_dir):
-    """The token holding each document's middle character, and whether it starts there."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    offs = token_offsets(d, ["doc_id"])
-    chars = d.select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("char_index"))
-    return char_to_token_long(offs, chars, ["doc_id"])
+    """The token holding each document's middle character, and whether it starts there.
+
+    Offsets come from the in-row tokenizer helper; no shuffle.
+    """
+    x = _nonblank_docs(spark, sf_dir).select("doc_id", token_spans("text").alias("o"),
+                                             F.floor(F.length("text") / 2).cast("int").alias("char_index"))
+    x = x.select("doc_id", "char_index", "o.starts", "o.ends")
+    tok, aligned = char_to_token("starts", "ends", "char_index")
+    return x.select("doc_id", "char_index", tok.alias("token_index"), aligned.alias("aligned"))
 
 
 @query("mask_to_token", _OFFSETS_SQL + """
@@ -172,13 +177,12 @@ FROM tok GROUP BY doc_id
 """)
 def q_mask_to_token(spark, sf_dir):
     """C4 + E7: tokens overlapping a character mask (uppercase ASCII letters), and the shifted loss indices."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    offs = (token_offsets(d, ["doc_id"]).groupBy("doc_id")
-            .agg(F.sort_array(F.collect_list(F.struct("token_index", "start", "end"))).alias("offsets")))
-    char_mask = F.transform(F.split("text", ""), lambda c: F.when(c.rlike("[A-Z]"), 1).otherwise(0))
-    x = offs.join(d, "doc_id").select("doc_id", "offsets", char_mask.alias("mask"))
-    sel = mask_to_tokens("offsets", "mask")
-    sh = mask_to_tokens("offsets", "mask", shift=True)
-    return x.select("doc_id", F.size("offsets").alias("n_tokens"), F.size(sel).alias("n_selected"),
-                    F.md5(F.array_join(F.transform(sel, lambda v: v.cast("string")), ",")).alias("sel_md5"),
-                    F.md5(F.array_join(F.transform(sh, lambda v: v.cast("string")), ",")).alias("shifted_md5"))
+    char_mask = F.transform(F.split(F.regexp_replace(F.regexp_replace("text", "[^A-Z]", "0"), "[A-Z]", "1"), ""),
+                            lambda c: c.cast("int"))
+    x = (_nonblank_docs(spark, sf_dir).select("doc_id", token_spans("text").alias("o"), char_mask.alias("mask"))
+         .select("doc_id", "o.starts", "o.ends", "mask"))
+    x = x.select("doc_id", F.size("starts").alias("n_tokens"), mask_to_tokens("starts", "ends", "mask").alias("sel"))
+    x = x.withColumn("sh", shift_indices("sel"))
+    return x.select("doc_id", "n_tokens", F.size("sel").alias("n_selected"),
+                    F.md5(F.array_join(F.transform("sel", lambda v: v.cast("string")), ",")).alias("sel_md5"),
+                    F.md5(F.array_join(F.transform("sh", lambda v: v.cast("string")), ",")).alias("shifted_md5"))

@@ -107,7 +107,7 @@ def q_router_topk_layered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", spread=False)
     req = (c.where(F.col("role") == "user")
            .select(F.lit("chat").alias("domain"), "conv_id",
                    F.concat_ws(":", "conv_id", "turn").alias("native_id"), F.col("text").alias("context")))
