@@ -6,7 +6,7 @@ E5 contiguous/strided chunks, A10 line shards, E8 seeded order key, F5 first_n.
 
 A bucket is a fixed-width range of the order key, never ``spark_partition_id``
 (which changes when a task is recomputed). With unique integer keys a bucket
-holds at most ``width`` rows, so no task sorts more than that; the bucket-total
+holds at most ``width`` (default 4096) rows, so no task sorts more than that; the bucket-total
 table has one row per bucket and is the only thing ranked in one partition.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.text import col_, order_key
 from tokenloom.operators.checks import assert_true, require_columns
 
-DEFAULT_WIDTH = 1 << 16
+DEFAULT_WIDTH = 1 << 12
 
 
 def default_bucket(df: DataFrame, key: str, width: int = DEFAULT_WIDTH) -> Column:
@@ -51,6 +51,9 @@ def prefix_sum(df: DataFrame, order: Sequence[str] | str, value: Column | str |
     w = (Window.partitionBy(*part, "__ps_bkt").orderBy(*[F.col(c) for c in order])
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     x = x.withColumn("__ps_ls", F.sum("__ps_v").over(w) - F.col("__ps_v"))
+    # Bucket totals: a partial (map-side) sum over the narrow (bucket, value) projection.
+    # The optimizer prunes the window from this branch; upstream per-row work is
+    # evaluated again here, so callers with an expensive input should persist it.
     totals = x.groupBy(*part, "__ps_bkt").agg(F.sum("__ps_v").alias("__ps_bn"))
     running = (Window.partitionBy(*part).orderBy("__ps_bkt")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
