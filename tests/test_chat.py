@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.templates import format_template, pair_boundary, reformat_dialogue
 from tokenloom.functions.text import completion_suffix, py_strip
-from tokenloom.operators.chat import render_conversations, turn_pairs
+from tokenloom.operators.chat import render_conversations, render_turns, turn_pairs
 from tokenloom.operators.pairs import assemble_pair, loss_all_but_pad, truncation_cuts
 
 
@@ -13,6 +13,8 @@ def test_chat_render(spark):
                                    (2, 2, "tool", "x")],
                                   "conv_id long, turn long, role string, text string")
     out = {r.conv_id: r.rendered for r in render_conversations(turns, add_generation_prompt=True).collect()}
+    pieces = render_turns(turns.where("conv_id = 1"), add_generation_prompt=True).orderBy("turn").collect()
+    assert "".join(p.piece for p in pieces) == out[1]
     assert out[1] == "<|system|>\ns\n<|user|>\nu\n<|assistant|>\na</s>\n<|user|>\nv\n<|assistant|>\n"
     two = render_conversations(turns.where("conv_id = 2 AND role <> 'tool'")).first().rendered
     assert two == "<|user|>\nu\n<|assistant|>\na</s>"

@@ -36,3 +36,13 @@ def test_rank_is_partition_independent(spark):
         got = [r.k for r in x.orderBy("rank").collect()]
         assert got == want
         assert x.agg(F.max("rank")).first()[0] == 5000
+
+
+def test_quantile_buckets_for_sparse_keys(spark):
+    from tokenloom.operators.ordering import with_quantile_bucket
+
+    df = spark.range(2000).withColumn("k", F.col("id") * F.lit(10 ** 12) + (F.col("id") % 7))
+    x = with_quantile_bucket(df, "k", n_buckets=16)
+    assert x.select("bucket").distinct().count() <= 16
+    r = global_rank(x, "k", bucket=F.col("bucket"))
+    assert [row.k for row in r.orderBy("rank").collect()] == sorted(row.k for row in df.collect())

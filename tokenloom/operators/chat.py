@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.operators.checks import require_columns
@@ -54,21 +54,52 @@ def assemble_conversations(turns: DataFrame, *, conv: str = "conv_id", turn: str
 
 def render_conversations(turns: DataFrame, *, eos: str = "</s>", add_generation_prompt: bool = False,
                          conv: str = "conv_id", **cols) -> DataFrame:
-    """D7 + H6: rendered chat string per conversation."""
+    """D7 + H6: one rendered string per conversation (for conversations of bounded length;
+    ``render_turns`` is the form that never gathers a conversation into one task)."""
     a = assemble_conversations(turns, conv=conv, **cols)
     return a.select(conv, render_messages("messages", eos, add_generation_prompt).alias("rendered"))
 
 
+def _next_turn_exists(turns: DataFrame, conv: str, turn: str) -> DataFrame:
+    """``(conv, turn, has_next)`` from an equi-join on the unique key (conv, turn + 1)."""
+    nxt = turns.select(F.col(conv), (F.col(turn) - 1).alias(turn), F.lit(True).alias("has_next"))
+    return turns.join(nxt, [conv, turn], "left")
+
+
+def render_turns(turns: DataFrame, *, eos: str = "</s>", add_generation_prompt: bool = False,
+                 conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """D7 + H6 in long form: ``(conv, turn, piece)``; the conversation is the pieces in turn order.
+
+    "Last message" comes from a join on the unique key (conv, turn + 1), not from a
+    window or a collect per conversation, so a conversation holding a third of all
+    rows is still spread over many tasks. Writing the pieces sorted by (conv, turn)
+    yields the rendered text. Turns are numbered consecutively within a conversation.
+    """
+    require_columns(turns, [conv, turn, role, text], "turns")
+    x = _next_turn_exists(turns.select(conv, turn, role, text), conv, turn)
+    last = F.col("has_next").isNull()
+    r, t = F.col(role), F.col(text)
+    piece = (F.when(r == "system", F.concat(F.lit(SYSTEM_HEADER), t, F.lit("\n")))
+             .when(r == "user", F.concat(F.lit(USER_HEADER), t, F.lit("\n")))
+             .when(r == "assistant", F.concat(F.lit(ASSISTANT_HEADER), t, F.lit(eos),
+                                              F.when(last, F.lit("")).otherwise(F.lit("\n"))))
+             .otherwise(F.lit("")))
+    if add_generation_prompt:
+        piece = F.concat(piece, F.when(last, F.lit(ASSISTANT_HEADER)).otherwise(F.lit("")))
+    return x.select(conv, turn, piece.alias("piece"))
+
+
 def turn_pairs(turns: DataFrame, *, first_role: str = "user", second_role: str = "assistant",
                conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Adjacent (first_role -> second_role) turn pairs: ``conv, turn, text1, text2``.
 
-    ``lead`` over a window per conversation (bounded group); one shuffle.
+    An equi-join on the unique key (conv, turn + 1): no window, so no conversation is
+    gathered into one task. Turns are numbered consecutively within a conversation.
     """
-    w = Window.partitionBy(conv).orderBy(turn)
-    x = turns.select(conv, turn, role, text, F.lead(role).over(w).alias("_r2"), F.lead(text).over(w).alias("_t2"))
-    return (x.where((F.col(role) == first_role) & (F.col("_r2") == second_role))
-            .select(conv, turn, F.col(text).alias("text1"), F.col("_t2").alias("text2")))
+    a = turns.where(F.col(role) == first_role).select(conv, turn, F.col(text).alias("text1"))
+    b = (turns.where(F.col(role) == second_role)
+         .select(conv, (F.col(turn) - 1).alias(turn), F.col(text).alias("text2")))
+    return a.join(b, [conv, turn])
 
 
 def completion_after_prompt(full, prompt) -> Column:

@@ -31,6 +31,26 @@ def default_bucket(df: DataFrame, key: str, width: int = DEFAULT_WIDTH) -> Colum
     return F.floor(F.col(key) / F.lit(width)).cast("long")
 
 
+def with_quantile_bucket(df: DataFrame, key: str, out: str = "bucket", n_buckets: int = 1 << 14,
+                         rel_error: float = 1e-3) -> DataFrame:
+    """Order-preserving bucket ids with a bounded count, for sparse or skewed keys.
+
+    One small action computes ``n_buckets - 1`` approximate quantiles of the key
+    (a column-pruned scan with a bounded result); ``Bucketizer`` then assigns
+    buckets by binary search on the JVM. With unique keys each bucket holds about
+    ``count / n_buckets`` rows whatever the key range, so pass
+    ``bucket=F.col(out)`` to ``prefix_sum``/``global_rank`` when keys are not dense integers.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    qs = sorted(set(df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", probs, rel_error)))
+    splits = [float("-inf")] + qs + [float("inf")]
+    x = df.withColumn("__qb_in", F.col(key).cast("double"))
+    x = Bucketizer(splits=splits, inputCol="__qb_in", outputCol=out, handleInvalid="keep").transform(x)
+    return x.drop("__qb_in").withColumn(out, F.col(out).cast("long"))
+
+
 def prefix_sum(df: DataFrame, order: Sequence[str] | str, value: Column | str | None = None, *,
                bucket: Column | None = None, partition: Sequence[str] = (),
                start_col: str = "start", total_col: str | None = "n_total") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions import templates as T
 from tokenloom.functions.templates import format_template, label_text, pair_boundary, reformat_dialogue
 from tokenloom.functions.text import completion_suffix
-from tokenloom.operators.chat import render_conversations, turn_pairs
+from tokenloom.operators.chat import render_turns, turn_pairs
 from tokenloom.operators.pairs import prepare_conversation
 from tokenloom.operators.prompts import noisy_channel_expand
 from tokenloom.plans.registry import query, table
@@ -48,18 +48,21 @@ WITH c AS (
 """
 
 
-@query("chat_render", f"""
-WITH c AS (SELECT conv_id, turn, role, text, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
-SELECT conv_id, string_agg(CASE
+@query("chat_render", """
+WITH c AS (
+  SELECT c.*, n.conv_id IS NULL AS last
+  FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1
+)
+SELECT conv_id, turn, CASE
     WHEN role = 'system' THEN '<|system|>' || chr(10) || text || chr(10)
     WHEN role = 'user' THEN '<|user|>' || chr(10) || text || chr(10)
     WHEN role = 'assistant' THEN '<|assistant|>' || chr(10) || text || '</s>' || CASE WHEN last THEN '' ELSE chr(10) END
-    ELSE '' END, '' ORDER BY turn) || '<|assistant|>' || chr(10) AS rendered
-FROM c GROUP BY conv_id
+    ELSE '' END || CASE WHEN last THEN '<|assistant|>' || chr(10) ELSE '' END AS piece
+FROM c
 """)
 def q_chat_render(spark, sf_dir):
-    """D7 + H6: every conversation rendered with the chat template and a generation prompt."""
-    return render_conversations(table(spark, sf_dir, "conversations"), eos="</s>", add_generation_prompt=True)
+    """D7 + H6: every turn's rendered piece (chat template, generation prompt after the last turn)."""
+    return render_turns(table(spark, sf_dir, "conversations"), eos="</s>", add_generation_prompt=True)
 
 
 def _pair_rows(spark, sf_dir, use_loss_mask=True) -> DataFrame:
