@@ -115,10 +115,14 @@ def expert_counts(df: DataFrame, *, k: int, domain: str = "domain", tensor: str
                   F.sum(F.size(F.get("_t", 0))).cast("long").alias("total_tokens")))
     # k larger than the expert axis is an error, raised by the job (no driver round trip).
     shape = shape.where(assert_true(F.col("_ne") >= k, f"k={k} exceeds the number of experts"))
-    grid = (shape.select("domain", F.explode(F.sequence(F.lit(0), F.col("_nl") - 1)).alias("layer"), "_ne")
-            .select("domain", "layer", F.explode(F.sequence(F.lit(0), F.col("_ne") - 1)).alias("expert")))
+    # The zero-fill grid carries the domain total, so shares need no second join.
+    grid = (shape.select("domain", F.explode(F.sequence(F.lit(0), F.col("_nl") - 1)).alias("layer"), "_ne",
+                         "total_tokens")
+            .select("domain", "layer", F.explode(F.sequence(F.lit(0), F.col("_ne") - 1)).alias("expert"),
+                    "total_tokens"))
     filled = (grid.join(counts, ["domain", "layer", "expert"], "left")
-              .select("domain", "layer", "expert", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+              .select("domain", "layer", "expert", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+                      "total_tokens"))
     return filled, shape.select("domain", "total_tokens")
 
 
@@ -127,11 +131,11 @@ def domain_specialization(df: DataFrame, *, k: int, domain: str = "domain", tens
     """Share of a domain's tokens that route each (layer, expert) into the top-k.
 
     Output ``domain, layer, expert, n, share``; per (domain, layer) the shares sum to k.
+    Plan: one partial aggregation of (domain, layer, expert) hits and one of per-domain
+    shape/totals; the zero-fill grid is generated from the (small) per-domain rows.
     """
-    counts, totals = expert_counts(df, k=k, domain=domain, tensor=tensor, token_index=token_index)
-    return (counts.join(totals, "domain")
-            .select("domain", "layer", "expert", "n",
-                    (F.col("n") / F.col("total_tokens")).alias("share")))
+    counts, _ = expert_counts(df, k=k, domain=domain, tensor=tensor, token_index=token_index)
+    return counts.select("domain", "layer", "expert", "n", (F.col("n") / F.col("total_tokens")).alias("share"))
 
 
 def tensor_violations(df: DataFrame, *, id_cols: Sequence[str], tensor: str = "router_logits") -> DataFrame:
