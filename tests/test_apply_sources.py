@@ -6,7 +6,14 @@ import zstandard
 from pyspark.sql import functions as F
 
 from tokenloom.operators.apply import apply_with_errors, score, split_dead_letter
-from tokenloom.sources.readers import find_files, load_jsonl, read_any, read_lines, read_router_records
+from tokenloom.sources.readers import (
+    find_files,
+    load_jsonl,
+    read_any,
+    read_lines,
+    read_router_records,
+    require_one_file,
+)
 from tokenloom.sources.writers import write_jsonl, write_line_shards, write_shards
 
 
@@ -42,6 +49,10 @@ def test_read_any_and_jsonl_lines(spark, tmp_path):
     rows = load_jsonl(spark, str(tmp_path / "a.jsonl"), "native_id string").orderBy("line_no").collect()
     assert [(r.line_no, r.native_id) for r in rows] == [(i, str(i)) for i in range(5)]
     assert find_files(spark, str(tmp_path), "a.json").count() == 1
+    assert require_one_file(find_files(spark, str(tmp_path), "a.json")).count() == 1
+    (tmp_path / "a2.jsonl").write_text("{}\n")
+    with pytest.raises(Exception, match="exactly one"):
+        require_one_file(find_files(spark, str(tmp_path), "a")).collect()
 
 
 def test_router_files_roundtrip(spark, tmp_path):
@@ -62,3 +73,17 @@ def test_writers(spark, tmp_path):
     write_jsonl(df, str(tmp_path / "j"), order=["k"], files=3)
     assert spark.read.json(str(tmp_path / "j")).count() == 300
     assert os.path.isdir(tmp_path / "j")
+
+
+def test_jsonl_line_numbers_across_splits(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        for f in ("x", "y"):
+            (tmp_path / f"{f}.jsonl").write_text("".join(json.dumps({"native_id": f"{f}{i}"}) + "\n"
+                                                          for i in range(700)))
+        rows = load_jsonl(spark, str(tmp_path / "*.jsonl"), "native_id string").collect()
+        assert spark.read.json(str(tmp_path / "*.jsonl")).rdd.getNumPartitions() > 2
+        got = {(r.file_path.rsplit("/", 1)[-1][0], r.line_no): r.native_id for r in rows}
+        assert got == {(f, i): f"{f}{i}" for f in "xy" for i in range(700)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -27,3 +27,10 @@ def test_flat_stream(spark):
     s = flat_token_stream(p, 4, max_id=65535).orderBy("pos").collect()
     assert [r.pos for r in s] == list(range(12)) and [r.token_id for r in s][:5] == [1, 2, 3, 0, 4]
     assert all(r.mask == 1 for r in s)
+
+
+def test_pack_rejects_unknown_columns(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="Unknown column"):
+        pack_sequences(_docs(spark).withColumn("extra", _docs(spark)["k"]), 4, "k", strict_columns=True)

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.operators.checks import assert_true, require_columns
+from tokenloom.operators.checks import allow_only, assert_true, require_columns
 from tokenloom.operators.ordering import prefix_sum
 
 # End-of-sequence and padding token ids used by the tokenisation step.
@@ -25,11 +25,13 @@ PAD_ID = 100277
 
 def pack_sequences(df: DataFrame, max_seq_len: int, order: Sequence[str] | str, *, eos_id: int = EOS_ID,
                    ids: str = "input_ids", attention: str | None = None, shard_col: str | None = None,
-                   keep_tail: bool = False, bucket: Column | None = None) -> DataFrame:
+                   keep_tail: bool = False, bucket: Column | None = None,
+                   strict_columns: bool = False) -> DataFrame:
     """Concatenate ``ids + [eos]`` in order, cut every ``max_seq_len``.
 
     Output ``[shard,] chunk, input_ids, attention_mask``. ``shard_col`` restarts packing
     per shard (each shard drops its own tail); ``keep_tail`` keeps incomplete chunks.
+    ``strict_columns`` rejects any column besides ids, mask, order and shard (B7).
     """
     if max_seq_len < 1:
         raise ValueError("max_seq_len must be >= 1")
@@ -37,7 +39,10 @@ def pack_sequences(df: DataFrame, max_seq_len: int, order: Sequence[str] | str,
         raise ValueError("an eos id is required")
     order = [order] if isinstance(order, str) else list(order)
     part = [shard_col] if shard_col else []
-    require_columns(df, order + part + [ids] + ([attention] if attention else []), "pack_sequences input")
+    needed = order + part + [ids] + ([attention] if attention else [])
+    require_columns(df, needed, "pack_sequences input")
+    if strict_columns:
+        allow_only(df, needed, "pack_sequences input")
     L = max_seq_len
     seq = F.concat(F.col(ids), F.array(F.lit(eos_id)))
     msk = (F.concat(F.col(attention), F.array(F.lit(1))) if attention

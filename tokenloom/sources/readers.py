@@ -69,16 +69,22 @@ def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 def load_jsonl(spark: SparkSession, path: str, schema: str, *, line_col: str = "line_no") -> DataFrame:
     """A4: JSON lines with ``file_path`` and a 0-based line number per file.
 
-    The line number orders by the split's start offset, then by the id assigned
-    right after the scan (monotonic within a split), so it follows file order.
-    One window per file: fine for result files; for huge single files prefer a key.
+    No window over a whole file: each input split is read by one task in file
+    order, so ``monotonically_increasing_id`` is contiguous within a split. A
+    group-by per (file, split) (one row per split) gives each split's row count and
+    first id; a running sum over the splits of a file gives its first line; the
+    line number is that offset plus the row's distance from the split's first id.
     """
     df = (spark.read.schema(schema).json(path)
           .withColumn("file_path", F.col("_metadata.file_path"))
           .withColumn("_blk", F.col("_metadata.file_block_start"))
           .withColumn("_mid", F.monotonically_increasing_id()))
-    w = Window.partitionBy("file_path").orderBy("_blk", "_mid")
-    return df.withColumn(line_col, F.row_number().over(w) - 1).drop("_blk", "_mid")
+    splits = df.groupBy("file_path", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_mid0"))
+    w = Window.partitionBy("file_path").orderBy("_blk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    splits = splits.withColumn("_first", F.sum("_n").over(w) - F.col("_n")).drop("_n")
+    out = df.join(splits, ["file_path", "_blk"])
+    return out.withColumn(line_col, F.col("_first") + F.col("_mid") - F.col("_mid0")).drop("_blk", "_mid", "_mid0",
+                                                                                        "_first")
 
 
 def find_files(spark: SparkSession, directory: str, substring: str, fmt: str = "text") -> DataFrame:
@@ -88,6 +94,15 @@ def find_files(spark: SparkSession, directory: str, substring: str, fmt: str = "
     return df.select(F.col("_metadata.file_path").alias("file_path")).distinct()
 
 
+def require_one_file(files: DataFrame, what: str = "file") -> DataFrame:
+    """A5 pairing rule: a one-row frame with the single matching ``file_path``; the job fails
+    when there are zero or several matches."""
+    from tokenloom.operators.checks import assert_true
+
+    g = files.agg(F.count(F.lit(1)).alias("_n"), F.min("file_path").alias("file_path"))
+    return g.where(assert_true(F.col("_n") == 1, f"expected exactly one {what}")).select("file_path")
+
+
 def domain_of(path_col: Column | str = "file_path", suffix: str = "-router.jsonl") -> Column:
     """domain = file name without ``suffix`` (one glob scan serves all domains)."""
     c = F.col(path_col) if isinstance(path_col, str) else path_col
