@@ -33,4 +33,5 @@ def test_pack_rejects_unknown_columns(spark):
     import pytest
 
     with pytest.raises(ValueError, match="Unknown column"):
-        pack_sequences(_docs(spark).withColumn("extra", _docs(spark)["k"]), 4, "k", strict_columns=True)
+        d = _docs(spark)
+        pack_sequences(d.withColumn("extra", d["k"]), 4, "k", strict_columns=True)
