@@ -26,12 +26,14 @@ PAD_ID = 100277
 def pack_sequences(df: DataFrame, max_seq_len: int, order: Sequence[str] | str, *, eos_id: int = EOS_ID,
                    ids: str = "input_ids", attention: str | None = None, shard_col: str | None = None,
                    keep_tail: bool = False, bucket: Column | None = None,
-                   strict_columns: bool = False) -> DataFrame:
+                   strict_columns: bool = False, stage_input: bool = False) -> DataFrame:
     """Concatenate ``ids + [eos]`` in order, cut every ``max_seq_len``.
 
     Output ``[shard,] chunk, input_ids, attention_mask``. ``shard_col`` restarts packing
     per shard (each shard drops its own tail); ``keep_tail`` keeps incomplete chunks.
     ``strict_columns`` rejects any column besides ids, mask, order and shard (B7).
+    ``stage_input`` writes the (narrow) input once to the checkpoint folder first, so an
+    expensive upstream step such as tokenisation runs once for both prefix-sum branches.
     """
     if max_seq_len < 1:
         raise ValueError("max_seq_len must be >= 1")
@@ -48,6 +50,9 @@ def pack_sequences(df: DataFrame, max_seq_len: int, order: Sequence[str] | str,
     msk = (F.concat(F.col(attention), F.array(F.lit(1))) if attention
            else F.array_repeat(F.lit(1), F.size(F.col(ids)) + 1))
     x = df.select(*part, *order, seq.alias("_seq"), msk.alias("_msk"))
+    if stage_input:
+        from tokenloom.session import stage
+        x = stage(x, "pack-input")
     x = prefix_sum(x, order, F.size("_seq"), bucket=bucket, partition=part, start_col="_off", total_col=None)
     off, n = F.col("_off"), F.size("_seq")
     x = x.select(*part, "_off", "_seq", "_msk",

@@ -55,3 +55,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = tempfile.mkdtemp(prefix="tokenloom-ckpt-", dir="/tmp")
     sc.setCheckpointDir(d)
     return d
+
+
+def stage(df, name: str = "stage"):
+    """Write ``df`` once to the shared checkpoint folder and read it back (a lineage cut).
+
+    Later branches of the plan read the written table instead of recomputing the
+    input, and a lost executor re-reads files instead of re-running upstream work.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
