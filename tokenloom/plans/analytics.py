@@ -124,14 +124,14 @@ def q_batch_perplexity(spark, sf_dir):
 
 @query("last_vector", """
 WITH x AS (SELECT vec_id // 8 AS seq, max(vec_id) AS last_pos, arg_max(embedding, vec_id) AS v FROM embeddings GROUP BY 1)
-SELECT seq::BIGINT AS seq, last_pos, round(v[1], 6) AS v0, round(list_sum(list_transform(v, lambda x: x::DOUBLE)), 4) AS v_sum
+SELECT seq::BIGINT AS seq, last_pos, round(v[1]::DOUBLE, 6) AS v0, round(list_sum(list_transform(v, lambda x: x::DOUBLE)), 4) AS v_sum
 FROM x
 """)
 def q_last_vector(spark, sf_dir):
     """Vector at the last position of each 8-token sequence."""
     e = _logits(spark, sf_dir).withColumn("seq", F.floor(F.col("vec_id") / 8).cast("long"))
     lv = last_vector(e, by=["seq"], pos="vec_id", vector="embedding")
-    return lv.select("seq", "last_pos", F.round(F.get("last_vector", 0), 6).alias("v0"),
+    return lv.select("seq", "last_pos", F.round(F.get("last_vector", 0).cast("double"), 6).alias("v0"),
                      F.round(F.aggregate("last_vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 4)
                      .alias("v_sum"))
 
