@@ -31,6 +31,9 @@ def test_score_modes(spark):
     df = spark.createDataFrame([("a b",), ("c",)], "prompt string")
     out = score(df, lambda ps: [{"loss": float(len(p)), "perplexity": 1.0} for p in ps], "get_loss").collect()
     assert sorted(r.loss for r in out) == [1.0, 3.0] and all(r.label is None for r in out)
+    lg = score(df, lambda ps: [{"completion": True, "highest_token": 3, "logits": [0.5, 0.1], "generated": p}
+                               for p in ps], "logits").collect()
+    assert {r.highest_token for r in lg} == {3} and lg[0].logits == [0.5, 0.1]
     with pytest.raises(ValueError, match="unknown inference mode"):
         score(df, lambda ps: ps, "nope")
 

@@ -99,11 +99,12 @@ SCORE_TYPES = {
 
 
 def score(df: DataFrame, fn: Callable[[list[str]], list[dict]], mode: str, *, prompt: str = "prompt",
-          label: str | None = "label") -> DataFrame:
+          label: str | None = "label", keep: list[str] | tuple = ()) -> DataFrame:
     """Batch scoring with a user callable; fixed output struct per mode, ``prompt``/``label`` carried.
 
     ``fn`` receives a list of prompts (one Arrow batch) and returns one dict per
-    prompt with the mode's fields. Unknown modes fail at plan time.
+    prompt with the mode's fields. Unknown modes fail at plan time. ``keep`` carries
+    extra key columns through.
     """
     if mode not in SCORE_TYPES:
         raise ValueError(f"unknown inference mode {mode!r}; expected one of {sorted(SCORE_TYPES)}")
@@ -119,5 +120,5 @@ def score(df: DataFrame, fn: Callable[[list[str]], list[dict]], mode: str, *, pr
             yield pd.DataFrame({n: [r.get(n) for r in rows] for n in names})
 
     lab = F.col(label) if label and label in df.columns else F.lit(None).alias("label")
-    return df.select(F.col(prompt).alias("prompt"), lab.alias("label"), run(F.col(prompt)).alias("_s")).select(
-        "prompt", "label", "_s.*")
+    return df.select(*keep, F.col(prompt).alias("prompt"), lab.alias("label"),
+                     run(F.col(prompt)).alias("_s")).select(*keep, "prompt", "label", "_s.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -246,17 +247,26 @@ def q_dead_letter_errors(spark, sf_dir):
     return _dead_letter(spark, sf_dir)[1].select("index", "error")
 
 
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
 def _toy_scorer(prompts):
+    """Stand-in for a model: loss = built-in tokens per character (+1), perplexity = exp(loss)."""
     out = []
     for p in prompts:
-        n = len((p or "").split())
+        n = len(_WORD.findall(p or ""))
         loss = n / (len(p or "") + 1)
         out.append({"loss": loss, "perplexity": math.exp(loss)})
     return out
 
 
-@query("scored_prompts")
+@query("scored_prompts", f"""
+SELECT doc_id, lang AS label, round(len({TOKENS_SQL.format(t='text')}) / (length(text) + 1), 6) AS loss,
+       round(exp(len({TOKENS_SQL.format(t='text')}) / (length(text) + 1)), 6) AS perplexity
+FROM documents
+""")
 def q_scored_prompts(spark, sf_dir):
     """Batch scoring surface (get_loss mode) with a stand-in scorer, label carried through."""
-    d = table(spark, sf_dir, "documents").select(F.col("text").alias("prompt"), F.col("lang").alias("label"))
-    return score(d, _toy_scorer, "get_loss")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"), F.col("lang").alias("label"))
+    s = score(d, _toy_scorer, "get_loss", keep=["doc_id"])
+    return s.select("doc_id", "label", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"))
