@@ -34,3 +34,21 @@ def test_entry_contract(spark):
     assert df.count() > 0 and df.columns == ["domain", "layer", "expert", "n", "share"]
     assert set(e.oracle_sql()) <= set(e.queries())
     assert checkpoint_dir(spark)
+
+
+def test_streaming_token_totals(spark, tmp_path):
+    from tokenloom.functions.text import ws_tokens
+    from tokenloom.streaming.router_stream import streaming_token_totals
+
+    src = tmp_path / "docs"
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(4).write.parquet(str(src))
+    s = stream_source(spark, str(src), "doc_id long, text string, lang string, source string, n_chars long",
+                      max_files_per_trigger=2)
+    totals = streaming_token_totals(s.select("source", F.size(ws_tokens("text")).alias("n_tokens")))
+    q = start_update(totals, name="stream_totals", checkpoint=str(tmp_path / "ckpt2"))
+    q.processAllAvailable()
+    q.stop()
+    got = {r.source: r.total_tokens for r in spark.table("stream_totals").collect()}
+    want = {r.source: r.t for r in spark.read.parquet(f"{SF}/documents.parquet")
+            .groupBy("source").agg(F.sum(F.size(ws_tokens("text"))).alias("t")).collect()}
+    assert got == want
