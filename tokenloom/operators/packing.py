@@ -26,12 +26,15 @@ PAD_ID = 100277
 def pack_sequences(df: DataFrame, max_seq_len: int, order: Sequence[str] | str, *, eos_id: int = EOS_ID,
                    ids: str = "input_ids", attention: str | None = None, shard_col: str | None = None,
                    keep_tail: bool = False, bucket: Column | None = None,
-                   strict_columns: bool = False, stage_input: bool = False) -> DataFrame:
+                   strict_columns: bool = False, stage_input: bool = False,
+                   length: Column | None = None) -> DataFrame:
     """Concatenate ``ids + [eos]`` in order, cut every ``max_seq_len``.
 
     Output ``[shard,] chunk, input_ids, attention_mask``. ``shard_col`` restarts packing
     per shard (each shard drops its own tail); ``keep_tail`` keeps incomplete chunks.
     ``strict_columns`` rejects any column besides ids, mask, order and shard (B7).
+    ``length`` may give ``size(ids)`` by a cheaper expression (e.g. the token count without
+    the id hashing); the prefix-sum totals branch then never evaluates the ids.
     ``stage_input`` writes the (narrow) input once to the checkpoint folder first, so an
     expensive upstream step such as tokenisation runs once for both prefix-sum branches.
     """
@@ -49,11 +52,14 @@ def pack_sequences(df: DataFrame, max_seq_len: int, order: Sequence[str] | str,
     seq = F.concat(F.col(ids), F.array(F.lit(eos_id)))
     msk = (F.concat(F.col(attention), F.array(F.lit(1))) if attention
            else F.array_repeat(F.lit(1), F.size(F.col(ids)) + 1))
-    x = df.select(*part, *order, seq.alias("_seq"), msk.alias("_msk"))
+    n_expr = (length if length is not None else F.size(F.col(ids))) + 1
+    x = df.select(*part, *order, seq.alias("_seq"), msk.alias("_msk"), n_expr.alias("_n"))
     if stage_input:
         from tokenloom.session import stage
         x = stage(x, "pack-input")
-    x = prefix_sum(x, order, F.size("_seq"), bucket=bucket, partition=part, start_col="_off", total_col=None)
+    x = prefix_sum(x, order, "_n", bucket=bucket, partition=part, start_col="_off", total_col=None)
+    if length is not None:
+        x = x.where(assert_true(F.size("_seq") == F.col("_n"), "length does not match the ids"))
     off, n = F.col("_off"), F.size("_seq")
     x = x.select(*part, "_off", "_seq", "_msk",
                  F.explode(F.sequence(F.floor(off / L), F.floor((off + n - 1) / L))).alias("chunk"))

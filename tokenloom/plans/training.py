@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.functions.text import ws_tokens
 from tokenloom.operators.packing import EOS_ID, flat_token_stream, pack_sequences
 from tokenloom.operators.tokenize import tokenize
 from tokenloom.plans.registry import query, table
@@ -29,7 +30,8 @@ WITH t AS (
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", tokens_col=None)
-    return pack_sequences(docs, 512, "doc_id")
+    # The offsets only need token counts: counting tokens skips the per-token id hashing.
+    return pack_sequences(docs, 512, "doc_id", length=F.size(ws_tokens("text")))
 
 
 @query("packed_sequences", PACK_CTE + """
