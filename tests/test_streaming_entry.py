@@ -52,3 +52,24 @@ def test_streaming_token_totals(spark, tmp_path):
     want = {r.source: r.t for r in spark.read.parquet(f"{SF}/documents.parquet")
             .groupBy("source").agg(F.sum(F.size(ws_tokens("text"))).alias("t")).collect()}
     assert got == want
+
+
+def test_streaming_state_to_shares(spark, tmp_path):
+    from tokenloom.streaming.router_stream import latest_state, shares_from_state
+
+    src = tmp_path / "emb"
+    spark.read.parquet(f"{SF}/embeddings.parquet").repartition(3).write.parquet(str(src))
+    s = stream_source(spark, str(src), "vec_id long, embedding array<float>, label int", max_files_per_trigger=1)
+    rec = s.select(F.col("label").alias("domain"), F.array(F.array("embedding")).alias("router_logits"))
+    counts, totals = streaming_expert_counts(rec, k=8)
+    qs = [start_update(counts, name="c", checkpoint=str(tmp_path / "ck1"), sink="parquet", path=str(tmp_path / "c")),
+          start_update(totals, name="t", checkpoint=str(tmp_path / "ck2"), sink="parquet", path=str(tmp_path / "t"))]
+    for q in qs:
+        q.processAllAvailable()
+        q.stop()
+    got = shares_from_state(latest_state(spark, str(tmp_path / "c"), ["domain", "layer", "expert"]),
+                            latest_state(spark, str(tmp_path / "t"), ["domain"]))
+    batch = domain_specialization(spark.read.parquet(f"{SF}/embeddings.parquet").select(
+        F.col("label").alias("domain"), F.array(F.array("embedding")).alias("router_logits")), k=8)
+    norm = lambda df: sorted((r.domain, r.layer, r.expert, r.n, round(r.share, 9)) for r in df.collect())
+    assert norm(got) == norm(batch)

@@ -36,7 +36,9 @@ def streaming_expert_counts(records: DataFrame, *, k: int, domain: str = "domain
                                                    lambda e: F.struct(li.alias("layer"), e.alias("expert")))))))
     counts = (base.select("domain", F.inline(hits)).groupBy("domain", "layer", "expert")
               .agg(F.count(F.lit(1)).alias("n")))
-    totals = base.groupBy("domain").agg(F.sum(F.size(F.get("_t", 0))).cast("long").alias("total_tokens"))
+    totals = base.groupBy("domain").agg(F.sum(F.size(F.get("_t", 0))).cast("long").alias("total_tokens"),
+                                        F.max(F.size("_t")).alias("n_layers"),
+                                        F.max(F.size(F.get(F.get("_t", 0), 0))).alias("n_experts"))
     return counts, totals
 
 
@@ -47,14 +49,44 @@ def streaming_token_totals(docs: DataFrame, *, by: str = "source", tokens: str =
 
 def start_update(df: DataFrame, *, name: str, checkpoint: str, sink: str = "memory",
                  path: str | None = None) -> StreamingQuery:
-    """Start an ``update``-mode query; ``memory`` for tests, any sink via ``foreachBatch`` otherwise."""
+    """Start a query: ``memory`` (complete mode, tests) or ``parquet`` (update mode; each
+    micro-batch's changed rows are appended with their epoch through ``foreachBatch``)."""
     w = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).queryName(name)
     if sink == "memory":
         return w.format("memory").outputMode("complete").start()
+    if sink != "parquet":
+        raise ValueError("sink must be 'memory' or 'parquet'")
     if path is None:
         raise ValueError("path is required for a file sink")
 
-    def upsert(batch: DataFrame, epoch: int) -> None:
+    def append(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
 
-    return w.foreachBatch(upsert).start()
+    return w.foreachBatch(append).start()
+
+
+def latest_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest value per key from the table ``start_update(..., sink='parquet')`` appends to.
+
+    Update mode emits a row each time a key changes; ``max_by(..., epoch)`` per key is a
+    bounded partial aggregate, so reading the state back needs no window or collect.
+    """
+    df = spark.read.parquet(path)
+    vals = [c for c in df.columns if c not in keys and c != "epoch"]
+    return df.groupBy(*keys).agg(*[F.max_by(c, "epoch").alias(c) for c in vals])
+
+
+def shares_from_state(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """D2 from streamed state: zero-filled ``(domain, layer, expert, n, share)``.
+
+    The grid is generated from the per-domain totals rows (tensor widths are part of the
+    streamed state), so it matches the batch ``domain_specialization`` output.
+    """
+    shape = totals.select("domain", "total_tokens", (F.col("n_layers") - 1).alias("_ml"),
+                          (F.col("n_experts") - 1).alias("_me"))
+    grid = (shape.select("domain", "total_tokens", F.explode(F.sequence(F.lit(0), F.col("_ml"))).alias("layer"),
+                         "_me")
+            .select("domain", "total_tokens", "layer", F.explode(F.sequence(F.lit(0), F.col("_me"))).alias("expert")))
+    out = grid.join(counts, ["domain", "layer", "expert"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.select("domain", "layer", "expert", F.col("n").cast("long").alias("n"),
+                      (F.col("n") / F.col("total_tokens")).alias("share"))
