@@ -90,3 +90,29 @@ def test_jsonl_line_numbers_across_splits(spark, tmp_path):
         assert got == {(f, i): f"{f}{i}" for f in "xy" for i in range(700)}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_evaluator_dirs_report_and_token_stream(spark, tmp_path):
+    from tokenloom.operators.composition import composition_rollup, write_report
+    from tokenloom.operators.packing import flat_token_stream, pack_sequences, write_token_stream
+    from tokenloom.operators.prompts import evaluator_prompts
+    from tokenloom.sources.writers import evaluator_samples, write_per_evaluator
+
+    qa = spark.createDataFrame([(1, "q1", "a1"), (2, "q2", "a2")], "k long, question string, answer string")
+    p = evaluator_prompts(qa, {"qa": "Question: {question}\nAnswer:", "full": "{question} {answer}"},
+                          question="question", answer="answer").withColumn("order_key", F.col("k"))
+    write_per_evaluator(p.select("evaluator", "prompt"), str(tmp_path / "eval"))
+    assert os.path.isdir(tmp_path / "eval" / "evaluator=qa") and os.path.isdir(tmp_path / "eval" / "evaluator=full")
+    samples = {r.evaluator: r.sample_prompt for r in evaluator_samples(p).collect()}
+    assert samples == {"qa": "Question: q1\nAnswer:", "full": "q1 a1"}
+
+    docs = spark.createDataFrame([("en", "a", 3), ("fr", "b", 4)], "lang string, src string, n_tokens int")
+    write_report(composition_rollup(docs, category="lang", subfolder="src", data_path="/d"), str(tmp_path / "rep"))
+    rep = spark.read.option("header", True).csv(str(tmp_path / "rep"))
+    assert rep.columns == ["data_path", "category", "subfolder", "total_tokens"] and rep.count() == 5
+
+    ids = spark.createDataFrame([(0, [1, 2, 3]), (1, [4, 5, 6, 7])], "k long, input_ids array<int>")
+    write_token_stream(flat_token_stream(pack_sequences(ids, 4, "k", eos_id=0), 4, max_id=65535),
+                       str(tmp_path / "stream"), rows_per_file_block=4)
+    back = spark.read.parquet(str(tmp_path / "stream")).orderBy("pos").collect()
+    assert [r.token_id for r in back] == [1, 2, 3, 0, 4, 5, 6, 7]
