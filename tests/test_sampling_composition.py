@@ -63,3 +63,17 @@ def test_path_columns(spark):
     df = spark.createDataFrame([("/a/b/c.jsonl.gz",)], "p string")
     r = path_columns(df, "p").first()
     assert (r.parent, r.stem, r.clean) == ("/a/b", "c", "-a-b-c-jsonl-gz")
+
+
+def test_first_n_concat_parts_filter_domains(spark):
+    from tokenloom.operators.ordering import first_n
+    from tokenloom.operators.router import filter_domains
+    from tokenloom.operators.sampling import concat_parts
+
+    df = spark.range(100).withColumn("key", (F.col("id") * 37) % 101)
+    assert [r.key for r in first_n(df, 3, "key").collect()] == sorted(r.key for r in df.collect())[:3]
+    parts = spark.createDataFrame([(1, 0, "c"), (0, 1, "b"), (0, 0, "a")], "chunk int, row int, v string")
+    assert "".join(r.v for r in concat_parts(parts).collect()) == "abc"
+    doms = spark.createDataFrame([("gsm8k",), ("mmlu",), ("arc",)], "domain string")
+    assert sorted(r.domain for r in filter_domains(doms, ["gsm8k", "arc"]).collect()) == ["arc", "gsm8k"]
+    assert filter_domains(doms, None).count() == 3
