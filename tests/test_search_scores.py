@@ -36,3 +36,11 @@ def test_masked_loss_shift(spark):
     losses = next_token_losses(df, seq="seq", pos="pos", logits="logits", label="label", important="imp")
     r = masked_loss(losses, by=["seq"]).first()
     assert r.loss == pytest.approx(0.693147, abs=1e-6)  # only position 0 (label at 1 is important)
+
+
+def test_find_subsequences_short_patterns_by_default(spark):
+    docs = spark.createDataFrame([(1, list("abcab"))], "doc_id long, tokens array<string>")
+    pats = spark.createDataFrame([(10, list("ab")), (11, list("b")), (12, list("abcab"))],
+                                 "item_id long, pattern array<string>")
+    got = sorted(tuple(r) for r in find_subsequences(docs, pats, anchor=4).collect())
+    assert got == [(10, 1, 0), (10, 1, 3), (11, 1, 1), (11, 1, 4), (12, 1, 0)]

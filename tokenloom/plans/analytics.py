@@ -41,10 +41,7 @@ def q_subsequence_hits(spark: SparkSession, sf_dir: str):
     """Every occurrence of every whole benchmark item (as tokens) in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", ws_tokens("text").alias("tokens"))
     pats = table(spark, sf_dir, "benchmark").select("item_id", ws_tokens("text").alias("pattern"))
-    # The distinct anchor lengths (at most 8 small integers) decide the passes over the corpus.
-    lengths = [r[0] for r in pats.where(F.size("pattern") > 0)
-               .select(F.least(F.size("pattern"), F.lit(8)).alias("a")).distinct().collect()]
-    return find_subsequences(docs, pats, anchor=8, anchor_lengths=lengths or [8])
+    return find_subsequences(docs, pats, anchor=8)
 
 
 def _logits(spark, sf_dir):
