@@ -46,3 +46,9 @@ def test_quantile_buckets_for_sparse_keys(spark):
     assert x.select("bucket").distinct().count() <= 16
     r = global_rank(x, "k", bucket=F.col("bucket"))
     assert [row.k for row in r.orderBy("rank").collect()] == sorted(row.k for row in df.collect())
+
+
+def test_duplicate_order_keys_are_rejected(spark):
+    df = spark.createDataFrame([(1,), (2,), (2,)], "k long")
+    with pytest.raises(Exception, match="not unique"):
+        global_rank(df, "k").collect()

@@ -53,7 +53,8 @@ def with_quantile_bucket(df: DataFrame, key: str, out: str = "bucket", n_buckets
 
 def prefix_sum(df: DataFrame, order: Sequence[str] | str, value: Column | str | None = None, *,
                bucket: Column | None = None, partition: Sequence[str] = (),
-               start_col: str = "start", total_col: str | None = "n_total") -> DataFrame:
+               start_col: str = "start", total_col: str | None = "n_total",
+               require_unique: bool = True) -> DataFrame:
     """Exclusive running sum of ``value`` (default 1 per row) under a total ``order``.
 
     Plan: a window partitioned by (partition, bucket) for the sum inside each
@@ -61,6 +62,10 @@ def prefix_sum(df: DataFrame, order: Sequence[str] | str, value: Column | str |
     whose own running sum is each bucket's offset; a join back on the bucket
     (AQE broadcasts the offsets once it has measured them). ``partition``
     restarts the sum per group (e.g. per shard).
+
+    ``require_unique`` fails the job when two rows share the order key: ties would
+    make the running sum depend on the physical order, so a recomputed task could
+    disagree with its first attempt. The check reuses the window's sort.
     """
     order = [order] if isinstance(order, str) else list(order)
     part = list(partition)
@@ -80,6 +85,12 @@ def prefix_sum(df: DataFrame, order: Sequence[str] | str, value: Column | str |
     offs = totals.select(*part, "__ps_bkt", (F.sum("__ps_bn").over(running) - F.col("__ps_bn")).alias("__ps_off"),
                          F.sum("__ps_bn").over(Window.partitionBy(*part) if part else Window.partitionBy(F.lit(1)))
                          .alias("__ps_tot"))
+    if require_unique:
+        key = F.struct(*[F.col(c) for c in order])
+        x = x.withColumn("__ps_prev", F.lag(key).over(
+            Window.partitionBy(*part, "__ps_bkt").orderBy(*[F.col(c) for c in order])))
+        x = x.where(assert_true(F.col("__ps_prev").isNull() | (F.col("__ps_prev") != key),
+                                f"order key {order} is not unique; add tie-breaking columns")).drop("__ps_prev")
     out = x.join(offs, part + ["__ps_bkt"]).withColumn(start_col, F.col("__ps_off") + F.col("__ps_ls"))
     if total_col:
         out = out.withColumn(total_col, F.col("__ps_tot"))
