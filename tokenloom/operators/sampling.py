@@ -17,14 +17,17 @@ from tokenloom.operators.checks import assert_true
 
 
 def _top_n(df: DataFrame, cls: str, n: int, strict: bool) -> DataFrame:
-    w = Window.partitionBy(cls).orderBy("order_key")
+    # Rows whose seeded keys collide are ordered by a hash of the whole row, so only
+    # identical rows (interchangeable) can tie and a re-run task picks the same sample.
+    df = df.withColumn("_tb", F.xxhash64(*[F.col(c) for c in df.columns]))
+    w = Window.partitionBy(cls).orderBy("order_key", "_tb")
     out = df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n)
     if strict:
         # A class with fewer than n rows has no row ranked n; fail the job for it.
         have = out.groupBy(cls).agg(F.max("_rk").alias("_have"))
         have = have.where(assert_true(F.col("_have") >= n, f"a class has fewer than {n} rows"))
         out = out.join(have.select(cls), cls, "left_semi")
-    return out.drop("_rk")
+    return out.drop("_rk", "_tb")
 
 
 def binary_balanced(df: DataFrame, predicate: Column, *, n: int, seed, key: Sequence[str],
@@ -32,7 +35,7 @@ def binary_balanced(df: DataFrame, predicate: Column, *, n: int, seed, key: Sequ
     """n rows where the predicate is false and n where it is true, in seeded order.
 
     Adds ``label`` (the predicate value) and ``order_key``; NULL predicates count as false.
-    ``strict`` fails when a class is short (empty classes are reported by ``class_counts``).
+    ``strict`` fails the job when a class that occurs has fewer than n rows.
     """
     x = df.withColumn("label", F.coalesce(predicate, F.lit(False))).withColumn("order_key", order_key(seed, *key))
     return _top_n(x, "label", n, strict)
