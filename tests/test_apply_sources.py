@@ -116,3 +116,24 @@ def test_evaluator_dirs_report_and_token_stream(spark, tmp_path):
                        str(tmp_path / "stream"), rows_per_file_block=4)
     back = spark.read.parquet(str(tmp_path / "stream")).orderBy("pos").collect()
     assert [r.token_id for r in back] == [1, 2, 3, 0, 4, 5, 6, 7]
+
+
+def test_batch_apply_tokenizer_callable_and_optional_columns(spark):
+    import pandas as pd
+
+    from tokenloom.operators.apply import apply_per_shard, map_batches
+    from tokenloom.operators.checks import optional_column
+    from tokenloom.operators.tokenize import decode, tokenize
+
+    df = spark.createDataFrame([(0, 1, "a b"), (1, 1, "c"), (2, 2, "d e f")], "k long, shard int, text string")
+    doubled = map_batches(df.select("k"), lambda pdf: pdf.assign(k2=pdf["k"] * 2), "k long, k2 long")
+    assert sorted((r.k, r.k2) for r in doubled.collect()) == [(0, 0), (1, 2), (2, 4)]
+    per = apply_per_shard(df.select("shard", "k"), "shard",
+                          lambda pdf: pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "n": [len(pdf)]}),
+                          "shard int, n long")
+    assert sorted(tuple(r) for r in per.collect()) == [(1, 2), (2, 1)]
+    t = tokenize(df, "text", fn=lambda texts: [[len(w) for w in x.split()] for x in texts], tokens_col=None)
+    assert [r.input_ids for r in t.orderBy("k").collect()] == [[1, 1], [1], [1, 1, 1]]
+    b = tokenize(df, "text").select(decode("tokens").alias("back"), optional_column(df, "label", "string"))
+    rows = b.collect()
+    assert {r.back for r in rows} == {"a b", "c", "d e f"} and all(r.label is None for r in rows)

@@ -23,8 +23,8 @@ def sidecar_token_counts(spark, pattern: str, *, ascending: bool = True) -> Data
     return df.groupBy("file_path").agg(agg.cast("long").alias("tokens"))
 
 
-def directory_totals(per_file: DataFrame, *, levels: int = 1, tokens: str = "tokens") -> DataFrame:
-    """D3: sum of per-file counts per directory (``levels`` trailing directories kept)."""
+def directory_totals(per_file: DataFrame, *, tokens: str = "tokens") -> DataFrame:
+    """D3: sum of per-file counts per parent directory."""
     parent = path_parent("file_path")
     return per_file.groupBy(parent.alias("directory")).agg(F.sum(tokens).cast("long").alias("total_tokens"))
 
