@@ -56,3 +56,16 @@ def test_token_spans_in_row(spark):
     df = spark.createDataFrame([(1, "  ab cd\n e"), (2, "")], "doc_id long, text string")
     r = {x.doc_id: (x.o.starts, x.o.ends) for x in df.select("doc_id", token_spans("text").alias("o")).collect()}
     assert r[1] == ([2, 5, 9], [4, 7, 10]) and r[2] == ([], [])
+
+
+def test_char_to_token_long_form_matches_array_form(spark):
+    from tokenloom.operators.masks import char_to_token_long
+
+    docs = spark.createDataFrame([(1, "ab cd  efg"), (2, "x"), (3, "  lead")], "doc_id long, text string")
+    chars = spark.createDataFrame([(1, 3), (2, 0), (3, 1)], "doc_id long, char_index int")
+    long_form = {r.doc_id: (r.token_index, r.aligned)
+                 for r in char_to_token_long(token_offsets(docs, ["doc_id"]), chars, ["doc_id"]).collect()}
+    x = docs.join(chars, "doc_id").select("doc_id", "char_index", token_spans("text").alias("o"))
+    t, a = char_to_token("o.starts", "o.ends", "char_index")
+    arr = {r.doc_id: (r.t, r.a) for r in x.select("doc_id", t.alias("t"), a.alias("a")).collect()}
+    assert long_form == arr == {1: (1, True), 2: (0, True), 3: (0, False)}
