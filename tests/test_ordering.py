@@ -52,3 +52,15 @@ def test_duplicate_order_keys_are_rejected(spark):
     df = spark.createDataFrame([(1,), (2,), (2,)], "k long")
     with pytest.raises(Exception, match="not unique"):
         global_rank(df, "k").collect()
+
+
+def test_rank_with_a_hot_key(spark):
+    from tokenloom.operators.ordering import global_rank_with_ties
+
+    # key 7 holds a third of all rows; keys repeat; some rows are identical copies.
+    df = spark.range(3000).select((F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50)).alias("k"),
+                                  (F.col("id") % 11).alias("v"))
+    r = global_rank_with_ties(df, "k", width=16, hot_fraction=0.05, sub_bits=4)
+    rows = r.orderBy("rank").collect()
+    assert [x["rank"] for x in rows] == list(range(1, 3001))
+    assert [x.k for x in rows] == sorted(x.k for x in df.collect())

@@ -104,6 +104,35 @@ def global_rank(df: DataFrame, order: Sequence[str] | str, *, bucket: Column | N
     return out.withColumn(rank_col, F.col("_start") + 1).drop("_start")
 
 
+def global_rank_with_ties(df: DataFrame, key: str, *, width: int = DEFAULT_WIDTH, hot_fraction: float = 1e-3,
+                          sub_bits: int = 8, rank_col: str = "rank") -> DataFrame:
+    """E2 for an integer key that may repeat, with hot keys split over many tasks.
+
+    Ties are ordered by a hash of the whole row, so only identical (interchangeable)
+    rows can tie. Keys holding more than ``hot_fraction`` of all rows (at most
+    ``1 / hot_fraction`` of them, found with two small aggregates) get their own
+    segment of buckets, split ``2^sub_bits`` ways by the row hash; every other key
+    stays in its fixed-width bucket. Buckets are ordered by (key bucket, segment,
+    hash slice), which agrees with the (key, hash) order, so the two-level prefix
+    sum applies unchanged and no key is gathered into one task.
+    """
+    require_columns(df, [key], "global_rank_with_ties input")
+    x = df.withColumn("__rt_h", F.xxhash64(*[F.col(c) for c in df.columns]))
+    total = df.count()
+    hot = sorted(r[0] for r in df.groupBy(key).count()
+                 .where(F.col("count") > F.lit(hot_fraction * total)).select(key).collect())
+    k = F.col(key)
+    hot_arr = F.array(*[F.lit(h) for h in hot]) if hot else F.array().cast(f"array<{dict(df.dtypes)[key]}>")
+    below = F.size(F.filter(hot_arr, lambda h: h < k))
+    is_hot = F.array_contains(hot_arr, k)
+    seg = below * 2 + is_hot.cast("int")
+    sub = F.when(is_hot, F.shiftright(F.col("__rt_h"), 64 - sub_bits)).otherwise(F.lit(0).cast("long"))
+    bucket = F.struct(F.floor(k / F.lit(width)).cast("long").alias("kb"), seg.alias("seg"), sub.alias("sub"))
+    out = prefix_sum(x, [key, "__rt_h"], None, bucket=bucket, start_col="__rt_s", total_col=None,
+                     require_unique=False)
+    return out.withColumn(rank_col, F.col("__rt_s") + 1).drop("__rt_s", "__rt_h")
+
+
 def named_splits(df: DataFrame, sizes: Mapping[str, float], order: Sequence[str] | str, *,
                  split_col: str = "split", bucket: Column | None = None) -> DataFrame:
     """E3 + D10: consecutive ranges of the order, one per split name, in the given order.
