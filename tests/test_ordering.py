@@ -64,3 +64,13 @@ def test_rank_with_a_hot_key(spark):
     rows = r.orderBy("rank").collect()
     assert [x["rank"] for x in rows] == list(range(1, 3001))
     assert [x.k for x in rows] == sorted(x.k for x in df.collect())
+
+
+def test_chunks_and_splits_accept_repeating_keys(spark):
+    df = spark.range(100).select((F.col("id") % 4).alias("k"))
+    sizes = [r["count"] for r in contiguous_chunks(df, 4, "k", ties=True).groupBy("chunk").count()
+             .orderBy("chunk").collect()]
+    assert sizes == [26, 26, 26, 22]
+    s = named_splits(df, {"a": 50, "b": 25}, "k", ties=True)
+    got = {r.split: r["count"] for r in s.groupBy("split").count().collect()}
+    assert got == {"a": 50, "b": 25, None: 25}

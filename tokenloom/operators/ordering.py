@@ -133,8 +133,21 @@ def global_rank_with_ties(df: DataFrame, key: str, *, width: int = DEFAULT_WIDTH
     return out.withColumn(rank_col, F.col("__rt_s") + 1).drop("__rt_s", "__rt_h")
 
 
+def _rank(df: DataFrame, order, bucket, ties: bool, rank_col: str, total_col: str | None) -> DataFrame:
+    """Unique-key global rank, or the tie-tolerant hot-key-splitting one (single integer key)."""
+    if not ties:
+        return global_rank(df, order, bucket=bucket, rank_col=rank_col, total_col=total_col)
+    order = [order] if isinstance(order, str) else list(order)
+    if len(order) != 1:
+        raise ValueError("ties=True takes one integer order column")
+    out = global_rank_with_ties(df, order[0], rank_col=rank_col)
+    if total_col:
+        out = out.withColumn(total_col, F.lit(df.count()).cast("long"))
+    return out
+
+
 def named_splits(df: DataFrame, sizes: Mapping[str, float], order: Sequence[str] | str, *,
-                 split_col: str = "split", bucket: Column | None = None) -> DataFrame:
+                 split_col: str = "split", bucket: Column | None = None, ties: bool = False) -> DataFrame:
     """E3 + D10: consecutive ranges of the order, one per split name, in the given order.
 
     ``sizes`` values are row counts (int) or fractions of the row count (float,
@@ -148,7 +161,7 @@ def named_splits(df: DataFrame, sizes: Mapping[str, float], order: Sequence[str]
         raise ValueError("sizes must be all counts or all fractions")
     if all(fractional) and sum(sizes.values()) > 1.0 + 1e-12:
         raise ValueError(f"fractions {dict(sizes)} add up to more than 1")
-    r = global_rank(df, order, bucket=bucket, rank_col="_rank", total_col="_n")
+    r = _rank(df, order, bucket, ties, "_rank", "_n")
     n = F.col("_n")
     hi = F.lit(0).cast("long")
     case = None
@@ -165,23 +178,23 @@ def named_splits(df: DataFrame, sizes: Mapping[str, float], order: Sequence[str]
 
 
 def batches(df: DataFrame, size: int, order: Sequence[str] | str, *, batch_col: str = "batch_id",
-            bucket: Column | None = None) -> DataFrame:
+            bucket: Column | None = None, ties: bool = False) -> DataFrame:
     """Fixed-size consecutive batches ``rows[i:i+size]`` under the order."""
     if size < 1:
         raise ValueError("batch size must be >= 1")
-    r = global_rank(df, order, bucket=bucket, total_col=None)
+    r = _rank(df, order, bucket, ties, "rank", None)
     return r.withColumn(batch_col, F.floor((F.col("rank") - 1) / size).cast("long"))
 
 
 def contiguous_chunks(df: DataFrame, parts: int, order: Sequence[str] | str, *, chunk_col: str = "chunk",
-                      strided: bool = False, bucket: Column | None = None) -> DataFrame:
+                      strided: bool = False, bucket: Column | None = None, ties: bool = False) -> DataFrame:
     """E5: ``chunk_size = n div parts + 1`` if ``n >= parts`` else 1; chunk = (rank-1) div chunk_size.
 
     ``strided=True`` gives ``(rank-1) mod parts`` instead (the other ``shard(n, i)`` layout).
     """
     if parts < 1:
         raise ValueError("parts must be >= 1")
-    r = global_rank(df, order, bucket=bucket, total_col="_n")
+    r = _rank(df, order, bucket, ties, "rank", "_n")
     if strided:
         c = F.pmod(F.col("rank") - 1, F.lit(parts))
     else:
@@ -191,12 +204,12 @@ def contiguous_chunks(df: DataFrame, parts: int, order: Sequence[str] | str, *,
 
 
 def line_shards(df: DataFrame, min_shards: int, order: Sequence[str] | str, *, shard_col: str = "shard",
-                bucket: Column | None = None) -> DataFrame:
+                bucket: Column | None = None, ties: bool = False) -> DataFrame:
     """A10: ``split -l floor(n/min_shards)``: shard = (rank-1) div max(1, n div min_shards).
 
     The shard count is ``ceil(n / floor(n/min_shards))`` so ``min_shards`` is a minimum.
     """
-    r = global_rank(df, order, bucket=bucket, total_col="_n")
+    r = _rank(df, order, bucket, ties, "rank", "_n")
     per = F.greatest(F.lit(1), F.floor(F.col("_n") / min_shards))
     return r.withColumn(shard_col, F.floor((F.col("rank") - 1) / per).cast("long")).drop("_n")
 
