@@ -44,3 +44,13 @@ def test_no_cross_products(spark):
             continue  # these stage a table first; covered by the oracle tests
         p = plan(spark, name)
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_single_partition_exchanges_only_over_bucket_totals(spark):
+    """Global order never funnels rows into one task: any SinglePartition exchange sits
+    directly on an aggregate (the per-bucket totals)."""
+    for name in ("named_splits", "batches", "contiguous_chunks", "jsonl_shards", "packed_sequences"):
+        lines = [ln for ln in plan(spark, name).splitlines() if ln.strip()]
+        for i, ln in enumerate(lines):
+            if "Exchange SinglePartition" in ln:
+                assert "HashAggregate" in lines[i + 1], (name, lines[i + 1])
