@@ -24,7 +24,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None  # pandas turns NULLs of nullable ints into NaN
-        return round(v, 5)
+        return v if os.environ.get("EXACT") else round(v, 5)
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
