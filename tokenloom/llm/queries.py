@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import table
 from tokenloom.llm.line_spread import dedup_lines
 from tokenloom.llm.mixing import mix
+from tokenloom.llm.piece_bpe import digests
+from tokenloom.llm.simhash_bk import simhash_groups
 from tokenloom.llm.slots import shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +54,19 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def piece_model() -> str:
+    """The public vocabulary file that operator 4 uses; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4: every whole document text to ids and back."""
+    return digests(table(spark, sf_dir, "documents"), piece_model())
+
+
 MIN_SITES, MIN_CHARS = 5, 16
 
 
@@ -75,6 +90,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), min_sites=MIN_SITES, min_chars=MIN_CHARS, counts=True)
 
 
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8: fingerprint and component of every document (3-word shingles, 3 bits)."""
+    out = simhash_groups(table(spark, sf_dir, "documents"), words=3, max_distance=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10: all documents in eight shards through 4096 virtual slots, near equal in bytes."""
