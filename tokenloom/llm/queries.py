@@ -11,6 +11,8 @@ from tokenloom.llm.common import table
 from tokenloom.llm.line_spread import dedup_lines
 from tokenloom.llm.mixing import mix
 from tokenloom.llm.piece_bpe import digests
+from tokenloom.llm.pseudonyms import KINDS, pseudonyms
+from tokenloom.llm.quality_knn import classify
 from tokenloom.llm.simhash_bk import simhash_groups
 from tokenloom.llm.slots import shard
 
@@ -67,6 +69,23 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+#: The key of the registered query; a real run passes its own secret.
+DEMO_KEY = b"public demonstration key"
+
+
+@query("op5_pseudonyms")
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5: every document with its personal numbers, dates and addresses replaced."""
+    got = table(spark, sf_dir, "documents").select("doc_id", pseudonyms(F.col("text"), DEMO_KEY).alias("x"))
+    return got.select("doc_id", "x.text", *[f"x.n_{k}" for k in KINDS])
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6: quality score of every document, learnt from labels that aren't held out."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 MIN_SITES, MIN_CHARS = 5, 16
 
 
