@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import table
+from tokenloom.llm.exact_topk import exact_topk, floors
+from tokenloom.llm.hnsw import nearest
 from tokenloom.llm.line_spread import dedup_lines
 from tokenloom.llm.mixing import mix
 from tokenloom.llm.piece_bpe import digests
@@ -15,6 +17,7 @@ from tokenloom.llm.pseudonyms import KINDS, pseudonyms
 from tokenloom.llm.quality_knn import classify
 from tokenloom.llm.simhash_bk import simhash_groups
 from tokenloom.llm.slots import shard
+from tokenloom.llm.url_rules import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +32,29 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_exact_topk", r"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1: the 5 largest integer inner products of every vector whose id is divisible by 50."""
+    v = floors(table(spark, sf_dir, "embeddings"))
+    return exact_topk(v, v.filter(F.col("vec_id") % 50 == 0), 5)
+
+
+@query("op2_url_rules")
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2: every page's verdict; a page is labelled bad if its labels row (same id) is low in quality or toxic."""
+    bad = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(
+        F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).dropna()
+    return judge(table(spark, sf_dir, "pages"), bad)
+
+
 @query("op3_mixing", r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -116,6 +142,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op9_hnsw")
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9: the 20 nearest found of every vector whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings")
+    return nearest(e, e.filter(F.col("vec_id") % 20 == 0), 20)
+
+
 @query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10: all documents in eight shards through 4096 virtual slots, near equal in bytes."""
