@@ -1,14 +1,16 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
-A text is normalised as the model asks, and every chunk (a run of word marks and what follows) is encoded by a
-score-ordered agenda of adjacent symbol pairs: the pair whose joined piece scores best, the leftmost of equals, is merged
-until none is left; symbols outside the vocabulary fall back to bytes. Chunks are independent because no piece holds a
-word mark after another character, which is checked when a model is loaded; their ids are kept in a bounded
-table, so frequent words are merged once. Every text's ids and decoded text are checked against the sentencepiece library in
-the same Arrow batch, and a difference fails the job.
-
-Rows are independent: no shuffle, and a lost executor costs its batches. Defined cases: null and empty texts have no ids and decode to
-the empty text; texts of any length are encoded whole, a few at a time; repeated rows give equal results; an empty table gives an empty one.
+A text is normalised as the model asks and cut into chunks (a run of word marks and what follows), which are independent because
+no piece holds a word mark after another character; that is checked when a model is loaded. A chunk is encoded by a
+score-ordered agenda of adjacent symbol pairs: the pair whose joined piece scores best, the leftmost of equals, is
+merged until none is left, and symbols outside the vocabulary fall back to bytes. The new short chunks of a few texts
+are merged together, one agenda a row of a matrix and one merge each a round; long ones have a heap. Ids are kept
+in a bounded table, so frequent words are merged once. Every text's ids and decoded text are checked against the
+sentencepiece library in the same Arrow batch, and a difference fails the job.
+
+Rows are independent: no shuffle, and a lost executor costs its batches. Defined cases: null and empty texts have no ids
+and decode to the empty text; texts of any length are encoded whole, a few at a time; repeated rows give equal results;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,17 +18,21 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-BATCH_CHARS = 1 << 18  # texts handed to the library together
-KEPT_CHUNKS = 100_000
+BATCH_CHARS = 1 << 20  # texts encoded, and handed to the library, together
+KEPT_CHUNKS = 500_000
+LONG = 48  # characters of a chunk that gets a heap of its own
 
 
 class PieceModel:
@@ -53,8 +59,23 @@ class PieceModel:
         self.raw[lib.unk_id()] = " ⁇ ".encode()
         self.is_byte = frozenset(self.byte.values())
         self.hidden = frozenset(i for i in range(n) if lib.is_control(i))  # no text, and the start stays the start
-        self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        self.decimal = [str(i) for i in range(n)]
+        self.cut = re.compile(f"{MARK}+[^{MARK}]*").findall
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers, by chunk without its first mark
+        # symbols: pieces by id, other characters n + code point; pairs of symbols that join to a piece, by code
+        self.n, self.symbols = n, n + 0x110000
+        self.of_char = np.arange(n, self.symbols)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
+
+        def symbol(p: str) -> int | None:
+            return self.id.get(p) if len(p) > 1 else int(self.of_char[ord(p)])
+
+        pairs = sorted((symbol(p[:k]) * self.symbols + symbol(p[k:]), i) for p, i in self.id.items()
+                       for k in range(1, len(p)) if symbol(p[:k]) is not None and symbol(p[k:]) is not None)
+        self.codes, self.joined = np.array(pairs, np.int64).reshape(-1, 2).T.copy()
+        self.scores = np.array([lib.get_score(int(i)) for i in self.joined])
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of a normalised chunk by the agenda."""
@@ -88,36 +109,89 @@ class PieceModel:
             ids.extend([one] if one is not None else [self.byte[b] for b in s.encode()])
         return ids
 
-    def encode(self, text: str | None) -> tuple[list[int], str]:
-        """Ids of a whole text, and their decimals joined by commas."""
-        ids: list[int] = []
-        decimals: list[str] = []
-        if not text:
-            return ids, ""
-        known = self.chunks
-        for c in self.cut(self.lib.normalize(text)):
-            got = known.get(c)
-            if got is None:
-                own = self.merge(c)
-                got = (tuple(own), ",".join(map(str, own)))
-                if len(c) <= 64:
-                    if len(known) >= KEPT_CHUNKS:
-                        known.clear()
-                    known[c] = got
-            ids.extend(got[0])
-            decimals.append(got[1])
-        return ids, ",".join(decimals)
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and joined piece of symbol pairs; -inf where they don't join."""
+        code = a * self.symbols + b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.scores[at], -np.inf), self.joined[at]
+
+    def _merged(self, sym: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, their symbols) as rows of a matrix of chunks of one length come to an end.
+
+        Every round merges the best pair of each row, so all rows still open are equally long.
+        """
+        rows, (score, join) = np.arange(len(sym)), self._pairs(sym[:, :-1], sym[:, 1:])
+        while sym.shape[1] > 1:
+            j = score.argmax(axis=1)  # the leftmost of equals
+            open_ = score[np.arange(len(j)), j] > -np.inf
+            if not open_.all():
+                yield rows[~open_], sym[~open_]
+                rows, sym, score, join, j = rows[open_], sym[open_], score[open_], join[open_], j[open_]
+                if not len(rows):
+                    return
+            r, width = np.arange(len(rows)), sym.shape[1] - 1
+            piece = join[r, j]
+            cols = np.arange(width)
+            sym = np.take_along_axis(sym, cols + (cols > j[:, None]), 1)
+            sym[r, j] = piece
+            src = cols[:-1] + (cols[:-1] >= j[:, None])
+            score, join = np.take_along_axis(score, src, 1), np.take_along_axis(join, src, 1)
+            for at in (j - 1, j):  # the pairs on either side of the new symbol
+                has = np.flatnonzero((at >= 0) & (at < width - 1))
+                k = at[has]
+                score[has, k], join[has, k] = self._pairs(sym[has, k], sym[has, k + 1])
+        yield rows, sym
+
+    def merge_many(self, chunks: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """(chunk, ids as 32-bit numbers) of distinct normalised chunks."""
+        by_length = defaultdict(list)
+        for c in chunks:
+            by_length[len(c)].append(c)
+        for length, same in by_length.items():
+            if length > LONG:
+                yield from ((c, np.array(self.merge(c), "<i4").tobytes()) for c in same)
+                continue
+            points = np.frombuffer("".join(same).encode("utf-32-le"), np.uint32).reshape(-1, length)
+            for rows, sym in self._merged(self.of_char[points]):
+                plain = (sym < self.n).all(axis=1)
+                data, step = sym[plain].astype("<i4").tobytes(), 4 * sym.shape[1]
+                for at, r in enumerate(rows[plain].tolist()):
+                    yield same[r], data[at * step:(at + 1) * step]
+                for r, odd in zip(rows[~plain].tolist(), sym[~plain].tolist()):  # symbols outside the vocabulary
+                    yield same[r], np.array([i for s in odd for i in self._fallback(s)], "<i4").tobytes()
+
+    def _fallback(self, symbol: int) -> list[int]:
+        return [symbol] if symbol < self.n else [self.byte[b] for b in chr(symbol - self.n).encode()]
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each whole text."""
+        known = self.known
+        if len(known) >= KEPT_CHUNKS:
+            known.clear()
+        cut = []
+        for t in texts:
+            words = self.lib.normalize(t).split(MARK) if t else [""]
+            if words[0]:
+                raise ValueError("models without a dummy prefix are not supported")
+            del words[0]
+            if "" in words:  # runs of marks belong to what follows
+                words = [c[1:] for c in self.cut(MARK + MARK.join(words))]
+            cut.append(words)
+        new = set(chain.from_iterable(cut)).difference(known)
+        known.update((chunk[1:], ids) for chunk, ids in self.merge_many([MARK + w for w in new]))
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4").tolist() for words in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids: marks are spaces, the leading mark goes, bytes that form no character are U+FFFD."""
-        ids = [i for i in ids if i not in self.hidden]
+        if not self.hidden.isdisjoint(ids):
+            ids = [i for i in ids if i not in self.hidden]
         raw = self.raw
         if ids and raw[ids[0]][:1] == b" " and ids[0] != self.lib.unk_id():
             first = raw[ids[0]][1:]
         else:
             first = raw[ids[0]] if ids else b""
         try:
-            return (first + b"".join([raw[i] for i in ids[1:]])).decode()
+            return (first + b"".join(map(raw.__getitem__, ids[1:]))).decode()
         except UnicodeDecodeError:
             pass
         out, run = [], b""  # broken byte runs: each stray byte is one U+FFFD
@@ -158,16 +232,16 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def _checked(m: PieceModel, texts: list[str]) -> Iterator[tuple[list[int], str, str]]:
-    """(ids, their decimals, decoded text) of each text, equal to the library's."""
+def _checked(m: PieceModel, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+    """(ids, decoded text) of each text, equal to the library's."""
     for part in _groups(texts):
-        own = [m.encode(t) for t in part]
-        if m.lib.encode(part, num_threads=1) != [x[0] for x in own]:
+        own = m.encode_many(part)
+        if m.lib.encode(part, num_threads=1) != own:
             raise RuntimeError("ids differ from the sentencepiece library's")
-        back = [m.decode(x[0]) for x in own]
-        if m.lib.decode([x[0] for x in own], num_threads=1) != back:
+        back = [m.decode(ids) for ids in own]
+        if m.lib.decode(own, num_threads=1) != back:
             raise RuntimeError("decoded texts differ from the sentencepiece library's")
-        yield from ((ids, dec, t) for (ids, dec), t in zip(own, back))
+        yield from zip(own, back)
 
 
 def _sha(s: str) -> str:
@@ -195,7 +269,9 @@ def digests(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str =
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; the ids don't leave the batch."""
     @F.pandas_udf("n long, i string, d string")
     def udf(s: pd.Series) -> pd.DataFrame:
-        rows = [(len(ids), _sha(dec), _sha(t)) for ids, dec, t in _checked(load(model), [t or "" for t in s])]
+        m = load(model)
+        rows = [(len(ids), _sha(",".join(map(m.decimal.__getitem__, ids))), _sha(t))
+                for ids, t in _checked(m, [t or "" for t in s])]
         return pd.DataFrame(rows, columns=["n", "i", "d"])
     got = docs.select(F.col(doc_id), udf(text).alias("x"))
     return got.select(doc_id, F.col("x.n").alias("n_tokens"), F.col("x.i").alias("ids_sha256"),
