@@ -179,23 +179,29 @@ class PieceModel:
             cut.append(words)
         new = set(chain.from_iterable(cut)).difference(known)
         known.update((chunk[1:], ids) for chunk, ids in self.merge_many([MARK + w for w in new]))
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4").tolist() for words in cut]
+        ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4").tolist() for words in cut]
+        for w in new:
+            if len(w) >= LONG:  # the table stays bounded in bytes too
+                del known[w]
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids: marks are spaces, the leading mark goes, bytes that form no character are U+FFFD."""
-        if not self.hidden.isdisjoint(ids):
-            ids = [i for i in ids if i not in self.hidden]
         raw = self.raw
-        if ids and raw[ids[0]][:1] == b" " and ids[0] != self.lib.unk_id():
-            first = raw[ids[0]][1:]
-        else:
-            first = raw[ids[0]] if ids else b""
-        try:
-            return (first + b"".join(map(raw.__getitem__, ids[1:]))).decode()
-        except UnicodeDecodeError:
-            pass
-        out, run = [], b""  # broken byte runs: each stray byte is one U+FFFD
-        for k, i in enumerate([*ids, None]):
+        begin = next((k for k, i in enumerate(ids) if i not in self.hidden), len(ids))
+        if begin == len(ids):
+            return ""
+        first = raw[ids[begin]]
+        if first[:1] == b" " and ids[begin] != self.lib.unk_id() and ids[begin] not in self.is_byte:
+            first = first[1:]
+        rest = ids[begin + 1:]
+        if self.hidden.isdisjoint(rest):
+            try:
+                return (first + b"".join(map(raw.__getitem__, rest))).decode()
+            except UnicodeDecodeError:
+                pass
+        out, run = [], b""  # byte runs end at any other piece, and each stray byte is one U+FFFD
+        for k, i in enumerate([*ids[begin:], None]):
             if i in self.is_byte:
                 run += raw[i]
                 continue
@@ -270,9 +276,10 @@ def digests(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str =
     @F.pandas_udf("n long, i string, d string")
     def udf(s: pd.Series) -> pd.DataFrame:
         m = load(model)
-        rows = [(len(ids), _sha(",".join(map(m.decimal.__getitem__, ids))), _sha(t))
-                for ids, t in _checked(m, [t or "" for t in s])]
-        return pd.DataFrame(rows, columns=["n", "i", "d"])
+        texts = list(dict.fromkeys(t or "" for t in s))  # equal texts of a batch are encoded once
+        rows = {t: (len(ids), _sha(",".join(map(m.decimal.__getitem__, ids))), _sha(back))
+                for t, (ids, back) in zip(texts, _checked(m, texts))}
+        return pd.DataFrame([rows[t or ""] for t in s], columns=["n", "i", "d"])
     got = docs.select(F.col(doc_id), udf(text).alias("x"))
     return got.select(doc_id, F.col("x.n").alias("n_tokens"), F.col("x.i").alias("ids_sha256"),
                       F.col("x.d").alias("decoded_sha256"))
