@@ -70,3 +70,14 @@ def test_turn_pairs(spark):
     turns = spark.createDataFrame([(1, 0, "user", "u"), (1, 1, "assistant", "a"), (1, 2, "user", "v")],
                                   "conv_id long, turn long, role string, text string")
     assert [(r.text1, r.text2) for r in turn_pairs(turns).collect()] == [("u", "a")]
+
+
+def test_turn_numbers_may_have_gaps(spark):
+    rows = [(1, 0, "user", "a"), (1, 2, "assistant", "b"), (1, 5, "user", "c"), (2, 7, "user", "d"), (2, 8, "user", "e"),
+            (2, 30, "assistant", "f"), (3, 1, "assistant", "g")]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id, r.turn, r.text1, r.text2) for r in turn_pairs(t).collect())
+    assert got == [(1, 0, "a", "b"), (2, 8, "e", "f")]
+    heads = [r.turn for r in render_turns(t.where("conv_id = 1"), add_generation_prompt=True).collect()
+             if r.piece.endswith("<|assistant|>\n")]
+    assert heads == [5]

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.operators.ordering import batches, contiguous_chunks, global_rank, line_shards, named_splits
+from tokenloom.operators.ordering import (
+    batches, contiguous_chunks, global_rank, line_shards, named_splits, prefix_sum, range_buckets)
 
 
 def test_named_splits(spark):
@@ -31,21 +32,40 @@ def test_line_shards(spark):
 def test_rank_is_partition_independent(spark):
     df = spark.range(5000).withColumn("k", (F.col("id") * 7919) % 100003)
     want = sorted(r.k for r in df.collect())
-    for parts, width in ((1, 1 << 16), (13, 37), (4, 1000)):
-        x = global_rank(df.repartition(parts), "k", bucket=F.floor(F.col("k") / width))
+    for parts, buckets in ((1, 1), (13, 37), (4, 5)):
+        x = global_rank(df.repartition(parts), "k", buckets=buckets)
         got = [r.k for r in x.orderBy("rank").collect()]
         assert got == want
         assert x.agg(F.max("rank")).first()[0] == 5000
 
 
-def test_quantile_buckets_for_sparse_keys(spark):
-    from tokenloom.operators.ordering import with_quantile_bucket
+@pytest.mark.parametrize("key,ties", [
+    ("concat('doc_00000000', id)", False),  # strings with a common head
+    ("id * 100000000000000 + id % 7", False),  # sparse 64-bit numbers
+    ("id % 2000", True),  # many equally frequent keys
+    ("CASE WHEN id % 3 > 0 THEN 7 ELSE id END", True),  # one hot key
+    ("1", True)])  # one key, identical rows
+def test_no_bucket_is_large_and_ranks_follow_the_key(spark, key, ties):
+    df = spark.range(20_000).selectExpr(f"{key} AS k")
+    sizes = [r["count"] for r in range_buckets(df, ["k"], ties, 20).groupBy("__bucket").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 3000
+    rows = global_rank(df, "k", ties=ties, buckets=20).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1, 20_001))
+    assert [r.k for r in rows] == sorted(r.k for r in df.collect())
 
-    df = spark.range(2000).withColumn("k", F.col("id") * F.lit(10 ** 12) + (F.col("id") % 7))
-    x = with_quantile_bucket(df, "k", n_buckets=16)
-    assert x.select("bucket").distinct().count() <= 16
-    r = global_rank(x, "k", bucket=F.col("bucket"))
-    assert [row.k for row in r.orderBy("rank").collect()] == sorted(row.k for row in df.collect())
+
+def test_null_keys_are_ranked_first(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (3, 3), (1, 4), (2, 5)], "k long, v long")
+    got = global_rank(df, "k", ties=True).orderBy("rank").collect()
+    assert [r.k for r in got] == [None, None, 1, 2, 3] and {r.n_total for r in got} == {5}
+    part = prefix_sum(df, "v", "v", partition=["k"]).collect()
+    assert sorted(r.start for r in part) == [0, 0, 0, 0, 1]
+    assert global_rank(df.limit(0), "k").count() == 0
+
+
+def test_asking_an_empty_table_fails(spark):
+    with pytest.raises(Exception, match="greater than dataset size"):
+        named_splits(spark.range(0).withColumnRenamed("id", "k"), {"train": 5}, "k").collect()
 
 
 def test_duplicate_order_keys_are_rejected(spark):
@@ -54,18 +74,6 @@ def test_duplicate_order_keys_are_rejected(spark):
         global_rank(df, "k").collect()
 
 
-def test_rank_with_a_hot_key(spark):
-    from tokenloom.operators.ordering import global_rank_with_ties
-
-    # key 7 holds a third of all rows; keys repeat; some rows are identical copies.
-    df = spark.range(3000).select((F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50)).alias("k"),
-                                  (F.col("id") % 11).alias("v"))
-    r = global_rank_with_ties(df, "k", width=16, hot_fraction=0.05, sub_bits=4)
-    rows = r.orderBy("rank").collect()
-    assert [x["rank"] for x in rows] == list(range(1, 3001))
-    assert [x.k for x in rows] == sorted(x.k for x in df.collect())
-
-
 def test_chunks_and_splits_accept_repeating_keys(spark):
     df = spark.range(100).select((F.col("id") % 4).alias("k"))
     sizes = [r["count"] for r in contiguous_chunks(df, 4, "k", ties=True).groupBy("chunk").count()

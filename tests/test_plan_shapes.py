@@ -16,7 +16,7 @@ def test_top_n_per_class_is_limited_before_the_shuffle(spark):
 
 def test_specialisation_aggregates_map_side(spark):
     p = plan(spark, "domain_specialization")
-    assert "partial_count" in p and "partial_sum" in p
+    assert "partial_sum" in p and p.count("FileScan parquet") == 1
 
 
 def test_corpus_filters_and_columns_reach_the_scan(spark):
@@ -33,9 +33,16 @@ def test_in_row_operators_do_not_shuffle(spark):
         assert "ENSURE_REQUIREMENTS" not in p, name
 
 
-def test_turn_pairs_and_chat_pieces_use_no_window(spark):
-    for name in ("chat_render", "pair_truncate", "qa_prompts"):
-        assert "Window" not in plan(spark, name), name
+def test_chat_pieces_use_no_window_and_turn_pairs_only_bounded_ones(spark):
+    assert "Window" not in plan(spark, "chat_render")
+    for name in ("pair_truncate", "qa_prompts"):
+        windows = [ln for ln in plan(spark, name).splitlines() if "Window [" in ln]
+        assert windows and all("[__bucket#" in ln or "sum(__bn" in ln for ln in windows), name
+
+
+def test_no_logits_pass_a_window(spark):
+    lines = plan(spark, "masked_perplexity").splitlines()
+    assert any("Window [" in ln for ln in lines) and not any("Window [" in ln and "embedding" in ln for ln in lines)
 
 
 def test_no_cross_products(spark):

@@ -56,3 +56,30 @@ def test_pair_requests_predictions(spark):
     assert out["b"].violation == "bad_output_count"
     assert out["c"].violation == "missing_prediction"
     assert out["d"].violation == "missing_request"
+
+
+def _one(spark, *tensors, k=1, **kw):
+    df = spark.createDataFrame([("d", t) for t in tensors], "domain string, router_logits array<array<array<double>>>")
+    return domain_specialization(df, k=k, **kw).collect()
+
+
+def test_null_logits_are_a_violation_and_rank_last(spark):
+    from tokenloom.functions.tensors import topk_indices
+    assert _one(spark, [[[1.0, None, 5.0, 3.0]]]) == []
+    df = spark.createDataFrame([([1.0, None, 5.0, 3.0],)], "v array<double>")
+    assert df.select(topk_indices("v", 4)).first()[0] == [2, 3, 0, 1]
+    bad = spark.createDataFrame([(1, [[[1.0, None]]]), (2, [[None]]), (3, [None]), (4, None), (5, [[[1.0, 2.0]]])],
+                                "i int, router_logits array<array<array<double>>>")
+    assert {r.i: r.violation for r in tensor_violations(bad, id_cols=["i"]).collect()} == {
+        1: "null_logit", 2: "null_logit", 3: "null_logit", 4: "empty"}
+
+
+def test_mixed_shapes_fail(spark):
+    with pytest.raises(Exception, match="different shape"):
+        _one(spark, [[[1.0, 2.0, 3.0]]], [[[1.0] * 5], [[1.0] * 5]])
+
+
+def test_domain_without_kept_tokens_is_absent(spark):
+    assert _one(spark, [[[1.0, 2.0]]], token_index=1) == []
+    got = _one(spark, [[[1.0, 2.0]]], [[[1.0, 2.0], [4.0, 3.0]]], token_index=1)
+    assert [(r.expert, r.n, r.share) for r in sorted(got)] == [(0, 1, 1.0), (1, 0, 0.0)]

@@ -20,8 +20,10 @@ def test_binary_balanced(spark):
     counts = {r.label: r["count"] for r in out.groupBy("label").count().collect()}
     assert counts == {True: 4, False: 4}
     with pytest.raises(Exception, match="fewer than 6"):
-        binary_balanced(df, F.col("flag"), n=6, seed=1, key=["id"], strict=True).collect()
-    assert binary_balanced(df, F.col("flag"), n=6, seed=1, key=["id"]).count() == 11
+        binary_balanced(df, F.col("flag"), n=6, seed=1, key=["id"]).collect()
+    with pytest.raises(Exception, match="fewer than 1"):  # a class without any row
+        binary_balanced(df.where("flag"), F.col("flag"), n=1, seed=1, key=["id"]).collect()
+    assert binary_balanced(df, F.col("flag"), n=6, seed=1, key=["id"], strict=False).count() == 11
 
 
 def test_nary_balanced_overlap(spark):

@@ -44,3 +44,24 @@ def test_find_subsequences_short_patterns_by_default(spark):
                                  "item_id long, pattern array<string>")
     got = sorted(tuple(r) for r in find_subsequences(docs, pats, anchor=4).collect())
     assert got == [(10, 1, 0), (10, 1, 3), (11, 1, 1), (11, 1, 4), (12, 1, 0)]
+
+
+def test_cross_entropy_is_linear_in_the_vocabulary(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: (x % 7).cast("double")).alias("v"))
+        df = df.select(cross_entropy("v", F.lit(3)).alias("ce"))
+        df.collect()
+        t = time.perf_counter()
+        df.collect()
+        return time.perf_counter() - t
+
+    seconds(100)
+    assert seconds(200_000) < 20  # quadratic, this would take hours
+
+
+def test_cross_entropy_of_null_and_empty(spark):
+    df = spark.createDataFrame([(None, 0), ([], 0), ([1.0, 2.0], None), ([1.0, 1.0], 0)], "v array<double>, l int")
+    got = [r[0] for r in df.select(cross_entropy("v", "l")).collect()]
+    assert got[:3] == [None, None, None] and got[3] == pytest.approx(0.6931471805599453)

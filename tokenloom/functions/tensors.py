@@ -16,7 +16,8 @@ def topk_indices(values, k: int) -> Column:
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    tagged = F.transform(col_(values), lambda x, i: F.struct((-x.cast("double")).alias("nv"), i.alias("i")))
+    tagged = F.transform(col_(values), lambda x, i: F.struct(x.isNull().alias("none"), (-x.cast("double")).alias("nv"),
+                                                             i.alias("i")))  # NULLs come last
     return F.transform(F.slice(F.sort_array(tagged), 1, k), lambda s: s["i"])
 
 
@@ -47,13 +48,16 @@ def slice_tokens(tensor, token_index) -> Column:
 
 
 def tensor_violation(tensor) -> Column:
-    """NULL when ``[layers][tokens][experts]`` is rectangular and NaN-free, else a reason."""
+    """NULL when ``[layers][tokens][experts]`` is rectangular and free of NULL and NaN, else a reason."""
     t = col_(tensor)
     n_tok = F.size(F.get(t, 0))
     n_exp = F.size(F.get(F.get(t, 0), 0))
+    null = F.exists(t, lambda layer: layer.isNull() | F.exists(layer, lambda tok: tok.isNull() | F.exists(
+        tok, lambda x: x.isNull())))
     ragged = F.exists(t, lambda layer: (F.size(layer) != n_tok)
                       | F.exists(layer, lambda tok: F.size(tok) != n_exp))
     nan = F.exists(t, lambda layer: F.exists(layer, lambda tok: has_nan(tok)))
     return (F.when(t.isNull() | (F.size(t) == 0), F.lit("empty"))
+            .when(null, F.lit("null_logit"))
             .when(ragged, F.lit("ragged"))
             .when(nan, F.lit("nan_logit")))

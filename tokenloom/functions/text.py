@@ -26,8 +26,13 @@ def md5_hex(c) -> Column:
 
 
 def fingerprint(*cols, sep: str = "\u001f") -> Column:
-    """H2: md5 of a row's values joined by a unit separator (NULLs skipped)."""
-    return F.md5(F.concat_ws(sep, *[col_(c).cast("string") for c in cols]))
+    """H2: md5 of a row's values, each written as its length and text (NULL: ``-``), so no two rows collide by
+    a separator inside a value or a value moved to the next column."""
+    def part(c) -> Column:
+        v = col_(c).cast("string")
+        return F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-"))
+
+    return F.md5(F.concat_ws(sep, *[part(c) for c in cols]))
 
 
 def py_strip(c) -> Column:
@@ -80,4 +85,4 @@ def path_clean(c) -> Column:
 
 def completion_suffix(full, prompt) -> Column:
     """H9: decoded text after the prompt's characters."""
-    return F.substring(col_(full), F.length(col_(prompt)) + 1, 1 << 30)
+    return F.substr(col_(full), F.length(col_(prompt)) + 1)

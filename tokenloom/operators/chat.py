@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.operators.checks import require_columns
+from tokenloom.operators.ordering import prefix_sum
 
 # Chat-template role headers.
 SYSTEM_HEADER = "<|system|>\n"
@@ -60,24 +61,30 @@ def render_conversations(turns: DataFrame, *, eos: str = "</s>", add_generation_
     return a.select(conv, render_messages("messages", eos, add_generation_prompt).alias("rendered"))
 
 
-def _next_turn_exists(turns: DataFrame, conv: str, turn: str) -> DataFrame:
-    """``(conv, turn, has_next)`` from an equi-join on the unique key (conv, turn + 1)."""
-    nxt = turns.select(F.col(conv), (F.col(turn) - 1).alias(turn), F.lit(True).alias("has_next"))
-    return turns.join(nxt, [conv, turn], "left")
+def _with_last_turn(turns: DataFrame, conv: str, turn: str) -> DataFrame:
+    """``last_turn`` of each conversation, from a partial aggregate and an equi-join on the conversation."""
+    return turns.join(turns.groupBy(conv).agg(F.max(turn).alias("last_turn")), conv)
+
+
+def _with_previous_turn(turns: DataFrame, conv: str, turn: str) -> DataFrame:
+    """``previous``: the turn before each, whatever the gaps: ranks of the narrow (conv, turn) pairs."""
+    ranks = prefix_sum(turns.select(conv, turn), [conv, turn], start_col="at", total_col=None)
+    before = ranks.select(F.col(conv).alias("_c"), (F.col("at") + 1).alias("_at"), F.col(turn).alias("previous"))
+    return ranks.join(before, (F.col("at") == F.col("_at")) & F.col(conv).eqNullSafe(F.col("_c"))).select(
+        conv, turn, "previous")
 
 
 def render_turns(turns: DataFrame, *, eos: str = "</s>", add_generation_prompt: bool = False,
                  conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """D7 + H6 in long form: ``(conv, turn, piece)``; the conversation is the pieces in turn order.
 
-    "Last message" comes from a join on the unique key (conv, turn + 1), not from a
-    window or a collect per conversation, so a conversation holding a third of all
-    rows is still spread over many tasks. Writing the pieces sorted by (conv, turn)
-    yields the rendered text. Turns are numbered consecutively within a conversation.
+    "Last message" comes from a partial aggregate joined back (a conversation holding a third of all
+    rows is one row of the aggregate, and the join's skew is split). Writing the pieces sorted by (conv, turn)
+    yields the rendered text. Turn numbers may have gaps.
     """
     require_columns(turns, [conv, turn, role, text], "turns")
-    x = _next_turn_exists(turns.select(conv, turn, role, text), conv, turn)
-    last = F.col("has_next").isNull()
+    x = _with_last_turn(turns.select(conv, turn, role, text), conv, turn)
+    last = F.col(turn) == F.col("last_turn")
     r, t = F.col(role), F.col(text)
     piece = (F.when(r == "system", F.concat(F.lit(SYSTEM_HEADER), t, F.lit("\n")))
              .when(r == "user", F.concat(F.lit(USER_HEADER), t, F.lit("\n")))
@@ -93,16 +100,10 @@ def turn_pairs(turns: DataFrame, *, first_role: str = "user", second_role: str =
                conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Adjacent (first_role -> second_role) turn pairs: ``conv, turn, text1, text2``.
 
-    An equi-join on the unique key (conv, turn + 1): no window, so no conversation is
-    gathered into one task. Turns are numbered consecutively within a conversation.
+    The turn before each one comes from the global rank of the narrow (conv, turn) pairs, in bounded buckets, so gaps
+    don't matter and no conversation is gathered into one task; the texts meet in equi-joins on the unique (conv, turn).
     """
     a = turns.where(F.col(role) == first_role).select(conv, turn, F.col(text).alias("text1"))
-    b = (turns.where(F.col(role) == second_role)
-         .select(conv, (F.col(turn) - 1).alias(turn), F.col(text).alias("text2")))
+    b = turns.where(F.col(role) == second_role).select(conv, turn, F.col(text).alias("text2"))
+    b = b.join(_with_previous_turn(turns, conv, turn), [conv, turn]).select(conv, F.col("previous").alias(turn), "text2")
     return a.join(b, [conv, turn])
-
-
-def completion_after_prompt(full, prompt) -> Column:
-    """H9: text after the prompt's characters."""
-    from tokenloom.functions.text import completion_suffix
-    return completion_suffix(full, prompt)

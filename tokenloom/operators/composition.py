@@ -11,16 +11,14 @@ from pyspark.sql import functions as F
 from tokenloom.functions.text import path_clean, path_parent, path_stem
 
 
-def sidecar_token_counts(spark, pattern: str, *, ascending: bool = True) -> DataFrame:
+def sidecar_token_counts(spark, pattern: str) -> DataFrame:
     """Per-file token count from headerless gz CSV sidecars: column 1 of the last row.
 
-    ``ascending=True`` takes ``max(n)`` (counts accumulate down the file); otherwise
-    ``max_by(n, c0)``. Empty files count 0 rows and so contribute nothing.
+    A gz file is one split, so ``monotonically_increasing_id`` numbers its rows in order. Empty files have no row.
     """
     df = (spark.read.schema("c0 long, n long").option("header", "false").csv(pattern)
-          .select(F.col("_metadata.file_path").alias("file_path"), "c0", "n"))
-    agg = F.max("n") if ascending else F.max_by("n", "c0")
-    return df.groupBy("file_path").agg(agg.cast("long").alias("tokens"))
+          .select(F.col("_metadata.file_path").alias("file_path"), "n", F.monotonically_increasing_id().alias("at")))
+    return df.groupBy("file_path").agg(F.max_by("n", "at").cast("long").alias("tokens"))
 
 
 def directory_totals(per_file: DataFrame, *, tokens: str = "tokens") -> DataFrame:
@@ -57,5 +55,7 @@ def path_columns(df: DataFrame, path: str) -> DataFrame:
 
 def write_report(df: DataFrame, out: str, *, cols: Sequence[str] = ("data_path", "category", "subfolder",
                                                                    "total_tokens")) -> None:
-    """A13 sink: one small CSV with a header (the report is tiny: one row per category x subfolder)."""
+    """A13 sink: one small CSV with a header, detail rows only (the report is tiny: one row per category x subfolder)."""
+    if "level" in df.columns:
+        df = df.where("level = 0")
     df.select(*cols).coalesce(1).write.mode("overwrite").option("header", True).csv(out)

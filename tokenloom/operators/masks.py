@@ -38,9 +38,10 @@ def span_segments(text, spans, toxic_threshold: float, safe_threshold: float) ->
                         severity(s["score"], toxic_threshold, safe_threshold).alias("label"))
 
     last_end = F.coalesce(F.get(sp, F.size(sp) - 1)["end"], F.lit(0))
-    tail = F.when(last_end < F.length(t), F.array(F.struct(F.substring(t, last_end + 1, 1 << 30).alias("text"),
+    tail = F.when(last_end < F.length(t), F.array(F.struct(F.substr(t, last_end + 1).alias("text"),
                                                             F.lit(1).alias("label"))))
-    return F.concat(F.transform(sp, seg), F.coalesce(tail, F.array().cast("array<struct<text:string,label:int>>")))
+    spans_ = F.coalesce(F.transform(sp, seg), F.array().cast("array<struct<text:string,label:int>>"))  # NULL: no span
+    return F.concat(spans_, F.coalesce(tail, F.array().cast("array<struct<text:string,label:int>>")))
 
 
 def segment_token_mask(segments) -> tuple[Column, Column]:

@@ -1,13 +1,13 @@
 """Stable order without a single-partition window.
 
-E2 global_rank (two-level: rank inside fixed-width key buckets + prefix sums of
-the bucket totals), E3 named_splits (+ D10 capacity check), E4 batches,
-E5 contiguous/strided chunks, A10 line shards, E8 seeded order key, F5 first_n.
-
-A bucket is a fixed-width range of the order key, never ``spark_partition_id``
-(which changes when a task is recomputed). With unique integer keys a bucket
-holds at most ``width`` (default 4096) rows, so no task sorts more than that; the bucket-total
-table has one row per bucket and is the only thing ranked in one partition.
+E2 prefix_sum/global_rank (range buckets over the whole order tuple + prefix sums of the bucket totals), E3
+named_splits (+ D10 capacity check), E4 batches, E5 contiguous/strided chunks, A10 line shards, E8 seeded order key,
+F5 first_n.
+
+Buckets are the partitions of a range partitioning by the full order tuple (bounds sampled from the data), so they hold
+about equally many rows for dense or sparse numbers, strings with a common head and repeating keys alike. The
+bucket number is written with the rows to the shared checkpoint folder: a recomputed task can't disagree about it.
+NULL keys sort first, like any other value.
 """
 
 from __future__ import annotations
@@ -19,135 +19,83 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.text import col_, order_key
 from tokenloom.operators.checks import assert_true, require_columns
+from tokenloom.session import stage
 
-DEFAULT_WIDTH = 1 << 12
+#: Rows of a bucket: small inputs get buckets of MIN_ROWS until every shuffle partition has one, large ones of MAX_ROWS.
+MIN_ROWS, MAX_ROWS = 1 << 12, 1 << 20
 
 
-def default_bucket(df: DataFrame, key: str, width: int = DEFAULT_WIDTH) -> Column:
-    """Integer keys: ``key div width``. String keys (e.g. md5 hex): the first 4 characters."""
-    dt = dict(df.dtypes)[key]
-    if dt in ("string",):
-        return F.substring(F.col(key), 1, 4)
-    return F.floor(F.col(key) / F.lit(width)).cast("long")
+def bucket_count(df: DataFrame, rows: int) -> int:
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-rows // MAX_ROWS), min(slots, -(-rows // MIN_ROWS)))
 
 
-def with_quantile_bucket(df: DataFrame, key: str, out: str = "bucket", n_buckets: int = 1 << 14,
-                         rel_error: float = 1e-3) -> DataFrame:
-    """Order-preserving bucket ids with a bounded count, for sparse or skewed keys.
+def range_buckets(df: DataFrame, keys: Sequence[str], ties: bool, buckets: int | None = None) -> DataFrame:
+    """``df`` staged with ``__bucket``: consecutive ranges of ``keys``, about equally large.
 
-    One small action computes ``n_buckets - 1`` approximate quantiles of the key
-    (a column-pruned scan with a bounded result); ``Bucketizer`` then assigns
-    buckets by binary search on the JVM. With unique keys each bucket holds about
-    ``count / n_buckets`` rows whatever the key range, so pass
-    ``bucket=F.col(out)`` to ``prefix_sum``/``global_rank`` when keys are not dense integers.
+    ``ties`` adds a hash of the row and its place in the input to the range keys, so rows that share a key (even
+    identical ones) are dealt to many buckets; without it they stay together.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = sorted(set(df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", probs, rel_error)))
-    splits = [float("-inf")] + qs + [float("inf")]
-    x = df.withColumn("__qb_in", F.col(key).cast("double"))
-    x = Bucketizer(splits=splits, inputCol="__qb_in", outputCol=out, handleInvalid="keep").transform(x)
-    return x.drop("__qb_in").withColumn(out, F.col(out).cast("long"))
+    x = df
+    if ties:
+        plain = [c for c, t in df.dtypes if "map<" not in t]
+        x = x.withColumns({"__tie": F.xxhash64(*[F.col(f"`{c}`") for c in plain]), "__place": F.monotonically_increasing_id()})
+    keys = [*keys, *(["__tie", "__place"] if ties else [])]
+    n = buckets or bucket_count(df, df.count())
+    return stage(x.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys])
+                 .withColumn("__bucket", F.spark_partition_id()), "ordered")
 
 
 def prefix_sum(df: DataFrame, order: Sequence[str] | str, value: Column | str | None = None, *,
-               bucket: Column | None = None, partition: Sequence[str] = (),
-               start_col: str = "start", total_col: str | None = "n_total",
-               require_unique: bool = True) -> DataFrame:
-    """Exclusive running sum of ``value`` (default 1 per row) under a total ``order``.
-
-    Plan: a window partitioned by (partition, bucket) for the sum inside each
-    fixed-width key bucket; a group-by of bucket totals (one row per bucket)
-    whose own running sum is each bucket's offset; a join back on the bucket
-    (AQE broadcasts the offsets once it has measured them). ``partition``
-    restarts the sum per group (e.g. per shard).
-
-    ``require_unique`` fails the job when two rows share the order key: ties would
-    make the running sum depend on the physical order, so a recomputed task could
-    disagree with its first attempt. The check reuses the window's sort.
+               partition: Sequence[str] = (), start_col: str = "start", total_col: str | None = "n_total",
+               ties: bool = False, buckets: int | None = None) -> DataFrame:
+    """Exclusive running sum of ``value`` (default 1 per row) under ``order``; ``partition`` restarts it per group.
+
+    Plan: range buckets (see above); a window inside each bucket; bucket totals (one row per bucket and group) whose
+    own running sum is each bucket's offset; a join back on the bucket. No task sorts more than a bucket and only the
+    totals meet in one task.
+
+    Rows that share the order key fail the job, because the sum would depend on the physical order; with ``ties`` they are
+    ordered by a hash of the whole row instead, so only identical (interchangeable) rows can tie.
     """
     order = [order] if isinstance(order, str) else list(order)
     part = list(partition)
     require_columns(df, order + part, "prefix_sum input")
-    b = bucket if bucket is not None else default_bucket(df, order[0])
     v = F.lit(1).cast("long") if value is None else col_(value).cast("long")
-    x = df.withColumn("__ps_bkt", b).withColumn("__ps_v", v)
-    w = (Window.partitionBy(*part, "__ps_bkt").orderBy(*[F.col(c) for c in order])
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    x = x.withColumn("__ps_ls", F.sum("__ps_v").over(w) - F.col("__ps_v"))
-    # Bucket totals: a partial (map-side) sum over the narrow (bucket, value) projection.
-    # The optimizer prunes the window from this branch; upstream per-row work is
-    # evaluated again here, so callers with an expensive input should persist it.
-    totals = x.groupBy(*part, "__ps_bkt").agg(F.sum("__ps_v").alias("__ps_bn"))
-    running = (Window.partitionBy(*part).orderBy("__ps_bkt")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    offs = totals.select(*part, "__ps_bkt", (F.sum("__ps_bn").over(running) - F.col("__ps_bn")).alias("__ps_off"),
-                         F.sum("__ps_bn").over(Window.partitionBy(*part) if part else Window.partitionBy(F.lit(1)))
-                         .alias("__ps_tot"))
-    if require_unique:
+    x = range_buckets(df.withColumn("__v", v), part + order, ties, buckets)
+    by = [F.col(c) for c in order] + ([F.col("__tie"), F.col("__place")] if ties else [])
+    w = Window.partitionBy("__bucket", *part).orderBy(*by)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = x.groupBy("__bucket", *part).agg(F.sum("__v").alias("__bn"))
+    upto = Window.partitionBy(*part).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offs = totals.select(F.col("__bucket").alias("__b"), *[F.col(c).alias(f"__p{i}") for i, c in enumerate(part)],
+                         (F.sum("__bn").over(upto) - F.col("__bn")).alias("__off"),
+                         F.sum("__bn").over(Window.partitionBy(*part) if part else Window.partitionBy(F.lit(1)))
+                         .alias("__tot"))
+    x = x.withColumn("__ls", F.sum("__v").over(run) - F.col("__v"))
+    if not ties:
         key = F.struct(*[F.col(c) for c in order])
-        x = x.withColumn("__ps_prev", F.lag(key).over(
-            Window.partitionBy(*part, "__ps_bkt").orderBy(*[F.col(c) for c in order])))
-        x = x.where(assert_true(F.col("__ps_prev").isNull() | (F.col("__ps_prev") != key),
-                                f"order key {order} is not unique; add tie-breaking columns")).drop("__ps_prev")
-    out = x.join(offs, part + ["__ps_bkt"]).withColumn(start_col, F.col("__ps_off") + F.col("__ps_ls"))
+        x = x.withColumn("__prev", F.lag(key).over(w))
+        x = x.where(assert_true(F.col("__prev").isNull() | ~F.col("__prev").eqNullSafe(key),
+                                f"order key {order} is not unique; add tie-breaking columns or ties=True")).drop("__prev")
+    on = F.col("__bucket") == F.col("__b")
+    for i, c in enumerate(part):
+        on = on & F.col(c).eqNullSafe(F.col(f"__p{i}"))
+    out = x.join(offs, on).withColumn(start_col, F.col("__off") + F.col("__ls"))
     if total_col:
-        out = out.withColumn(total_col, F.col("__ps_tot"))
-    return out.drop("__ps_bkt", "__ps_v", "__ps_ls", "__ps_off", "__ps_tot")
-
-
-def global_rank(df: DataFrame, order: Sequence[str] | str, *, bucket: Column | None = None,
-                rank_col: str = "rank", total_col: str | None = "n_total") -> DataFrame:
-    """1-based rank of every row under ``order`` (must be a total order), plus the row count."""
-    out = prefix_sum(df, order, None, bucket=bucket, start_col="_start", total_col=total_col)
-    return out.withColumn(rank_col, F.col("_start") + 1).drop("_start")
+        out = out.withColumn(total_col, F.col("__tot"))
+    return out.select(*df.columns, start_col, *([total_col] if total_col else []))
 
 
-def global_rank_with_ties(df: DataFrame, key: str, *, width: int = DEFAULT_WIDTH, hot_fraction: float = 1e-3,
-                          sub_bits: int = 8, rank_col: str = "rank") -> DataFrame:
-    """E2 for an integer key that may repeat, with hot keys split over many tasks.
-
-    Ties are ordered by a hash of the whole row, so only identical (interchangeable)
-    rows can tie. Keys holding more than ``hot_fraction`` of all rows (at most
-    ``1 / hot_fraction`` of them, found with two small aggregates) get their own
-    segment of buckets, split ``2^sub_bits`` ways by the row hash; every other key
-    stays in its fixed-width bucket. Buckets are ordered by (key bucket, segment,
-    hash slice), which agrees with the (key, hash) order, so the two-level prefix
-    sum applies unchanged and no key is gathered into one task.
-    """
-    require_columns(df, [key], "global_rank_with_ties input")
-    x = df.withColumn("__rt_h", F.xxhash64(*[F.col(c) for c in df.columns]))
-    total = df.count()
-    hot = sorted(r[0] for r in df.groupBy(key).count()
-                 .where(F.col("count") > F.lit(hot_fraction * total)).select(key).collect())
-    k = F.col(key)
-    hot_arr = F.array(*[F.lit(h) for h in hot]) if hot else F.array().cast(f"array<{dict(df.dtypes)[key]}>")
-    below = F.size(F.filter(hot_arr, lambda h: h < k))
-    is_hot = F.array_contains(hot_arr, k)
-    seg = below * 2 + is_hot.cast("int")
-    sub = F.when(is_hot, F.shiftright(F.col("__rt_h"), 64 - sub_bits)).otherwise(F.lit(0).cast("long"))
-    bucket = F.struct(F.floor(k / F.lit(width)).cast("long").alias("kb"), seg.alias("seg"), sub.alias("sub"))
-    out = prefix_sum(x, [key, "__rt_h"], None, bucket=bucket, start_col="__rt_s", total_col=None,
-                     require_unique=False)
-    return out.withColumn(rank_col, F.col("__rt_s") + 1).drop("__rt_s", "__rt_h")
-
-
-def _rank(df: DataFrame, order, bucket, ties: bool, rank_col: str, total_col: str | None) -> DataFrame:
-    """Unique-key global rank, or the tie-tolerant hot-key-splitting one (single integer key)."""
-    if not ties:
-        return global_rank(df, order, bucket=bucket, rank_col=rank_col, total_col=total_col)
-    order = [order] if isinstance(order, str) else list(order)
-    if len(order) != 1:
-        raise ValueError("ties=True takes one integer order column")
-    out = global_rank_with_ties(df, order[0], rank_col=rank_col)
-    if total_col:
-        out = out.withColumn(total_col, F.lit(df.count()).cast("long"))
-    return out
+def global_rank(df: DataFrame, order: Sequence[str] | str, *, rank_col: str = "rank",
+                total_col: str | None = "n_total", ties: bool = False, buckets: int | None = None) -> DataFrame:
+    """1-based rank of every row under ``order``, plus the row count."""
+    out = prefix_sum(df, order, None, start_col="__start", total_col=total_col, ties=ties, buckets=buckets)
+    return out.withColumn(rank_col, F.col("__start") + 1).drop("__start")
 
 
 def named_splits(df: DataFrame, sizes: Mapping[str, float], order: Sequence[str] | str, *,
-                 split_col: str = "split", bucket: Column | None = None, ties: bool = False) -> DataFrame:
+                 split_col: str = "split", ties: bool = False) -> DataFrame:
     """E3 + D10: consecutive ranges of the order, one per split name, in the given order.
 
     ``sizes`` values are row counts (int) or fractions of the row count (float,
@@ -161,7 +109,7 @@ def named_splits(df: DataFrame, sizes: Mapping[str, float], order: Sequence[str]
         raise ValueError("sizes must be all counts or all fractions")
     if all(fractional) and sum(sizes.values()) > 1.0 + 1e-12:
         raise ValueError(f"fractions {dict(sizes)} add up to more than 1")
-    r = _rank(df, order, bucket, ties, "_rank", "_n")
+    r = global_rank(df, order, rank_col="_rank", total_col="_n", ties=ties)
     n = F.col("_n")
     hi = F.lit(0).cast("long")
     case = None
@@ -173,28 +121,32 @@ def named_splits(df: DataFrame, sizes: Mapping[str, float], order: Sequence[str]
     for name, h in bounds:
         case = (F.when(F.col("_rank") <= h, F.lit(name)) if case is None
                 else case.when(F.col("_rank") <= h, F.lit(name)))
-    r = r.where(assert_true(bounds[-1][1] <= n, f"sum of partitions {dict(sizes)} is greater than dataset size"))
+    if not any(fractional):  # checked against an aggregate, so an empty input fails too
+        wanted = sum(int(v) for v in sizes.values())
+        have = df.agg(F.count(F.lit(1)).alias("__have")).where(
+            assert_true(F.col("__have") >= wanted, f"sum of partitions {dict(sizes)} is greater than dataset size"))
+        r = r.unionByName(have.where("__have < 0").select(*[F.lit(None).cast(t).alias(c) for c, t in r.dtypes]))
     return r.withColumn(split_col, case).drop("_n").withColumnRenamed("_rank", "rank")
 
 
 def batches(df: DataFrame, size: int, order: Sequence[str] | str, *, batch_col: str = "batch_id",
-            bucket: Column | None = None, ties: bool = False) -> DataFrame:
+            ties: bool = False) -> DataFrame:
     """Fixed-size consecutive batches ``rows[i:i+size]`` under the order."""
     if size < 1:
         raise ValueError("batch size must be >= 1")
-    r = _rank(df, order, bucket, ties, "rank", None)
+    r = global_rank(df, order, total_col=None, ties=ties)
     return r.withColumn(batch_col, F.floor((F.col("rank") - 1) / size).cast("long"))
 
 
 def contiguous_chunks(df: DataFrame, parts: int, order: Sequence[str] | str, *, chunk_col: str = "chunk",
-                      strided: bool = False, bucket: Column | None = None, ties: bool = False) -> DataFrame:
+                      strided: bool = False, ties: bool = False) -> DataFrame:
     """E5: ``chunk_size = n div parts + 1`` if ``n >= parts`` else 1; chunk = (rank-1) div chunk_size.
 
     ``strided=True`` gives ``(rank-1) mod parts`` instead (the other ``shard(n, i)`` layout).
     """
     if parts < 1:
         raise ValueError("parts must be >= 1")
-    r = _rank(df, order, bucket, ties, "rank", "_n")
+    r = global_rank(df, order, total_col="_n", ties=ties)
     if strided:
         c = F.pmod(F.col("rank") - 1, F.lit(parts))
     else:
@@ -204,12 +156,12 @@ def contiguous_chunks(df: DataFrame, parts: int, order: Sequence[str] | str, *,
 
 
 def line_shards(df: DataFrame, min_shards: int, order: Sequence[str] | str, *, shard_col: str = "shard",
-                bucket: Column | None = None, ties: bool = False) -> DataFrame:
+                ties: bool = False) -> DataFrame:
     """A10: ``split -l floor(n/min_shards)``: shard = (rank-1) div max(1, n div min_shards).
 
     The shard count is ``ceil(n / floor(n/min_shards))`` so ``min_shards`` is a minimum.
     """
-    r = _rank(df, order, bucket, ties, "rank", "_n")
+    r = global_rank(df, order, total_col="_n", ties=ties)
     per = F.greatest(F.lit(1), F.floor(F.col("_n") / min_shards))
     return r.withColumn(shard_col, F.floor((F.col("rank") - 1) / per).cast("long")).drop("_n")
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.operators.checks import allow_only, assert_true, require_columns
@@ -25,18 +25,16 @@ PAD_ID = 100277
 
 def pack_sequences(df: DataFrame, max_seq_len: int, order: Sequence[str] | str, *, eos_id: int = EOS_ID,
                    ids: str = "input_ids", attention: str | None = None, shard_col: str | None = None,
-                   keep_tail: bool = False, bucket: Column | None = None,
-                   strict_columns: bool = False, stage_input: bool = False,
-                   length: Column | None = None) -> DataFrame:
+                   keep_tail: bool = False, strict_columns: bool = False,
+                   ties: bool = False) -> DataFrame:
     """Concatenate ``ids + [eos]`` in order, cut every ``max_seq_len``.
 
     Output ``[shard,] chunk, input_ids, attention_mask``. ``shard_col`` restarts packing
     per shard (each shard drops its own tail); ``keep_tail`` keeps incomplete chunks.
     ``strict_columns`` rejects any column besides ids, mask, order and shard (B7).
-    ``length`` may give ``size(ids)`` by a cheaper expression (e.g. the token count without
-    the id hashing); the prefix-sum totals branch then never evaluates the ids.
-    ``stage_input`` writes the (narrow) input once to the checkpoint folder first, so an
-    expensive upstream step such as tokenisation runs once for both prefix-sum branches.
+    NULL ids count as an empty document (its eos stays); a given attention mask must be as long as the ids.
+    The prefix sum stages its input, so an expensive upstream step such as tokenisation runs once. Without a given
+    mask none travels: the all-ones mask is made after the chunks are put together.
     """
     if max_seq_len < 1:
         raise ValueError("max_seq_len must be >= 1")
@@ -49,28 +47,28 @@ def pack_sequences(df: DataFrame, max_seq_len: int, order: Sequence[str] | str,
     if strict_columns:
         allow_only(df, needed, "pack_sequences input")
     L = max_seq_len
-    seq = F.concat(F.col(ids), F.array(F.lit(eos_id)))
-    msk = (F.concat(F.col(attention), F.array(F.lit(1))) if attention
-           else F.array_repeat(F.lit(1), F.size(F.col(ids)) + 1))
-    n_expr = (length if length is not None else F.size(F.col(ids))) + 1
-    x = df.select(*part, *order, seq.alias("_seq"), msk.alias("_msk"), n_expr.alias("_n"))
-    if stage_input:
-        from tokenloom.session import stage
-        x = stage(x, "pack-input")
-    x = prefix_sum(x, order, "_n", bucket=bucket, partition=part, start_col="_off", total_col=None)
-    if length is not None:
-        x = x.where(assert_true(F.size("_seq") == F.col("_n"), "length does not match the ids"))
-    off, n = F.col("_off"), F.size("_seq")
-    x = x.select(*part, "_off", "_seq", "_msk",
+    given = F.coalesce(F.col(ids), F.array().cast(dict(df.dtypes)[ids]))
+    cols = [F.concat(given, F.array(F.lit(eos_id))).alias("_seq")]
+    if attention:
+        mask = F.coalesce(F.col(attention), F.array().cast(dict(df.dtypes)[attention]))
+        mask = F.when(assert_true(F.size(mask) == F.size(given), f"{attention} and {ids} differ in length"), mask)
+        cols.append(F.concat(mask, F.array(F.lit(1))).alias("_msk"))
+    x = df.select(*part, *order, *cols).withColumn("_n", F.size("_seq"))
+    x = prefix_sum(x, order, "_n", partition=part, start_col="_off", total_col=None, ties=ties)
+    off, n = F.col("_off"), F.col("_n")
+    x = x.select(*part, "_off", "_n", "_seq", *(["_msk"] if attention else []),
                  F.explode(F.sequence(F.floor(off / L), F.floor((off + n - 1) / L))).alias("chunk"))
     lo = F.greatest(F.col("chunk") * L, off)
     hi = F.least((F.col("chunk") + 1) * L, off + n)
-    piece = F.struct(lo.alias("at"), F.slice("_seq", (lo - off + 1).cast("int"), (hi - lo).cast("int")).alias("ids"),
-                     F.slice("_msk", (lo - off + 1).cast("int"), (hi - lo).cast("int")).alias("mask"))
-    pieces = x.select(*part, "chunk", piece.alias("p"))
-    g = (pieces.groupBy(*part, "chunk").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-         .select(*part, "chunk", F.flatten(F.col("ps.ids")).alias("input_ids"),
-                 F.flatten(F.col("ps.mask")).alias("attention_mask")))
+    at, size = (lo - off + 1).cast("int"), (hi - lo).cast("int")
+    piece = [lo.alias("at"), F.slice("_seq", at, size).alias("ids")]
+    piece += [F.slice("_msk", at, size).alias("mask")] if attention else []
+    pieces = x.select(*part, "chunk", F.struct(*piece).alias("p"))
+    g = pieces.groupBy(*part, "chunk").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    g = g.select(*part, "chunk", F.flatten(F.col("ps.ids")).alias("input_ids"),
+                 *([F.flatten(F.col("ps.mask")).alias("attention_mask")] if attention else []))
+    if not attention:
+        g = g.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
     if not keep_tail:
         g = g.where(F.size("input_ids") == L)
     return g

@@ -91,39 +91,46 @@ def attach_correct(router: DataFrame, predictions: DataFrame, *, keys: Sequence[
 
 
 def expert_counts(df: DataFrame, *, k: int, domain: str = "domain", tensor: str = "router_logits",
-                  token_index: str | int | None = None) -> tuple[DataFrame, DataFrame]:
+                  token_index: str | int | None = None) -> DataFrame:
     """Per (domain, layer, expert) count of tokens that route to the expert in their top-k.
 
-    Returns ``(counts, totals)``: counts zero-filled to every layer x expert seen for
-    the domain, totals = kept tokens per domain. Records whose tensor is ragged,
-    empty or holds NaN are excluded (see ``tensor_violations``).
+    Output ``domain, layer, expert, n, total_tokens``, zero-filled to every layer x expert of the domain;
+    ``total_tokens`` = kept tokens of the domain. Records whose tensor is ragged, empty or holds NULL or NaN are excluded
+    (see ``tensor_violations``), and so are those without kept tokens; a domain without any record left is absent.
+    Records of different shape within a domain, or k above the number of experts, fail the job.
+
+    One scan: each record gives its top-k hits and one row with its token count and shape; a partial
+    aggregation by (domain, layer, expert), then one by domain, whose rows hold layers x experts counts.
     """
     require_columns(df, [domain, tensor], "router records")
+    base = df.where(tensor_violation(F.col(tensor)).isNull())
     t = F.col(tensor)
     if token_index is not None:
         t = slice_tokens(t, F.col(token_index) if isinstance(token_index, str) else token_index)
-    base = (df.select(F.col(domain).alias("domain"), t.alias("_t"))
-            .where(tensor_violation(F.col("_t")).isNull()))
+    base = base.select(F.col(domain).alias("domain"), t.alias("_t")).where(F.size(F.get("_t", 0)) > 0)
+    base = base.select("domain", "_t", F.size("_t").alias("_nl"), F.size(F.get("_t", 0)).cast("long").alias("_nt"),
+                       F.size(F.get(F.get("_t", 0), 0)).alias("_ne"))
+    none = F.lit(None).cast("int")
     # Top-k is taken inside the row so the explode is layers x tokens x k wide.
-    hits = F.flatten(F.transform(F.col("_t"), lambda layer, li: F.flatten(
-        F.transform(layer, lambda tok: F.transform(topk_indices(tok, k),
-                                                   lambda e: F.struct(li.alias("layer"), e.alias("expert")))))))
-    counts = (base.select("domain", F.inline(hits))
-              .groupBy("domain", "layer", "expert").agg(F.count(F.lit(1)).alias("n")))
-    shape = (base.groupBy("domain")
-             .agg(F.max(F.size("_t")).alias("_nl"), F.max(F.size(F.get(F.get("_t", 0), 0))).alias("_ne"),
-                  F.sum(F.size(F.get("_t", 0))).cast("long").alias("total_tokens")))
-    # k larger than the expert axis is an error, raised by the job (no driver round trip).
-    shape = shape.where(assert_true(F.col("_ne") >= k, f"k={k} exceeds the number of experts"))
-    # The zero-fill grid carries the domain total, so shares need no second join.
-    grid = (shape.select("domain", F.explode(F.sequence(F.lit(0), F.col("_nl") - 1)).alias("layer"), "_ne",
-                         "total_tokens")
-            .select("domain", "layer", F.explode(F.sequence(F.lit(0), F.col("_ne") - 1)).alias("expert"),
-                    "total_tokens"))
-    filled = (grid.join(counts, ["domain", "layer", "expert"], "left")
-              .select("domain", "layer", "expert", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
-                      "total_tokens"))
-    return filled, shape.select("domain", "total_tokens")
+    hits = F.flatten(F.transform(F.col("_t"), lambda layer, li: F.flatten(F.transform(layer, lambda tok: F.transform(
+        topk_indices(tok, k), lambda e: F.struct(li.alias("layer"), e.alias("expert"), F.lit(1).cast("long").alias("w"),
+                                                 none.alias("nl"), none.alias("ne")))))))
+    own = F.array(F.struct(F.lit(-1).alias("layer"), F.lit(-1).alias("expert"), F.col("_nt").alias("w"),
+                           F.col("_nl").alias("nl"), F.col("_ne").alias("ne")))
+    cells = base.select("domain", F.inline(F.concat(hits, own))).groupBy("domain", "layer", "expert").agg(
+        F.sum("w").alias("n"), F.min("nl").alias("nl"), F.max("nl").alias("nl2"), F.min("ne").alias("ne"),
+        F.max("ne").alias("ne2"))
+    whole = F.col("layer") < 0
+    per = cells.groupBy("domain").agg(
+        F.max(F.when(whole, F.col("n"))).alias("total_tokens"), F.max("nl").alias("nl"), F.max("ne").alias("ne"),
+        F.max((F.col("nl") != F.col("nl2")) | (F.col("ne") != F.col("ne2"))).alias("mixed"),
+        F.map_from_entries(F.collect_list(F.when(~whole, F.struct(F.struct("layer", "expert"), "n")))).alias("m"))
+    per = per.where(assert_true(~F.col("mixed"), "records of different shape in one domain"))
+    per = per.where(assert_true(F.col("ne") >= k, f"k={k} exceeds the number of experts"))
+    grid = per.select("domain", "total_tokens", "m", "ne", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("layer"))
+    grid = grid.select("domain", "total_tokens", "m", "layer", F.explode(F.sequence(F.lit(0), F.col("ne") - 1)).alias("expert"))
+    n = F.coalesce(F.try_element_at("m", F.struct("layer", "expert")), F.lit(0)).cast("long")
+    return grid.select("domain", "layer", "expert", n.alias("n"), "total_tokens")
 
 
 def domain_specialization(df: DataFrame, *, k: int, domain: str = "domain", tensor: str = "router_logits",
@@ -131,10 +138,8 @@ def domain_specialization(df: DataFrame, *, k: int, domain: str = "domain", tens
     """Share of a domain's tokens that route each (layer, expert) into the top-k.
 
     Output ``domain, layer, expert, n, share``; per (domain, layer) the shares sum to k.
-    Plan: one partial aggregation of (domain, layer, expert) hits and one of per-domain
-    shape/totals; the zero-fill grid is generated from the (small) per-domain rows.
     """
-    counts, _ = expert_counts(df, k=k, domain=domain, tensor=tensor, token_index=token_index)
+    counts = expert_counts(df, k=k, domain=domain, tensor=tensor, token_index=token_index)
     return counts.select("domain", "layer", "expert", "n", (F.col("n") / F.col("total_tokens")).alias("share"))
 
 

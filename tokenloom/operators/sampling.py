@@ -16,40 +16,41 @@ from tokenloom.functions.text import order_key
 from tokenloom.operators.checks import assert_true
 
 
-def _top_n(df: DataFrame, cls: str, n: int, strict: bool) -> DataFrame:
+def _top_n(df: DataFrame, cls: str, classes: Sequence, n: int, strict: bool) -> DataFrame:
     # Rows whose seeded keys collide are ordered by a hash of the whole row, so only
     # identical rows (interchangeable) can tie and a re-run task picks the same sample.
     df = df.withColumn("_tb", F.xxhash64(*[F.col(c) for c in df.columns]))
     w = Window.partitionBy(cls).orderBy("order_key", "_tb")
     out = df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n)
     if strict:
-        # A class with fewer than n rows has no row ranked n; fail the job for it.
-        have = out.groupBy(cls).agg(F.max("_rk").alias("_have"))
-        have = have.where(assert_true(F.col("_have") >= n, f"a class has fewer than {n} rows"))
-        out = out.join(have.select(cls), cls, "left_semi")
+        # Expected classes against what the partial sums found (at most n rows a class), classes without a row included.
+        have = out.groupBy().agg(*[F.count(F.when(F.col(cls) == c, 1)).alias(f"_c{i}") for i, c in enumerate(classes)])
+        least = F.least(*[F.col(c) for c in have.columns]) if len(classes) > 1 else F.col("_c0")
+        bad = have.where(assert_true(least >= n, f"a class has fewer than {n} rows")).where("_c0 < 0")
+        out = out.unionByName(bad.select(*[F.lit(None).cast(t).alias(c) for c, t in out.dtypes]))
     return out.drop("_rk", "_tb")
 
 
 def binary_balanced(df: DataFrame, predicate: Column, *, n: int, seed, key: Sequence[str],
-                    strict: bool = False) -> DataFrame:
+                    strict: bool = True) -> DataFrame:
     """n rows where the predicate is false and n where it is true, in seeded order.
 
     Adds ``label`` (the predicate value) and ``order_key``; NULL predicates count as false.
-    ``strict`` fails the job when a class that occurs has fewer than n rows.
+    ``strict`` fails the job when a class has fewer than n rows.
     """
     x = df.withColumn("label", F.coalesce(predicate, F.lit(False))).withColumn("order_key", order_key(seed, *key))
-    return _top_n(x, "label", n, strict)
+    return _top_n(x, "label", [False, True], n, strict)
 
 
 def nary_balanced(df: DataFrame, predicates: Sequence[Column], *, n: int, seed, key: Sequence[str],
-                  strict: bool = False) -> DataFrame:
+                  strict: bool = True) -> DataFrame:
     """n rows per predicate; predicates may overlap, so a row may appear once per matching class.
 
     Matching class ids are exploded inside the row, then ranked per class.
     """
     ids = F.filter(F.array(*[F.when(p, F.lit(i)) for i, p in enumerate(predicates)]), lambda c: c.isNotNull())
     x = df.withColumn("class_id", F.explode(ids)).withColumn("order_key", order_key(seed, *key))
-    return _top_n(x, "class_id", n, strict)
+    return _top_n(x, "class_id", range(len(predicates)), n, strict)
 
 
 def concat_tables(frames: Sequence[DataFrame], allow_missing: bool = False) -> DataFrame:

@@ -29,10 +29,19 @@ def argmax(logits) -> Column:
 
 def cross_entropy(logits, label) -> Column:
     """``logsumexp(logits) - logits[label]``, computed stably around the maximum."""
-    lg = F.transform(col_(logits), lambda x: x.cast("double"))
-    mx = F.array_max(lg)
-    lse = mx + F.log(F.aggregate(lg, F.lit(0.0), lambda acc, x: acc + F.exp(x - mx)))
-    return lse - F.get(lg, col_(label).cast("int"))
+    at = col_(label).cast("int")
+
+    def loss(lg: Column, mx: Column) -> Column:
+        return mx + F.log(F.aggregate(lg, F.lit(0.0), lambda acc, x: acc + F.exp(x - mx))) - F.get(lg, at)
+
+    # The cast array and its maximum are bound once: an expression inside the aggregate's lambda would run per element.
+    doubles = F.transform(col_(logits), lambda x: x.cast("double"))
+    return bind(doubles, lambda lg: bind(F.array_max(lg), lambda mx: loss(lg, mx)))
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def next_token_losses(df: DataFrame, *, seq: str, pos: str, logits: str, label: str,
@@ -40,13 +49,13 @@ def next_token_losses(df: DataFrame, *, seq: str, pos: str, logits: str, label:
     """Loss of position p = CE(logits[p], label[p+1]); ``important`` marks label positions.
 
     The important flag shifts with the label (index - 1); the first token has no
-    loss, so an important first token is dropped. One window per sequence.
+    loss, so an important first token is dropped. Positions are unique within a sequence. The window runs over the
+    narrow label table only; the logits meet the next label in an equi-join on (seq, pos).
     """
     w = Window.partitionBy(seq).orderBy(pos)
-    x = df.withColumn("_next", F.lead(label).over(w))
-    if important:
-        x = x.withColumn("_imp", F.lead(important).over(w))
-    x = x.where(F.col("_next").isNotNull())
+    nxt = df.select(seq, pos, F.lead(label).over(w).alias("_next"),
+                    *([F.lead(important).over(w).alias("_imp")] if important else []))
+    x = df.join(nxt.where(F.col("_next").isNotNull()), [seq, pos])
     out = x.withColumn("ce", cross_entropy(logits, "_next"))
     if important:
         out = out.withColumn("important", F.coalesce(F.col("_imp"), F.lit(False)))

@@ -50,8 +50,7 @@ WITH c AS (
 
 @query("chat_render", """
 WITH c AS (
-  SELECT c.*, n.conv_id IS NULL AS last
-  FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1
+  SELECT c.*, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations c
 )
 SELECT conv_id, turn, CASE
     WHEN role = 'system' THEN '<|system|>' || chr(10) || text || chr(10)

@@ -43,10 +43,11 @@ def q_prepare_corpus_reservedprefix(spark, sf_dir):
                           tokenizer_name="allenai/OLMo-2-1124-7B", prefix_length=20)
 
 
-@query("row_fingerprint", """
-SELECT doc_id, md5(concat_ws(chr(31), doc_id::VARCHAR, text, lang, source, n_chars::VARCHAR)) AS fingerprint
-FROM documents
-""")
+_PARTS = ", ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+                   for c in ("doc_id", "text", "lang", "source", "n_chars"))
+
+
+@query("row_fingerprint", f"SELECT doc_id, md5(concat_ws(chr(31), {_PARTS})) AS fingerprint FROM documents")
 def q_row_fingerprint(spark, sf_dir):
     """H2: md5 over a row's values."""
     d = _docs(spark, sf_dir)

@@ -98,13 +98,13 @@ def q_span_segments(spark, sf_dir):
                     .alias("mask_md5"))
 
 
-def _nonblank_docs(spark, sf_dir) -> DataFrame:
-    """Documents with at least one token (a cheap scan-side predicate, not a second tokenisation)."""
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(f"[^{WS_CLASS[1:-1]}]"))
+def _docs(spark, sf_dir) -> DataFrame:
+    """All documents; a NULL text counts as empty."""
+    return table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 _BUDGET_SQL = f"""
-WITH t AS (SELECT doc_id, {TOKENS_SQL.format(t='text')} AS toks FROM documents),
+WITH t AS (SELECT doc_id, {TOKENS_SQL.format(t="coalesce(text, '')")} AS toks FROM documents),
 u AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos FROM t),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('{SEED}:' || doc_id::VARCHAR || ':' || pos::VARCHAR)) AS rk
       FROM u),
@@ -115,13 +115,13 @@ m AS (SELECT doc_id, n, pos, (rk <= floor(n * 0.25))::INTEGER AS sel,
 
 
 @query("token_budget_mask", _BUDGET_SQL + """
-SELECT doc_id, count(*)::INTEGER AS n_tokens, sum(sel)::INTEGER AS n_selected,
-       md5(string_agg(sel::VARCHAR, '' ORDER BY pos)) AS mask_md5
-FROM m GROUP BY doc_id
+SELECT doc_id, count(pos)::INTEGER AS n_tokens, coalesce(sum(sel), 0)::INTEGER AS n_selected,
+       md5(coalesce(string_agg(sel::VARCHAR, '' ORDER BY pos), '')) AS mask_md5
+FROM t LEFT JOIN m USING (doc_id) GROUP BY doc_id
 """)
 def q_token_budget_mask(spark, sf_dir):
     """exactly int(n * 0.25) seeded positions per document."""
-    d = _nonblank_docs(spark, sf_dir).select("doc_id", ws_tokens("text").alias("tokens"))
+    d = _docs(spark, sf_dir).select("doc_id", ws_tokens("text").alias("tokens"))
     x = with_token_budget(d.withColumn("n", F.size("tokens")), "n", 0.25, SEED, "doc_id")
     return x.select("doc_id", F.size("mask").alias("n_tokens"),
                     F.aggregate("mask", F.lit(0), lambda a, v: a + v).alias("n_selected"),
@@ -129,13 +129,13 @@ def q_token_budget_mask(spark, sf_dir):
 
 
 @query("badword_mask", _BUDGET_SQL + """
-SELECT doc_id, sum(sel)::INTEGER AS n_selected, sum(kept)::INTEGER AS n_kept,
-       md5(string_agg(kept::VARCHAR, '' ORDER BY pos)) AS mask_md5
-FROM m GROUP BY doc_id
+SELECT doc_id, coalesce(sum(sel), 0)::INTEGER AS n_selected, coalesce(sum(kept), 0)::INTEGER AS n_kept,
+       md5(coalesce(string_agg(kept::VARCHAR, '' ORDER BY pos), '')) AS mask_md5
+FROM t LEFT JOIN m USING (doc_id) GROUP BY doc_id
 """)
 def q_badword_mask(spark, sf_dir):
     """F4 + H12: seeded token budget, then bad words zeroed."""
-    d = _nonblank_docs(spark, sf_dir).select("doc_id", ws_tokens("text").alias("tokens"))
+    d = _docs(spark, sf_dir).select("doc_id", ws_tokens("text").alias("tokens"))
     x = with_token_budget(d.withColumn("n", F.size("tokens")), "n", 0.25, SEED, "doc_id")
     x = x.withColumn("kept", zero_bad_words("mask", "tokens", BAD_WORDS))
     return x.select("doc_id", F.aggregate("mask", F.lit(0), lambda a, v: a + v).alias("n_selected"),
@@ -147,7 +147,7 @@ _OFFSETS_SQL = r"""
 WITH p AS (
   SELECT doc_id, text, unnest(regexp_extract_all(text, '[ \t\n\x0B\f\r]+|[^ \t\n\x0B\f\r]+')) AS piece,
          generate_subscripts(regexp_extract_all(text, '[ \t\n\x0B\f\r]+|[^ \t\n\x0B\f\r]+'), 1) - 1 AS pi
-  FROM documents
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 ), o AS (
   SELECT doc_id, text, piece, pi,
          sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e
@@ -160,21 +160,21 @@ WITH p AS (
 
 
 @query("char_to_token", _OFFSETS_SQL + """
-, c AS (SELECT doc_id, length(any_value(text)) // 2 AS ch FROM tok GROUP BY doc_id)
+, c AS (SELECT doc_id, length(coalesce(text, '')) // 2 AS ch FROM documents)
 , pick AS (
-  SELECT tok.doc_id, c.ch,
-         coalesce(min(CASE WHEN st <= c.ch AND c.ch < e THEN ti END), max(ti)) AS ti FROM tok JOIN c USING (doc_id)
-  GROUP BY tok.doc_id, c.ch
+  SELECT c.doc_id, c.ch,
+         coalesce(min(CASE WHEN st <= c.ch AND c.ch < e THEN ti END), max(ti)) AS ti FROM c LEFT JOIN tok USING (doc_id)
+  GROUP BY c.doc_id, c.ch
 )
 SELECT pick.doc_id, pick.ch::INTEGER AS char_index, pick.ti::INTEGER AS token_index, tok.st = pick.ch AS aligned
-FROM pick JOIN tok ON pick.doc_id = tok.doc_id AND pick.ti = tok.ti
+FROM pick LEFT JOIN tok ON pick.doc_id = tok.doc_id AND pick.ti = tok.ti
 """)
 def q_char_to_token(spark, sf_dir):
     """The token holding each document's middle character, and whether it starts there.
 
     Offsets come from the in-row tokenizer helper; no shuffle.
     """
-    x = _nonblank_docs(spark, sf_dir).select("doc_id", token_spans("text").alias("o"),
+    x = _docs(spark, sf_dir).select("doc_id", token_spans("text").alias("o"),
                                              F.floor(F.length("text") / 2).cast("int").alias("char_index"))
     x = x.select("doc_id", "char_index", "o.starts", "o.ends")
     tok, aligned = char_to_token("starts", "ends", "char_index")
@@ -182,18 +182,18 @@ def q_char_to_token(spark, sf_dir):
 
 
 @query("mask_to_token", _OFFSETS_SQL + """
-SELECT doc_id, count(*)::INTEGER AS n_tokens,
+SELECT doc_id, count(piece)::INTEGER AS n_tokens,
        count(*) FILTER (WHERE regexp_matches(piece, '[A-Z]'))::INTEGER AS n_selected,
        md5(coalesce(string_agg(ti::VARCHAR, ',' ORDER BY ti) FILTER (WHERE regexp_matches(piece, '[A-Z]')), '')) AS sel_md5,
        md5(coalesce(string_agg((ti - 1)::VARCHAR, ',' ORDER BY ti)
                     FILTER (WHERE regexp_matches(piece, '[A-Z]') AND ti >= 1), '')) AS shifted_md5
-FROM tok GROUP BY doc_id
+FROM (SELECT doc_id FROM documents) LEFT JOIN tok USING (doc_id) GROUP BY doc_id
 """)
 def q_mask_to_token(spark, sf_dir):
     """C4 + E7: tokens overlapping a character mask (uppercase ASCII letters), and the shifted loss indices."""
     char_mask = F.transform(F.split(F.regexp_replace(F.regexp_replace("text", "[^A-Z]", "0"), "[A-Z]", "1"), ""),
                             lambda c: c.cast("int"))
-    x = (_nonblank_docs(spark, sf_dir).select("doc_id", token_spans("text").alias("o"), char_mask.alias("mask"))
+    x = (_docs(spark, sf_dir).select("doc_id", token_spans("text").alias("o"), char_mask.alias("mask"))
          .select("doc_id", "o.starts", "o.ends", "mask"))
     x = x.select("doc_id", F.size("starts").alias("n_tokens"), mask_to_tokens("starts", "ends", "mask").alias("sel"))
     x = x.withColumn("sh", shift_indices("sel"))

@@ -22,17 +22,14 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """A driver table. When it comes in fewer files than the cluster has task slots (a
-    single-row-group file is read by a single task), it is hash-partitioned on its key
-    column so per-row work uses every core and later groupings on that key reuse the
-    partitioning. Inputs of many files (the large-scale case) are left as scanned."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_small_input(df) if spread else df
+#: Up to this size (by the plan's statistics, no listing of files) a table may sit in too few row groups to use all slots.
+SMALL_BYTES = 1 << 30
 
 
-def spread_small_input(df: DataFrame, key: str | None = None) -> DataFrame:
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= slots:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """A driver table. A small one is dealt over all task slots by a hash of the whole row, as a file of one row
+    group is read by a single task; large tables are left as scanned."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if not spread or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SMALL_BYTES:
         return df
-    return df.repartition(slots, df[key or df.columns[0]])
+    return df.repartition(spark.sparkContext.defaultParallelism, *df.columns)

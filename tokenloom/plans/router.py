@@ -155,20 +155,22 @@ def q_request_prediction_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_count_parity(req, pred, by=["conv_id"])
 
 
-@query("router_jsonl_roundtrip", SPEC_SQL.format(k=8, where=""))
+@query("router_jsonl_roundtrip", LAYERED_SQL)
 def q_router_jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A12 -> A4/A6 -> D2: router records written as JSON lines (one directory per domain) to the
-    shared checkpoint folder, read back with an explicit schema and line numbers, then analysed."""
+    """H22 -> A12 -> A4/A6 -> D2: records cut at their boundary token once, before they are written as JSON lines (one
+    directory per domain) to the shared checkpoint folder; read back with an explicit schema, then counted whole."""
     import uuid
 
+    from tokenloom.functions.tensors import slice_tokens
     from tokenloom.session import checkpoint_dir
     from tokenloom.sources.readers import ROUTER_SCHEMA, load_jsonl
     from tokenloom.sources.writers import write_results
 
-    rec = router_records(spark, sf_dir).select(
-        F.concat_ws(":", F.lit("vec"), "vec_id").alias("prompt"), F.lit(0).alias("token_index"),
-        F.col("router_logits").cast("array<array<array<double>>>").alias("router_logits"), "domain")
+    whole = reshape("embedding", [2, 4, 8]).cast("array<array<array<double>>>")
+    rec = table(spark, sf_dir, "embeddings").select(
+        F.concat_ws(":", F.lit("vec"), "vec_id").alias("prompt"), F.lit(1).alias("token_index"),
+        slice_tokens(whole, 1).alias("router_logits"), F.col("label").alias("domain"))
     path = f"{checkpoint_dir(spark)}/router-{uuid.uuid4().hex}"
     write_results(rec, path, "router", partition_by="domain")
     back = load_jsonl(spark, path, ROUTER_SCHEMA + ", domain int")
-    return _spec_out(domain_specialization(back, k=8, token_index="token_index"))
+    return _spec_out(domain_specialization(back, k=2))

@@ -21,25 +21,30 @@ def write_jsonl(df: DataFrame, path: str, *, order: Sequence[str] | None = None,
     concatenated in name order follow the order."""
     out = df
     if order:
-        out = out.repartitionByRange(files or out.sparkSession.sparkContext.defaultParallelism, *order) \
-            .sortWithinPartitions(*order)
+        parts = out.repartitionByRange(files, *order) if files else out.repartitionByRange(*order)
+        out = parts.sortWithinPartitions(*order)  # without ``files`` the data's size decides (adaptive coalescing)
     w = out.write.mode("overwrite")
     if compression:
         w = w.option("compression", compression)
     w.json(path)
 
 
+def _sorted_shards(ranked: DataFrame) -> DataFrame:
+    """Rows range-partitioned by (shard, rank): a shard is one or more files whose name order is its row order."""
+    return ranked.repartitionByRange("shard", "rank").sortWithinPartitions("shard", "rank").drop("rank")
+
+
 def write_shards(df: DataFrame, path: str, num_shards: int, order: Sequence[str] | str, *,
                  fmt: str = "parquet", strided: bool = False) -> None:
     """``num_shards`` contiguous (or strided) shards, one directory ``shard=i`` each."""
-    s = contiguous_chunks(df, num_shards, order, chunk_col="shard", strided=strided).drop("rank")
-    s.repartition("shard").write.mode("overwrite").partitionBy("shard").format(fmt).save(path)
+    s = contiguous_chunks(df, num_shards, order, chunk_col="shard", strided=strided)
+    _sorted_shards(s).write.mode("overwrite").partitionBy("shard").format(fmt).save(path)
 
 
 def write_line_shards(df: DataFrame, path: str, order: Sequence[str] | str, *, min_shards: int = 128) -> None:
     """A10: ``floor(n/min_shards)`` lines per shard, gzip JSON lines, one directory per shard."""
     s = line_shards(df, min_shards, order)
-    (s.repartition("shard").sortWithinPartitions("rank").drop("rank")
+    (_sorted_shards(s)
      .write.mode("overwrite").option("compression", "gzip").partitionBy("shard").json(path))
 
 
@@ -66,7 +71,8 @@ def write_results(df: DataFrame, path: str, mode: str, *, partition_by: str | No
 
 def write_per_evaluator(df: DataFrame, path: str, *, evaluator: str = "evaluator") -> None:
     """One output directory per evaluator label."""
-    df.repartition(evaluator).write.mode("overwrite").partitionBy(evaluator).json(path)
+    # rebalanced: a large label is split over several files, small ones share a task
+    df.hint("rebalance", evaluator).write.mode("overwrite").partitionBy(evaluator).json(path)
 
 
 def evaluator_samples(df: DataFrame, *, evaluator: str = "evaluator", prompt: str = "prompt",
