@@ -29,7 +29,11 @@ def test_dead_letter(spark):
 
 def test_score_modes(spark):
     df = spark.createDataFrame([("a b",), ("c",)], "prompt string")
-    out = score(df, lambda ps: [{"loss": float(len(p)), "perplexity": 1.0} for p in ps], "get_loss").collect()
+    masked = df.withColumn("target_mask", F.array(F.lit(1)))
+    out = score(masked, lambda ps, ms: [{"loss": float(len(p)), "perplexity": 1.0} for p, _ in zip(ps, ms, strict=True)],
+                "get_loss").collect()
+    with pytest.raises(ValueError, match="target_mask"):
+        score(df, lambda ps, ms: [], "get_loss")
     assert sorted(r.loss for r in out) == [1.0, 3.0] and all(r.label is None for r in out)
     lg = score(df, lambda ps: [{"completion": True, "highest_token": 3, "logits": [0.5, 0.1], "generated": p}
                                for p in ps], "logits").collect()

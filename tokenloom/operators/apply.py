@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.session import checkpoint_dir
+from tokenloom.operators.checks import require_columns
+from tokenloom.session import stage as stage_table
 
 DEAD_LETTER_TYPE = T.StructType([
     T.StructField("out", T.StringType()),
@@ -80,11 +81,7 @@ def split_dead_letter(results: DataFrame, *, stage: bool = True) -> tuple[DataFr
     lost executor re-reads the table instead of re-running the UDF.
     """
     if stage:
-        spark = results.sparkSession
-        import uuid
-        path = f"{checkpoint_dir(spark)}/dead-letter-{uuid.uuid4().hex}"
-        results.write.mode("overwrite").parquet(path)
-        results = spark.read.parquet(path)
+        results = stage_table(results, "dead-letter")
     good = results.where(F.col("error").isNull()).select("index", "out")
     bad = results.where(F.col("error").isNotNull()).select("index", "error", "message")
     return good, bad
@@ -97,28 +94,36 @@ SCORE_TYPES = {
     "get_loss": "loss double, perplexity double",
 }
 
+# Columns a mode needs beside the prompt.
+SCORE_NEEDS = {"get_loss": ("target_mask",)}
+
 
 def score(df: DataFrame, fn: Callable[[list[str]], list[dict]], mode: str, *, prompt: str = "prompt",
           label: str | None = "label", keep: list[str] | tuple = ()) -> DataFrame:
     """Batch scoring with a user callable; fixed output struct per mode, ``prompt``/``label`` carried.
 
     ``fn`` receives a list of prompts (one Arrow batch) and returns one dict per
-    prompt with the mode's fields. Unknown modes fail at plan time. ``keep`` carries
-    extra key columns through.
+    prompt with the mode's fields; in mode ``get_loss`` it also receives the list of
+    target masks (column ``target_mask``, required). Unknown modes and missing columns fail at plan time.
+    ``keep`` carries extra key columns through.
     """
     if mode not in SCORE_TYPES:
         raise ValueError(f"unknown inference mode {mode!r}; expected one of {sorted(SCORE_TYPES)}")
+    needs = SCORE_NEEDS.get(mode, ())
+    require_columns(df, [prompt, *keep, *needs], f"{mode} input")
     schema = T._parse_datatype_string(SCORE_TYPES[mode])
     names = [f.name for f in schema.fields]
 
     @F.pandas_udf(schema)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            rows = fn(s.tolist())
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for cols in batches:
+            cols = cols if isinstance(cols, tuple) else (cols,)  # one column comes as a bare Series
+            s = cols[0]
+            rows = fn(*[c.tolist() for c in cols])
             if len(rows) != len(s):
                 raise ValueError("scorer must return one result per prompt")
             yield pd.DataFrame({n: [r.get(n) for r in rows] for n in names})
 
     lab = F.col(label) if label and label in df.columns else F.lit(None).alias("label")
     return df.select(*keep, F.col(prompt).alias("prompt"), lab.alias("label"),
-                     run(F.col(prompt)).alias("_s")).select(*keep, "prompt", "label", "_s.*")
+                     run(*[F.col(c) for c in (prompt, *needs)]).alias("_s")).select(*keep, "prompt", "label", "_s.*")

@@ -145,7 +145,7 @@ def q_balanced_binary(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     x = d.join(lab, "doc_id")
-    return binary_balanced(x, F.col("toxic") == 1, n=40, seed=SEED, key=["doc_id"]).select(
+    return binary_balanced(x, F.col("toxic") == 1, n=40, seed=SEED, key=["doc_id"], strict=False).select(
         "doc_id", "lang", "label", "order_key")
 
 
@@ -247,10 +247,10 @@ def q_dead_letter_errors(spark, sf_dir):
 _WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 
-def _toy_scorer(prompts):
-    """Stand-in for a model: loss = built-in tokens per character (+1), perplexity = exp(loss)."""
+def _toy_scorer(prompts, masks):
+    """Stand-in for a model: loss = built-in tokens (those the mask keeps) per character (+1), perplexity = exp(loss)."""
     out = []
-    for p in prompts:
+    for p, _ in zip(prompts, masks, strict=True):
         n = len(_WORD.findall(p or ""))
         loss = n / (len(p or "") + 1)
         out.append({"loss": loss, "perplexity": math.exp(loss)})
@@ -264,6 +264,7 @@ FROM documents
 """)
 def q_scored_prompts(spark, sf_dir):
     """Batch scoring surface (get_loss mode) with a stand-in scorer, label carried through."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"), F.col("lang").alias("label"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"), F.col("lang").alias("label"),
+                                                    F.array(F.lit(1)).alias("target_mask"))
     s = score(d, _toy_scorer, "get_loss", keep=["doc_id"])
     return s.select("doc_id", "label", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"))

@@ -87,11 +87,12 @@ def load_jsonl(spark: SparkSession, path: str, schema: str, *, line_col: str = "
                                                                                         "_first")
 
 
-def find_files(spark: SparkSession, directory: str, substring: str, fmt: str = "text") -> DataFrame:
-    """A5: files under ``directory`` (recursively) whose name contains ``substring``: one row per file."""
-    df = (spark.read.format(fmt).option("recursiveFileLookup", "true")
+def find_files(spark: SparkSession, directory: str, substring: str) -> DataFrame:
+    """A5: files under ``directory`` (recursively) whose name contains ``substring``: one row per file, empty ones
+    included. Only the names are read, no contents."""
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
           .option("pathGlobFilter", f"*{substring}*").load(directory))
-    return df.select(F.col("_metadata.file_path").alias("file_path")).distinct()
+    return df.select(F.col("path").alias("file_path"))
 
 
 def require_one_file(files: DataFrame, what: str = "file") -> DataFrame:
