@@ -32,9 +32,9 @@ def test_any_ids_decode_as_the_library(ids):
 @given(st.text(alphabet="abcdethinos▁é\n☃", min_size=1, max_size=LONG))
 def test_heap_and_rows_agree(chunk):
     m = load(PATH)
-    rows = dict(m.merge_many([chunk]))
-    import numpy as np
-    assert np.frombuffer(rows[chunk], "<i4").tolist() == m.merge(chunk)
+    ids, start, size = m.merge_many(["ab", chunk, chunk[::-1]])
+    assert ids[start[1]:start[1] + size[1]].tolist() == m.merge(chunk)
+    assert ids[start[2]:start[2] + size[2]].tolist() == m.merge(chunk[::-1])
 
 
 def test_awkward(awkward, nothing):

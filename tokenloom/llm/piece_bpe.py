@@ -18,8 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 BATCH_CHARS = 1 << 20  # texts encoded, and handed to the library, together
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 400_000
 LONG = 48  # characters of a chunk that gets a heap of its own
 
 
@@ -61,7 +60,7 @@ class PieceModel:
         self.hidden = frozenset(i for i in range(n) if lib.is_control(i))  # no text, and the start stays the start
         self.decimal = [str(i) for i in range(n)]
         self.cut = re.compile(f"{MARK}+[^{MARK}]*").findall
-        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers, by chunk without its first mark
+        self.forget()
         # symbols: pieces by id, other characters n + code point; pairs of symbols that join to a piece, by code
         self.n, self.symbols = n, n + 0x110000
         self.of_char = np.arange(n, self.symbols)
@@ -136,38 +135,46 @@ class PieceModel:
             sym[r, j] = piece
             src = cols[:-1] + (cols[:-1] >= j[:, None])
             score, join = np.take_along_axis(score, src, 1), np.take_along_axis(join, src, 1)
-            for at in (j - 1, j):  # the pairs on either side of the new symbol
-                has = np.flatnonzero((at >= 0) & (at < width - 1))
-                k = at[has]
-                score[has, k], join[has, k] = self._pairs(sym[has, k], sym[has, k + 1])
+            at, on = np.concatenate([j - 1, j]), np.concatenate([r, r])  # the pairs on either side of the new symbol
+            has = (at >= 0) & (at < width - 1)
+            at, on = at[has], on[has]
+            score[on, at], join[on, at] = self._pairs(sym[on, at], sym[on, at + 1])
         yield rows, sym
 
-    def merge_many(self, chunks: Iterable[str]) -> Iterator[tuple[str, bytes]]:
-        """(chunk, ids as 32-bit numbers) of distinct normalised chunks."""
-        by_length = defaultdict(list)
-        for c in chunks:
-            by_length[len(c)].append(c)
-        for length, same in by_length.items():
-            if length > LONG:
-                yield from ((c, np.array(self.merge(c), "<i4").tobytes()) for c in same)
-                continue
-            points = np.frombuffer("".join(same).encode("utf-32-le"), np.uint32).reshape(-1, length)
-            for rows, sym in self._merged(self.of_char[points]):
-                plain = (sym < self.n).all(axis=1)
-                data, step = sym[plain].astype("<i4").tobytes(), 4 * sym.shape[1]
-                for at, r in enumerate(rows[plain].tolist()):
-                    yield same[r], data[at * step:(at + 1) * step]
-                for r, odd in zip(rows[~plain].tolist(), sym[~plain].tolist()):  # symbols outside the vocabulary
-                    yield same[r], np.array([i for s in odd for i in self._fallback(s)], "<i4").tobytes()
+    def merge_many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): those of chunk i are ids[start[i]:start[i] + size[i]]."""
+        length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        start, size, parts, end = np.zeros_like(length), np.zeros_like(length), [np.empty(0, np.int32)], 0
+        for n in np.unique(length).tolist():
+            same = np.flatnonzero(length == n)
+            if n > LONG:
+                groups = [(same[k:k + 1], np.array([self.merge(chunks[i])])) for k, i in enumerate(same.tolist())]
+            else:
+                points = np.frombuffer("".join([chunks[i] for i in same.tolist()]).encode("utf-32-le"), np.uint32)
+                groups = ((same[rows], sym) for rows, sym in self._merged(self.of_char[points.reshape(-1, n)]))
+            for at, sym in groups:
+                odd = (sym >= self.n).any(axis=1)  # symbols outside the vocabulary
+                for i, ids in [(at[~odd], sym[~odd]), *((at[k:k + 1], self._bytes_of(sym[k])) for k in np.flatnonzero(odd))]:
+                    start[i], size[i] = end + np.arange(len(i)) * ids.shape[1], ids.shape[1]
+                    parts.append(ids.astype(np.int32).ravel())
+                    end += ids.size
+        return np.concatenate(parts), start, size
+
+    def _bytes_of(self, symbols: np.ndarray) -> np.ndarray:
+        return np.array([[i for s in symbols.tolist() for i in self._fallback(s)]])
 
     def _fallback(self, symbol: int) -> list[int]:
         return [symbol] if symbol < self.n else [self.byte[b] for b in chr(symbol - self.n).encode()]
 
+    def forget(self) -> None:
+        """Empties the table of chunks: each one's number, without its first mark, and the ids by number."""
+        self.known: dict[str, int] = {}
+        self.pool, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         """Ids of each whole text."""
-        known = self.known
-        if len(known) >= KEPT_CHUNKS:
-            known.clear()
+        if len(self.known) >= KEPT_CHUNKS:
+            self.forget()
         cut = []
         for t in texts:
             words = self.lib.normalize(t).split(MARK) if t else [""]
@@ -177,13 +184,20 @@ class PieceModel:
             if "" in words:  # runs of marks belong to what follows
                 words = [c[1:] for c in self.cut(MARK + MARK.join(words))]
             cut.append(words)
-        new = set(chain.from_iterable(cut)).difference(known)
-        known.update((chunk[1:], ids) for chunk, ids in self.merge_many([MARK + w for w in new]))
-        ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4").tolist() for words in cut]
-        for w in new:
-            if len(w) >= LONG:  # the table stays bounded in bytes too
-                del known[w]
-        return ids
+        known = self.known
+        if new := list(set(chain.from_iterable(cut)).difference(known)):
+            ids, start, size = self.merge_many([MARK + w for w in new])
+            known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+            self.start = np.concatenate([self.start, start + len(self.pool)])
+            self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
+        words = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64)
+        size = self.size[words]
+        ends = np.append(0, np.cumsum(size))
+        ids = self.pool[np.repeat(self.start[words] - ends[:-1], size) + np.arange(ends[-1])].tolist()
+        at = ends[np.cumsum([0, *map(len, cut)])].tolist()
+        if len(self.pool) > 16 * KEPT_CHUNKS:  # long chunks: the table stays bounded in bytes too
+            self.forget()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids: marks are spaces, the leading mark goes, bytes that form no character are U+FFFD."""
