@@ -99,8 +99,9 @@ def q_span_segments(spark, sf_dir):
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    """All documents; a NULL text counts as empty."""
-    return table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    """All documents. A NULL text counts as empty; that is settled on the results, as a text the optimizer knows to be
+    non-NULL would let it inline the token arrays into the lambdas."""
+    return table(spark, sf_dir, "documents")
 
 
 _BUDGET_SQL = f"""
@@ -139,8 +140,9 @@ def q_badword_mask(spark, sf_dir):
     x = with_token_budget(d.withColumn("n", F.size("tokens")), "n", 0.25, SEED, "doc_id")
     x = x.withColumn("kept", zero_bad_words("mask", "tokens", BAD_WORDS))
     return x.select("doc_id", F.aggregate("mask", F.lit(0), lambda a, v: a + v).alias("n_selected"),
-                    F.aggregate("kept", F.lit(0), lambda a, v: a + v).alias("n_kept"),
-                    F.md5(F.array_join(F.transform("kept", lambda v: v.cast("string")), "")).alias("mask_md5"))
+                    F.coalesce(F.aggregate("kept", F.lit(0), lambda a, v: a + v), F.lit(0)).alias("n_kept"),
+                    F.md5(F.coalesce(F.array_join(F.transform("kept", lambda v: v.cast("string")), ""), F.lit("")))
+                    .alias("mask_md5"))
 
 
 _OFFSETS_SQL = r"""
@@ -175,7 +177,7 @@ def q_char_to_token(spark, sf_dir):
     Offsets come from the in-row tokenizer helper; no shuffle.
     """
     x = _docs(spark, sf_dir).select("doc_id", token_spans("text").alias("o"),
-                                             F.floor(F.length("text") / 2).cast("int").alias("char_index"))
+                                             F.coalesce(F.floor(F.length("text") / 2), F.lit(0)).cast("int").alias("char_index"))
     x = x.select("doc_id", "char_index", "o.starts", "o.ends")
     tok, aligned = char_to_token("starts", "ends", "char_index")
     return x.select("doc_id", "char_index", tok.alias("token_index"), aligned.alias("aligned"))
@@ -192,10 +194,10 @@ FROM (SELECT doc_id FROM documents) LEFT JOIN tok USING (doc_id) GROUP BY doc_id
 def q_mask_to_token(spark, sf_dir):
     """C4 + E7: tokens overlapping a character mask (uppercase ASCII letters), and the shifted loss indices."""
     char_mask = F.transform(F.split(F.regexp_replace(F.regexp_replace("text", "[^A-Z]", "0"), "[A-Z]", "1"), ""),
-                            lambda c: c.cast("int"))
+                            lambda c: c.try_cast("int"))
     x = (_docs(spark, sf_dir).select("doc_id", token_spans("text").alias("o"), char_mask.alias("mask"))
          .select("doc_id", "o.starts", "o.ends", "mask"))
-    x = x.select("doc_id", F.size("starts").alias("n_tokens"), mask_to_tokens("starts", "ends", "mask").alias("sel"))
+    x = x.select("doc_id", F.coalesce(F.size("starts"), F.lit(0)).alias("n_tokens"), mask_to_tokens("starts", "ends", "mask").alias("sel"))
     x = x.withColumn("sh", shift_indices("sel"))
     return x.select("doc_id", "n_tokens", F.size("sel").alias("n_selected"),
                     F.md5(F.array_join(F.transform("sel", lambda v: v.cast("string")), ",")).alias("sel_md5"),
