@@ -3,9 +3,10 @@
 A text is normalised as the model asks and cut into chunks (a run of word marks and what follows), which are independent because
 no piece holds a word mark after another character; that is checked when a model is loaded. A chunk is encoded by a
 score-ordered agenda of adjacent symbol pairs: the pair whose joined piece scores best, the leftmost of equals, is
-merged until none is left, and symbols outside the vocabulary fall back to bytes. The new short chunks of a few texts
+merged until none is left, and symbols outside the vocabulary fall back to bytes. New chunks are first cut between characters
+that no piece holds side by side, as no merge reaches over such a place. The new short stretches of a few texts
 are merged together, one agenda a row of a matrix and one merge each a round; long ones have a heap. Ids are kept
-in a bounded table, so frequent words are merged once. Every text's ids and decoded text are checked against the
+in bounded tables of chunks and stretches, so frequent words are merged once. Every text's ids and decoded text are checked against the
 sentencepiece library in the same Arrow batch, and a difference fails the job.
 
 Rows are independent: no shuffle, and a lost executor costs its batches. Defined cases: null and empty texts have no ids
@@ -18,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -31,7 +32,32 @@ from pyspark.sql import functions as F
 MARK = "▁"
 BATCH_CHARS = 1 << 20  # texts encoded, and handed to the library, together
 KEPT_CHUNKS = 400_000
-LONG = 48  # characters of a chunk that gets a heap of its own
+LONG = 48  # characters of a stretch that gets a heap of its own
+NONE = np.int32(2 ** 31 - 1)
+SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd; its product's upper bits spread pairs over slots
+
+
+class Table:
+    """Ids of strings, kept in one pool and found by the string's number."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.pool, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def large(self) -> bool:
+        return len(self.number) >= KEPT_CHUNKS or len(self.pool) > 16 * KEPT_CHUNKS  # long strings count by their ids
+
+    def add(self, new: list[str], ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self.number.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+        self.start = np.concatenate([self.start, start + len(self.pool)])
+        self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
+
+    def of(self, strings: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings in a row, and the places where each one's begin, with the end."""
+        numbers = np.fromiter(map(self.number.__getitem__, strings), np.int64)
+        size = self.size[numbers]
+        until = np.append(0, np.cumsum(size))
+        return self.pool[np.repeat(self.start[numbers] - until[:-1], size) + np.arange(until[-1])], until
 
 
 class PieceModel:
@@ -63,7 +89,7 @@ class PieceModel:
         self.forget()
         # symbols: pieces by id, other characters n + code point; pairs of symbols that join to a piece, by code
         self.n, self.symbols = n, n + 0x110000
-        self.of_char = np.arange(n, self.symbols)
+        self.of_char = np.arange(n, self.symbols, dtype=np.int32)
         for p, i in self.id.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
@@ -73,8 +99,26 @@ class PieceModel:
 
         pairs = sorted((symbol(p[:k]) * self.symbols + symbol(p[k:]), i) for p, i in self.id.items()
                        for k in range(1, len(p)) if symbol(p[:k]) is not None and symbol(p[k:]) is not None)
-        self.codes, self.joined = np.array(pairs, np.int64).reshape(-1, 2).T.copy()
-        self.scores = np.array([lib.get_score(int(i)) for i in self.joined])
+        codes, joined = np.array(pairs, np.int64).reshape(-1, 2).T.copy()
+        levels, place = np.unique(-np.array([lib.get_score(int(i)) for i in joined]), return_inverse=True)
+        place = place.astype(np.int32)  # equal scores have one rank
+        of_rank: list[set[int]] = [set() for _ in levels]
+        for i, k in zip(joined.tolist(), place.tolist()):
+            of_rank[k].add(i)
+        self.of_rank = np.array([min(x) if len(x) == 1 else -1 for x in of_rank], np.int32)  # -1: several pieces
+        self.codes, self.code_ranks, self.joined = np.append(codes, -1), np.append(place, NONE), joined
+        bits = max(4, (16 * len(codes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slots, self.slot_ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
+        self.slots[self._slot(codes)], self.slot_ranks[self._slot(codes)] = codes, place
+        # characters that stand side by side in some piece: between any others nothing is ever merged
+        side = sorted({c for p in self.id if len(p) > 1 for c in p})
+        self.side = np.zeros(0x110000, np.int32)
+        self.side[[ord(c) for c in side]] = np.arange(1, len(side) + 1)
+        self.beside = np.zeros((len(side) + 1, len(side) + 1), bool)
+        for p in self.id:
+            for x, y in zip(p, p[1:]):
+                self.beside[self.side[ord(x)], self.side[ord(y)]] = True
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of a normalised chunk by the agenda."""
@@ -108,57 +152,92 @@ class PieceModel:
             ids.extend([one] if one is not None else [self.byte[b] for b in s.encode()])
         return ids
 
-    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score and joined piece of symbol pairs; -inf where they don't join."""
-        code = a * self.symbols + b
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where(self.codes[at] == code, self.scores[at], -np.inf), self.joined[at]
+    def _code(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a.astype(np.int64) * self.symbols + b
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return code.astype(np.uint64) * SPREAD >> self.shift
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank, by score, of the piece that symbols join to; NONE where they don't join."""
+        code = self._code(a, b)
+        at = self._slot(code)
+        there = self.slots[at]
+        out = np.where(there == code, self.slot_ranks[at], NONE)
+        other = (there != code) & (there >= 0)  # a slot that another pair holds
+        if other.any():
+            rest = code[other]
+            at = np.searchsorted(self.codes[:-1], rest)
+            out[other] = np.where(self.codes[at] == rest, self.code_ranks[at], NONE)
+        return out
 
     def _merged(self, sym: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(rows, their symbols) as rows of a matrix of chunks of one length come to an end.
+        """(rows, their symbols) as rows of a matrix of stretches of one length come to an end.
 
         Every round merges the best pair of each row, so all rows still open are equally long.
         """
-        rows, (score, join) = np.arange(len(sym)), self._pairs(sym[:, :-1], sym[:, 1:])
+        rows, rank = np.arange(len(sym)), self._ranks(sym[:, :-1], sym[:, 1:])
         while sym.shape[1] > 1:
-            j = score.argmax(axis=1)  # the leftmost of equals
-            open_ = score[np.arange(len(j)), j] > -np.inf
+            j = rank.argmin(axis=1)  # the leftmost of equals
+            best = rank[np.arange(len(j)), j]
+            open_ = best < NONE
             if not open_.all():
                 yield rows[~open_], sym[~open_]
-                rows, sym, score, join, j = rows[open_], sym[open_], score[open_], join[open_], j[open_]
+                rows, sym, rank, best, j = rows[open_], sym[open_], rank[open_], best[open_], j[open_]
                 if not len(rows):
                     return
             r, width = np.arange(len(rows)), sym.shape[1] - 1
-            piece = join[r, j]
-            cols = np.arange(width)
-            sym = np.take_along_axis(sym, cols + (cols > j[:, None]), 1)
+            piece = self.of_rank[best]
+            if len(several := np.flatnonzero(piece < 0)):
+                a, b = sym[several, j[several]], sym[several, j[several] + 1]
+                piece[several] = self.joined[np.searchsorted(self.codes[:-1], self._code(a, b))]
             sym[r, j] = piece
-            src = cols[:-1] + (cols[:-1] >= j[:, None])
-            score, join = np.take_along_axis(score, src, 1), np.take_along_axis(join, src, 1)
+            stay = np.ones(sym.shape, bool)
+            stay[r, j + 1] = False
+            sym, rank = sym[stay].reshape(len(r), width), rank[stay[:, 1:]].reshape(len(r), width - 1)
             at, on = np.concatenate([j - 1, j]), np.concatenate([r, r])  # the pairs on either side of the new symbol
             has = (at >= 0) & (at < width - 1)
             at, on = at[has], on[has]
-            score[on, at], join[on, at] = self._pairs(sym[on, at], sym[on, at + 1])
+            rank[on, at] = self._ranks(sym[on, at], sym[on, at + 1])
         yield rows, sym
 
-    def merge_many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start, size): those of chunk i are ids[start[i]:start[i] + size[i]]."""
-        length = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        start, size, parts, end = np.zeros_like(length), np.zeros_like(length), [np.empty(0, np.int32)], 0
+    def _merge_rows(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): those of stretch i are ids[start[i]:start[i] + size[i]]."""
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
+        start, size, out, end = np.zeros_like(length), np.zeros_like(length), [np.empty(0, np.int32)], 0
         for n in np.unique(length).tolist():
             same = np.flatnonzero(length == n)
             if n > LONG:
-                groups = [(same[k:k + 1], np.array([self.merge(chunks[i])])) for k, i in enumerate(same.tolist())]
+                groups = ((same[k:k + 1], np.array([self.merge(parts[i])])) for k, i in enumerate(same.tolist()))
             else:
-                points = np.frombuffer("".join([chunks[i] for i in same.tolist()]).encode("utf-32-le"), np.uint32)
+                points = np.frombuffer("".join([parts[i] for i in same.tolist()]).encode("utf-32-le"), np.uint32)
                 groups = ((same[rows], sym) for rows, sym in self._merged(self.of_char[points.reshape(-1, n)]))
             for at, sym in groups:
                 odd = (sym >= self.n).any(axis=1)  # symbols outside the vocabulary
                 for i, ids in [(at[~odd], sym[~odd]), *((at[k:k + 1], self._bytes_of(sym[k])) for k in np.flatnonzero(odd))]:
                     start[i], size[i] = end + np.arange(len(i)) * ids.shape[1], ids.shape[1]
-                    parts.append(ids.astype(np.int32).ravel())
+                    out.append(ids.astype(np.int32).ravel())
                     end += ids.size
-        return np.concatenate(parts), start, size
+        return np.concatenate(out), start, size
+
+    def merge_many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): those of chunk i are ids[start[i]:start[i] + size[i]].
+
+        A chunk is first cut between characters that no piece holds side by side; the stretches are merged.
+        """
+        text = "".join(chunks)
+        side = self.side[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        cut = np.ones(len(text) + 1, bool)
+        cut[1:-1] = ~self.beside[side[:-1], side[1:]]
+        begin = np.cumsum([0, *map(len, chunks)])
+        cut[begin] = True
+        ends = np.flatnonzero(cut)
+        parts = [text[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        if new := list(set(parts).difference(self.parts.number)):
+            self.parts.add(new, *self._merge_rows(new))
+        ids, until = self.parts.of(parts)
+        start = until[np.searchsorted(ends, begin)]
+        return ids, start[:-1], np.diff(start)
 
     def _bytes_of(self, symbols: np.ndarray) -> np.ndarray:
         return np.array([[i for s in symbols.tolist() for i in self._fallback(s)]])
@@ -167,13 +246,12 @@ class PieceModel:
         return [symbol] if symbol < self.n else [self.byte[b] for b in chr(symbol - self.n).encode()]
 
     def forget(self) -> None:
-        """Empties the table of chunks: each one's number, without its first mark, and the ids by number."""
-        self.known: dict[str, int] = {}
-        self.pool, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        """Empties the tables of chunks (without their first mark) and of stretches."""
+        self.words, self.parts = Table(), Table()
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         """Ids of each whole text."""
-        if len(self.known) >= KEPT_CHUNKS:
+        if self.words.large() or self.parts.large():
             self.forget()
         cut = []
         for t in texts:
@@ -184,19 +262,10 @@ class PieceModel:
             if "" in words:  # runs of marks belong to what follows
                 words = [c[1:] for c in self.cut(MARK + MARK.join(words))]
             cut.append(words)
-        known = self.known
-        if new := list(set(chain.from_iterable(cut)).difference(known)):
-            ids, start, size = self.merge_many([MARK + w for w in new])
-            known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
-            self.start = np.concatenate([self.start, start + len(self.pool)])
-            self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
-        words = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64)
-        size = self.size[words]
-        ends = np.append(0, np.cumsum(size))
-        ids = self.pool[np.repeat(self.start[words] - ends[:-1], size) + np.arange(ends[-1])].tolist()
-        at = ends[np.cumsum([0, *map(len, cut)])].tolist()
-        if len(self.pool) > 16 * KEPT_CHUNKS:  # long chunks: the table stays bounded in bytes too
-            self.forget()
+        if new := list(set(chain.from_iterable(cut)).difference(self.words.number)):
+            self.words.add(new, *self.merge_many([MARK + w for w in new]))
+        ids, until = self.words.of(chain.from_iterable(cut))
+        ids, at = ids.tolist(), until[np.cumsum([0, *map(len, cut)])].tolist()
         return [ids[a:b] for a, b in zip(at, at[1:])]
 
     def decode(self, ids: list[int]) -> str:
