@@ -81,3 +81,23 @@ def test_turn_numbers_may_have_gaps(spark):
     heads = [r.turn for r in render_turns(t.where("conv_id = 1"), add_generation_prompt=True).collect()
              if r.piece.endswith("<|assistant|>\n")]
     assert heads == [5]
+
+
+def test_prepare_conversation_with_a_callable_tokenizer(spark):
+    from tokenloom.operators.pairs import prepare_conversation
+
+    df = spark.createDataFrame([(1, " ab ", "c"), (2, None, "d")], "k int, text1 string, text2 string")
+    got = prepare_conversation(df, 12, key_cols=["k"], role1="U: ", role2="R", pad_id=0,
+                               fn=lambda texts: [[ord(c) for c in t] for t in texts]).orderBy("k").collect()
+    assert got[0].input_ids == [*map(ord, "U:\nab\nR\nc\n"), 0, 0] and got[0].loss_mask == [0] * 6 + [1] * 4 + [0] * 2
+    assert got[1].n1 == 0 and got[1].n2 == 2
+
+
+def test_reserved_token_must_encode_as_itself(spark):
+    import pytest
+
+    from tokenloom.operators.corpus import reserved_prefix
+
+    reserved_prefix("t", "allenai/OLMo-2-1124-7B", 3, encode=lambda s: [7] * s.count("<|extra_id_0|>"))
+    with pytest.raises(ValueError):
+        reserved_prefix("t", "allenai/OLMo-2-1124-7B", 3, encode=lambda s: [len(s)])

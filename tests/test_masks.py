@@ -69,3 +69,33 @@ def test_char_to_token_long_form_matches_array_form(spark):
     t, a = char_to_token("o.starts", "o.ends", "char_index")
     arr = {r.doc_id: (r.t, r.a) for r in x.select("doc_id", t.alias("t"), a.alias("a")).collect()}
     assert long_form == arr == {1: (1, True), 2: (0, True), 3: (0, False)}
+
+
+def test_span_segments_far_into_a_long_text(spark):
+    text = "".join(chr(97 + i % 26) for i in range(5000)) + "é€😀" * 400
+    ends = [10, 1023, 1024, 1025, 2048, 4999, 5500, 6200]
+    spans = [(a, b, 0.5) for a, b in zip([3, *ends], ends)] + [(1000, 6150, 0.9), (6100, 6000, 0.1)]
+    df = spark.createDataFrame([(text, spans), (None, spans), (text, None)],
+                               "text string, spans array<struct<start:int,end:int,score:double>>")
+    got = df.select(span_segments("text", "spans", 0.8, 0.3).alias("s")).collect()
+    want, prev = [], 0
+    for a, b, _ in spans:
+        want.append(text[min(prev, a):b])
+        prev = b
+    assert [s.text for s in got[0].s] == [*want, text[prev:]]
+    assert [s.text for s in got[1].s] == [None] * len(spans) and [s.text for s in got[2].s] == [text]
+
+
+def test_segment_mask_with_a_callable_tokenizer(spark):
+    df = spark.createDataFrame([([("ab", 3), ("", 1), ("c d", 2)],), (None,)], "s array<struct<text:string,label:int>>")
+    ids, mask = segment_token_mask("s", lambda texts: [[ord(c) for c in t] for t in texts])
+    a = df.select(ids.alias("i"), mask.alias("m")).first()
+    assert a.i == [97, 98, 99, 32, 100] and a.m == [3, 3, 2, 2, 2]
+
+
+def test_spans_by_a_callable_tokenizer(spark):
+    from tokenloom.operators.tokenize import spans_by
+
+    df = spark.createDataFrame([("abcd",), ("",), (None,)], "text string")
+    got = [r[0] for r in df.select(spans_by(lambda ts: [[(k, k + 2) for k in range(0, len(t), 2)] for t in ts])("text")).collect()]
+    assert [(x.starts, x.ends) for x in got] == [([0, 2], [2, 4]), ([], []), ([], [])]

@@ -65,3 +65,10 @@ def test_cross_entropy_of_null_and_empty(spark):
     df = spark.createDataFrame([(None, 0), ([], 0), ([1.0, 2.0], None), ([1.0, 1.0], 0)], "v array<double>, l int")
     got = [r[0] for r in df.select(cross_entropy("v", "l")).collect()]
     assert got[:3] == [None, None, None] and got[3] == pytest.approx(0.6931471805599453)
+
+
+def test_find_subsequences_skips_no_pattern_whatever_lengths_are_given(spark):
+    docs = spark.createDataFrame([(1, list("abcab"))], "doc_id long, tokens array<string>")
+    pats = spark.createDataFrame([(10, list("ab")), (11, list("b"))], "item_id long, pattern array<string>")
+    got = sorted(tuple(r) for r in find_subsequences(docs, pats, anchor=4, anchor_lengths=[2]).collect())
+    assert got == [(10, 1, 0), (10, 1, 3), (11, 1, 1), (11, 1, 4)]

@@ -20,6 +20,11 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, although a lambda in it refers to it for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def md5_hex(c) -> Column:
     """H1: md5 hex digest of the UTF-8 text."""
     return F.md5(col_(c).cast("string"))

@@ -6,6 +6,8 @@ B4 hash prefix, B9 prepare_corpus dispatch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +40,20 @@ def canonical_documents(df: DataFrame, text: str = "text", source: str | None =
     return df.select(F.md5(t).alias("id"), src.cast("string").alias("source"), t.alias("text"))
 
 
-def reserved_prefix(text, tokenizer_name: str, prefix_length: int = 1):
-    """``token * prefix_length + text``; unknown tokenizer names fail at plan time."""
+def reserved_prefix(text, tokenizer_name: str, prefix_length: int = 1,
+                    encode: Callable[[str], list[int]] | None = None):
+    """``token * prefix_length + text``; unknown tokenizer names fail at plan time.
+
+    With the tokenizer's ``encode`` the repeated token must encode as its own ids repeated, or the plan fails.
+    """
     if tokenizer_name not in RESERVED_TOKENS:
         raise ValueError(f"Unknown tokenizer: {tokenizer_name}")
     if prefix_length < 0:
         raise ValueError("prefix_length must be >= 0")
-    return F.concat(F.lit(RESERVED_TOKENS[tokenizer_name] * prefix_length), col_(text))
+    token = RESERVED_TOKENS[tokenizer_name]
+    if encode is not None and list(encode(token * prefix_length)) != list(encode(token)) * prefix_length:
+        raise ValueError(f"{token} repeated does not encode as its own ids")
+    return F.concat(F.lit(token * prefix_length), col_(text))
 
 
 def hash_prefix(text, prefix_length: int):
@@ -57,7 +66,7 @@ def hash_prefix(text, prefix_length: int):
 
 def prepare_corpus(df: DataFrame, mode: str, *, text: str = "text", source: str | None = None,
                    source_value: str | None = "pubmed", tokenizer_name: str | None = None,
-                   prefix_length: int = 1) -> DataFrame:
+                   prefix_length: int = 1, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
     """Filter empty texts, project ``id, source, text``, optionally prefix the text.
 
     The id is always the md5 of the unprefixed text.
@@ -66,7 +75,7 @@ def prepare_corpus(df: DataFrame, mode: str, *, text: str = "text", source: str
         raise ValueError(f"Unknown dataset: {mode}")
     docs = canonical_documents(drop_empty_text(df, text), text, source, source_value)
     if mode == "pubmed_reservedprefix":
-        docs = docs.withColumn("text", reserved_prefix("text", tokenizer_name or "", prefix_length))
+        docs = docs.withColumn("text", reserved_prefix("text", tokenizer_name or "", prefix_length, encode))
     elif mode == "pubmed_hashprefix":
         docs = docs.withColumn("text", hash_prefix("text", prefix_length))
     return docs

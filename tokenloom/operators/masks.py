@@ -8,12 +8,15 @@ offset helpers, which use one window per document.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.functions.text import col_, py_lower_strip, token_id, ws_tokens
+from tokenloom.functions.text import col_, let, py_lower_strip, token_id, ws_tokens
+from tokenloom.operators.tokenize import ids_of_pieces
+
+CUT = 1024  # characters of the pieces a text is cut into once
 
 
 def severity(score, toxic_threshold: float, safe_threshold: float) -> Column:
@@ -27,26 +30,39 @@ def span_segments(text, spans, toxic_threshold: float, safe_threshold: float) ->
 
     Segment i runs from ``min(prev_end, start_i)`` to ``end_i`` (a gap joins the
     next span, an overlap repeats text); text after the last span end is one
-    more segment with label 1.
+    more segment with label 1. The text is cut into pieces of ``CUT`` characters
+    once, so a segment costs its own length and not its distance from the start.
     """
     t, sp = col_(text), col_(spans)
 
-    def seg(s, i):
+    def seg(pieces, s, i):
         prev = F.when(i == 0, F.lit(0)).otherwise(F.get(sp, i - 1)["end"])
-        lo = F.least(prev, s["start"])
-        return F.struct(F.substring(t, lo + 1, s["end"] - lo).alias("text"),
+        lo = F.greatest(F.least(prev, s["start"]), F.lit(0))
+        hi = F.greatest(s["end"], lo)
+        first = F.floor(lo / CUT).cast("int")
+        near = F.array_join(F.slice(pieces, first + 1, F.floor(hi / CUT).cast("int") - first + 1), "")
+        return F.struct(F.substring(near, lo - first * CUT + 1, hi - lo).alias("text"),
                         severity(s["score"], toxic_threshold, safe_threshold).alias("label"))
 
     last_end = F.coalesce(F.get(sp, F.size(sp) - 1)["end"], F.lit(0))
     tail = F.when(last_end < F.length(t), F.array(F.struct(F.substr(t, last_end + 1).alias("text"),
                                                             F.lit(1).alias("label"))))
-    spans_ = F.coalesce(F.transform(sp, seg), F.array().cast("array<struct<text:string,label:int>>"))  # NULL: no span
+    cut = let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)),
+              lambda pieces: F.transform(sp, lambda s, i: seg(pieces, s, i)))
+    spans_ = F.coalesce(cut, F.array().cast("array<struct<text:string,label:int>>"))  # NULL: no span
     return F.concat(spans_, F.coalesce(tail, F.array().cast("array<struct<text:string,label:int>>")))
 
 
-def segment_token_mask(segments) -> tuple[Column, Column]:
-    """``(input_ids, loss_mask)``: each segment's tokens, its label repeated per token."""
+def segment_token_mask(segments, fn: Callable[[list[str]], list[list[int]]] | None = None) -> tuple[Column, Column]:
+    """``(input_ids, loss_mask)``: each segment's tokens, its label repeated per token.
+
+    ``fn`` is any tokenizer of a list of texts; without it the built-in one is used.
+    """
     s = col_(segments)
+    if fn is not None:
+        each = ids_of_pieces(fn)(F.transform(s, lambda x: x["text"]))
+        labels = F.transform(s, lambda x: x["label"])
+        return F.flatten(each), F.flatten(F.zip_with(each, labels, lambda i, l: F.array_repeat(l, F.size(i))))
     toks = F.transform(s, lambda x: F.struct(ws_tokens(x["text"]).alias("t"), x["label"].alias("l")))
     ids = F.flatten(F.transform(toks, lambda x: F.transform(x["t"], token_id)))
     mask = F.flatten(F.transform(toks, lambda x: F.array_repeat(x["l"], F.size(x["t"]))))

@@ -7,11 +7,14 @@ the second text (``fix_empty_reply`` turns that off).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import col_, order_key, py_strip, token_ids
 from tokenloom.operators.packing import PAD_ID
+from tokenloom.operators.tokenize import ids_of_pieces
 
 
 def truncation_cuts(n1, n2, p1, p2, max_seq_len: int, fix_empty_reply: bool = False) -> tuple[Column, Column]:
@@ -60,15 +63,22 @@ def loss_all_but_pad(ids, pad_id: int = PAD_ID) -> Column:
 def prepare_conversation(df: DataFrame, max_seq_len: int, *, text1: str = "text1", text2: str = "text2",
                          role1: str = "User: ", role2: str = "Response: ", seed: int | None = None,
                          key_cols=(), use_loss_mask: bool = True, pad: bool = True, pad_id: int = PAD_ID,
-                         fix_empty_reply: bool = False) -> DataFrame:
+                         fix_empty_reply: bool = False,
+                         fn: Callable[[list[str]], list[list[int]]] | None = None) -> DataFrame:
     """Pair rows -> ``input_ids, loss_mask, attention_mask`` (+ cut sizes), optionally an order key.
 
-    Texts and role prefixes are stripped and tokenised with the built-in tokenizer.
+    Texts and role prefixes are stripped, get a line end each and are tokenised: with ``fn`` (any tokenizer of a
+    list of texts, in Arrow batches) or the built-in tokenizer, to which the line end is no token.
     """
-    p1 = token_ids(F.lit(role1.strip()))
-    p2 = token_ids(F.lit(role2.strip()))
-    x = df.select(*key_cols, token_ids(py_strip(text1)).alias("_i1"), token_ids(py_strip(text2)).alias("_i2"),
-                  p1.alias("_p1"), p2.alias("_p2"))
+    parts = [F.concat(py_strip(text1), F.lit("\n")), F.concat(py_strip(text2), F.lit("\n"))]
+    if fn is None:
+        x = df.select(*key_cols, *[token_ids(t).alias(c) for t, c in zip(parts, ("_i1", "_i2"))],
+                      *[token_ids(F.lit(r.strip() + "\n")).alias(c) for r, c in zip((role1, role2), ("_p1", "_p2"))])
+    else:
+        roles = [F.array(*map(F.lit, ids)).cast("array<int>") for ids in fn([role1.strip() + "\n", role2.strip() + "\n"])]
+        x = df.select(*key_cols, ids_of_pieces(fn)(F.array(*parts)).alias("_ids"))
+        x = x.select(*key_cols, F.get("_ids", 0).alias("_i1"), F.get("_ids", 1).alias("_i2"),
+                     roles[0].alias("_p1"), roles[1].alias("_p2"))
     c1, c2 = truncation_cuts(F.size("_i1"), F.size("_i2"), F.size("_p1"), F.size("_p2"), max_seq_len,
                              fix_empty_reply)
     x = x.withColumn("cut1", c1).withColumn("cut2", c2)

@@ -38,20 +38,17 @@ def find_subsequences(corpus: DataFrame, patterns: DataFrame, *, doc_id: str = "
                       anchor_lengths: list[int] | None = None, first_only: bool = False) -> DataFrame:
     """All occurrences ``(pattern_id, doc_id, pos)`` of every pattern in every token sequence.
 
-    ``anchor_lengths`` lists the distinct ``min(anchor, len(pattern))`` values (one pass
-    over the corpus positions each); by default they are read from the patterns with one
-    tiny aggregate (at most ``anchor`` values). Empty patterns are rejected per row (no hits).
+    The distinct ``min(anchor, len(pattern))`` values (one pass over the corpus positions each) are read from the
+    patterns with one tiny aggregate (at most ``anchor`` values); ``anchor_lengths`` can only add to them, so no
+    pattern is skipped. Empty patterns are rejected per row (no hits).
     """
     pats = (patterns.select(F.col(pattern_id).alias("pid"), F.col(pattern).alias("pat"))
             .where(F.size("pat") > 0)
             .withColumn("a", F.least(F.size("pat"), F.lit(anchor)))
             .withColumn("h", F.xxhash64(F.slice("pat", 1, F.col("a")))))
-    if anchor_lengths is None:
-        # At most ``anchor`` distinct small integers: the shape of the plan, not data.
-        anchor_lengths = [r[0] for r in pats.select("a").distinct().collect()]
-    lengths = sorted(set(anchor_lengths))
-    if not lengths:
-        lengths = [anchor]
+    # At most ``anchor`` distinct small integers: the shape of the plan, not data.
+    found = [r[0] for r in pats.select("a").distinct().collect()]
+    lengths = sorted({*found, *(anchor_lengths or ())}) or [anchor]
     docs = corpus.select(F.col(doc_id).alias("doc"), F.col(tokens).alias("toks"))
     cands = None
     for a in lengths:

@@ -44,6 +44,17 @@ def _callable_udf(fn):
     return _tok
 
 
+def ids_of_pieces(fn):
+    """A column function: ``array<string>`` to the ids of each element, all of a batch through one call of ``fn``."""
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def _pieces(s: pd.Series) -> pd.Series:
+        rows = [[] if x is None else ["" if t is None else t for t in x] for x in s.tolist()]
+        ids = iter(fn([t for r in rows for t in r]))
+        return pd.Series([[next(ids) for _ in r] for r in rows], dtype="object")
+
+    return _pieces
+
+
 # Built-in tokens as a Python pattern (same class as WS_CLASS) for the offsets helper.
 _TOKEN_RE = re.compile(r"[^ \t\n\x0b\f\r]+")
 OFFSETS_TYPE = T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())),
@@ -66,6 +77,16 @@ def token_spans(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"starts": starts, "ends": ends})
 
 
+def spans_by(fn: Callable[[list[str]], list[list[tuple[int, int]]]]):
+    """As ``token_spans`` for any tokenizer: ``fn`` gives the (start, end) of every token of each text."""
+    @F.pandas_udf(OFFSETS_TYPE)
+    def _spans(texts: pd.Series) -> pd.DataFrame:
+        found = [np.array(list(x), dtype=np.int32).reshape(-1, 2) for x in fn([t or "" for t in texts.tolist()])]
+        return pd.DataFrame({"starts": [x[:, 0] for x in found], "ends": [x[:, 1] for x in found]})
+
+    return _spans
+
+
 def decode(tokens_col: str = "tokens", sep: str = " "):
     """Decode built-in tokens back to text (a projection)."""
     return F.array_join(F.col(tokens_col), sep)
