@@ -251,8 +251,10 @@ class PieceModel:
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         """Ids of each whole text."""
-        if self.words.large() or self.parts.large():
-            self.forget()
+        if self.words.large():
+            self.words = Table()
+        if self.parts.large():
+            self.parts = Table()
         cut = []
         for t in texts:
             words = self.lib.normalize(t).split(MARK) if t else [""]
