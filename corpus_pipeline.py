@@ -15,7 +15,7 @@ from tokenloom.llm.line_spread import dedup_lines
 from tokenloom.llm.mixing import apply_mix
 from tokenloom.llm.piece_bpe import digests
 from tokenloom.llm.quality_knn import keep_good
-from tokenloom.llm.queries import MIN_CHARS, MIN_SITES, piece_model
+from tokenloom.llm.queries import MIN_SITES, piece_model
 from tokenloom.llm.simhash_bk import keep_one
 
 
@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on five or more sources stay in their first document only."""
-    return dedup_lines(docs, min_sites=MIN_SITES, min_chars=MIN_CHARS)
+    """Non-blank lines of any length on five or more sources stay in their first document only."""
+    return dedup_lines(docs, min_sites=MIN_SITES, min_chars=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,10 @@ def test_empty_table(spark):
     for name, f in corpus_pipeline.STAGES:
         docs = staged(f(spark, docs, SF), f"test-{name}")
     assert docs.count() == 0
+
+
+def test_short_boilerplate_goes(spark):
+    rows = [(i, f"Les.\n\nown line of document {i}\n }} ", f"s{i}") for i in range(6)] + [(6, "rare\nLes.", "s0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, df, SF).collect()}
+    assert got == {0: rows[0][1], 6: "rare", **{i: f"\nown line of document {i}" for i in range(1, 6)}}
