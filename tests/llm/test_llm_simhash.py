@@ -93,3 +93,11 @@ def test_awkward_groups_and_one_kept(awkward, nothing):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(map(str, ids)) == sorted({str(c) for _, c in got.values()})
     assert simhash_groups(nothing).count() == 0 and keep_one(nothing).count() == 0
+
+
+def test_one_kept_of_each_component_with_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (7, d)]
+    assert len({slow_simhash(t) for t in (a, b, c, d)}) == 4
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, a), (None, b), (5, c), (5, d)]))

@@ -10,8 +10,8 @@ Trees travel by shuffle to the queries of their shard and not by driver broadcas
 of all documents, which no driver may gather.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other; fewer words than a shingle make one
-shingle of all; ``component_id`` is the smallest non-null id reachable (null if all ids are null); repeated rows are one
-group; an empty table gives an empty result. Other columns are not read (``keep_one`` passes them through).
+shingle of all; ``component_id`` is the smallest non-null id reachable (null if all ids are null); components
+that share an id, or have none, stay apart in ``keep_one``; repeated rows are one group; an empty table gives an empty result. Other columns are not read (``keep_one`` passes them through).
 """
 
 from __future__ import annotations
@@ -216,7 +216,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame, *, max_distance: int = 3, hot_share: int = 1000) -> DataFrame:
-    """``prints`` (a staged table with doc_id and fp) with ``component_id``.
+    """``prints`` (a staged table with doc_id and fp) with ``component_id`` and ``root``, a fingerprint that tells
+    components apart (ids may be null or repeat).
 
     The class of a fingerprint is looked up per row. At most ``hot_share`` fingerprints can each hold over
     1/``hot_share`` of the rows; those are broadcast, so no task gathers a fingerprint's rows.
@@ -228,9 +229,9 @@ def components(prints: DataFrame, *, max_distance: int = 3, hot_share: int = 100
         "fp", "n", "rep", F.coalesce("root", "fp").alias("root"))
     member = staged(member, "members")
     best = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    class_of = staged(member.join(best, "root").select("fp", "n", "component_id"), "classes")
-    hot = class_of.filter(F.col("n") * hot_share >= total).select("fp", "component_id")
-    cold = class_of.filter(F.col("n") * hot_share < total).select("fp", "component_id")
+    class_of = staged(member.join(best, "root").select("fp", "n", "root", "component_id"), "classes")
+    hot = class_of.filter(F.col("n") * hot_share >= total).select("fp", "root", "component_id")
+    cold = class_of.filter(F.col("n") * hot_share < total).select("fp", "root", "component_id")
     return prints.join(F.broadcast(hot), "fp").unionByName(
         prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp"))
 
@@ -239,7 +240,7 @@ def simhash_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                    max_distance: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     prints = staged(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp")), "simhash")
-    return components(prints, max_distance=max_distance)
+    return components(prints, max_distance=max_distance).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3,
@@ -249,7 +250,7 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
     prints = staged(docs.select(F.col(doc_id).alias("doc_id"), th.alias("th"), fingerprint(F.col(text), words).alias("fp")),
                     "simhash")
     groups = components(prints, max_distance=max_distance)
-    keep = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("k"))
+    keep = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("k"))
     keep = keep.select(F.col("k.doc_id").alias("kd"), F.col("k.th").alias("kt"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.col(doc_id).alias("d"), th.alias("t"))
