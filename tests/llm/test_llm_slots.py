@@ -38,3 +38,16 @@ def test_versions_are_kept(spark):
     save_map(one.rebalanced([i for i in range(4096)]).table(spark, size, size), path)
     assert load_map(spark, path).first().version == 2 and load_map(spark, path, 1).count() == 4096
     assert [r.shard for r in load_map(spark, path, 1).orderBy("vslot").collect()] == list(one.shard_of)
+
+
+def test_common_and_missing_keys_and_equal_rows_spread(spark):
+    docs = spark.range(0, 24_000, numPartitions=3).selectExpr(
+        "CASE WHEN id % 3 = 2 THEN id WHEN id % 3 = 1 THEN 7 END AS doc_id",
+        "CASE WHEN id % 3 = 1 THEN 'the same text again' ELSE repeat('y', cast(id % 50 AS int)) || id END AS text")
+    got = shard(docs, 8).toPandas()
+    load, rows = got.groupby("shard")["size"].sum(), got.groupby("vslot").size()
+    assert len(load) == 8 and load.max() - load.min() <= 0.001 * load.mean() + 60 and rows.max() <= 40
+    assert all(sorted(g.place) == list(range(len(g))) for _, g in got.groupby("shard"))
+    cols = ["doc_id", "size", "text_crc32", "vslot", "shard", "place"]
+    again = shard(docs.repartition(7, "text"), 8).toPandas()
+    assert got[cols].sort_values(cols).to_string(index=False) == again[cols].sort_values(cols).to_string(index=False)

@@ -1,13 +1,16 @@
 """Sharding through fixed virtual slots (DataFrame operations only).
 
-A record's key is hashed into one of a few thousand slots, for ever. Bytes and rows are summed by slot, and a
+A record is hashed, by its key and its text, into one of a few thousand slots, for ever; identical records are numbered
+and the number is hashed too, so neither a common (or missing) key nor a common record fills a slot. The numbering counts
+them in chunks of ``CHUNK`` rows as they are read and adds the counts of the chunks before: the rows of a record never meet
+in one task, and the numbers are 0, 1, ... however the rows are read. Bytes and rows are summed by slot, and a
 small table maps slots to shards. That table is versioned: version 1 deals the slots out evenly, a rebalancing
 copies the newest version and edits it (moves single slots), and adding a shard only moves slots into the new one.
 Records never move but with their slot. The law is `bytes`: after rebalancing the shards' bytes are near equal.
 
 All that reaches the driver is one row a slot (``slots`` rows, whatever the corpus). Defined cases: a null text
-has no bytes (size 1 with the separator); a null key is a key like any other; rows with equal keys share a slot;
-equal rows take neighbouring places; an empty table gives an empty result and an even map. Other columns are not read.
+has no bytes (size 1 with the separator); a null key is a key like any other; rows with equal keys but different
+texts, and equal rows, are spread over the slots; an empty table gives an empty result and an even map. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,9 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import scratch_path
+from tokenloom.llm.common import scratch_path, staged
 
 SLOTS = 4096
+CHUNK_BITS = 12  # a chunk: 4096 rows, one after the other in a partition
 
 
 def virtual_slot(key: list[str], slots: int = SLOTS) -> Column:
@@ -101,11 +105,29 @@ class SlotMap:
             of(size).alias("bytes"), of(rows).alias("rows"), of(start).alias("start"))
 
 
-def slot_totals(docs: DataFrame, *, key: list[str], text: str, slots: int = SLOTS) -> tuple[list[int], list[int]]:
+def records(docs: DataFrame, *, key: list[str], text: str, slots: int = SLOTS) -> DataFrame:
+    """(key columns, size, text_crc32, vslot) of every row, staged: the text is read once."""
+    rows = docs.select(*key, record_size(text).alias("size"),
+                       F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
+                       F.xxhash64(text).alias("__th"),
+                       F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("__chunk"))
+    same = F.concat_ws("\0", F.to_json(F.struct(*key)), *[F.col(c).cast("string") for c in ("size", "text_crc32", "__th")])
+    rows = staged(rows.withColumn("__same", F.md5(same.cast("binary"))).drop("__th"), "slot-rows")
+    earlier = F.sum("n").over(Window.partitionBy("__same").orderBy("__chunk")
+                              .rowsBetween(Window.unboundedPreceding, -1))  # one row a chunk
+    chunks = rows.groupBy("__same", "__chunk").agg(F.count(F.lit(1)).alias("n")).withColumn("__earlier", earlier)
+    chunks = chunks.filter("__earlier > 0").select("__same", "__chunk", "__earlier")
+    here = F.row_number().over(Window.partitionBy("__same", "__chunk").orderBy("__same")) - 1  # at most a chunk
+    rows = rows.withColumn("__here", here).join(chunks, ["__same", "__chunk"], "left")
+    rows = rows.withColumn("__copy", F.col("__here") + F.coalesce("__earlier", F.lit(0).cast("long")))
+    return staged(rows.select(*key, "size", "text_crc32", virtual_slot(["__same", "__copy"], slots).alias("vslot")),
+                  "slot-records")
+
+
+def slot_totals(recs: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
     """Bytes and rows of every slot: one row a slot reaches the driver."""
     size, rows = [0] * slots, [0] * slots
-    per = docs.select(virtual_slot(key, slots).alias("v"), record_size(text).alias("b")).groupBy("v").agg(
-        F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    per = recs.groupBy(F.col("vslot").alias("v")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
     for r in per.collect():
         size[r.v], rows[r.v] = r.b, r.n
     return size, rows
@@ -129,18 +151,16 @@ def shard(docs: DataFrame, shards: int, *, key: list[str] = ("doc_id",), text: s
 
     Stores version 1 (even) and version 2 (rebalanced by bytes) of the map under ``path`` and applies the stored
     newest version. ``place`` numbers the rows of a shard without gaps: the start of the slot within its shard
-    plus the row's number within the slot (a window over one slot, 1/``slots`` of the rows).
+    plus the row's number within the slot (a window over one slot, about 1/``slots`` of the rows).
     """
     spark, key = docs.sparkSession, list(key)
     path = path or scratch_path(spark, "slot-map")
-    size, rows = slot_totals(docs, key=key, text=text, slots=slots)
+    recs = records(docs, key=key, text=text, slots=slots)
+    size, rows = slot_totals(recs, slots)
     first = SlotMap.even(shards, slots)
     save_map(first.table(spark, size, rows), path)
     save_map(first.rebalanced(size).table(spark, size, rows), path)
     newest = load_map(spark, path).select("vslot", "shard", "start", F.col("version").alias("map_version"))
-    recs = docs.select(*key, record_size(text).alias("size"),
-                       F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-                       virtual_slot(key, slots).alias("vslot"))
     within = F.row_number().over(Window.partitionBy("vslot").orderBy(*key, "text_crc32", "size")) - 1
     recs = recs.withColumn("__n", within.cast("long"))
     return recs.join(F.broadcast(newest), "vslot").select(  # one row a slot
