@@ -49,3 +49,16 @@ def test_apply(awkward, nothing):
     n, src = Counter((r.doc_id, r.source) for r in out.collect()), Counter((r.doc_id, r.source) for r in awkward.collect())
     assert all(n[k] == times[k] * c for k, c in src.items())
     assert mix(nothing).count() == 0 and apply_mix(nothing).count() == 0
+
+
+def test_rows_that_share_a_key_are_cut_singly(spark):
+    """Without ids, and on one id with rows that differ in another column only, the target is met to a document."""
+    docs = spark.range(0, 3000, numPartitions=5).selectExpr(
+        "CASE WHEN id % 2 = 1 THEN 7L END AS doc_id", "CASE WHEN id % 2 = 1 THEN 'a b c' ELSE 'word w' || id END AS text",
+        "CASE WHEN id % 2 = 1 THEN 's' END AS source", "id AS n", "map('n', id) AS m")
+    got = mix(docs).toPandas()
+    got["taken"] = got["size"] * got["times"]
+    assert got.groupby("source", dropna=False).taken.sum().sub(
+        got.groupby("source", dropna=False).target.first()).abs().max() <= 3
+    assert sorted(r.n for r in apply_mix(docs).collect()) == sorted(r.n for r in apply_mix(docs.repartition(3, "n")).collect())
+    assert apply_mix(docs).count() == got.times.sum()

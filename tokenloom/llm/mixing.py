@@ -4,13 +4,14 @@ Each source's token target is a number of whole passes over the source plus a bu
 pass. A document's place in the partial pass is a 60-bit hash of its key, so the pass is "every document
 whose hash lies below the source's cut". The cut comes from histograms: tokens are summed by (source, hash
 bucket), the bucket in which the budget runs out is found from a running sum over at most 4096 buckets, and
-only that bucket is split again, until it holds one hash value. No document is ever sorted, and the same
-input gives the same mix on every run.
+only that bucket is split again, until it holds one hash value. If rows that aren't the same share it (a repeated or a
+missing key), the group is cut in the same way by a 60-bit hash of the whole row. No document is ever sorted, and the
+same input gives the same mix on every run.
 
 Defined cases: null or empty texts have size 0 and are taken like any other; a null source is a source of
-its own, last in order; rows with an equal key have an equal hash and are taken together, and a null key counts
-as the empty string; an empty table gives an empty mix. The document at the cut is taken if that
-brings the source nearer to its target. Other columns are not read.
+its own, last in order; rows with an equal key have an equal hash, and a null key counts as the empty string; rows equal in
+all columns are taken together; an empty table gives an empty mix. The document at the cut is taken if that
+brings the source nearer to its target. Other columns are read for the hash of the row only.
 """
 
 from __future__ import annotations
@@ -34,10 +35,16 @@ def key_hash(key: str) -> Column:
     return F.conv(digits, 16, 10).cast("long")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """60 bits of a hash of all columns as a non-negative long; a null differs from a column left out."""
+    cols = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
+    return F.shiftrightunsigned(F.xxhash64(*cols, *[c.isNull() for c in cols]), 64 - HASH_BITS)
+
+
 def sized(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(key, source, size, h) of every document, staged: the text is read once."""
+    """(key, source, size, h, r) of every document, staged: the text is read once."""
     return staged(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"),
-                              key_hash(key).alias("h")), "mix-sizes")
+                              key_hash(key).alias("h"), row_hash(docs).alias("r")), "mix-sizes")
 
 
 def targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5,
@@ -68,39 +75,64 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share:
                       .alias("target"))
 
 
-def cuts(sizes: DataFrame, goals: DataFrame) -> DataFrame:
-    """(source, source_size, target, passes, cut): whole passes, and the hash below which one more is made.
+def _boundary(sizes: DataFrame, state: DataFrame, column: str) -> DataFrame:
+    """(source, rest, cut, tie) for a ``state`` of (source, rest): the value of ``column`` below which rows are taken.
 
-    Each level is one pass over the staged (source, size, h) rows of the open buckets and one row a source
-    of state; at most five levels, fewer once every open bucket holds a single hash value.
+    If the last value holds rows with different ``r``, it is the ``tie`` and the cut, and ``rest`` is what is left
+    for it. Each level is one pass over the staged rows of the open buckets and one row a source of state;
+    at most five levels, fewer once every open bucket holds a single value.
     """
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    state = goals.withColumn("passes", passes).withColumn("rest", F.col("target") - passes * F.col("source_size"))
-    state = staged(state.withColumn("lo", F.lit(0).cast("long")).withColumn("cut", F.lit(None).cast("long")), "mix-cuts")
+    state = staged(state.select("source", "rest", F.lit(0).cast("long").alias("lo"), F.lit(None).cast("long").alias("cut"),
+                                F.lit(None).cast("long").alias("tie")), "mix-cuts")
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
         width = 1 << (shift + LEVEL_BITS)
         open_ = state.filter("cut IS NULL").select("source", "lo", "rest")
-        rows = lookup_join(sizes.select("source", "size", "h"), open_, "source")
+        rows = lookup_join(sizes.select("source", "size", F.col(column).alias("h"), "r"), open_, "source")
         rows = rows.filter((F.col("h") >= F.col("lo")) & (F.col("h") < F.col("lo") + F.lit(width)))
         hist = rows.groupBy("source", "rest", F.shiftright("h", shift).alias("b")).agg(
-            F.sum("size").alias("size"), F.min("h").alias("h0"), F.max("h").alias("h1"))
+            F.sum("size").alias("size"), F.min("h").alias("h0"), F.max("h").alias("h1"),
+            (F.min("r") == F.max("r")).alias("alike"))
         w = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hist = hist.withColumn("upto", F.sum("size").over(w)).filter(F.col("upto") > F.col("rest"))
-        first = hist.groupBy("source").agg(F.min(F.struct("b", "size", "upto", "h0", "h1", "rest")).alias("f"))
+        first = hist.groupBy("source").agg(F.min(F.struct("b", "size", "upto", "h0", "h1", "alike", "rest")).alias("f"))
         left = F.col("f.rest") - (F.col("f.upto") - F.col("f.size"))
-        taken = (F.col("f.size") / 2 <= left).cast("long")
+        taken = (F.col("f.alike") & (F.col("f.size") / 2 <= left)).cast("long")
+        single = F.col("f.h0") == F.col("f.h1")
         first = first.select("source", F.lit(True).alias("found"), F.shiftleft("f.b", shift).alias("lo2"),
-                             left.alias("rest2"),
-                             F.when(F.col("f.h0") == F.col("f.h1"), F.col("f.h0") + taken).alias("cut2"))
+                             left.alias("rest2"), F.when(single, F.col("f.h0") + taken).alias("cut2"),
+                             F.when(single & ~F.col("f.alike"), F.col("f.h0")).alias("tie2"))
         first = staged(first, "mix-bucket")
         state = lookup_join(state, first, "source", "left")
         whole = F.when(F.col("found").isNull(), F.lit(1 << HASH_BITS))  # the budget covers all that is left
         state = staged(state.select(
-            "source", "source_size", "target", "passes", F.coalesce("rest2", "rest").alias("rest"),
-            F.coalesce("lo2", "lo").alias("lo"), F.coalesce("cut", "cut2", whole).alias("cut")), "mix-cuts")
+            "source", F.coalesce("rest2", "rest").alias("rest"), F.coalesce("lo2", "lo").alias("lo"),
+            F.coalesce("cut", "cut2", whole).alias("cut"), F.coalesce("tie", "tie2").alias("tie")), "mix-cuts")
         if state.filter("cut IS NULL").isEmpty():
             break
-    return state.select("source", "source_size", "target", "passes", "cut")
+    return state.select("source", "rest", "cut", "tie")
+
+
+def cuts(sizes: DataFrame, goals: DataFrame) -> DataFrame:
+    """(source, source_size, target, passes, cut, tie, tie_cut): whole passes, and the hash below which one more is
+    made; of the rows whose hash is ``tie``, those with a row hash below ``tie_cut`` get it as well."""
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    state = goals.withColumn("passes", passes).withColumn("rest", F.col("target") - passes * F.col("source_size"))
+    state = staged(state, "mix-goals")
+    top = _boundary(sizes, state.select("source", "rest"), "h")
+    ties = top.filter("tie IS NOT NULL").select("source", "tie", "rest")
+    out = lookup_join(state.drop("rest"), top.drop("rest"), "source")
+    if ties.isEmpty():
+        return out.select("source", "source_size", "target", "passes", "cut", "tie",
+                          F.lit(None).cast("long").alias("tie_cut"))
+    tied = lookup_join(sizes, ties.select("source", "tie"), "source").filter("h = tie")
+    low = _boundary(tied, ties.select("source", "rest"), "r").select("source", F.col("cut").alias("tie_cut"))
+    return lookup_join(out, low, "source", "left").select("source", "source_size", "target", "passes", "cut", "tie", "tie_cut")
+
+
+def _times() -> Column:
+    """How often a row (h, r) is taken that has its source's cuts beside it."""
+    tied = F.coalesce((F.col("h") == F.col("tie")) & (F.col("r") < F.col("tie_cut")), F.lit(False))
+    return F.col("passes") + ((F.col("h") < F.col("cut")) | tied).cast("long")
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text",
@@ -109,17 +141,15 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
     sizes = sized(docs, key=key, source=source, text=text)
     bounds = cuts(sizes, targets(sizes, weights=weights, share=share, most=most))
     out = lookup_join(sizes, bounds, "source")
-    times = F.col("passes") + (F.col("h") < F.col("cut")).cast("long")
-    return out.select("key", "source", "size", "source_size", "target", times.alias("times"))
+    return out.select("key", "source", "size", "source_size", "target", _times().alias("times"))
 
 
 def apply_mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", **kw) -> DataFrame:
     """The mixed documents: each row of ``docs`` as often as the mix takes it, with all its columns."""
     sizes = sized(docs, key=key, source=source, text=text)
-    bounds = cuts(sizes, targets(sizes, **kw)).select("source", "passes", "cut")
+    bounds = cuts(sizes, targets(sizes, **kw)).select("source", "passes", "cut", "tie", "tie_cut")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("source"),
-                       key_hash(key).alias("h"))
+                       key_hash(key).alias("h"), row_hash(docs).alias("r"))
     rows = lookup_join(rows, bounds, "source")
-    times = F.col("passes") + (F.col("h") < F.col("cut")).cast("long")
-    copies = F.explode(F.array_repeat(F.lit(1), times.cast("int")))
+    copies = F.explode(F.array_repeat(F.lit(1), _times().cast("int")))
     return rows.select("row", copies.alias("copy")).select("row.*")
