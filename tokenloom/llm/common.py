@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.session import checkpoint_dir
@@ -54,3 +54,29 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
     right = right.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
     return left.join(right, same(left[key], right["__key"]) & (left["__salt"] == right["__s"]),
                      how).drop("__key", "__salt", "__s")
+
+
+#: A chunk of rows that were read one after the other: 4096 of a partition.
+CHUNK_BITS = 12
+
+
+def read_chunk() -> Column:
+    """Number of the chunk a row is read in; stage it with the row, for another read may cut the chunks otherwise."""
+    return F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)
+
+
+def copy_numbers(rows: DataFrame, same: list[str], chunk: str, number: str) -> DataFrame:
+    """``rows`` (staged) with ``number``: 0, 1, ... among the rows that agree in ``same``; null equals null.
+
+    They are counted by chunk, and a row's number is that of its chunk's first row plus its place there, so the rows of a
+    group that holds a third of the table never meet in one task. A window sees a chunk's rows or one row a chunk.
+    """
+    earlier = F.sum("__n").over(Window.partitionBy(*same).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1))
+    chunks = rows.groupBy(*same, chunk).agg(F.count(F.lit(1)).alias("__n")).withColumn("__earlier", earlier)
+    chunks = chunks.filter("__earlier > 0").select(*[F.col(c).alias(f"__{c}") for c in (*same, chunk)], "__earlier")
+    here = F.row_number().over(Window.partitionBy(*same, chunk).orderBy(F.lit(1))) - 1
+    on = F.lit(True)
+    for c in (*same, chunk):
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    got = rows.withColumn("__here", here).join(chunks, on, "left")
+    return got.select(*rows.columns, (F.col("__here") + F.coalesce("__earlier", F.lit(0))).cast("long").alias(number))

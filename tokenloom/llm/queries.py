@@ -11,7 +11,9 @@ from tokenloom.llm.common import table
 from tokenloom.llm.exact_topk import exact_topk, floors
 from tokenloom.llm.hnsw import nearest
 from tokenloom.llm.line_spread import dedup_lines
+from tokenloom.llm.merkle import manifest, tampered_ids, verify
 from tokenloom.llm.mixing import mix
+from tokenloom.llm.oracles import merkle_sql
 from tokenloom.llm.piece_bpe import digests
 from tokenloom.llm.pseudonyms import KINDS, pseudonyms
 from tokenloom.llm.quality_knn import classify
@@ -156,3 +158,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                       F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
                       F.col("vslot").alias("virtual_slot"), "map_version")
+
+
+@query("op13_merkle", merkle_sql())
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: every document's leaf, roots and proof; every fifth document (by checksum) tampered with fails."""
+    made = verify(manifest(table(spark, sf_dir, "documents"), tampered=tampered_ids()))
+    return made.select("doc_id", "position", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
