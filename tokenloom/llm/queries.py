@@ -20,6 +20,7 @@ from tokenloom.llm.quality_knn import classify
 from tokenloom.llm.simhash_bk import simhash_groups
 from tokenloom.llm.slots import shard
 from tokenloom.llm.url_rules import judge
+from tokenloom.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,6 +161,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("vslot").alias("virtual_slot"), "map_version")
 
 
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12: every vector on the leading 16 whitened components."""
+    return whiten(table(spark, sf_dir, "embeddings"), most=16)
+
+
 @query("op13_merkle", merkle_sql())
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 13: every document's leaf, roots and proof; every fifth document (by checksum) tampered with fails."""
