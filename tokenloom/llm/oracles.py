@@ -57,3 +57,32 @@ def merkle_sql(leaf_levels: int = 5, group_levels: int = 3, fan: int = 16) -> st
     proof = " || ".join(f"before{i} || after{i}" for i in range(len(steps)))
     return (f"WITH {', '.join(out)} SELECT doc_id, position, leaf, subroot, root, sha256({proof}) AS proof_sha256, "
             f"x{len(steps)} AS folded_root, x{len(steps)} = root AS verified FROM {body}")
+
+
+def license_sql(templates, base) -> str:
+    """License scans of ``documents``: base phrases by place, templates as regular expressions over the joined words."""
+    from tokenloom.llm.license_scan import parse, pattern
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    places = []
+    for phrase, label in base:
+        at = " AND ".join(f"w[i{f' + {k}' if k else ''}] = '{x}'" for k, x in enumerate(phrase.split()))
+        places.append(f"list_filter(range(1, len(w) + 1), lambda i: {at}) AS p_{label}")
+    all_places = "list_concat(" + ", ".join(f"p_{label}" for _, label in base[:2]) + ")"
+    for _, label in base[2:]:
+        all_places = f"list_concat({all_places}, p_{label})"
+    has = [f"CASE WHEN len(p_{label}) > 0 THEN '{label}' END" for _, label in base]
+    method = [f"CASE WHEN regexp_matches(joined, ' {pattern(parse(t))}') THEN '{label}' END" for label, t in templates]
+
+    def listed(xs: str) -> str:
+        return f"array_to_string(list_sort(list_distinct(list_filter({xs}, lambda x: x IS NOT NULL))), ',')"
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+j AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS joined, {', '.join(places)} FROM d),
+m AS (SELECT *, {all_places} AS places, [{', '.join(has)}] AS b, [{', '.join(method)}] AS t FROM j)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, (list_min(places) - 1)::BIGINT AS first_word,
+       (list_max(places) - 1)::BIGINT AS last_word, {listed('b')} AS base_labels, {listed('list_concat(b, t)')} AS labels,
+       CASE WHEN len(list_filter(t, lambda x: x IS NOT NULL)) > 0 THEN 1 WHEN len(places) > 0 THEN 0.5 ELSE 0 END::DOUBLE AS score
+FROM m
+"""

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import table
 from tokenloom.llm.exact_topk import exact_topk, floors
 from tokenloom.llm.hnsw import nearest
+from tokenloom.llm.license_scan import BASE, TEMPLATES, scan
 from tokenloom.llm.line_spread import dedup_lines
 from tokenloom.llm.merkle import manifest, tampered_ids, verify
 from tokenloom.llm.mixing import mix
-from tokenloom.llm.oracles import merkle_sql
+from tokenloom.llm.oracles import license_sql, merkle_sql
 from tokenloom.llm.piece_bpe import digests
 from tokenloom.llm.pseudonyms import KINDS, pseudonyms
 from tokenloom.llm.quality_knn import classify
@@ -161,6 +162,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("vslot").alias("virtual_slot"), "map_version")
 
 
+@query("op11_licenses", license_sql(TEMPLATES, BASE))
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11: license phrases and accepted notices of every whole document text."""
+    got = table(spark, sf_dir, "documents").select("doc_id", scan(F.col("text")).alias("x"))
+    return got.select("doc_id", *[f"x.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels",
+                                                     "score")])
+
+
 @query("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 12: every vector on the leading 16 whitened components."""
