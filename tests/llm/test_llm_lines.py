@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 from tokenloom.llm.line_spread import dedup_lines, spread_lines
+from tokenloom.llm.queries import QUERIES
 
 
 def brute(rows, min_sites, min_chars):
@@ -23,7 +24,8 @@ def test_against_brute_force(spark):
         rows.append((i, "\n".join(lines + ["short", "", f"\t own {i % 3} thing again \r"]), f"s{i % 20}"))
     rows += [(900, None, "s1"), (901, "", None), (902, "boilerplate number 11 on sites", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert {r.doc_id: r.text for r in dedup_lines(df).collect()} == brute(rows, 5, 16)
+    assert {r.doc_id: r.text for r in dedup_lines(df).collect()} == brute(rows, 5, 1)
+    assert {r.doc_id: r.text for r in dedup_lines(df, min_chars=16).collect()} == brute(rows, 5, 16)
 
 
 def test_near_threshold_is_exact(spark):
@@ -45,3 +47,10 @@ def test_repeated_rows_and_null_ids(spark):
     rows = [(1, line, f"s{k}") for k in range(6)] + [(2, f"{line}\nown", "s0")] * 2 + [(None, line, "s1")]
     out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted((str(r.doc_id), r.text) for r in out) == sorted([("1", line)] * 6 + [("2", "own")] * 2 + [("None", "")])
+
+
+def test_the_query_judges_short_lines(spark, tmp_path):
+    rows = [(i, f"Les.\n\nown {i}\n \t", f"s{i}") for i in range(6)] + [(6, "}\nLes.\nx", "s0")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {0: (rows[0][1], 4, 0), 6: ("}\nx", 3, 1), **{i: (f"\nown {i}\n \t", 4, 1) for i in range(1, 6)}}

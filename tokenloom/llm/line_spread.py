@@ -1,6 +1,6 @@
 """Removing boilerplate lines that spread over many distinct sites (DataFrame operations only).
 
-Every line long enough to judge is hashed; per hash a HyperLogLog sketch of the sites that carry it is built and
+Every line but blank ones is hashed; per hash a HyperLogLog sketch of the sites that carry it is built and
 merged by aggregation (map-side first, so a line in a third of all documents sends one sketch a task). Lines whose
 estimate is clearly above the threshold are boilerplate, clearly below are not, and those within the sketch's error
 of the threshold get an exact distinct count. A boilerplate line stays once, in the document with the smallest
@@ -41,7 +41,7 @@ def _row_key(doc_id: str, text: str) -> list[Column]:
 
 
 def spread_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", site: str = "source",
-                 min_sites: int = 5, min_chars: int = 16) -> DataFrame:
+                 min_sites: int = 5, min_chars: int = 1) -> DataFrame:
     """(h1, h2, first_doc) of every line on ``min_sites`` or more distinct sites."""
     lines = _lines(docs, doc_id, text, site, min_chars)
     per = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"),
@@ -58,7 +58,7 @@ def spread_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", site: str = "source",
-                min_sites: int = 5, min_chars: int = 16, counts: bool = False) -> DataFrame:
+                min_sites: int = 5, min_chars: int = 1, counts: bool = False) -> DataFrame:
     """``docs`` with the repeats of widespread lines cut from ``text`` (all columns kept, in order).
 
     With ``counts`` returns (doc_id, text, n_lines, n_removed) instead. Only line numbers travel: the removed

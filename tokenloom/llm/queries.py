@@ -116,14 +116,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-MIN_SITES, MIN_CHARS = 5, 16
+MIN_SITES = 5
 
 
 @query("op7_line_dedup", rf"""
 WITH d AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS lines FROM documents),
 x AS (SELECT doc_id, source, trim(l, ' ' || chr(9) || chr(13)) AS l
       FROM (SELECT doc_id, source, unnest(lines) AS l FROM d)),
-b AS (SELECT l, min(doc_id) AS first_doc FROM x WHERE length(l) >= {MIN_CHARS}
+b AS (SELECT l, min(doc_id) AS first_doc FROM x WHERE length(l) > 0
       GROUP BY l HAVING count(DISTINCT coalesce(source, chr(1))) >= {MIN_SITES}),
 e AS (SELECT doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
 k AS (SELECT e.doc_id, e.text, e.line, e.pos, b.l IS NOT NULL AND b.first_doc IS DISTINCT FROM e.doc_id AS gone
@@ -136,7 +136,7 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id AND d.text = g.text
 """)
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7: documents without the repeats of lines that five or more sources carry."""
-    return dedup_lines(table(spark, sf_dir, "documents"), min_sites=MIN_SITES, min_chars=MIN_CHARS, counts=True)
+    return dedup_lines(table(spark, sf_dir, "documents"), min_sites=MIN_SITES, counts=True)
 
 
 @query("op8_simhash")
