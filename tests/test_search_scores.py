@@ -24,6 +24,33 @@ def test_find_subsequences_matches_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_automaton_and_anchors_agree(spark):
+    """Random sequences over few tokens, with separators, escapes, empty and missing tokens; equal patterns, many hits."""
+    import random
+
+    from tokenloom.operators.search import find_by_anchors
+
+    rnd = random.Random(2)
+    alphabet = ["a", "b", "", "\x1f", "\x1e", "\x1ea", "é😀"]
+    docs = [(i, [rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))]) for i in range(60)] + [(100, None), (101, ["a", None, "a"])]
+    pats = [(i, [rnd.choice(alphabet) for _ in range(rnd.randint(0, 4))]) for i in range(80)] + [(90, ["a", None]), (91, None)]
+    d = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    p = spark.createDataFrame(pats, "item_id long, pattern array<string>")
+    want = sorted((i, k, j) for i, x in pats if x and None not in x for k, t in docs if t
+                  for j in range(len(t) - len(x) + 1) if t[j:j + len(x)] == x)
+    assert want and sorted(map(tuple, find_subsequences(d, p).collect())) == want
+    assert sorted(map(tuple, find_subsequences(d, p, automaton_tokens=0, anchor=2).collect())) == want
+    assert sorted(map(tuple, find_by_anchors(d, p.where("NOT exists(pattern, x -> x IS NULL)"), anchor=3).collect())) == want
+    firsts = {}
+    for i, k, j in want:
+        firsts[i, k] = min(j, firsts.get((i, k), j))
+    assert {(r.item_id, r.doc_id): r.pos for r in find_subsequences(d, p, first_only=True).collect()} == firsts
+    ids = spark.createDataFrame([("x", [1, 12, 1, 2]), ("y", [11, 2])], "doc_id string, tokens array<int>")
+    one = spark.createDataFrame([(5, [1, 2])], "item_id long, pattern array<int>")
+    assert [tuple(r) for r in find_subsequences(ids, one).collect()] == [(5, "x", 2)]
+    assert find_subsequences(ids, one.limit(0)).count() == 0
+
+
 def test_argmax_and_cross_entropy(spark):
     df = spark.createDataFrame([([1.0, 3.0, 3.0], [1.0, 2.0, 3.0])], "a array<double>, l array<double>")
     r = df.select(argmax("a").alias("am"), cross_entropy("l", F.lit(1)).alias("ce")).first()

@@ -22,14 +22,11 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-#: Up to this size (by the plan's statistics, no listing of files) a table may sit in too few row groups to use all slots.
-SMALL_BYTES = 1 << 30
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """A driver table. A small one is dealt over all task slots by a hash of the whole row, as a file of one row
-    group is read by a single task; large tables are left as scanned."""
+    """A driver table. One that its scan splits into fewer parts than there are task slots (files of few row groups) is dealt over
+    the slots by a hash of the whole row; a scan that fills the slots is left as it is, whatever its size."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if not spread or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SMALL_BYTES:
+    slots = spark.sparkContext.defaultParallelism
+    if not spread or df._jdf.queryExecution().toRdd().getNumPartitions() >= slots:
         return df
-    return df.repartition(spark.sparkContext.defaultParallelism, *df.columns)
+    return df.repartition(slots, *df.columns)
