@@ -141,3 +141,29 @@ def test_batch_apply_tokenizer_callable_and_optional_columns(spark):
     b = tokenize(df, "text").select(decode("tokens").alias("back"), optional_column(df, "label", "string"))
     rows = b.collect()
     assert {r.back for r in rows} == {"a b", "c", "d e f"} and all(r.label is None for r in rows)
+
+
+def test_ordered_jsonl_in_many_files(spark, tmp_path):
+    """Line numbers run over the part files; a missing, cut or added part fails the job."""
+    import glob
+
+    from tokenloom.sources.readers import load_ordered_jsonl
+
+    df = spark.range(1000).selectExpr("id AS k", "id % 3 AS d", "repeat('x', 20) AS t")
+    write_jsonl(df, p := str(tmp_path / "a"), order=["k"], files=7)
+    assert len(glob.glob(p + "/part-*")) == 7
+    assert all(r.line_no == r.k for r in load_ordered_jsonl(spark, p, "k long").collect())
+    write_jsonl(df, q := str(tmp_path / "b"), order=["k"], files=5, partition_by="d")
+    got = load_ordered_jsonl(spark, q, "k long, d int").collect()
+    assert sorted((r.d, r.line_no, r.k) for r in got) == sorted((k % 3, k // 3, k) for k in range(1000))
+    assert len(glob.glob(q + "/d=0/part-*")) > 1
+    part = sorted(glob.glob(p + "/part-*"))[2]
+    lines = open(part).read()
+    for change in ("", lines[:lines.index("\n") + 1]):
+        os.remove(glob.glob(f"{p}/.{os.path.basename(part)}.crc")[0]) if glob.glob(f"{p}/.{os.path.basename(part)}.crc") else None
+        open(part, "w").write(change)
+        with pytest.raises(Exception, match="manifest"):
+            load_ordered_jsonl(spark, p, "k long").collect()
+    os.remove(part)
+    with pytest.raises(Exception, match="manifest"):
+        load_ordered_jsonl(spark, p, "k long").collect()

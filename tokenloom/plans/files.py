@@ -12,7 +12,6 @@ from tokenloom.operators.chat import render_conversations, turn_pairs
 from tokenloom.operators.checks import allow_only, optional_column
 from tokenloom.operators.composition import composition_rollup, directory_totals, sidecar_token_counts, write_report
 from tokenloom.operators.ordering import first_n
-from tokenloom.operators.packing import flat_token_stream, write_token_stream
 from tokenloom.operators.prompts import evaluator_prompts
 from tokenloom.operators.router import attach_correct, domain_specialization, filter_domains
 from tokenloom.operators.sampling import concat_parts, concat_tables
@@ -21,13 +20,15 @@ from tokenloom.plans.registry import query, table
 from tokenloom.plans.router import SPEC_SQL, _spec_out, router_records
 from tokenloom.plans.training import PACK_CTE, TOKENS_SQL, packed
 from tokenloom.session import scratch
-from tokenloom.sources.readers import ROUTER_SCHEMA, find_files, load_jsonl, read_any, read_lines
+from tokenloom.sources.partitioned import file_system, write_zstd_lines
+from tokenloom.sources.readers import ROUTER_SCHEMA, find_files, load_ordered_jsonl, read_any, read_lines
+from tokenloom.sources.token_files import read_token_files, write_token_files
 from tokenloom.sources.writers import (
+    RESULT_FIELDS,
     evaluator_samples,
     write_jsonl,
     write_line_shards,
     write_per_evaluator,
-    write_results,
     write_shards,
 )
 
@@ -35,68 +36,78 @@ from tokenloom.sources.writers import (
 @query("router_files_by_line", SPEC_SQL.format(
     k=8, where="AND label < 8 AND vec_id IN (SELECT doc_id FROM labels WHERE quality > 0 OR toxic > 0)"))
 def q_router_files_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Router and prediction files of each domain, one file a domain in the same order, paired by
-    (domain, line number); domains 0 to 7 only, instances predicted correctly only."""
+    """Router and prediction files of each domain in the same order, each in several parts, paired by
+    (domain, line number over the parts); domains 0 to 7 only, instances predicted correctly only."""
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), "quality", "toxic")
     rec = router_records(spark, sf_dir).join(lab, "vec_id", "left").select(
         "domain", "vec_id", F.concat_ws(":", F.lit("vec"), "vec_id").alias("prompt"), F.lit(0).alias("token_index"),
         F.col("router_logits").cast("array<array<array<double>>>").alias("router_logits"),
         F.struct(F.col("quality").cast("double").alias("exact_match"), F.col("toxic").cast("double").alias("f1")).alias("metrics"))
-    rec = rec.repartition("domain").sortWithinPartitions("domain", "vec_id")  # a file is a domain, as the consumer expects
     top = scratch(spark, "router-files")
-    write_results(rec, f"{top}/router", "router", partition_by="domain")
-    rec.select("domain", F.col("vec_id").cast("string").alias("native_id"), "metrics").write.partitionBy("domain").json(
-        f"{top}/predictions")
-    router = load_jsonl(spark, f"{top}/router", ROUTER_SCHEMA + ", domain int")
-    preds = load_jsonl(spark, f"{top}/predictions", "native_id string, metrics map<string,double>, domain int")
+    result = rec.select("domain", "vec_id", *RESULT_FIELDS["router"])
+    write_jsonl(result, f"{top}/router", order=["vec_id"], partition_by="domain", files=8)  # a domain may span several files
+    write_jsonl(rec.select("domain", "vec_id", F.col("vec_id").cast("string").alias("native_id"), "metrics"),
+                f"{top}/predictions", order=["vec_id"], partition_by="domain", files=5)
+    router = load_ordered_jsonl(spark, f"{top}/router", ROUTER_SCHEMA + ", domain int")
+    preds = load_ordered_jsonl(spark, f"{top}/predictions", "native_id string, metrics map<string,double>, domain int")
     kept = attach_correct(filter_domains(router, list(range(8))), preds, keys=["domain", "line_no"])
     return _spec_out(domain_specialization(kept, k=8))
 
 
 @query("found_files", """
-SELECT label::INTEGER AS domain, 1::BIGINT AS n_files, count(*)::BIGINT AS n_records FROM embeddings GROUP BY label
+SELECT label::INTEGER AS domain, count(*)::BIGINT AS n_records FROM embeddings GROUP BY label
 """)
 def q_found_files(spark, sf_dir):
-    """Files found by name below a folder, one a domain, and the records in them."""
-    rec = table(spark, sf_dir, "embeddings").select(F.col("label").alias("domain"), "vec_id").repartition("domain")
-    rec.write.partitionBy("domain").json(path := scratch(spark, "found"))
+    """Files found by name below a folder, some a domain, and the records in them."""
+    rec = table(spark, sf_dir, "embeddings").select(F.col("label").alias("domain"), "vec_id")
+    write_jsonl(rec, path := scratch(spark, "found"), order=["vec_id"], partition_by="domain", files=4)
     domain = F.regexp_extract("file_path", "domain=([0-9]+)", 1).cast("int").alias("domain")
-    found = find_files(spark, path, "part-").select(domain).groupBy("domain").agg(F.count(F.lit(1)).alias("n_files"))
-    lines = load_jsonl(spark, path, "vec_id long, domain int").groupBy("domain").agg(F.max("line_no").alias("last"))
-    return found.join(lines, "domain").select("domain", "n_files", (F.col("last") + 1).alias("n_records"))
+    found = find_files(spark, path, "part-").filter(~F.col("file_path").contains("/_manifest/")).select(domain).distinct()
+    lines = load_ordered_jsonl(spark, path, "vec_id long, domain int").groupBy("domain").agg(F.max("line_no").alias("last"))
+    return found.join(lines, "domain").select("domain", (F.col("last") + 1).alias("n_records"))
 
 
 @query("jsonl_lines", """
 SELECT doc_id, lang, md5(text) AS text_md5, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS line_no FROM documents
 """)
 def q_jsonl_lines(spark, sf_dir):
-    """Documents as one ordered JSON-lines file, read back by suffix and with line numbers."""
+    """Documents as ordered JSON lines in many files, read back with line numbers over all of them."""
     path = scratch(spark, "lines") + ".jsonl"
-    write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), path, order=["doc_id"], files=1)
-    schema = "doc_id long, lang string, text string"
-    numbered = load_jsonl(spark, path, schema).select("doc_id", "line_no")
-    return read_any(spark, path, schema).join(numbered, "doc_id").select(
-        "doc_id", "lang", F.md5("text").alias("text_md5"), "line_no")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    write_jsonl(docs, path, order=["doc_id"], files=2 * spark.sparkContext.defaultParallelism)
+    back = load_ordered_jsonl(spark, path, "doc_id long, lang string, text string")
+    return back.select("doc_id", "lang", F.md5("text").alias("text_md5"), "line_no")
 
 
 @query("table_formats", """
-SELECT nation.n_nationkey::VARCHAR AS n_nationkey, n_name, fmt FROM nation, (SELECT unnest(['csv', 'tsv', 'parquet']) AS fmt)
-UNION ALL SELECT page_id::VARCHAR, upper(url), 'lines' FROM pages
+SELECT nation.n_nationkey::INTEGER AS n_nationkey, n_name, fmt FROM nation, (SELECT unnest(['csv', 'tsv', 'parquet', 'generator']) AS fmt)
+UNION ALL SELECT page_id::INTEGER, upper(url), fmt FROM pages, (SELECT unnest(['lines', 'zstd']) AS fmt)
 """)
 def q_table_formats(spark, sf_dir):
-    """A1, A2, A3, G1: CSV, TSV, Parquet and gzip text files read back by suffix, lines through a function."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("n_nationkey"), "n_name")
-    schema, parts = "n_nationkey string, n_name string", []
+    """A1, A2, A3, G1: CSV and TSV with their types inferred, Parquet, a generator's rows, and gzip and zstd text files, lines
+    through a function."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+    parts = []
     for fmt, sep in (("csv", ","), ("tsv", "\t")):
         n.write.option("header", True).option("sep", sep).csv(path := f"{scratch(spark, 'nations')}.{fmt}")
-        parts.append(read_any(spark, path, schema).withColumn("fmt", F.lit(fmt)))
+        parts.append(read_any(spark, path).withColumn("fmt", F.lit(fmt)))
     n.write.parquet(path := scratch(spark, "nations") + ".parquet")
     parts.append(read_any(spark, path).withColumn("fmt", F.lit("parquet")))
+
+    def every_third(i, k, path=path):
+        import pyarrow.dataset as ds
+        system, inner = file_system(path)
+        for at, row in enumerate(ds.dataset(inner, filesystem=system).sort_by("n_nationkey").to_table().to_pylist()):
+            if at % k == i:
+                yield row
+    parts.append(read_any(spark, every_third, "n_nationkey int, n_name string", splits=3).withColumn("fmt", F.lit("generator")))
     urls = table(spark, sf_dir, "pages").select(F.concat_ws(" ", "page_id", "url"))
-    urls.write.option("compression", "gzip").text(path := scratch(spark, "urls"))
-    lines = read_lines(spark, path, lambda c: F.upper(c))
-    parts.append(lines.select(F.split("line", " ")[0].alias("n_nationkey"), F.split("line", " ")[1].alias("n_name"),
-                              F.lit("lines").alias("fmt")))
+    urls.write.option("compression", "gzip").text(gz := scratch(spark, "urls"))
+    write_zstd_lines(urls, zst := scratch(spark, "urls") + ".zst")
+    for fmt, path in (("lines", gz), ("zstd", zst)):
+        lines = read_lines(spark, path, lambda c: F.upper(c))
+        parts.append(lines.select(F.split("line", " ")[0].cast("int").alias("n_nationkey"),
+                                  F.split("line", " ")[1].alias("n_name"), F.lit(fmt).alias("fmt")))
     return concat_tables(parts)
 
 
@@ -132,12 +143,13 @@ SELECT (g // 65536)::INTEGER AS block, count(*)::BIGINT AS n_tokens, sum(tok)::B
 FROM f WHERE g // 512 IN (SELECT chunk FROM full_chunks) GROUP BY 1
 """)
 def q_token_stream_files(spark, sf_dir):
-    """The flat token stream in files of consecutive positions, ids range-checked, read back."""
-    s = flat_token_stream(packed(spark, sf_dir), 512, max_id=(1 << 28) - 1)
-    write_token_stream(s, path := scratch(spark, "stream"), rows_per_file_block=65536)
-    return spark.read.parquet(path).groupBy("block").agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.sum("token_id").cast("long").alias("id_sum"),
-        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    """The flat token stream as binary uint32 and uint8 files of consecutive positions, ids range-checked, read back."""
+    write_token_files(packed(spark, sf_dir), path := scratch(spark, "stream"), 512, dtype="uint32")
+    total = F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x)
+    rows = read_token_files(spark, path).select("pos", F.size("attention_mask").alias("n"), total.alias("s"))
+    return rows.groupBy(F.floor(F.col("pos") / 65536).cast("int").alias("block")).agg(
+        F.sum("n").cast("long").alias("n_tokens"), F.sum("s").alias("id_sum"),
+        F.min("pos").alias("first_pos"), F.max(F.col("pos") + F.col("n") - 1).alias("last_pos"))
 
 
 @query("report_file", f"""
@@ -159,7 +171,7 @@ SELECT lang, sum(n)::BIGINT AS total_tokens FROM l GROUP BY lang
 def q_sidecar_totals(spark, sf_dir):
     """Gzip CSV sidecars of each (language, source), the last row's count, summed per directory."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
-    d = d.repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id")
+    d = d.repartitionByRange("lang", "source", "doc_id").sortWithinPartitions("lang", "source", "doc_id")
     d.write.partitionBy("lang", "source").option("compression", "gzip").csv(path := scratch(spark, "sidecars"))
     counts = sidecar_token_counts(spark, f"{path}/*/*/*.csv.gz")
     counts = counts.withColumn("file_path", F.regexp_replace("file_path", "/source=[^/]*/", "/"))

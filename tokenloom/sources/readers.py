@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tokenloom.sources.partitioned import from_generator, read_zstd_lines
+
 # Record shapes of the router-analysis files.
 REQUEST_SCHEMA = "native_id string, request struct<context:string>"
 PREDICTION_SCHEMA = ("native_id string, model_output array<struct<continuation:string>>, "
@@ -21,12 +23,15 @@ ROUTER_SCHEMA = "prompt string, token_index int, router_logits array<array<array
 
 def read_lines(spark: SparkSession, path: str, fn: Callable[[Column], Column] | None = None,
                keep_newline: bool = False) -> DataFrame:
-    """A1 + A2: one row per line of text files (``.zst``/``.gz`` decompressed by the codec).
+    """A1 + A2: one row per line of text files (``.gz`` decompressed by the codec, ``.zst`` by ``read_zstd_lines``).
 
-    Unlike a hand-rolled chunked reader, a final line without ``\\n`` is kept.
+    Bytes that aren't UTF-8 are dropped; unlike a hand-rolled chunked reader, a final line without ``\\n`` is kept.
     ``fn`` is a column expression applied to each line (identity by default).
     """
-    df = spark.read.text(path).withColumnRenamed("value", "line")
+    if path.lower().endswith((".zst", ".zstd")):
+        df = read_zstd_lines(spark, path)
+    else:
+        df = spark.read.text(path).select(valid_text("value").alias("line"))
     if keep_newline:
         df = df.withColumn("line", F.concat("line", F.lit("\n")))
     if fn is not None:
@@ -34,6 +39,18 @@ def read_lines(spark: SparkSession, path: str, fn: Callable[[Column], Column] |
     return df
 
 
+#: A well-formed UTF-8 sequence in upper-case hexadecimal (fixed values of the encoding).
+UTF8_HEX = ("[0-7][0-9A-F]|(?:C[2-9A-F]|D[0-9A-F])[89AB][0-9A-F]|E0[AB][0-9A-F][89AB][0-9A-F]|(?:E[1-9A-CEF])(?:[89AB][0-9A-F]){2}"
+            "|ED[89][0-9A-F][89AB][0-9A-F]|F0[9AB][0-9A-F](?:[89AB][0-9A-F]){2}|F[1-3](?:[89AB][0-9A-F]){3}"
+            "|F48[0-9A-F](?:[89AB][0-9A-F]){2}")
+
+
+def valid_text(text: str) -> Column:
+    """The text without the bytes that are part of no well-formed sequence; lines without any are left as they are."""
+    mended = F.unhex(F.regexp_replace(F.hex(text), f"({UTF8_HEX})|..", "$1")).cast("string")
+    return F.when(F.is_valid_utf8(text), F.col(text)).otherwise(mended)
+
+
 def _format_of(path: str) -> str | None:
     p = path.lower()
     if p.endswith(".json.gz") or p.endswith(".jsonl.gz"):
@@ -50,10 +67,18 @@ def _format_of(path: str) -> str | None:
     return None
 
 
-def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A3: format by suffix: JSON lines (incl. ``.json.gz``/``.jsonl.gz`` and a json/jsonl
-    second-to-last extension), CSV with header, TSV, Parquet; otherwise a table name."""
+def read_any(spark: SparkSession, path: str | Callable, schema: str | None = None, **kw) -> DataFrame:
+    """A3: a callable's rows (``from_generator``; needs a schema), else format by suffix: JSON lines (incl.
+    ``.json.gz``/``.jsonl.gz`` and a json/jsonl second-to-last extension), CSV with header, TSV, Parquet; otherwise a
+    table name. CSV and TSV columns without a schema get the type their values have."""
+    if callable(path):
+        if schema is None:
+            raise ValueError("a callable source needs a schema")
+        return from_generator(spark, path, schema, **kw)
     fmt = _format_of(path)
+    if fmt in ("csv", "tsv") and schema is None:
+        r = spark.read.option("inferSchema", True)
+        return r.option("header", True).option("sep", "\t" if fmt == "tsv" else ",").csv(path)
     r = spark.read.schema(schema) if schema else spark.read
     if fmt == "json":
         return r.json(path)
@@ -87,6 +112,26 @@ def load_jsonl(spark: SparkSession, path: str, schema: str, *, line_col: str = "
                                                                                         "_first")
 
 
+def load_ordered_jsonl(spark: SparkSession, path: str, schema: str, *, line_col: str = "line_no") -> DataFrame:
+    """A4 + A8: rows of ``write_jsonl(order=...)`` with the 0-based line number over all part files (of their directory).
+
+    A file's lines are numbered as by ``load_jsonl``, the manifest gives its first one. The job fails if a part of the
+    manifest is missing or has another number of rows, or if a file isn't in it.
+    """
+    from tokenloom.operators.checks import assert_true
+
+    listed = spark.read.schema("file string, rows long, first_line long").json(f"{path.rstrip('/')}/_manifest")
+    rows = load_jsonl(spark, path, schema, line_col="_at")
+    found = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("_n"))
+    both = listed.join(found, F.col("file") == F.col("file_path"), "full_outer")
+    whole = F.coalesce(F.col("rows") == F.col("_n"), F.lit(False))
+    checked = both.where(assert_true(whole, f"the parts below {path} are not those of its manifest"))
+    # the check is a join partner of every row, so it can't be left out
+    checked = checked.select(F.col("file").alias("_file"), "first_line")
+    out = rows.join(checked, F.col("file_path") == F.col("_file"))
+    return out.withColumn(line_col, F.col("first_line") + F.col("_at")).drop("_at", "_file", "first_line")
+
+
 def find_files(spark: SparkSession, directory: str, substring: str) -> DataFrame:
     """A5: files under ``directory`` (recursively) whose name contains ``substring``: one row per file, empty ones
     included. Only the names are read, no contents."""

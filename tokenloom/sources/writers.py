@@ -9,24 +9,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.operators.ordering import contiguous_chunks, line_shards
 
 
 def write_jsonl(df: DataFrame, path: str, *, order: Sequence[str] | None = None, compression: str | None = None,
-                files: int | None = None) -> None:
-    """JSON lines; with ``order`` the rows are range-partitioned and sorted so part files
-    concatenated in name order follow the order."""
+                files: int | None = None, partition_by: str | None = None) -> None:
+    """JSON lines. With ``order`` the rows are range-partitioned by it and sorted, so the part files in name order follow
+    the order, and a manifest (file, first line, rows) is written beside them for ``load_ordered_jsonl``.
+
+    ``partition_by`` makes a directory of each of its values, each with an order of its own; a common value has several part
+    files, so no task holds more than a range.
+    """
+    keys = [*([partition_by] if partition_by else []), *(order or [])]
     out = df
     if order:
-        parts = out.repartitionByRange(files, *order) if files else out.repartitionByRange(*order)
-        out = parts.sortWithinPartitions(*order)  # without ``files`` the data's size decides (adaptive coalescing)
+        parts = out.repartitionByRange(files, *keys) if files else out.repartitionByRange(*keys)
+        out = parts.sortWithinPartitions(*keys)  # without ``files`` the data's size decides (adaptive coalescing)
     w = out.write.mode("overwrite")
     if compression:
         w = w.option("compression", compression)
+    if partition_by:
+        w = w.partitionBy(partition_by)
     w.json(path)
+    if order:
+        write_manifest(df.sparkSession, path)
+
+
+MANIFEST = "_manifest"  # hidden from readers of the folder, as its name begins with an underscore
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """(file, rows, first_line) of the part files below ``path``: rows as read back, lines numbered over the files of a directory in
+    name order. One row a file."""
+    each = spark.read.option("lineSep", "\n").text(path).groupBy(F.col("_metadata.file_path").alias("file"))
+    counts = each.agg(F.count(F.lit(1)).alias("rows"))
+    order = Window.partitionBy(F.regexp_extract("file", "^(.*)/[^/]*$", 1)).orderBy("file")
+    first = F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts.withColumn("first_line", first).coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/{MANIFEST}")
 
 
 def _sorted_shards(ranked: DataFrame) -> DataFrame:
