@@ -101,3 +101,18 @@ def test_reserved_token_must_encode_as_itself(spark):
     reserved_prefix("t", "allenai/OLMo-2-1124-7B", 3, encode=lambda s: [7] * s.count("<|extra_id_0|>"))
     with pytest.raises(ValueError):
         reserved_prefix("t", "allenai/OLMo-2-1124-7B", 3, encode=lambda s: [len(s)])
+
+
+def test_turn_pairs_across_buckets(spark):
+    """Gaps, negative turns, other roles in between and buckets of a few turns against plain lists."""
+    import random
+
+    rnd = random.Random(4)
+    rows = [(c, t, rnd.choice(["user", "assistant", "assistant", "user", "system"]), f"{c}-{t}")
+            for c in range(30) for t in sorted(rnd.sample(range(-20, 60), rnd.randint(1, 40)))]
+    rows += [(99, t, "user" if t % 2 else "assistant", str(t)) for t in range(1000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    want = sorted((a[0], a[1], a[3], b[3]) for a, b in zip(rows, rows[1:])
+                  if a[0] == b[0] and a[2] == "user" and b[2] == "assistant")
+    for size in (1, 3, 7, 4096):
+        assert sorted(map(tuple, turn_pairs(df, bucket_turns=size).collect())) == want

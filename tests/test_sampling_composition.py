@@ -26,6 +26,23 @@ def test_binary_balanced(spark):
     assert binary_balanced(df, F.col("flag"), n=6, seed=1, key=["id"], strict=False).count() == 11
 
 
+def test_balanced_against_sorting(spark):
+    """Large n, keys that repeat (cut by a hash of the row) and rows alike in all columns (any of them, the right number)."""
+    from collections import Counter
+
+    rows = [(i, i % 3 == 0, i // 50 if i % 2 else i) for i in range(3000)] + [(9000, True, 7)] * 900 + [(9000, False, 7)] * 10
+    df = spark.createDataFrame(rows, "id long, flag boolean, k long").repartition(6)
+    everything = binary_balanced(df, F.col("flag"), n=10 ** 6, seed=3, key=["k"], strict=False)
+    assert everything.count() == len(rows)
+    order = df.withColumn("tb", F.xxhash64("id", "flag", "k", "flag", F.md5(F.concat(F.lit("3:"), F.col("k").cast("string")))))
+    order = [tuple(r) for r in order.select("flag", F.md5(F.concat(F.lit("3:"), F.col("k").cast("string"))).alias("o"),
+                                            F.shiftrightunsigned("tb", 4), "id", "k").collect()]
+    for n in (1, 40, 500, 1010):
+        got = Counter((r.label, r.id, r.k) for r in binary_balanced(df, F.col("flag"), n=n, seed=3, key=["k"]).collect())
+        want = Counter((x[0], x[3], x[4]) for f in (True, False) for x in sorted(x for x in order if x[0] == f)[:n])
+        assert got == want, n
+
+
 def test_nary_balanced_overlap(spark):
     df = spark.range(1, 7)
     out = nary_balanced(df, [F.col("id") % 2 == 0, F.col("id") > 3], n=2, seed=1, key=["id"])

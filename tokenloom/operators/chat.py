@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.operators.checks import require_columns
-from tokenloom.operators.ordering import prefix_sum
 
 # Chat-template role headers.
 SYSTEM_HEADER = "<|system|>\n"
@@ -66,12 +65,8 @@ def _with_last_turn(turns: DataFrame, conv: str, turn: str) -> DataFrame:
     return turns.join(turns.groupBy(conv).agg(F.max(turn).alias("last_turn")), conv)
 
 
-def _with_previous_turn(turns: DataFrame, conv: str, turn: str) -> DataFrame:
-    """``previous``: the turn before each, whatever the gaps: ranks of the narrow (conv, turn) pairs."""
-    ranks = prefix_sum(turns.select(conv, turn), [conv, turn], start_col="at", total_col=None)
-    before = ranks.select(F.col(conv).alias("_c"), (F.col("at") + 1).alias("_at"), F.col(turn).alias("previous"))
-    return ranks.join(before, (F.col("at") == F.col("_at")) & F.col(conv).eqNullSafe(F.col("_c"))).select(
-        conv, turn, "previous")
+#: Turn numbers of a bucket: a conversation of any length meets in windows of at most this many turns.
+BUCKET_TURNS = 4096
 
 
 def render_turns(turns: DataFrame, *, eos: str = "</s>", add_generation_prompt: bool = False,
@@ -97,13 +92,26 @@ def render_turns(turns: DataFrame, *, eos: str = "</s>", add_generation_prompt:
 
 
 def turn_pairs(turns: DataFrame, *, first_role: str = "user", second_role: str = "assistant",
-               conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Adjacent (first_role -> second_role) turn pairs: ``conv, turn, text1, text2``.
+               conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+               bucket_turns: int = BUCKET_TURNS) -> DataFrame:
+    """Adjacent (first_role -> second_role) turn pairs: ``conv, turn, text1, text2``; turn numbers may have gaps.
 
-    The turn before each one comes from the global rank of the narrow (conv, turn) pairs, in bounded buckets, so gaps
-    don't matter and no conversation is gathered into one task; the texts meet in equi-joins on the unique (conv, turn).
+    A lead in buckets: the window runs over ``bucket_turns`` turn numbers of a conversation, so no conversation, however
+    long, is gathered into one task. The first and last turn of each bucket, two rows at most, meet the neighbouring
+    bucket's in a second window.
     """
-    a = turns.where(F.col(role) == first_role).select(conv, turn, F.col(text).alias("text1"))
-    b = turns.where(F.col(role) == second_role).select(conv, turn, F.col(text).alias("text2"))
-    b = b.join(_with_previous_turn(turns, conv, turn), [conv, turn]).select(conv, F.col("previous").alias(turn), "text2")
-    return a.join(b, [conv, turn])
+    first, second = F.col("r") == first_role, F.col("r") == second_role
+    x = turns.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"),
+                     F.when(F.col(role).isin(first_role, second_role), F.col(text)).alias("x"),
+                     F.floor(F.col(turn) / bucket_turns).alias("b"))
+    w = Window.partitionBy("c", "b").orderBy("t")
+    after = F.lead(F.struct("r", "x"))
+    x = x.select("*", after.over(w).alias("n"), F.lag("t").over(w).isNull().alias("opens"))
+    inside = x.where(first & (F.col("n.r") == second_role)).select("c", "t", F.col("x").alias("text1"), F.col("n.x").alias("text2"))
+    ends = x.where(F.col("n").isNull() | F.col("opens")).select(
+        "c", "t", "b", "r", F.when((first & F.col("n").isNull()) | (second & F.col("opens")), F.col("x")).alias("x"))
+    w = Window.partitionBy("c").orderBy("t")
+    ends = ends.select("*", after.over(w).alias("n"), F.lead("b").over(w).alias("nb"))
+    across = ends.where(first & (F.col("n.r") == second_role) & (F.col("b") != F.col("nb"))).select(
+        "c", "t", F.col("x").alias("text1"), F.col("n.x").alias("text2"))
+    return inside.unionByName(across).select(F.col("c").alias(conv), F.col("t").alias(turn), "text1", "text2")

@@ -1,34 +1,90 @@
 """Balanced sampling (F2, F3), concatenation.
 
-Top-n per class is ``row_number() <= n`` over (class, seeded key): Spark plans a
-``WindowGroupLimit`` below the shuffle, so each task forwards at most n rows
-per class and a class holding a third of all rows never lands whole in one task.
+The n first rows of a class in seeded order are found by a threshold and not by sorting: the order keys are counted in
+histograms of ``2**LEVEL_BITS`` buckets a class, only the bucket in which the n-th row falls is split again, until it
+holds one value; then a filter keeps what lies below. No class meets in one task and no window runs over one, whatever n is. The
+keys (class and four longs a row) are written once, and at most a row a class and bucket reaches the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import order_key
-from tokenloom.operators.checks import assert_true
+from tokenloom.session import stage
+
+
+LEVEL_BITS, KEY_BITS = 12, 60
+
+
+def _order_longs() -> dict[str, Column]:
+    """``order_key`` (hexadecimal) and a hash of the row as non-negative longs that order alike; together they tell rows apart."""
+    part = lambda at: F.conv(F.substring("order_key", at, KEY_BITS // 4), 16, 10).cast("long")
+    return {"_k0": part(1), "_k1": part(16), "_k2": F.shiftrightunsigned("_tb", 64 - KEY_BITS)}
+
+
+def _first_rows(keys: DataFrame, classes: Sequence, n: int, strict: bool) -> dict:
+    """Class -> list of bounds (column, value): a row is in if its longs are below the bounds in order, and of the rows
+    that equal all of them ``left`` are in; a class of at most n rows has no bounds."""
+    totals = {r[0]: r[1] for r in keys.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if strict and any(totals.get(c, 0) < n for c in classes):
+        raise ValueError(f"a class has fewer than {n} rows: {totals}")
+    state = {c: {"left": n, "bounds": [], "lo": 0} for c in totals if totals[c] > n}
+    for column in ("_k0", "_k1", "_k2"):
+        open_ = {c: s for c, s in state.items() if s["left"]}
+        for s in open_.values():
+            s["lo"] = 0
+        for shift in range(KEY_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
+            if not open_:
+                break
+            inside = F.lit(False)
+            for c, s in open_.items():
+                on = F.col("_c") == F.lit(c)
+                for name, value in s["bounds"]:
+                    on = on & (F.col(name) == value)
+                inside = inside | (on & F.col(column).between(s["lo"], s["lo"] + (1 << shift + LEVEL_BITS) - 1))
+            hist = keys.where(inside).groupBy("_c", F.shiftright(column, shift).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+            per: dict = {}
+            for r in hist.collect():  # at most 2^LEVEL_BITS rows a class
+                per.setdefault(r["_c"], []).append((r["b"], r["n"]))
+            for c, s in open_.items():
+                for b, k in sorted(per[c]):
+                    if k > s["left"]:
+                        s["lo"] = b << shift
+                        break
+                    s["left"] -= k
+                else:
+                    raise AssertionError("a class lost rows between two reads")
+        for s in open_.values():
+            s["bounds"].append((column, s["lo"]))
+    return state
 
 
 def _top_n(df: DataFrame, cls: str, classes: Sequence, n: int, strict: bool) -> DataFrame:
     # Rows whose seeded keys collide are ordered by a hash of the whole row, so only
     # identical rows (interchangeable) can tie and a re-run task picks the same sample.
-    df = df.withColumn("_tb", F.xxhash64(*[F.col(c) for c in df.columns]))
-    w = Window.partitionBy(cls).orderBy("order_key", "_tb")
-    out = df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n)
-    if strict:
-        # Expected classes against what the partial sums found (at most n rows a class), classes without a row included.
-        have = out.groupBy().agg(*[F.count(F.when(F.col(cls) == c, 1)).alias(f"_c{i}") for i, c in enumerate(classes)])
-        least = F.least(*[F.col(c) for c in have.columns]) if len(classes) > 1 else F.col("_c0")
-        bad = have.where(assert_true(least >= n, f"a class has fewer than {n} rows")).where("_c0 < 0")
-        out = out.unionByName(bad.select(*[F.lit(None).cast(t).alias(c) for c, t in out.dtypes]))
-    return out.drop("_rk", "_tb")
+    if n < 1:
+        raise ValueError("n must be >= 1")
+    df = df.withColumn("_tb", F.xxhash64(*[F.col(c) for c in df.columns])).withColumns(_order_longs())
+    keys = stage(df.select(F.col(cls).alias("_c"), "_k0", "_k1", "_k2"), "balanced-keys")
+    state = _first_rows(keys, classes, n, strict)
+    taken, tied = F.lit(True), []
+    for c, s in state.items():
+        below, same = F.lit(False), F.lit(True)
+        for name, value in s["bounds"]:
+            below = below | (same & (F.col(name) < value))
+            same = same & (F.col(name) == value)
+        on = F.col(cls) == F.lit(c)
+        taken = F.when(on, below).otherwise(taken)
+        if s["left"]:
+            tied.append(df.where(on & same).limit(s["left"]))  # rows alike in all columns: any of them
+    out = df.where(taken)
+    for t in tied:
+        out = out.unionByName(t)
+    return out.drop("_tb", "_k0", "_k1", "_k2")
 
 
 def binary_balanced(df: DataFrame, predicate: Column, *, n: int, seed, key: Sequence[str],

@@ -149,6 +149,18 @@ def q_balanced_binary(spark, sf_dir):
         "doc_id", "lang", "label", "order_key")
 
 
+@query("balanced_strict", f"""
+WITH x AS (SELECT doc_id, n_chars, lang = 'en' AS label, md5('{SEED}:' || doc_id::VARCHAR) AS order_key FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY order_key) AS rk FROM x)
+SELECT doc_id, n_chars, label, order_key FROM r WHERE rk <= 70
+""")
+def q_balanced_strict(spark, sf_dir):
+    """70 English and 70 other documents, strict: fewer in a class fail the job."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return binary_balanced(d, F.col("lang") == "en", n=70, seed=SEED, key=["doc_id"]).select(
+        "doc_id", "n_chars", "label", "order_key")
+
+
 # The four overlapping class predicates (SQL text, shared by the plan and its oracle).
 NARY = ["event_type = 'click'", "event_type = 'view'", "value > 50", "user_id < 50"]
 
