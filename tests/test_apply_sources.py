@@ -167,3 +167,32 @@ def test_ordered_jsonl_in_many_files(spark, tmp_path):
     os.remove(part)
     with pytest.raises(Exception, match="manifest"):
         load_ordered_jsonl(spark, p, "k long").collect()
+
+
+def test_one_call_a_row_for_both_outcomes(spark, tmp_path):
+    """The function runs once a row, whichever outputs are read and however often the same evaluation is asked for."""
+    from tokenloom.operators.apply import apply_with_errors, input_fingerprint, split_dead_letter
+
+    spark.range(50).write.parquet(str(tmp_path / "in"))
+    log = tmp_path / "calls"
+
+    def half(v):
+        with open(log, "a") as f:
+            f.write(f"{v}\n")
+        if v % 2:
+            raise KeyError("odd")
+        return v // 2
+
+    def both(**kw):
+        df = spark.read.parquet(str(tmp_path / "in"))
+        return split_dead_letter(apply_with_errors(df, half, "id", index="id"), **kw)
+    good, bad = both()
+    assert (good.count(), bad.count(), good.count()) == (25, 25, 25)
+    assert sorted(log.read_text().split()) == sorted(str(i) for i in range(50))
+    one = lambda: both(shared_as=("half", input_fingerprint(spark, [str(tmp_path / "in")])))
+    log.write_text("")
+    assert one()[0].count() == 25 and one()[1].count() == 25
+    assert len(log.read_text().split()) == 50
+    spark.range(50, 60).write.mode("append").parquet(str(tmp_path / "in"))
+    assert one()[1].count() == 30 and len(log.read_text().split()) == 110  # another input, another run
+    assert "failed=true" in bad.inputFiles()[0] or "failed" in bad._jdf.queryExecution().executedPlan().toString()

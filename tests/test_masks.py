@@ -99,3 +99,54 @@ def test_spans_by_a_callable_tokenizer(spark):
     df = spark.createDataFrame([("abcd",), ("",), (None,)], "text string")
     got = [r[0] for r in df.select(spans_by(lambda ts: [[(k, k + 2) for k in range(0, len(t), 2)] for t in ts])("text")).collect()]
     assert [(x.starts, x.ends) for x in got] == [([0, 2], [2, 4]), ([], []), ([], [])]
+
+
+def test_long_forms_against_plain_loops(spark):
+    """Tokens with equal and empty spans, chars between and behind tokens, spans that overlap, nest, touch or are empty."""
+    import random
+
+    from tokenloom.operators.masks import char_to_token_long, spans_to_tokens_long
+
+    rnd = random.Random(8)
+    tokens, chars, spans = [], [], []
+    for d in range(40):
+        at = 0
+        for k in range(rnd.randint(0, 15)):
+            start = at + rnd.choice([0, 0, 1, 3])
+            at = start + rnd.choice([0, 1, 2, 5])
+            tokens.append((d, k, start, at))
+        chars += [(d, c) for c in sorted(rnd.sample(range(60), 12))]
+        spans += [(d, s, s + rnd.choice([0, 1, 4, 20])) for s in rnd.sample(range(50), rnd.randint(0, 6))]
+    t = spark.createDataFrame(tokens, "doc_id long, token_index int, start int, end int")
+    by = {}
+    for d, k, a, b in tokens:
+        by.setdefault(d, []).append((k, a, b))
+    want = {}
+    for d, c in chars:
+        if d in by:
+            k, a, _ = next((x for x in by[d] if x[1] <= c < x[2]), by[d][-1])
+            want[d, c] = (k, a == c)
+    got = char_to_token_long(t, spark.createDataFrame(chars, "doc_id long, char_index int"), ["doc_id"]).collect()
+    assert {(r.doc_id, r.char_index): (r.token_index, r.aligned) for r in got} == want
+    hit = sorted({(d, k) for d, k, a, b in tokens for e, s, z in spans if e == d and a < z and b > s and s < z and a < b})
+    got = spans_to_tokens_long(t, spark.createDataFrame(spans, "doc_id long, start int, end int"), ["doc_id"]).collect()
+    assert sorted((r.doc_id, r.token_index) for r in got) == hit
+
+
+def test_long_forms_are_linear(spark):
+    """100,000 tokens, chars and spans in one document: all pairs would be 10^10."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tokenloom.operators.masks import char_to_token_long, spans_to_tokens_long
+
+    n = 100_000
+    t = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("token_index"), (F.col("id") * 5).cast("int").alias("start"),
+                              (F.col("id") * 5 + 4).cast("int").alias("end"))
+    began = time.time()
+    chars = spark.range(n).select(F.lit(1).alias("doc_id"), (F.col("id") * 5 + 2).cast("int").alias("char_index"))
+    assert char_to_token_long(t, chars, ["doc_id"]).where("token_index * 5 + 2 = char_index").count() == n
+    spans = spark.range(n).select(F.lit(1).alias("doc_id"), (F.col("id") * 5 + 3).cast("int").alias("start"), (F.col("id") * 5 + 5).cast("int").alias("end"))
+    assert spans_to_tokens_long(t, spans, ["doc_id"]).count() == n
+    assert time.time() - began < 60

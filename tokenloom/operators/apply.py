@@ -10,12 +10,12 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.operators.checks import require_columns
-from tokenloom.session import stage as stage_table
+from tokenloom.session import checkpoint_dir, scratch
 
 DEAD_LETTER_TYPE = T.StructType([
     T.StructField("out", T.StringType()),
@@ -73,18 +73,37 @@ def apply_with_errors(df: DataFrame, fn: Callable, value: str, *, index: str = "
     return df.select(F.col(index).alias("index"), run(F.col(value)).alias("_r")).select("index", "_r.*")
 
 
-def split_dead_letter(results: DataFrame, *, stage: bool = True) -> tuple[DataFrame, DataFrame]:
+_SHARED: dict[tuple, str] = {}
+
+
+def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Names, sizes and modification times of all files below ``paths``, as one value (no contents are read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    one = F.xxhash64("path", "length", "modificationTime")
+    return repr(files.agg(F.count(F.lit(1)), F.bit_xor(one), F.sum("length")).first())
+
+
+def split_dead_letter(results: DataFrame, *, stage: bool = True, shared_as: tuple | None = None) -> tuple[DataFrame, DataFrame]:
     """Good rows ``(index, out)`` and error rows ``(index, error, message)`` of one UDF evaluation.
 
-    With ``stage=True`` the results are written once to the shared checkpoint
-    folder and both outputs read that table, so the UDF runs exactly once and a
-    lost executor re-reads the table instead of re-running the UDF.
+    With ``stage=True`` the results are written once to the shared checkpoint folder, in one directory an outcome, and each
+    output is a read of its directory alone, so the UDF runs exactly once and a
+    lost executor re-reads files instead of re-running the UDF. ``shared_as`` names an evaluation (a fingerprint of its input and
+    the name of the function): later calls of the session with the same name read what the first one wrote.
     """
-    if stage:
-        results = stage_table(results, "dead-letter")
-    good = results.where(F.col("error").isNull()).select("index", "out")
-    bad = results.where(F.col("error").isNotNull()).select("index", "error", "message")
-    return good, bad
+    ok = F.col("error").isNull()
+    if not stage:
+        return results.where(ok).select("index", "out"), results.where(~ok).select("index", "error", "message")
+    spark = results.sparkSession
+    key = (spark.sparkContext.applicationId, checkpoint_dir(spark), *shared_as) if shared_as else None
+    path = _SHARED.get(key) if key else None
+    if path is None:
+        path = scratch(spark, "dead-letter")
+        results.withColumn("failed", ~ok).write.partitionBy("failed").parquet(path)
+        if key:
+            _SHARED[key] = path
+    back = spark.read.schema(results.withColumn("failed", F.lit(True)).schema).parquet(path)
+    return back.where(~F.col("failed")).select("index", "out"), back.where("failed").select("index", "error", "message")
 
 
 SCORE_TYPES = {

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import col_, let, py_lower_strip, token_id, ws_tokens
@@ -115,19 +115,46 @@ def zero_bad_words(mask, tokens, bad_words: Sequence[str]) -> Column:
 def char_to_token_long(offsets: DataFrame, chars: DataFrame, id_cols: Sequence[str], char_col: str = "char_index"
                        ) -> DataFrame:
     """C3 over long offsets ``(ids, token_index, start, end)``: first token containing the char,
-    else the last token; ``aligned`` = the token starts exactly at the char.
+    else the last token; ``aligned`` = the token starts exactly at the char. Chars of documents without tokens have no row.
 
-    One group-by per document (offsets from ``token_offsets`` are already clustered by it).
+    An as-of join: tokens (by their end) and chars are put together, sorted once per document from the end, and each char
+    takes the token seen last, the first one that ends after it. Tokens must be in the order of their ends, as
+    tokenizers give them; empty ones contain nothing. One sort per document, no token meets every char.
     """
     ids = list(id_cols)
-    j = offsets.join(chars.select(*ids, char_col), ids)
+    tok = F.struct("token_index", "start")
+    t = offsets.select(*ids, F.col("end").alias("_p"), F.lit(1).alias("_kind"), F.col("token_index").alias("_k"),
+                       F.when(F.col("end") > F.col("start"), tok).alias("_t"), tok.alias("_any"), F.lit(None).cast("int").alias(char_col))
+    kind = dict(chars.dtypes)[char_col]
+    c = chars.select(*ids, F.col(char_col).alias("_p"), F.lit(0).alias("_kind"), F.lit(0).alias("_k"),
+                     F.lit(None).cast(t.schema["_t"].dataType).alias("_t"), F.lit(None).cast(t.schema["_t"].dataType).alias("_any"), char_col)
+    x = t.withColumn(char_col, F.col(char_col).cast(kind)).unionByName(c)
+    # from the end: tokens that end after a char come before it, those that end at it after it; of equal ends the first token last
+    w = Window.partitionBy(*ids).orderBy(F.desc("_p"), F.asc("_kind"), F.desc("_k"))
+    x = x.withColumn("_near", F.last("_t", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    x = x.withColumn("_last", F.max("_any").over(Window.partitionBy(*ids))).where((F.col("_kind") == 0) & F.col("_last").isNotNull())
     c = F.col(char_col)
-    hit = F.min(F.when((F.col("start") <= c) & (c < F.col("end")), F.struct("token_index", "start")))
-    last = F.max(F.struct("token_index", "start"))
-    g = j.groupBy(*ids, char_col).agg(hit.alias("_h"), last.alias("_l"))
-    chosen = F.coalesce(F.col("_h"), F.col("_l"))
-    return g.select(*ids, char_col, chosen["token_index"].alias("token_index"),
-                    (chosen["start"] == c).alias("aligned"))
+    chosen = F.when(F.col("_near.start") <= c, F.col("_near")).otherwise(F.col("_last"))
+    return x.select(*ids, char_col, chosen["token_index"].alias("token_index"), (chosen["start"] == c).alias("aligned"))
+
+
+def spans_to_tokens_long(offsets: DataFrame, spans: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+    """C4 over long offsets ``(ids, token_index, start, end)`` and mask spans ``(ids, start, end)``: the tokens that overlap a
+    span, each once (the interval form of ``mask_to_tokens``; spans may overlap, nest or be empty).
+
+    Spans (by their start) and tokens (by their end) are put together and sorted once per document; a token overlaps a span
+    if, of the spans that start before its end, the farthest end lies beyond its start: a running maximum, so the work is
+    linear in tokens and spans after the sort.
+    """
+    ids = list(id_cols)
+    t = offsets.where(F.col("end") > F.col("start")).select(
+        *ids, F.col("end").alias("_p"), F.lit(0).alias("_kind"), "token_index", "start", F.lit(None).cast("int").alias("_e"))
+    s = spans.where(F.col("end") > F.col("start")).select(
+        *ids, F.col("start").alias("_p"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("token_index"),
+        F.lit(None).cast("int").alias("start"), F.col("end").cast("int").alias("_e"))
+    w = Window.partitionBy(*ids).orderBy("_p", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = t.unionByName(s).withColumn("_reach", F.max("_e").over(w))
+    return x.where((F.col("_kind") == 0) & (F.col("_reach") > F.col("start"))).select(*ids, "token_index")
 
 
 def char_to_token(starts, ends, char_index) -> tuple[Column, Column]:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.functions.templates import pair_boundary
 from tokenloom.functions.text import col_, order_key, py_strip, token_ids
 from tokenloom.operators.packing import PAD_ID
 from tokenloom.operators.tokenize import ids_of_pieces
@@ -92,3 +93,26 @@ def prepare_conversation(df: DataFrame, max_seq_len: int, *, text1: str = "text1
     if seed is not None:
         out = out.withColumn("order_key", order_key(seed, *key_cols))
     return out
+
+
+#: Tokenizer families whose boundary rule (the space belongs to the following token) is known.
+PAIR_TOKENIZERS = ("olmo",)
+
+
+def tokenize_pairs(df: DataFrame, fn: Callable[[list[str]], list[list[int]]], *, tokenizer: str, input: str = "input",
+                   output: str = "output", keep=()) -> DataFrame:
+    """H8 with its tokenise step: ``keep..., violation, input_ids, output_ids, at_boundary``.
+
+    The space at the input's end moves to the output (``pair_boundary``) and both are encoded by one call of ``fn`` a
+    batch, with the joined text: ``at_boundary`` tells whether the joined text's ids are the input's followed by the output's,
+    i.e. no token spans the boundary. An unknown ``tokenizer`` name fails while the plan is built; ill-formed pairs have a violation
+    and no ids.
+    """
+    if not any(f in tokenizer.lower() for f in PAIR_TOKENIZERS):
+        raise ValueError(f"tokenizer {tokenizer!r} is not supported; known families: {PAIR_TOKENIZERS}")
+    i, o, violation = pair_boundary(input, output)
+    x = df.select(*keep, violation.alias("violation"), F.when(violation.isNull(), F.array(i, o, F.concat(i, o))).alias("_parts"))
+    x = x.select(*keep, "violation", ids_of_pieces(fn)("_parts").alias("_ids"))
+    ok = F.col("violation").isNull()
+    return x.select(*keep, "violation", F.when(ok, F.get("_ids", 0)).alias("input_ids"), F.when(ok, F.get("_ids", 1)).alias("output_ids"),
+                    F.when(ok, F.concat(F.get("_ids", 0), F.get("_ids", 1)) == F.get("_ids", 2)).alias("at_boundary"))

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import ws_tokens
-from tokenloom.operators.apply import apply_with_errors, score, split_dead_letter
+from tokenloom.operators.apply import apply_with_errors, input_fingerprint, score, split_dead_letter
 from tokenloom.operators.composition import composition_rollup, path_columns, training_steps
 from tokenloom.operators.sampling import binary_balanced, nary_balanced
 from tokenloom.operators.scores import (
@@ -237,7 +237,7 @@ def _dead_letter(spark, sf_dir):
     val = F.when(F.col("event_type") == "error", F.expr("substring(props, 1, length(props) - 1)")).otherwise(
         F.col("props"))
     res = apply_with_errors(ev.select("event_id", val.alias("payload")), _parse_k, "payload", index="event_id")
-    return split_dead_letter(res)
+    return split_dead_letter(res, shared_as=("parse_k", input_fingerprint(spark, [f"{sf_dir.rstrip('/')}/events.parquet"])))
 
 
 @query("dead_letter_good", """
@@ -260,23 +260,28 @@ _WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 
 def _toy_scorer(prompts, masks):
-    """Stand-in for a model: loss = built-in tokens (those the mask keeps) per character (+1), perplexity = exp(loss)."""
+    """Stand-in for a model: loss = built-in tokens that the target mask keeps per character (+1), perplexity = exp(loss)."""
     out = []
-    for p, _ in zip(prompts, masks, strict=True):
-        n = len(_WORD.findall(p or ""))
+    for p, m in zip(prompts, masks, strict=True):
+        n = sum(k for _, k in zip(_WORD.findall(p or ""), m, strict=True))
         loss = n / (len(p or "") + 1)
         out.append({"loss": loss, "perplexity": math.exp(loss)})
     return out
 
 
+_KEPT = f"len(list_filter({TOKENS_SQL.format(t='text')}, lambda x: regexp_matches(x, '^[A-Z]')))"
+
+
 @query("scored_prompts", f"""
-SELECT doc_id, lang AS label, round(len({TOKENS_SQL.format(t='text')}) / (length(text) + 1), 6) AS loss,
-       round(exp(len({TOKENS_SQL.format(t='text')}) / (length(text) + 1)), 6) AS perplexity
+SELECT doc_id, lang AS label, round({_KEPT} / (length(text) + 1), 6) AS loss,
+       round(exp({_KEPT} / (length(text) + 1)), 6) AS perplexity
 FROM documents
 """)
 def q_scored_prompts(spark, sf_dir):
-    """Batch scoring surface (get_loss mode) with a stand-in scorer, label carried through."""
+    """Batch scoring surface (get_loss mode) with a stand-in scorer of the tokens that the target mask keeps (those that
+    begin with a capital), label carried through."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"), F.col("lang").alias("label"),
-                                                    F.array(F.lit(1)).alias("target_mask"))
+                                                 ws_tokens("text").alias("tokens"))
+    d = d.withColumn("target_mask", F.transform("tokens", lambda t: t.rlike("^[A-Z]").cast("int")))
     s = score(d, _toy_scorer, "get_loss", keep=["doc_id"])
     return s.select("doc_id", "label", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import string
 
 from pyspark.sql import DataFrame
@@ -11,7 +13,7 @@ from tokenloom.functions import templates as T
 from tokenloom.functions.templates import format_template, label_text, pair_boundary, reformat_dialogue
 from tokenloom.functions.text import completion_suffix
 from tokenloom.operators.chat import render_turns, turn_pairs
-from tokenloom.operators.pairs import prepare_conversation
+from tokenloom.operators.pairs import prepare_conversation, tokenize_pairs
 from tokenloom.operators.prompts import noisy_channel_expand
 from tokenloom.plans.registry import query, table
 from tokenloom.plans.training import IDS_SQL
@@ -236,3 +238,93 @@ def q_completion_suffix(spark, sf_dir):
     full = F.concat("text1", "text2")
     comp = completion_suffix(full, "text1")
     return p.select("conv_id", "turn", F.md5(comp).alias("completion_md5"), (comp == F.col("text2")).alias("matches"))
+
+
+@query("completion_of_text", """
+SELECT doc_id, md5(substr(text, length(string_split(text, chr(10))[1]) + 1)) AS completion_md5,
+       (length(text) - length(string_split(text, chr(10))[1]))::INTEGER AS n_chars
+FROM documents
+""")
+def q_completion_of_text(spark, sf_dir):
+    """H9: what follows a document's first line, the prompt, in its whole text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("prompt"))
+    comp = completion_suffix("text", "prompt")
+    return d.select("doc_id", F.md5(comp).alias("completion_md5"), F.length(comp).alias("n_chars"))
+
+
+def _builtin_ids(texts: list[str]) -> list[list[int]]:
+    """The built-in tokenizer as a callable."""
+    return [[int(hashlib.md5(t.encode()).hexdigest()[:7], 16) for t in _PLAIN_TOKEN.findall(x)] for x in texts]
+
+
+_PLAIN_TOKEN = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+@query("tokenized_pairs", PAIRS_SQL + f"""
+, b AS (SELECT conv_id, turn, {sql_format(T.HATE_CLASSIFICATION_WITHOUT_LABEL, input='text1')} AS inp, text2 AS out FROM pairs),
+v AS (SELECT *, CASE WHEN starts_with(out, ' ') THEN 'output_leading_space' END AS violation FROM b)
+SELECT conv_id, turn, violation,
+  CASE WHEN violation IS NULL THEN md5(array_to_string({IDS_SQL.format(t='inp')}, ' ')) END AS input_md5,
+  CASE WHEN violation IS NULL THEN md5(array_to_string({IDS_SQL.format(t='out')}, ' ')) END AS output_md5,
+  CASE WHEN violation IS NULL THEN list_concat({IDS_SQL.format(t='inp')}, {IDS_SQL.format(t='out')}) = {IDS_SQL.format(t='inp || out')}
+  END AS at_boundary
+FROM v
+""")
+def q_tokenized_pairs(spark, sf_dir):
+    """H8: classification prompts and responses encoded in one batch, with a check that no token spans the boundary."""
+    p = turn_pairs(table(spark, sf_dir, "conversations"))
+    p = p.select("conv_id", "turn", format_template(T.HATE_CLASSIFICATION_WITHOUT_LABEL, input="text1").alias("input"),
+                 F.col("text2").alias("output"))
+    x = tokenize_pairs(p, _builtin_ids, tokenizer="olmo (built-in tokens)", keep=["conv_id", "turn"])
+    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda i: i.cast("string")), " "))
+    return x.select("conv_id", "turn", "violation", digest("input_ids").alias("input_md5"), digest("output_ids").alias("output_md5"),
+                    "at_boundary")
+
+
+#: name -> (template, values of its placeholders as SQL over the labelled documents and the pair of their first two lines)
+_CLASSIFICATION = {
+    "toxic_plain": (T.TOXIC_CLASSIFICATION_NO_PROMPT, {"input": "text", "output": "toxic_label"}),
+    "toxic_asked": (T.TOXIC_CLASSIFICATION_WITH_PROMPT, {"input": "text", "output": "toxic_label"}),
+    "wildguard": (T.WILDGUARD_PROMPT_ONLY_TEMPLATE, {"human_request": "text"}),
+    "wildguard_new": (T.WILDGUARD_PROMPT_ONLY_TEMPLATE_NEW, {"human_request": "text"}),
+    "paradetox": (T.PARADETOX_PROMPT_ONLY_TEMPLATE, {"toxic_text": "text"}),
+    "nli_plain": (T.NLI_CLASSIFICATION_NO_PROMPT, {"input1": "line1", "input2": "line2", "output": "harm_label"}),
+    "nli_asked": (T.NLI_CLASSIFICATION_WITH_PROMPT, {"input1": "line1", "input2": "line2", "output": "harm_label"}),
+    "nli_chinese": (T.NLI_CLASSIFICATION_WITH_PROMPT_CHINESE, {"input1": "line1", "input2": "line2", "output": "harm_label"}),
+    "civil": (T.CIVIL_COMMENTS_TEMPLATE_NO_LABELS, {"input": "text", "output": "fine_label"}),
+    "civil_fine": (T.CIVIL_COMMENTS_FINEGRAINED_TEMPLATE_NO_LABELS, {"input": "line1", "output": "fine_label"}),
+    "squad": (T.SQUAD_TEMPLATE_NO_LABELS, {"title": "instruction", "context": "text", "question": "line1"}),
+    "squad_answered": (T.SQUAD_TEMPLATE_WITH_LABELS, {"title": "instruction", "context": "text", "question": "line1", "answer": "line2"}),
+    "dynahate": (T.HATE_CLASSIFICATION_WITH_LABEL, {"input": "text", "output": "dyna_label"}),
+}
+
+
+def _classification_sql() -> str:
+    def pick(mapping: dict) -> str:
+        return f"CASE WHEN toxic = 1 THEN {sql_lit(str(mapping[True]))} ELSE {sql_lit(str(mapping[False]))} END"
+    fine = "[" + ", ".join(sql_lit(x) for x in T.CIVIL_COMMENTS_FINEGRAINED_LABELS) + "]"
+    cols = ", ".join(f"md5({sql_format(t, **v)}) AS {k}" for k, (t, v) in _CLASSIFICATION.items())
+    return f"""
+WITH x AS (SELECT d.doc_id, d.text, l.toxic, string_split(d.text, chr(10)) AS ls FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+y AS (SELECT doc_id, text, ls[1] AS line1, ls[2] AS line2, {sql_lit(T.SQUAD_INSTRUCTION)} AS instruction,
+      {pick(T.TOXIC_CLASSIFICATION_LABELS)} AS toxic_label, {pick(T.WILDGUARD_PROMPT_ONLY_LABELS)} AS harm_label,
+      {pick(T.DYNAHATE_LABELS)} AS dyna_label, {pick(T.DYNAHATE_LABEL_IDS)} AS dyna_id, {fine}[doc_id % 6 + 1] AS fine_label FROM x)
+SELECT doc_id, dyna_id::INTEGER AS dyna_id, {cols} FROM y
+"""
+
+
+@query("classification_prompts", _classification_sql())
+def q_classification_prompts(spark, sf_dir):
+    """H4 + H7: every labelled document in the toxicity, safety, detoxification, inference and reading templates, labels through
+    their maps."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    x = d.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    lines, toxic = F.split("text", "\n"), F.col("toxic") == 1
+    fine = F.array(*map(F.lit, T.CIVIL_COMMENTS_FINEGRAINED_LABELS))
+    x = x.select("doc_id", "text", F.get(lines, 0).alias("line1"), F.get(lines, 1).alias("line2"),
+                 F.lit(T.SQUAD_INSTRUCTION).alias("instruction"),
+                 label_text(toxic, T.TOXIC_CLASSIFICATION_LABELS).alias("toxic_label"),
+                 label_text(toxic, T.WILDGUARD_PROMPT_ONLY_LABELS).alias("harm_label"),
+                 label_text(toxic, T.DYNAHATE_LABELS).alias("dyna_label"), label_text(toxic, T.DYNAHATE_LABEL_IDS).alias("dyna_id"),
+                 F.get(fine, (F.col("doc_id") % 6).cast("int")).alias("fine_label"))
+    return x.select("doc_id", "dyna_id", *[F.md5(format_template(t, **v)).alias(k) for k, (t, v) in _CLASSIFICATION.items()])

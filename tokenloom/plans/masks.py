@@ -5,22 +5,24 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions.text import WS_CLASS, ws_tokens
 from tokenloom.operators.masks import (
     char_to_token,
+    char_to_token_long,
     drop_unmaskable,
     mask_to_tokens,
     shift_indices,
     with_token_budget,
     segment_token_mask,
     span_segments,
+    spans_to_tokens_long,
     zero_bad_words,
 )
-from tokenloom.operators.tokenize import token_spans
+from tokenloom.operators.tokenize import token_offsets, token_spans
 from tokenloom.plans.chat import strip_sql
 from tokenloom.plans.registry import query, table
 from tokenloom.plans.training import TOKENS_SQL
@@ -202,3 +204,47 @@ def q_mask_to_token(spark, sf_dir):
     return x.select("doc_id", "n_tokens", F.size("sel").alias("n_selected"),
                     F.md5(F.array_join(F.transform("sel", lambda v: v.cast("string")), ",")).alias("sel_md5"),
                     F.md5(F.array_join(F.transform("sh", lambda v: v.cast("string")), ",")).alias("shifted_md5"))
+
+
+_LINES_SQL = _OFFSETS_SQL + """
+, l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k
+         FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, k, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+             - 1 - length(line) AS st, length(line) AS n FROM l0)
+"""
+
+
+def _lines_long(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, start, end) of every line of every document."""
+    x = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    x = x.select("doc_id", "k", F.length("line").alias("n"))
+    before = F.coalesce(F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    return x.withColumn("start", before).withColumn("end", F.col("start") + F.col("n"))
+
+
+@query("line_start_tokens", _LINES_SQL + """
+, pick AS (SELECT l.doc_id, l.k, l.st AS ch, coalesce(min(CASE WHEN tok.st <= l.st AND l.st < e THEN ti END), max(ti)) AS ti
+           FROM l JOIN tok ON l.doc_id = tok.doc_id GROUP BY l.doc_id, l.k, l.st)
+SELECT pick.doc_id, count(*)::BIGINT AS n_lines, sum(pick.ti)::BIGINT AS token_sum, count(*) FILTER (WHERE tok.st = pick.ch)::BIGINT AS n_aligned
+FROM pick JOIN tok ON pick.doc_id = tok.doc_id AND pick.ti = tok.ti GROUP BY pick.doc_id
+""")
+def q_line_start_tokens(spark, sf_dir):
+    """C3, long form: the token at the beginning of every line, by an as-of join."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chars = _lines_long(d).select("doc_id", F.col("start").alias("char_index"))
+    x = char_to_token_long(token_offsets(d, ["doc_id"]), chars, ["doc_id"])
+    return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("token_index").alias("token_sum"),
+                                   F.count_if("aligned").alias("n_aligned"))
+
+
+@query("span_tokens", _LINES_SQL + """
+, h AS (SELECT DISTINCT tok.doc_id, ti FROM tok JOIN l ON tok.doc_id = l.doc_id AND l.k % 3 = 0 AND tok.st < l.st + l.n // 2 AND tok.e > l.st)
+SELECT doc_id, count(*)::BIGINT AS n_tokens, sum(ti)::BIGINT AS token_sum FROM h GROUP BY doc_id
+""")
+def q_span_tokens(spark, sf_dir):
+    """C4, long form: tokens that overlap the first half of every third line, by an interval-overlap join."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = _lines_long(d).where("k % 3 = 0").select("doc_id", "start", (F.col("start") + F.floor(F.col("n") / 2)).cast("int").alias("end"))
+    x = spans_to_tokens_long(token_offsets(d, ["doc_id"]), spans, ["doc_id"])
+    return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("token_index").alias("token_sum"))

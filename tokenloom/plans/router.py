@@ -19,6 +19,9 @@ from tokenloom.operators.router import (
     row_count_parity,
 )
 from tokenloom.plans.registry import query, table
+from tokenloom.session import scratch
+from tokenloom.sources.readers import read_router_records
+from tokenloom.sources.writers import write_router_files
 
 
 def router_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,3 +177,49 @@ def q_router_jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_results(rec, path, "router", partition_by="domain")
     back = load_jsonl(spark, path, ROUTER_SCHEMA + ", domain int")
     return _spec_out(domain_specialization(back, k=2))
+
+
+@query("pair_violations", """
+WITH req AS (
+  SELECT conv_id, turn, text AS ctx, CASE WHEN conv_id % 5 = 1 AND turn < 2 THEN 2 ELSE 1 END AS nreq FROM conversations
+  WHERE role = 'user' AND NOT (conv_id % 7 = 2 AND turn < 2)
+), pred AS (
+  SELECT conv_id, turn - 1 AS turn, text AS cont, CASE WHEN conv_id % 3 = 1 AND turn < 3 THEN 0 WHEN conv_id % 3 = 2 AND turn < 3 THEN 2 ELSE 1 END AS nout
+  FROM conversations WHERE role = 'assistant' AND conv_id % 11 <> 3
+), j AS (
+  SELECT CASE WHEN nreq IS NULL THEN 'missing_request' WHEN nout IS NULL THEN 'missing_prediction' WHEN nreq > 1 THEN 'duplicate_id'
+              WHEN nout <> 1 THEN 'bad_output_count' END AS violation, ctx, cont
+  FROM req FULL OUTER JOIN pred ON req.conv_id = pred.conv_id AND req.turn = pred.turn
+)
+SELECT coalesce(violation, 'none') AS violation, count(*)::BIGINT AS n,
+       sum(CASE WHEN violation IS NULL THEN length(ctx || cont) END)::BIGINT AS prompt_chars FROM j GROUP BY 1
+""")
+def q_pair_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that are there twice or not at all, predictions with no output, two or none at all: each has its violation."""
+    req, pred = chat_requests(spark, sf_dir)
+    turn = F.element_at(F.split("native_id", ":"), -1).cast("int")
+    req = req.where(~((F.col("conv_id") % 7 == 2) & (turn < 2)))
+    req = req.unionByName(req.where((F.col("conv_id") % 5 == 1) & (turn < 2)))
+    outputs = F.when((F.col("conv_id") % 3 == 1) & (turn < 2), F.slice("model_output", 1, 0)).when(
+        (F.col("conv_id") % 3 == 2) & (turn < 2), F.concat("model_output", "model_output")).otherwise(F.col("model_output"))
+    pred = pred.where("conv_id % 11 <> 3").withColumn("model_output", outputs)
+    x = pair_requests_predictions(req, pred)
+    return x.groupBy(F.coalesce("violation", F.lit("none")).alias("violation")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("prompt")).alias("prompt_chars"))
+
+
+@query("router_domain_files", """
+SELECT label::VARCHAR AS domain, count(*)::BIGINT AS n_records, count(*)::BIGINT - 1 AS last_line,
+       'vec:' || min(vec_id)::VARCHAR AS first_prompt, round(sum(embedding[1]::DOUBLE), 4) AS logit_sum FROM embeddings GROUP BY label
+""")
+def q_router_domain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Router records written as ``<domain>-router.jsonl`` (parts in order), found by that name and read back with
+    the domain from the name and line numbers over the parts."""
+    rec = router_records(spark, sf_dir).select(
+        "domain", "vec_id", F.concat_ws(":", F.lit("vec"), "vec_id").alias("prompt"), F.lit(0).alias("token_index"),
+        F.col("router_logits").cast("array<array<array<double>>>").alias("router_logits"))
+    write_router_files(rec, path := scratch(spark, "router-domains"), order=["vec_id"], files=8)
+    back = read_router_records(spark, path, ordered=True)
+    return back.groupBy("domain").agg(
+        F.count(F.lit(1)).alias("n_records"), F.max("line_no").alias("last_line"), F.min_by("prompt", "line_no").alias("first_prompt"),
+        F.round(F.sum(F.col("router_logits")[0][0][0]), 4).alias("logit_sum"))

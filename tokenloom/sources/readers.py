@@ -112,7 +112,8 @@ def load_jsonl(spark: SparkSession, path: str, schema: str, *, line_col: str = "
                                                                                         "_first")
 
 
-def load_ordered_jsonl(spark: SparkSession, path: str, schema: str, *, line_col: str = "line_no") -> DataFrame:
+def load_ordered_jsonl(spark: SparkSession, path: str, schema: str, *, line_col: str = "line_no",
+                       folders: str | None = None) -> DataFrame:
     """A4 + A8: rows of ``write_jsonl(order=...)`` with the 0-based line number over all part files (of their directory).
 
     A file's lines are numbered as by ``load_jsonl``, the manifest gives its first one. The job fails if a part of the
@@ -121,7 +122,7 @@ def load_ordered_jsonl(spark: SparkSession, path: str, schema: str, *, line_col:
     from tokenloom.operators.checks import assert_true
 
     listed = spark.read.schema("file string, rows long, first_line long").json(f"{path.rstrip('/')}/_manifest")
-    rows = load_jsonl(spark, path, schema, line_col="_at")
+    rows = load_jsonl(spark, f"{path.rstrip('/')}/{folders}" if folders else path, schema, line_col="_at")
     found = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("_n"))
     both = listed.join(found, F.col("file") == F.col("file_path"), "full_outer")
     whole = F.coalesce(F.col("rows") == F.col("_n"), F.lit(False))
@@ -150,12 +151,16 @@ def require_one_file(files: DataFrame, what: str = "file") -> DataFrame:
 
 
 def domain_of(path_col: Column | str = "file_path", suffix: str = "-router.jsonl") -> Column:
-    """domain = file name without ``suffix`` (one glob scan serves all domains)."""
+    """domain = name of the file, or of its folder, without ``suffix`` (one glob scan serves all domains)."""
     c = F.col(path_col) if isinstance(path_col, str) else path_col
-    return F.regexp_extract(c, r"([^/]+)" + suffix.replace(".", r"\.") + "$", 1)
+    return F.regexp_extract(c, r"([^/]+)" + suffix.replace(".", r"\.") + "(?:/[^/]*)?$", 1)
 
 
-def read_router_records(spark: SparkSession, directory: str, suffix: str = "-router.jsonl") -> DataFrame:
-    """A6 + A4: every ``<domain><suffix>`` file in one scan, with domain and line number."""
-    df = load_jsonl(spark, f"{directory.rstrip('/')}/*{suffix}", ROUTER_SCHEMA)
+def read_router_records(spark: SparkSession, directory: str, suffix: str = "-router.jsonl", *, ordered: bool = False) -> DataFrame:
+    """A6 + A4: every ``<domain><suffix>`` in one scan, with domain and line number. With ``ordered`` they are folders of part files
+    as ``write_router_files`` makes them, and lines are numbered over a folder's parts."""
+    if ordered:
+        df = load_ordered_jsonl(spark, directory, ROUTER_SCHEMA, folders=f"*{suffix}")
+    else:
+        df = load_jsonl(spark, f"{directory.rstrip('/')}/*{suffix}", ROUTER_SCHEMA)
     return df.withColumn("domain", domain_of("file_path", suffix))

@@ -41,16 +41,33 @@ def write_jsonl(df: DataFrame, path: str, *, order: Sequence[str] | None = None,
 MANIFEST = "_manifest"  # hidden from readers of the folder, as its name begins with an underscore
 
 
-def write_manifest(spark: SparkSession, path: str) -> None:
+def write_manifest(spark: SparkSession, path: str, folders: str | None = None) -> None:
     """(file, rows, first_line) of the part files below ``path``: rows as read back, lines numbered over the files of a directory in
-    name order. One row a file."""
-    each = spark.read.option("lineSep", "\n").text(path).groupBy(F.col("_metadata.file_path").alias("file"))
+    name order. One row a file. ``folders`` is the pattern of the folders they are in, if Spark wouldn't look there."""
+    below = f"{path.rstrip('/')}/{folders}" if folders else path
+    each = spark.read.option("lineSep", "\n").text(below).groupBy(F.col("_metadata.file_path").alias("file"))
     counts = each.agg(F.count(F.lit(1)).alias("rows"))
     order = Window.partitionBy(F.regexp_extract("file", "^(.*)/[^/]*$", 1)).orderBy("file")
     first = F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts.withColumn("first_line", first).coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/{MANIFEST}")
 
 
+def write_router_files(df: DataFrame, path: str, *, domain: str = "domain", order: Sequence[str], suffix: str = "-router.jsonl",
+                       files: int | None = None) -> None:
+    """One ``<domain><suffix>`` for each value of ``domain``, a folder of part files in order (Spark's readers take it as
+    one file), with a manifest. The folders are renamed once the job has committed: one call a domain."""
+    write_jsonl(df, path, order=order, partition_by=domain, files=files)
+    spark = df.sparkSession
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(top):
+        name = status.getPath().getName()
+        if name.startswith(f"{domain}="):
+            system.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(top, name.split("=", 1)[1] + suffix))
+    write_manifest(spark, path, f"*{suffix}")
+
+
 def _sorted_shards(ranked: DataFrame) -> DataFrame:
     """Rows range-partitioned by (shard, rank): a shard is one or more files whose name order is its row order."""
     return ranked.repartitionByRange("shard", "rank").sortWithinPartitions("shard", "rank").drop("rank")
