@@ -60,3 +60,30 @@ def test_linked_across_documents_and_awkward_rows(spark, awkward, nothing):
 def test_long_tokens_are_quick():
     t = "a" * 300_000 + " " + "1" * 300_000 + " " + "1 " * 100_000 + "x." * 100_000
     assert pseudonymise(t, P)[0] == t
+
+
+def test_a_day_and_an_address_have_one_pseudonym():
+    for y, m, d in ((2000, 12, 31), (1999, 1, 12), (2024, 2, 29), (1900, 1, 1), (2099, 12, 13)):
+        t = f"{y}-{m:02d}-{d:02d} {d:02d}.{m:02d}.{y} {m:02d}/{d:02d}/{y}" + (f" {d:02d}/{m:02d}/{y}" if d > 12 else "")
+        out, n = pseudonymise(t, P)
+        x = out.split()
+        iso = x[0].split("-")
+        assert n == {"date": len(x)} and (int(iso[2]) > 12) == (d > 12)
+        assert x[1].split(".") == iso[::-1] and x[2].split("/") == [iso[1], iso[2], iso[0]]
+        assert len(x) == 3 or x[3].split("/") == iso[::-1]
+        assert pseudonymise(out, BACK)[0] == t
+    a, b = pseudonymise("Anna.B@x.org anna.b@x.org", P)[0].split()
+    assert a.lower() == b and a != b and pseudonymise(f"{a} {b}", BACK)[0] == "Anna.B@x.org anna.b@x.org"
+
+
+def test_given_table_round_trip_and_links(spark):
+    """Every document comes back whole; a value has one pseudonym in all documents, another value another one."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    emails = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+    pairs, touched = set(), 0
+    for t in docs:
+        out, n = pseudonymise(t, P)
+        assert pseudonymise(out, BACK)[0] == t and (out == t) == (not n)
+        touched += bool(n)
+        pairs |= set(zip(emails.findall(t or ""), emails.findall(out or "")))
+    assert touched > 20 and len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs) > 5

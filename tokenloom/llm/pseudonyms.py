@@ -3,7 +3,7 @@
 Candidates are found by format and validated (card numbers by Luhn, IBANs by mod 97, dates by the calendar, IPv4 octets,
 North American and international phone numbers, social security numbers, e-mail addresses). The free characters of a value are read as one
 mixed-radix number below N and moved by a keyed Feistel permutation of 0..N-1 (cycle walking keeps it inside); check
-digits are computed anew. So a pseudonym is again a valid value of its format, equal values have equal pseudonyms in
+digits are computed anew. A day has one pseudonym in all date formats, an address one in any case. So a pseudonym is again a valid value of its format, equal values have equal pseudonyms in
 all documents, different ones different pseudonyms, and the key's holder can reverse them. No value maps to itself:
 the permutation is a rotation conjugated by the Feistel network.
 
@@ -37,8 +37,9 @@ FORMATS = re.compile("|".join((
     r"(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))",
 )))
 _FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
-_LATE = [d for d in range(_FIRST, _LAST + 1) if date.fromordinal(d).day > 12]
-_LATE_RANK = {d: i for i, d in enumerate(_LATE)}
+# Days up to the 12th and later ones are moved among themselves, so a date in any order of day and month stays readable in it
+_DAYS = [[d for d in range(_FIRST, _LAST + 1) if (date.fromordinal(d).day > 12) == late] for late in (False, True)]
+_RANK = [{d: i for i, d in enumerate(days)} for days in _DAYS]
 
 
 class Permutation:
@@ -115,8 +116,9 @@ def _mod97(s: str) -> int:
 
 
 def _email(v: str, p: Permutation) -> tuple[str, int]:
-    local, _, domain = v.partition("@")
-    return f"{_characters(local, p, 'email')}@{domain}", len(v)
+    local, _, domain = v.partition("@")  # case makes no other address: the lower-cased name is moved and gets the case again
+    new = _characters(local.lower(), p, "email")
+    return "".join(n.upper() if o.isupper() else n for o, n in zip(local, new)) + f"@{domain}", len(v)
 
 
 def _iban(v: str, p: Permutation) -> tuple[str, int] | None:
@@ -151,7 +153,8 @@ def _date(v: str, p: Permutation) -> tuple[str, int] | None:
         return n if _FIRST <= n <= _LAST else None
 
     def moved(n: int) -> date:
-        return date.fromordinal(_FIRST + p(n - _FIRST, _LAST - _FIRST + 1, "date"))
+        late = date.fromordinal(n).day > 12
+        return date.fromordinal(_DAYS[late][p(_RANK[late][n], len(_DAYS[late]), f"date|{late}")])
 
     if v[4] == "-":
         n = day(v[:4], v[5:7], v[8:])
@@ -162,7 +165,7 @@ def _date(v: str, p: Permutation) -> tuple[str, int] | None:
     if (n := day(v[6:], v[:2], v[3:5])) is not None:
         return f"{moved(n):%m/%d/%Y}", len(v)
     n = day(v[6:], v[3:5], v[:2])  # day first: only days after the 12th are read so
-    return None if n is None else (f"{date.fromordinal(_LATE[p(_LATE_RANK[n], len(_LATE), 'late date')]):%d/%m/%Y}", len(v))
+    return None if n is None else (f"{moved(n):%d/%m/%Y}", len(v))
 
 
 def _phone(v: str, p: Permutation) -> tuple[str, int] | None:
