@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tokenloom.llm.quality_knn import PIECE, classify, features, fit, keep_good
+from tokenloom.llm.quality_knn import PIECE, SHAPES, classify, features, fit, keep_good
 from tokenloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -21,9 +21,11 @@ def test_blocked_votes_against_plain_loops(spark):
     x = np.stack([features(r.text) for r in docs.limit(40).collect()])
     got = m.scores(x)
     for v, s in zip(x, got):
-        a = v * m.weight
-        z = (a / np.linalg.norm(a)) @ m.axes
-        cos = m.z @ (z / np.linalg.norm(z))
+        cos = 0
+        for (part, weight, axes, root), zs in zip(m.spaces, (m.z[:, :48], m.z[:, 48:])):
+            a = v[part] * weight
+            z = (a / np.linalg.norm(a)) @ axes
+            cos = cos + root * (zs @ (z / np.linalg.norm(z)))
         top = np.argsort(-cos)[:31]
         w = np.maximum(cos[top], 0) ** 8
         assert s == pytest.approx((w * m.y[top]).sum() / w.sum(), abs=1e-3)
@@ -49,5 +51,33 @@ def test_awkward(spark, awkward, nothing):
 
 def test_long_text_is_read_whole():
     t = "word " * (PIECE // 4)
-    assert features(t)[:-1] != pytest.approx(features(t + "LOUD!! " * PIECE)[:-1])
+    assert features(t)[:SHAPES - 1] != pytest.approx(features(t + "LOUD!! " * PIECE)[:SHAPES - 1])
     assert np.isfinite(features("x" * (3 * PIECE))).all()
+
+
+def test_labels_that_depend_on_vocabulary_alone(spark):
+    """Plain texts of one shape: only their words tell good from bad."""
+    rnd = np.random.default_rng(6)
+    vocab = ["".join(rnd.choice(list("bcdfglmnrst")) + rnd.choice(list("aeiou")) for _ in range(3)) for _ in range(900)]
+    common, good, bad = vocab[:300], vocab[300:600], vocab[600:]
+    rows, labels = [], []
+    for i in range(1500):
+        own = good if i % 2 else bad
+        words = [*rnd.choice(common, 30), *rnd.choice(own, 10)]
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, i % 2))
+    labels += [(10 ** 6 + i, i % 2) for i in range(20_000)]  # labels of absent documents take no place in the sample
+    got = classify(spark.createDataFrame(rows, "doc_id long, text string"),
+                   spark.createDataFrame(labels, "doc_id long, quality int"), threshold=0.5).toPandas()
+    held = got[got.held_out]
+    assert len(held) > 200 and (held.predicted == held.doc_id % 2).mean() > 0.9
+
+
+def test_many_distinct_words_are_counted_in_parts(monkeypatch):
+    from tokenloom.llm import quality_knn
+    t = " ".join(f"w{i % 700}" for i in range(3000))
+    monkeypatch.setattr(quality_knn, "PIECE", 500)
+    whole = features(t)
+    monkeypatch.setattr(quality_knn, "MOST_WORDS", 10)
+    np.testing.assert_allclose(features(t)[SHAPES:], whole[SHAPES:], rtol=1e-6)
