@@ -26,10 +26,14 @@ def test_binary_balanced(spark):
     assert binary_balanced(df, F.col("flag"), n=6, seed=1, key=["id"], strict=False).count() == 11
 
 
-def test_balanced_against_sorting(spark):
+@pytest.mark.parametrize("few", [0, 50, 4096])
+def test_balanced_against_sorting(spark, monkeypatch, few):
     """Large n, keys that repeat (cut by a hash of the row) and rows alike in all columns (any of them, the right number)."""
     from collections import Counter
 
+    from tokenloom.operators import sampling
+
+    monkeypatch.setattr(sampling, "FEW", few)
     rows = [(i, i % 3 == 0, i // 50 if i % 2 else i) for i in range(3000)] + [(9000, True, 7)] * 900 + [(9000, False, 7)] * 10
     df = spark.createDataFrame(rows, "id long, flag boolean, k long").repartition(6)
     everything = binary_balanced(df, F.col("flag"), n=10 ** 6, seed=3, key=["k"], strict=False)

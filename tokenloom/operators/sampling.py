@@ -2,12 +2,14 @@
 
 The n first rows of a class in seeded order are found by a threshold and not by sorting: the order keys are counted in
 histograms of ``2**LEVEL_BITS`` buckets a class, only the bucket in which the n-th row falls is split again, until it
-holds one value; then a filter keeps what lies below. No class meets in one task and no window runs over one, whatever n is. The
+holds few rows or one value; then a filter keeps what lies below. No class meets in one task and no window runs over one, whatever n is. The
 keys (class and four longs a row) are written once, and at most a row a class and bucket reaches the driver.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,40 +28,76 @@ def _order_longs() -> dict[str, Column]:
     return {"_k0": part(1), "_k1": part(16), "_k2": F.shiftrightunsigned("_tb", 64 - KEY_BITS)}
 
 
+COLUMNS = ("_k0", "_k1", "_k2")
+FEW = 4096  # rows of a bucket whose keys are looked at one by one
+
+
+def _within(c, s: dict) -> Column:
+    """Rows of class ``c`` in the bucket that state ``s`` has come to."""
+    on = F.col("_c") == F.lit(c)
+    for name, value in s["fixed"]:
+        on = on & (F.col(name) == value)
+    return on & F.col(s["column"]).between(s["lo"], s["lo"] + (1 << s["bits"]) - 1)
+
+
 def _first_rows(keys: DataFrame, classes: Sequence, n: int, strict: bool) -> dict:
-    """Class -> list of bounds (column, value): a row is in if its longs are below the bounds in order, and of the rows
-    that equal all of them ``left`` are in; a class of at most n rows has no bounds."""
-    totals = {r[0]: r[1] for r in keys.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if strict and any(totals.get(c, 0) < n for c in classes):
-        raise ValueError(f"a class has fewer than {n} rows: {totals}")
-    state = {c: {"left": n, "bounds": [], "lo": 0} for c in totals if totals[c] > n}
-    for column in ("_k0", "_k1", "_k2"):
-        open_ = {c: s for c, s in state.items() if s["left"]}
-        for s in open_.values():
-            s["lo"] = 0
-        for shift in range(KEY_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
-            if not open_:
-                break
-            inside = F.lit(False)
-            for c, s in open_.items():
-                on = F.col("_c") == F.lit(c)
-                for name, value in s["bounds"]:
-                    on = on & (F.col(name) == value)
-                inside = inside | (on & F.col(column).between(s["lo"], s["lo"] + (1 << shift + LEVEL_BITS) - 1))
-            hist = keys.where(inside).groupBy("_c", F.shiftright(column, shift).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-            per: dict = {}
-            for r in hist.collect():  # at most 2^LEVEL_BITS rows a class
-                per.setdefault(r["_c"], []).append((r["b"], r["n"]))
-            for c, s in open_.items():
-                for b, k in sorted(per[c]):
-                    if k > s["left"]:
-                        s["lo"] = b << shift
-                        break
-                    s["left"] -= k
+    """Class -> ``bounds`` (column, value) and ``left``: a row is in if its longs lie below the bounds (first column first), and
+    of the rows that equal all of them ``left`` are in. A class of at most n rows is left out: all its rows are in.
+
+    A round counts the open classes' buckets in one job. A bucket of few rows is settled from its keys, others are split again.
+    """
+    state: dict = {}
+
+    def narrowed(c, s: dict, hist: list[tuple[int, int]]) -> None:
+        s["bits"] -= LEVEL_BITS
+        for bucket, k in sorted(hist):
+            if k > s["left"]:
+                s["lo"], s["rows"] = bucket << s["bits"], k
+                return
+            s["left"] -= k
+        raise AssertionError(f"class {c} lost rows between two reads")
+
+    def counts(bucket: Column, where: Column) -> dict:
+        per: dict = {}
+        for r in keys.where(where).groupBy("_c", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
+            per.setdefault(r["_c"], []).append((r["b"], r["n"]))  # at most 2^LEVEL_BITS rows a class
+        return per
+
+    for c, hist in counts(F.shiftright("_k0", KEY_BITS - LEVEL_BITS), F.lit(True)).items():
+        total = sum(k for _, k in hist)
+        state[c] = {"total": total, "left": n, "fixed": [], "column": "_k0", "lo": 0, "bits": KEY_BITS}
+        if total > n:
+            narrowed(c, state[c], hist)
+    if strict and any(c not in state or state[c]["total"] < n for c in classes):
+        raise ValueError(f"a class has fewer than {n} rows: { {c: s['total'] for c, s in state.items()} }")
+    state = {c: s for c, s in state.items() if s["total"] > n}
+    while open_ := {c: s for c, s in state.items() if "bounds" not in s}:
+        few = {c: s for c, s in open_.items() if s["rows"] <= FEW}
+        if few:
+            where = functools.reduce(operator.or_, [_within(c, s) for c, s in few.items()])
+            near: dict = {}
+            for r in keys.where(where).select("_c", *COLUMNS).collect():
+                near.setdefault(r["_c"], []).append(tuple(r[x] for x in COLUMNS))
+            for c, s in few.items():
+                rows = sorted(near[c])
+                first_out = rows[s["left"]]
+                s["bounds"], s["left"] = list(zip(COLUMNS, first_out)), s["left"] - rows.index(first_out)
+        many = {c: s for c, s in open_.items() if c not in few}
+        for s in many.values():
+            if not s["bits"]:  # one value: the next column decides, or the rows are alike in all columns
+                s["fixed"].append((s["column"], s["lo"]))
+                if len(s["fixed"]) == len(COLUMNS):
+                    s["bounds"] = s["fixed"]
                 else:
-                    raise AssertionError("a class lost rows between two reads")
-        for s in open_.values():
-            s["bounds"].append((column, s["lo"]))
+                    s |= {"column": COLUMNS[len(s["fixed"])], "lo": 0, "bits": KEY_BITS}
+        many = {c: s for c, s in many.items() if "bounds" not in s}
+        if many:
+            bucket, where = F.lit(None).cast("long"), F.lit(False)
+            for c, s in many.items():
+                bucket = F.when(F.col("_c") == F.lit(c), F.shiftright(s["column"], s["bits"] - LEVEL_BITS)).otherwise(bucket)
+                where = where | _within(c, s)
+            for c, hist in counts(bucket, where).items():
+                narrowed(c, many[c], hist)
     return state
 
 
