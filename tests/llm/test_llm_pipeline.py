@@ -59,3 +59,16 @@ def test_short_boilerplate_goes(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, df, SF).collect()}
     assert got == {0: rows[0][1], 6: "rare", **{i: f"\nown line of document {i}" for i in range(1, 6)}}
+
+
+def test_awkward_table_through_all_stages(spark, awkward):
+    """Null and repeated ids, null, empty and very long texts, equal rows and columns named like the operators' own."""
+    docs, sizes = staged(awkward, "test-awkward"), []
+    for name, f in corpus_pipeline.STAGES:
+        out = staged(f(spark, docs, SF), f"test-{name}")
+        assert out.columns == docs.columns or name == "sentencepiece"
+        sizes.append(out.count())
+        docs = out
+    # no label is of these documents: texts without words go, all others stay; 106 is there twice, 104 and 105 agree
+    n = awkward.count()
+    assert sizes[0] == sizes[1] == n - 3 and sizes[2] < sizes[0] and sizes[4] == sizes[3] >= sizes[2]
