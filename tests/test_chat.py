@@ -123,11 +123,11 @@ def test_tokenize_pairs(spark):
 
     df = spark.createDataFrame([(1, "a b ", "c d"), (2, "a b", "c"), (3, "a ", " c"), (4, "x ", "")], "k long, input string, output string")
     calls = lambda texts: [[len(w) for w in t.split()] for t in texts]
-    got = {r.k: r for r in tokenize_pairs(df, calls, tokenizer="allenai/OLMo-7B", keep=["k"]).collect()}
+    got = {r.k: r for r in tokenize_pairs(df, calls, tokenizer="some/GPT-NeoX-20b", keep=["k"]).collect()}
     assert (got[1].input_ids, got[1].output_ids, got[1].at_boundary, got[1].violation) == ([1, 1], [1, 1], True, None)
     assert got[2].violation == "input_no_trailing_space" and got[2].input_ids is None and got[2].at_boundary is None
     assert got[3].violation == "output_leading_space" and got[4].output_ids == []
     merging = lambda texts: [[len(t)] for t in texts]  # noqa: E731  one token a text: it spans the boundary
-    assert {r.at_boundary for r in tokenize_pairs(df.where("k = 1"), merging, tokenizer="olmo").collect()} == {False}
+    assert {r.at_boundary for r in tokenize_pairs(df.where("k = 1"), merging, tokenizer="byte-level").collect()} == {False}
     with pytest.raises(ValueError, match="not supported"):
-        tokenize_pairs(df, calls, tokenizer="gpt2")
+        tokenize_pairs(df, calls, tokenizer="wordpiece")

@@ -95,8 +95,8 @@ def prepare_conversation(df: DataFrame, max_seq_len: int, *, text1: str = "text1
     return out
 
 
-#: Tokenizer families whose boundary rule (the space belongs to the following token) is known.
-PAIR_TOKENIZERS = ("olmo",)
+#: Tokenizer families whose boundary rule is known: a space belongs to the token after it.
+PAIR_TOKENIZERS = ("byte-level", "gpt-neox")
 
 
 def tokenize_pairs(df: DataFrame, fn: Callable[[list[str]], list[list[int]]], *, tokenizer: str, input: str = "input",

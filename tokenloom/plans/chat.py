@@ -275,7 +275,7 @@ def q_tokenized_pairs(spark, sf_dir):
     p = turn_pairs(table(spark, sf_dir, "conversations"))
     p = p.select("conv_id", "turn", format_template(T.HATE_CLASSIFICATION_WITHOUT_LABEL, input="text1").alias("input"),
                  F.col("text2").alias("output"))
-    x = tokenize_pairs(p, _builtin_ids, tokenizer="olmo (built-in tokens)", keep=["conv_id", "turn"])
+    x = tokenize_pairs(p, _builtin_ids, tokenizer="built-in tokens, split as byte-level ones", keep=["conv_id", "turn"])
     digest = lambda c: F.md5(F.array_join(F.transform(c, lambda i: i.cast("string")), " "))
     return x.select("conv_id", "turn", "violation", digest("input_ids").alias("input_md5"), digest("output_ids").alias("output_md5"),
                     "at_boundary")
