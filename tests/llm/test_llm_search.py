@@ -3,7 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.llm.exact_topk import exact_topk, floors
-from tokenloom.llm.hnsw import Graph, nearest
+from tokenloom.llm.common import staged
+from tokenloom.llm.hnsw import Graph, Regions, nearest
+from tokenloom.llm.vectors import usable
 
 SF = "/root/testdata/sf0.01"
 
@@ -98,3 +100,31 @@ def test_graph_reaches_all_and_packs():
     assert len(seen) == 800
     counts = [len(lv) for lv in g.levels]
     assert counts == sorted(counts, reverse=True) and counts[0] == 800
+
+
+def test_given_vectors_recall(spark):
+    """All queries of a given table over several regions, against brute force."""
+    df = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    queries = [i for i, _ in rows if i % 20 == 0]
+    got = nearest(df, df.filter(F.col("vec_id") % 20 == 0), 20, shard_rows=300).collect()
+    want = top(rows, queries, 20)
+    hit = {(r.query_id, r.vec_id) for r in got} & {(q, j) for q, _, j, _ in want}
+    assert len(got) == len(want) and len(hit) >= 0.9 * len(want)
+
+
+def test_clustered_queries_visit_few_regions(spark):
+    """A third of all rows in one cluster: several shards, and few regions a query."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 8)) * 20
+    cluster = np.where(rng.random(2400) < 1 / 3, 0, rng.integers(0, 12, 2400))
+    x = (centres[cluster] + rng.normal(size=(2400, 8))).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = staged(usable(df, "vec_id", "embedding"), "vectors")
+    regions = Regions.fit(v, 200)
+    assert len(regions.centres) == 12 and regions.visits(v, v.filter("vec_id % 20 = 0"), 10) <= 4
+    got = nearest(df, df.filter("vec_id % 20 = 0"), 10, shard_rows=200).collect()
+    want = top(rows, range(0, 2400, 20), 10)
+    hit = {(r.query_id, r.vec_id) for r in got} & {(q, j) for q, _, j, _ in want}
+    assert len(got) == len(want) and len(hit) >= 0.95 * len(want)

@@ -1,12 +1,17 @@
 """Approximate nearest neighbours through one small-world graph per shard.
 
-Rows are hashed into shards of about ``SHARD`` vectors. Each shard becomes a hierarchical navigable small-world graph
-over its distinct vectors, kept as flat arrays: nodes stand in order of falling level, so level l is the first n_l nodes, and each
-level has one n_l x width array of neighbour places. The graph of a level links every node to near ones chosen by the
-diversity rule (a candidate nearer to a chosen neighbour than to the node is passed over, then used to fill up), adds
-the links back, and bridges parts the walk couldn't reach. As a shard is bounded, candidates come from blocked
-matrix products. The index is a written table, one row a shard. Queries, in sets, visit every shard: a greedy descent, then a
-beam of ``EF`` on the ground level, for all queries of the set at once; the shards' results are merged by exact score.
+Vectors belong to the region of their nearest centre (k-means of a bounded sample), and a region is cut by hash into
+shards of about ``SHARD`` vectors, so a region that holds a third of all rows is many shards. Each shard becomes a hierarchical
+navigable small-world graph over its distinct vectors, kept as flat arrays: nodes stand in order of falling level, so level l is
+the first n_l nodes, and each level has one n_l x width array of neighbour places. The graph of a level links every node to
+near ones chosen by the diversity rule (a candidate nearer to a chosen neighbour than to the node is passed over, then used to
+fill up), adds the links back, and bridges parts the walk couldn't reach. As a shard is bounded, candidates come from blocked
+matrix products. The index is a written table, one row a shard.
+
+Queries travel to the graphs of their first few regions, and a graph meets at most ``ASKS`` queries at a time: a greedy
+descent, then a beam of ``EF`` on the ground level, for all queries of a set at once; the shards' results are merged by exact
+score. How many regions a query visits is measured, not set: the exact neighbours of ``PROBES`` queries among all vectors
+tell how many hold the share ``ROUTED`` of them. Clustered vectors need few; where all distances are alike, most.
 
 Nearness is the inner product; vectors are lifted by one component to equal length for the graph's distances.
 
@@ -19,17 +24,23 @@ from __future__ import annotations
 
 import math
 import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tokenloom.llm.common import staged
 from tokenloom.llm.exact_topk import best_of
 from tokenloom.llm.vectors import lifted, matrix, usable
 
-SHARD, QUERY_SET, TOGETHER = 4096, 512, 4
+SHARD, QUERY_SET, ASKS = 4096, 512, 4096
+#: At most this many regions (each of many shards on a large table), their centres fitted to so many vectors a region.
+REGIONS, SAMPLE, ROUNDS = 512, 32, 10
+PROBES, ROUTED = 128, 0.98
 LINKS, CANDIDATES, EF, EXPAND = 16, 48, 96, 4
 BLOCK = 256
 
@@ -190,45 +201,145 @@ class Graph:
         return g
 
 
-def build_index(vectors: DataFrame, *, shard_rows: int = SHARD) -> tuple[DataFrame, int]:
-    """The index of staged (vec_id, v) rows, one written row (shard, graph) a shard, and the number of components."""
-    s = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"),
-                    F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("largest")).first()
-    shards, dim, largest = max(1, -(-s.n // shard_rows)), s.dim or 1, s.largest or 0.0
+@dataclass
+class Regions:
+    """Centres (lifted to equal length) of the regions; ``largest`` is the greatest squared length."""
+
+    centres: np.ndarray
+    dim: int
+    largest: float
+
+    @classmethod
+    def fit(cls, vectors: DataFrame, shard_rows: int = SHARD) -> Regions:
+        """k-means of the SAMPLE vectors a region that come first by hash."""
+        square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+        s = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.max(square).alias("largest")).first()
+        count, dim, largest = min(REGIONS, max(1, -(-s.n // shard_rows))), s.dim or 1, s.largest or 0.0
+        if count == 1:
+            return cls(np.zeros((1, dim + 1)), dim, largest)
+        some = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE * count).select("v").toPandas()
+        x = lifted(matrix(some["v"].tolist(), dim), largest)
+        centres = np.unique(x, axis=0)
+        centres = centres[np.random.default_rng(len(x)).permutation(len(centres))[:count]]
+        for _ in range(ROUNDS):
+            own = cls(centres, dim, largest).distances(x).argmin(axis=1)
+            n = np.bincount(own, minlength=len(centres))
+            sums = np.zeros_like(centres)
+            np.add.at(sums, own, x)
+            centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        return cls(centres, dim, largest)
+
+    def distances(self, at: np.ndarray) -> np.ndarray:
+        """Squared distances of lifted vectors to the centres, up to a constant a row."""
+        return (self.centres ** 2).sum(axis=1) - 2 * at @ self.centres.T
+
+    def of(self, v: pd.Series) -> np.ndarray:
+        return self.distances(lifted(matrix(v.tolist(), self.dim), self.largest)).argmin(axis=1)
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """Regions of each query, nearest first; a query's extra component is 0."""
+        return self.distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1)).argsort(axis=1, kind="stable")
+
+    def region(self, v: str = "v") -> Column:
+        @F.pandas_udf("int")
+        def udf(v: pd.Series) -> pd.Series:
+            return pd.Series(self.of(v), dtype="int32")
+        return udf(F.col(v))
+
+    def first(self, v: str, visits: int) -> Column:
+        @F.pandas_udf("array<int>")
+        def udf(v: pd.Series) -> pd.Series:
+            return pd.Series(list(self.order(matrix(v.tolist(), self.dim))[:, :visits].astype(np.int32)))
+        return udf(F.col(v))
+
+    def visits(self, vectors: DataFrame, asks: DataFrame, k: int) -> int:
+        """How many of a query's regions hold the share ROUTED of its ``k`` nearest, by the first PROBES queries by hash."""
+        if len(self.centres) == 1:
+            return 1
+        probes = asks.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(PROBES).toPandas()
+        if not len(probes):
+            return 1
+        own, q = probes["vec_id"].to_numpy(np.int64), matrix(probes["v"].tolist(), self.dim)
+        place = self.order(q).argsort(axis=1)
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """The best of a task's vectors for each probe, as (query, vec_id, score, place of its region)."""
+            best = None
+            for p in batches:
+                ids, x = p["vec_id"].to_numpy(np.int64), matrix(p["v"].tolist(), self.dim)
+                score = np.where(ids == own[:, None], -np.inf, q @ x.T)
+                where = place[:, self.of(p["v"])]
+                here = [np.broadcast_to(ids, score.shape), score, where]
+                best = here if best is None else [np.concatenate([b, h], axis=1) for b, h in zip(best, here)]
+                o = np.argsort(-best[1], axis=1, kind="stable")[:, :k]
+                best = [np.take_along_axis(b, o, 1) for b in best]
+            if best is not None:
+                ids, score, where = (b.ravel() for b in best)
+                probe = np.repeat(np.arange(len(q)), best[0].shape[1])
+                real = score > -np.inf
+                yield pd.DataFrame({"probe": probe, "vec_id": ids, "score": score, "place": where})[real]
+
+        found = vectors.mapInPandas(scan, "probe int, vec_id long, score double, place int")
+        order = Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id")
+        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        held = np.zeros(len(self.centres))
+        for r in found.groupBy("place").count().collect():  # at most one row a region
+            held[r["place"]] = r["count"]
+        share = held.cumsum() / max(held.sum(), 1)
+        return int(np.argmax(share >= ROUTED)) + 1 if held.any() else 1
+
+
+def build_index(vectors: DataFrame, regions: Regions, *, shard_rows: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """The index of staged (vec_id, v) rows, one written row (region, shard, graph) a shard, and (region, shards)."""
+    dim, largest = regions.dim, regions.largest
 
     def build(p: pd.DataFrame) -> pd.DataFrame:
         g = Graph(p["vec_id"].to_numpy(np.int64), matrix(p["v"].tolist(), dim), largest)
-        return pd.DataFrame({"shard": p["shard"].iloc[:1], "graph": [g.pack()]})
+        return pd.DataFrame({"region": p["region"].iloc[:1], "shard": p["shard"].iloc[:1], "graph": [g.pack()]})
 
-    rows = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
-    return staged(rows.groupBy("shard").applyInPandas(build, "shard int, graph binary"), "hnsw"), dim
+    rows = vectors.withColumn("region", regions.region())
+    shards = F.ceil(F.count(F.lit(1)) / shard_rows).cast("int")
+    shards = staged(rows.groupBy("region").agg(shards.alias("shards")), "regions")  # one row a region
+    rows = rows.join(F.broadcast(shards), "region").withColumn(
+        "shard", F.pmod(F.xxhash64("vec_id", "v"), F.col("shards")).cast("int"))
+    graphs = rows.groupBy("region", "shard").applyInPandas(build, "region int, shard int, graph binary")
+    return staged(graphs, "hnsw"), shards
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id", vector: str = "embedding",
             shard_rows: int = SHARD, ef: int = EF) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query; ``queries`` are rows of ``vectors``."""
+    narrow = "float" if isinstance(vectors.schema[vector].dataType.elementType, FloatType) else "double"
+
     def nonzero(rows: DataFrame) -> DataFrame:
-        return usable(rows, vec_id, vector).filter(F.exists("v", lambda x: x != 0))
-
-    index, dim = build_index(staged(nonzero(vectors), "vectors"), shard_rows=shard_rows)
-    asks = staged(nonzero(queries), "queries")
-    sets = max(1, -(-asks.count() // QUERY_SET))
-    asks = asks.groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(sets)).cast("int").alias("part")).agg(
-        F.collect_list(F.struct("vec_id", "v")).alias("asks"))
-    groups = index.select("shard", "graph", F.floor(F.col("shard") / TOGETHER).alias("g")).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        """A set of queries in a few shards: the best of these."""
-        asks = p["asks"].iloc[0]
-        own = np.array([a["vec_id"] for a in asks], np.int64)
-        q = matrix([a["v"] for a in asks], dim)
-        found = [Graph.unpack(g).search(own, q, k, ef) for g in p["graph"]]
-        at, ids, score = (np.concatenate(c) for c in zip(*found))
-        o = np.lexsort((ids, -score, at))
-        at, ids, score = at[o], ids[o], score[o]
-        best = np.arange(len(at)) - np.searchsorted(at, at) < k
-        return pd.DataFrame({"query_id": own[at[best]], "vec_id": ids[best], "score": score[best]})
-
-    found = groups.join(asks, "part").groupBy("g", "part").applyInPandas(run, "query_id long, vec_id long, score double")
+        rows = usable(rows, vec_id, vector).filter(F.exists("v", lambda x: x != 0))
+        return rows.withColumn("v", F.col("v").cast(f"array<{narrow}>"))  # floats travel as floats
+
+    rows, asks = staged(nonzero(vectors), "vectors"), staged(nonzero(queries), "queries")
+    regions = Regions.fit(rows, shard_rows)
+    dim = regions.dim
+    index, shards = build_index(rows, regions, shard_rows=shard_rows)
+    routed = asks.withColumn("region", F.explode(regions.first("v", regions.visits(rows, asks, k))))
+    parts = F.ceil(F.count(F.lit(1)) / ASKS).cast("int")
+    plan = staged(routed.groupBy("region").agg(parts.alias("parts")).join(shards, "region"), "routes")  # one row a region
+    routed = routed.join(F.broadcast(plan), "region").select(
+        "region", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
+        F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
+    graphs = index.join(F.broadcast(plan.select("region", "parts")), "region").select(
+        "region", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "graph")
+
+    def run(graph: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        """About ASKS queries in one shard, a set at a time."""
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
+        if len(graph) and len(asks):
+            g = Graph.unpack(graph["graph"].iloc[0])
+            own, q = asks["vec_id"].to_numpy(np.int64), matrix(asks["v"].tolist(), dim)
+            for b in range(0, len(own), QUERY_SET):
+                at, ids, score = g.search(own[b:b + QUERY_SET], q[b:b + QUERY_SET], k, ef)
+                out.append(pd.DataFrame({"query_id": own[b:b + QUERY_SET][at], "vec_id": ids, "score": score}))
+        return pd.concat(out[1:] or out)
+
+    keys = ["region", "shard", "part"]
+    found = graphs.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(
+        run, "query_id long, vec_id long, score double")
     return best_of(found, k)
