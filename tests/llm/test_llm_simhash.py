@@ -64,7 +64,7 @@ def test_links_with_small_slices(spark):
     flips = np.array([sum(1 << int(b) for b in rng.choice(12, 3)) & (1 << 64) - 1 for _ in range(150)], np.uint64)
     prints = np.unique(np.concatenate([flips, rng.integers(0, 1 << 63, 50, dtype=np.uint64)]))
     df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
-    roots = {r.node: r.root for r in connected_components(links(df, 3, slice_rows=16)).collect()}
+    roots = {r.node: r.root for r in connected_components(links(df, 3, tree_rows=16)).collect()}
     want = brute_classes(prints)
     signed = prints.view(np.int64).tolist()
     mine = {}
@@ -76,6 +76,51 @@ def test_links_with_small_slices(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def classes(spark, prints, tree_rows):
+    df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
+    roots = {r.node: r.root for r in connected_components(links(df, 3, tree_rows=tree_rows)).collect()}
+    mine = {}
+    for i, p in enumerate(prints.view(np.int64).tolist()):
+        mine.setdefault(roots.get(p, p), set()).add(i)
+    return sorted(map(sorted, mine.values()))
+
+
+def test_dense_low_bits(spark):
+    """Thousands of prints that agree in two and more blocks are split by the bits that differ."""
+    rng = np.random.default_rng(4)
+    low = rng.choice(1 << 22, 3000, replace=False).astype(np.uint64) << np.uint64(2)
+    prints = np.unique(low | np.uint64(1) << np.uint64(63))
+    theirs = {}
+    for i, c in enumerate(brute_classes(prints).tolist()):
+        theirs.setdefault(c, set()).add(i)
+    assert 1 < len(theirs) < len(prints)
+    assert classes(spark, prints, 64) == sorted(map(sorted, theirs.values()))
+
+
+def test_masks_within_bits():
+    """The masks of some bits hold all others; three differing ones always leave a mask untouched."""
+    rng = np.random.default_rng(6)
+    for w in (2, 4, 5, 13, 38):
+        bits = [1 << int(b) for b in rng.choice(64, w, replace=False)]
+        masks = [m & (1 << 64) - 1 for m in block_masks(3, sum(bits))]
+        assert all(m | sum(bits) == (1 << 64) - 1 for m in masks)
+        for _ in range(50):
+            x = sum(rng.permutation(np.array(bits, object))[:3].tolist())
+            assert any(m & x == 0 for m in masks)
+
+
+def test_given_documents_against_brute_force(spark):
+    """Every document of a given table: fingerprint and component."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, slow_simhash(r.text)) for r in docs.select("doc_id", "text").collect()]
+    label = brute_classes(np.array([p for _, p in rows], np.uint64))
+    least = {}
+    for (i, _), c in zip(rows, label.tolist()):
+        least[c] = min(least.get(c, i), i)
+    got = {(r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash_groups(docs).collect()}
+    assert got == {(i, p, least[c]) for (i, p), c in zip(rows, label.tolist())}
+
+
 def test_long_chain(spark):
     e = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     got = connected_components(e.unionByName(spark.createDataFrame([(1000, 1001)], "u long, v long"))).collect()

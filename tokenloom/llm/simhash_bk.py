@@ -2,12 +2,14 @@
 
 Fingerprints are computed a row at a time in Arrow batches. Equal fingerprints collapse to one; the distinct ones
 are dealt to shards by the bits of two of ``max_distance + 2`` blocks (at most ``max_distance`` differing bits leave two
-blocks equal, so every link lies in some shard). A shard is cut into slices of at most ``SLICE`` fingerprints; each
-slice is a BK-tree, whose nodes' children are keyed by Hamming distance to the parent, and is searched by the
-shard's slices following only edges within the radius. A task gets bounded (tree, queries) groups and emits a
+blocks equal, so every link lies in some shard). A shard of at most ``TREE`` fingerprints becomes a BK-tree, whose nodes'
+children are keyed by Hamming distance to the parent, and is searched by its fingerprints following only edges
+within the radius. A larger shard is dealt again, by two blocks of those bits that differ in it: w of them hold at most
+2^w fingerprints and about 3/5 of them still differ afterwards, so few rounds end it, each with 10 copies of a fingerprint (at
+3 bits) however many there are; equal shards of different blocks merge. A task gets bounded trees and emits a
 spanning forest of the links it found, never all pairs; the forests meet in a distributed connected-components run.
-Trees travel by shuffle to the queries of their shard and not by driver broadcast: together they hold the fingerprints
-of all documents, which no driver may gather.
+Trees stay where the shuffle of their shard built them and are not broadcast by the driver: together they hold the
+fingerprints of all documents, which no driver may gather.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other; fewer words than a shingle make one
 shingle of all; ``component_id`` is the smallest non-null id reachable (null if all ids are null); components
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import staged
 
 BITS = 64
-SLICE = 4096
+TREE = 4096
 CHUNK = 1 << 14  # shingles hashed at a time
 FRONTIER = 1 << 20  # tree nodes that a batch of queries may visit together
 
@@ -134,25 +136,22 @@ def link_groups(prints: np.ndarray, group: np.ndarray, in_tree: np.ndarray, asks
 
 def _linker(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (k, a, b): a group is (k, a, b); slice a is its tree, slice b asks."""
+        """Rows sorted by k: the prints of a k are one tree, searched by all of them."""
         held: list[dict[str, np.ndarray]] = []
 
         def edges(x: dict[str, np.ndarray]) -> pa.RecordBatch:
-            new = np.ones(len(x["fp"]), bool)
-            new[1:] = (x["k"][1:] != x["k"][:-1]) | (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])
-            prints = x["fp"].view(np.uint64)
-            label = link_groups(prints, np.cumsum(new), x["s"] == x["a"], x["s"] == x["b"], radius)
+            group = np.cumsum(np.append(True, x["k"][1:] != x["k"][:-1]))
+            every = np.ones(len(group), bool)
+            label = link_groups(x["fp"].view(np.uint64), group, every, every, radius)
             far = np.flatnonzero(label != np.arange(len(label)))
             return pa.RecordBatch.from_arrays([pa.array(x["fp"][far]), pa.array(x["fp"][label[far]])], names=["u", "v"])
 
         for batch in batches:
-            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "a", "b", "s", "fp")}
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "fp")}
             if not len(x["k"]):
                 continue
-            last = (x["k"] == x["k"][-1]) & (x["a"] == x["a"][-1]) & (x["b"] == x["b"][-1])
-            start = int(np.argmax(last))  # the last group may go on in the next batch
-            if start or held and not (held[-1]["k"][-1] == x["k"][0] and held[-1]["a"][-1] == x["a"][0]
-                                      and held[-1]["b"][-1] == x["b"][0]):
+            start = int(np.argmax(x["k"] == x["k"][-1]))  # the last group may go on in the next batch
+            if start or held and held[-1]["k"][-1] != x["k"][0]:
                 done = [*held, {c: v[:start] for c, v in x.items()}]
                 yield edges({c: np.concatenate([h[c] for h in done]) for c in x})
                 held = []
@@ -162,25 +161,44 @@ def _linker(radius: int):
     return run
 
 
-def block_masks(max_distance: int) -> list[int]:
-    """Masks of every two of ``max_distance + 2`` blocks, as signed longs."""
-    ends = [BITS * i // (max_distance + 2) for i in range(max_distance + 3)]
-    blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(ends, ends[1:])]
-    return [m - (1 << 64) if m >> 63 else m for m in (a | b for a, b in combinations(blocks, 2))]
-
-
-def links(prints: DataFrame, max_distance: int = 3, slice_rows: int = SLICE) -> DataFrame:
-    """(u, v): links that join, directly or in chains, all distinct fingerprints ``fp`` within ``max_distance`` bits."""
-    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long")))
-            for i, m in enumerate(block_masks(max_distance))]
-    rows = prints.select("fp", F.explode(F.array(*keys)).alias("k"))
-    many = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = rows.join(many, "k").withColumn("m", F.ceil(F.col("n") / slice_rows).cast("int"))
-    rows = rows.withColumn("s", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.select("k", F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"), "s", "fp")
-    rows = rows.repartition("k", "a", "b").sortWithinPartitions("k", "a", "b", "fp")
-    return rows.mapInArrow(_linker(max_distance), "u long, v long")
+def block_masks(max_distance: int, within: int = (1 << BITS) - 1) -> list[int]:
+    """Masks, as signed longs, of every two of ``max_distance + 2`` blocks of the bits ``within``, and all other bits."""
+    bits = [1 << i for i in range(BITS) if within >> i & 1]
+    ends = [len(bits) * i // (max_distance + 2) for i in range(max_distance + 3)]
+    blocks = [sum(bits[lo:hi]) for lo, hi in zip(ends, ends[1:])]
+    rest = (1 << BITS) - 1 - (within & (1 << BITS) - 1)
+    masks = [rest | a | b for a, b in combinations(blocks, 2)]
+    return [m - (1 << BITS) if m >> BITS - 1 else m for m in masks]
+
+
+def links(prints: DataFrame, max_distance: int = 3, tree_rows: int = TREE) -> DataFrame:
+    """(u, v): links that join, directly or in chains, all distinct fingerprints ``fp`` within ``max_distance`` bits.
+
+    Groups of at most ``tree_rows`` prints are linked; the others are split by the bits that differ in them until none is left.
+    """
+    if tree_rows < 1 << max_distance + 1:
+        raise ValueError(f"tree_rows must be {1 << max_distance + 1} or more")  # else a group might not get smaller
+
+    def split(masks: Column) -> Column:
+        return F.explode(F.transform(masks, lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m))))
+
+    @F.pandas_udf("array<long>")
+    def finer(differ: pd.Series) -> pd.Series:
+        return pd.Series([block_masks(max_distance, d) for d in differ])
+
+    rows = prints.select("fp", split(F.lit(block_masks(max_distance))).alias("k"))
+    found = None
+    while True:
+        groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.bit_or("fp").alias("any"), F.bit_and("fp").alias("all"))
+        groups = staged(groups.filter("n > 1"), "groups")
+        whole = rows.join(groups.filter(F.col("n") <= tree_rows).select("k"), "k")
+        whole = whole.repartition("k").sortWithinPartitions("k", "fp").mapInArrow(_linker(max_distance), "u long, v long")
+        found = whole if found is None else found.unionByName(whole)
+        heavy = groups.filter(F.col("n") > tree_rows)
+        if heavy.isEmpty():
+            return found
+        heavy = heavy.select("k", finer(F.col("any").bitwiseXOR(F.col("all"))).alias("masks"))
+        rows = staged(rows.join(heavy, "k").select("fp", split(F.col("masks")).alias("k")).distinct(), "split")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
