@@ -58,7 +58,7 @@ class Graph:
         fall = np.argsort(-level, kind="stable")
         self.ids = [ids[start[i]:start[i + 1]] for i in fall]  # equal vectors are one node, its ids in order
         self.x = x[start[:-1]][fall]
-        self.at = lifted(self.x, largest).astype(np.float32)
+        self.largest, self.at = largest, lifted(self.x, largest).astype(np.float32)
         counts = [int((level >= lv).sum()) for lv in range(level.max() + 1)]
         self.levels = [self._level(n, LINKS * (2 if lv == 0 else 1)) for lv, n in enumerate(counts)]
         self._bridge()
@@ -191,12 +191,16 @@ class Graph:
 
     def pack(self) -> bytes:
         lengths = np.array([len(i) for i in self.ids], np.int64)
-        return pickle.dumps((np.concatenate(self.ids), lengths, self.x, self.at, self.levels), protocol=5)
+        small = self.x.astype(np.float32)
+        x = small if np.array_equal(small, self.x) else self.x  # what floats hold travels as floats
+        return pickle.dumps((np.concatenate(self.ids), lengths, x, self.largest, self.levels), protocol=5)
 
     @classmethod
     def unpack(cls, data: bytes) -> Graph:
         g = cls.__new__(cls)
-        ids, lengths, g.x, g.at, g.levels = pickle.loads(data)
+        ids, lengths, x, g.largest, g.levels = pickle.loads(data)
+        g.x = x.astype(np.float64)
+        g.at = lifted(g.x, g.largest).astype(np.float32)
         g.ids = np.split(ids, np.cumsum(lengths)[:-1])
         return g
 
