@@ -302,7 +302,7 @@ def build_index(vectors: DataFrame, regions: Regions, *, shard_rows: int = SHARD
         return pd.DataFrame({"region": p["region"].iloc[:1], "shard": p["shard"].iloc[:1], "graph": [g.pack()]})
 
     rows = vectors.withColumn("region", regions.region())
-    shards = F.ceil(F.count(F.lit(1)) / shard_rows).cast("int")
+    shards = F.greatest(F.round(F.count(F.lit(1)) / shard_rows), F.lit(1)).cast("int")  # under 1.5 * shard_rows vectors each
     shards = staged(rows.groupBy("region").agg(shards.alias("shards")), "regions")  # one row a region
     rows = rows.join(F.broadcast(shards), "region").withColumn(
         "shard", F.pmod(F.xxhash64("vec_id", "v"), F.col("shards")).cast("int"))
