@@ -323,15 +323,20 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
+def _same(what: str, texts: list[str], own: list, theirs: list) -> None:
+    for t, a, b in zip(texts, own, theirs, strict=True):
+        if a != b:
+            raise RuntimeError(f"{what} differ from the sentencepiece library's for the text of {len(t)} characters with sha256 "
+                               f"{_sha(t)}, which begins {t[:80]!r}")
+
+
 def _checked(m: PieceModel, texts: list[str]) -> Iterator[tuple[list[int], str]]:
-    """(ids, decoded text) of each text, equal to the library's."""
+    """(ids, decoded text) of each text, equal to the library's; an error names the text that isn't."""
     for part in _groups(texts):
         own = m.encode_many(part)
-        if m.lib.encode(part, num_threads=1) != own:
-            raise RuntimeError("ids differ from the sentencepiece library's")
+        _same("ids", part, own, m.lib.encode(part, num_threads=1))
         back = [m.decode(ids) for ids in own]
-        if m.lib.decode(own, num_threads=1) != back:
-            raise RuntimeError("decoded texts differ from the sentencepiece library's")
+        _same("decoded texts", part, back, m.lib.decode(own, num_threads=1))
         yield from zip(own, back)
 
 
@@ -340,7 +345,7 @@ def _sha(s: str) -> str:
 
 
 def encode(docs: DataFrame, model: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the array column ``ids``."""
+    """``docs`` with the array column ``ids``; a column of that name is replaced."""
     @F.pandas_udf("array<int>")
     def udf(s: pd.Series) -> pd.Series:
         return pd.Series([x[0] for x in _checked(load(model), [t or "" for t in s])], dtype="object")
