@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import tokenloom.llm.exact_topk as exact_module
 from tokenloom.llm.exact_topk import exact_topk, floors
 from tokenloom.llm.common import staged
 from tokenloom.llm.hnsw import Graph, Regions, nearest
@@ -128,3 +129,49 @@ def test_clustered_queries_visit_few_regions(spark):
     want = top(rows, range(0, 2400, 20), 10)
     hit = {(r.query_id, r.vec_id) for r in got} & {(q, j) for q, _, j, _ in want}
     assert len(got) == len(want) and len(hit) >= 0.95 * len(want)
+
+
+def test_exact_beyond_longs(spark):
+    rows = [(0, [3e16, 1.0]), (1, [3e16, 2.0]), (2, [-3e16, 3.0]), (3, [3.0, 1.0])]
+    v = floors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [tuple(r) for r in exact_topk(v, v.filter("vec_id = 0"), 3).collect()]
+    most = (1 << 63) - 1  # saturated
+    middle = 768 * 256 * 3 * 10 ** 16 + 256 * 256
+    assert sorted(got) == [(0, 1, 1, most), (0, 2, 3, min(middle, most)), (0, 3, 2, -most)]
+
+
+def test_exact_visits_few_blocks_of_clustered_vectors(spark, monkeypatch):
+    """Vectors near 40 far centres: a query meets the blocks of its own cluster, and the answers stay exact."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 8)) * 400
+    centres /= np.linalg.norm(centres, axis=1)[:, None] / 4000
+    x = np.floor(centres[np.arange(8000) % 40] + rng.normal(size=(8000, 8)) * 4)
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, v array<double>")
+    monkeypatch.setattr(exact_module, "BLOCK", 64)
+    met = []
+    visit = exact_module.Index.visit
+    monkeypatch.setattr(exact_module.Index, "visit", lambda self, pairs, k: (
+        met.append((pairs.count(), self.blocks.count())), visit(self, pairs, k))[1])
+    got = exact_topk(v, v.filter("vec_id % 100 = 0"), 5).collect()
+    (home, blocks), (all_, _) = met
+    assert home == 80 and blocks > 100
+    assert all_ < 0.15 * 80 * blocks
+    want = []
+    for q in range(0, 8000, 100):
+        s = (x @ x[q]).astype(np.int64)
+        want += [(q, i + 1, int(j), int(s[j])) for i, j in
+                 enumerate([j for j in np.lexsort((np.arange(8000), -s)) if j != q][:5])]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_exact_queries_of_one_id_are_many_groups(spark, monkeypatch):
+    """A third of the queries share an id but not a vector: they go to several sets."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-9, 9, (600, 4)).astype(float)
+    rows = [(0 if i < 200 else i, r.tolist()) for i, r in enumerate(x)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    monkeypatch.setattr(exact_module, "QUERY_SET", 16)
+    got = {(r.query_id, r.rank): r.score for r in exact_topk(v, v.filter("vec_id >= 590 OR vec_id = 0"), 3).collect()}
+    for q in range(590, 600):
+        s = np.sort((np.delete(x, q, 0) @ x[q]))[::-1]
+        assert got[(q, 1)] == s[0]

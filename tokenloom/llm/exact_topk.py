@@ -10,7 +10,8 @@ and one set of queries; each gives its k best, which are merged.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components, and rows without an id, take no part; rows equal in id and vector count
 once; all rows with a query's id are its own; shorter vectors are padded with zeros; ties go to the smaller id; an
-empty table gives an empty result. Components are integers, products are exact within 64 bits.
+empty table gives an empty result. Components are integers and products exact; a product beyond 64 bits counts as the
+largest (or smallest) long.
 """
 
 from __future__ import annotations
@@ -19,20 +20,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import staged
 from tokenloom.llm.vectors import finite, lifted, matrix, usable
 
-PIVOTS, BLOCK, QUERY_SET = 64, 2048, 256
+PIVOTS, BLOCK, QUERY_SET = 64, 2048, 2048
+MOST = (1 << 63) - 1
 SLACK = 1e-6  # relative; far above rounding errors of the distances
 
 
-def _exact(x: np.ndarray) -> np.ndarray:
-    """Doubles while every inner product is exact in them, else 64-bit integers."""
-    most = float(np.abs(x).max(initial=0))
-    return x if most * most * x.shape[1] < 2 ** 52 else x.astype(np.int64)
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of whole-numbered rows: doubles while they are exact, else longs, saturated where they don't suffice."""
+    largest = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1]
+    if largest < 2 ** 52:
+        return q @ x.T
+    if largest < 2 ** 62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    whole = np.vectorize(int, otypes=[object])
+    return np.clip(whole(q) @ whole(x).T, -MOST, MOST).astype(np.int64)
+
+
+def _best(score: np.ndarray, out: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` largest of each row, ties to the smaller of ``ids``; ``out`` marks those that don't count."""
+    score[out] = -np.inf if score.dtype.kind == "f" else np.iinfo(np.int64).min
+    keep = ~out
+    if len(ids) > k:
+        keep &= score >= np.partition(score, len(ids) - k, axis=1)[:, [len(ids) - k]]
+    row, col = np.nonzero(keep)
+    order = np.lexsort((ids[col], -score[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
 
 
 def _keyed(rows: DataFrame, pivots: np.ndarray, largest: float, dim: int) -> DataFrame:
@@ -43,7 +64,7 @@ def _keyed(rows: DataFrame, pivots: np.ndarray, largest: float, dim: int) -> Dat
                 x = lifted(matrix(p["v"].tolist(), dim), largest)
                 d = np.sqrt(np.maximum(2 * largest - 2 * x @ pivots.T, 0))
                 near = d.argmin(axis=1)
-                yield p.assign(pivot=near, dist=d[np.arange(len(d)), near])
+                yield p.assign(v=list(x[:, :dim]), pivot=near, dist=d[np.arange(len(d)), near])
     return rows.mapInPandas(run, "vec_id long, v array<double>, pivot int, dist double")
 
 
@@ -54,7 +75,7 @@ def _packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def block(b: pd.DataFrame) -> dict:
         return {"pivot": int(b["pivot"].iloc[0]), "lo": b["dist"].iloc[0], "hi": b["dist"].iloc[-1],
                 "first": int(b["vec_id"].iloc[0]), "ids": b["vec_id"].tolist(), "dists": b["dist"].tolist(),
-                "vecs": b["v"].tolist()}
+                "vecs": np.concatenate(b["v"].tolist())}
 
     def blocks(p: pd.DataFrame, last: bool) -> tuple[list[dict], pd.DataFrame | None]:
         out, rest = [], None
@@ -89,56 +110,49 @@ class Index:
             return
         keyed = keyed.repartitionByRange(parts, "pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id")
         blocks = keyed.mapInPandas(_packed, "pivot int, lo double, hi double, first long, ids array<long>, "
-                                            "dists array<double>, vecs array<array<double>>")
+                                            "dists array<double>, vecs array<double>")
         self.blocks = staged(blocks.withColumn("block", F.xxhash64("pivot", "lo", "hi", "first")), "annuli")
 
     def distances(self, queries: DataFrame) -> DataFrame:
-        """(vec_id, v, pivot, d): the distance of each query to each pivot."""
+        """(vec_id, v, ds): the distance of each query to each pivot."""
         pivots, largest, dim = self.pivots, self.largest, self.dim
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in parts:
                 q = np.concatenate([matrix(p["v"].tolist(), dim), np.zeros((len(p), 1))], axis=1)
                 d = np.einsum("ij,ij->i", q, q)[:, None] + largest - 2 * q @ pivots.T
-                yield p.assign(ds=list(np.sqrt(np.maximum(d, 0))))
-        out = queries.mapInPandas(run, "vec_id long, v array<double>, ds array<double>")
-        return out.select("vec_id", "v", "ds", F.posexplode("ds").alias("pivot", "d")).drop("ds")
+                yield p.assign(v=list(q[:, :dim]), ds=list(np.sqrt(np.maximum(d, 0))))
+        return queries.mapInPandas(run, "vec_id long, v array<double>, ds array<double>")
 
     def visit(self, pairs: DataFrame, k: int) -> DataFrame:
         """(query_id, vec_id, score): the ``k`` best of each block for each of its queries.
 
-        ``pairs``: (block, vec_id, v, d, radius). A group is one block and one set of queries.
+        ``pairs``: (block, vec_id, v, d, radius), an unknown radius null. A group is one block and one set of queries.
         """
         dim = self.dim
 
-        def run(p: pd.DataFrame) -> pd.DataFrame:
-            b, out = p.iloc[0], []
-            ids, dists = np.asarray(b["ids"], np.int64), np.asarray(b["dists"])
-            x = matrix([*b["vecs"], *(q["v"] for q in b["asks"])], dim)
-            x = _exact(x)
-            x, q = x[:len(ids)], x[len(ids):]
-            best = None
-            if len(q) * len(ids) <= BLOCK * 4 * QUERY_SET and len(q):
-                best = q @ x.T
-            for i, ask in enumerate(b["asks"]):
-                own, d, r = ask["vec_id"], ask["d"], ask["radius"]
-                r = np.inf if r is None else r
+        def run(group: pa.Table) -> pa.Table:
+            done = []
+            for g in group.to_batches(max_chunksize=1):
+                ids, dists, vecs = (g[c].flatten().to_numpy(zero_copy_only=False) for c in ("ids", "dists", "vecs"))
+                asks = g["asks"].flatten()
+                own, d, r = (asks.field(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "d", "radius"))
+                q = asks.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                r = np.where(np.isnan(r), np.inf, r)
                 lo, hi = np.searchsorted(dists, d - r), np.searchsorted(dists, d + r, side="right")
-                score = (best[i, lo:hi] if best is not None else x[lo:hi] @ q[i]).astype(np.int64)
-                at = np.flatnonzero(ids[lo:hi] != own)
-                if len(at) > k:
-                    least = -np.partition(-score[at], k - 1)[k - 1]
-                    at = at[score[at] >= least]
-                at = at[np.lexsort((ids[lo:hi][at], -score[at]))][:k]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[lo:hi][at], "score": score[at]}))
-            return pd.concat(out)
-
-        sets = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("asked") / QUERY_SET)).cast("int")
+                at = np.arange(len(ids))
+                out = (at < lo[:, None]) | (at >= hi[:, None]) | (ids == own[:, None])
+                score = _products(q, vecs.reshape(-1, dim))
+                row, col = _best(score, out, ids, k)
+                done.append(pa.table([own[row], ids[col], score[row, col].astype(np.int64)], ["query_id", "vec_id", "score"]))
+            return pa.concat_tables(done)
+
+        sets = F.pmod(F.xxhash64("vec_id", "v"), F.ceil(F.col("asked") / QUERY_SET)).cast("int")
         asked = pairs.groupBy("block").agg(F.count(F.lit(1)).alias("asked"))
         asks = pairs.join(asked, "block").withColumn("part", sets).groupBy("block", "part").agg(
             F.collect_list(F.struct("vec_id", "v", "d", "radius")).alias("asks"))
         rows = asks.join(self.blocks.select("block", "ids", "dists", "vecs"), "block")
-        return rows.groupBy("block", "part").applyInPandas(run, "query_id long, vec_id long, score long")
+        return rows.groupBy("block", "part").applyInArrow(run, "query_id long, vec_id long, score long")
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
@@ -154,14 +168,13 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str =
     ``vectors`` and ``queries`` hold whole-number components; queries are rows of ``vectors``.
     """
     index = Index(staged(usable(vectors, vec_id, vector), "vectors"))
-    asks = staged(usable(queries, vec_id, vector), "queries")
     if not index.n:
-        return asks.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id",
-                           F.lit(0).cast("long").alias("score")).limit(0)
-    away = staged(index.distances(asks), "pivot-distances")
+        return queries.select(F.col(vec_id).cast("long").alias("query_id"), F.lit(1).alias("rank"),
+                              F.col(vec_id).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("score")).limit(0)
+    asks = staged(index.distances(usable(queries, vec_id, vector)), "queries")
     summary = index.blocks.select("block", "pivot", "lo", "hi")
-    nearest = away.groupBy("vec_id", "v").agg(F.min(F.struct("d", "pivot")).alias("n")).select(
-        "vec_id", "v", F.col("n.d").alias("d"), F.col("n.pivot").alias("pivot"))
+    least = F.array_min("ds")
+    nearest = asks.select("vec_id", "v", least.alias("d"), (F.array_position("ds", least) - 1).cast("int").alias("pivot"))
     gap = F.greatest(F.col("lo") - F.col("d"), F.col("d") - F.col("hi"), F.lit(0.0))
     home = nearest.join(summary, "pivot").groupBy("vec_id", "v", "d").agg(F.min(F.struct(gap, "block")).alias("h"))
     home = home.select(F.col("h.block").alias("block"), "vec_id", "v", "d", F.lit(None).cast("double").alias("radius"))
@@ -171,7 +184,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str =
     radius = F.sqrt(F.greatest(squared - 2 * F.col("score"), F.lit(0.0)) + F.lit(SLACK) * (squared + 1))
     radius = F.when(F.col("score").isNotNull(), radius).otherwise(float("inf"))  # fewer than k at home: everywhere
     bound = staged(asks.join(kth, "vec_id", "left").groupBy("vec_id").agg(F.max(radius).alias("radius")), "radii")
-    near = away.join(bound, "vec_id")
+    near = asks.select("vec_id", "v", F.posexplode("ds").alias("pivot", "d")).join(bound, "vec_id")
     pairs = near.join(summary, "pivot").filter(
         (F.col("lo") <= F.col("d") + F.col("radius")) & (F.col("hi") >= F.col("d") - F.col("radius")))
     found = index.visit(pairs.select("block", "vec_id", "v", "d", "radius"), k)
