@@ -12,23 +12,34 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.operators.ordering import contiguous_chunks, line_shards
+from tokenloom.operators.ordering import contiguous_chunks, line_shards, prefix_sum
 
 
 def write_jsonl(df: DataFrame, path: str, *, order: Sequence[str] | None = None, compression: str | None = None,
-                files: int | None = None, partition_by: str | None = None) -> None:
+                files: int | None = None, partition_by: str | None = None, rows_per_file: int | None = None) -> None:
     """JSON lines. With ``order`` the rows are range-partitioned by it and sorted, so the part files in name order follow
     the order, and a manifest (file, first line, rows) is written beside them for ``load_ordered_jsonl``.
 
     ``partition_by`` makes a directory of each of its values, each with an order of its own; a common value has several part
-    files, so no task holds more than a range.
+    files, so no task holds more than a range. With ``rows_per_file`` the rows of each directory are numbered first and every file
+    of it but the last has just so many; whole files are dealt to tasks.
     """
-    keys = [*([partition_by] if partition_by else []), *(order or [])]
+    folder = [partition_by] if partition_by else []
+    keys = [*folder, *(order or [])]
     out = df
-    if order:
+    if rows_per_file:
+        if not order:
+            raise ValueError("rows_per_file needs an order")
+        out = prefix_sum(df, order, partition=folder, start_col="__line", total_col=None, ties=True)
+        out = out.withColumn("__file", F.floor(F.col("__line") / rows_per_file))
+        parts = [*([files] if files else []), *folder, "__file"]
+        out = out.repartitionByRange(*parts).sortWithinPartitions(*folder, "__line").drop("__line", "__file")
+    elif order:
         parts = out.repartitionByRange(files, *keys) if files else out.repartitionByRange(*keys)
         out = parts.sortWithinPartitions(*keys)  # without ``files`` the data's size decides (adaptive coalescing)
     w = out.write.mode("overwrite")
+    if rows_per_file:
+        w = w.option("maxRecordsPerFile", rows_per_file)
     if compression:
         w = w.option("compression", compression)
     if partition_by:
