@@ -9,10 +9,11 @@ Given rules of hosts and paths come first: the longest that fits decides, the mi
 
 Distinct URLs are matched once, so a URL that a third of the pages share costs one row. All tokens of a URL are mined. Tokens
 too rare among bad URLs can't be in a rule and leave the baskets first, of tokens that always come together one stands for all
-(any of them matches), and then those that don't pay alone leave: of optional query keys, which nearly every URL has, none is
-left, however many there are. FP-growth lists all combinations of what remains; where a basket still
-holds more than ``DENSE`` tokens they are counted level by level instead, extending only combinations that stayed: the same rules,
-but no combination is looked at that can't stay. Defined cases: a null URL or one without ``://`` has empty host and path, fits no given
+(any of them matches), and FP-growth lists all combinations of what remains. Where a basket holds more than ``DENSE`` tokens, those that
+don't pay leave before it: of optional query keys, which nearly every URL has, none is left, however many there are. Baskets that are
+still larger are projected first, as FP-growth itself does, onto the tokens that stayed (the baskets of each, with the tokens after
+it), then onto pairs and so on, until FP-growth can list what follows each: the same rules, but of a large basket no combination
+is looked at that can't stay. Defined cases: a null URL or one without ``://`` has empty host and path, fits no given
 rule and has no tokens, so it is allowed; labels with a null or for absent pages don't count; repeated labels are bad if any is; without
 labels no rule is mined; of rules that are equally sure the last by its tokens is named; very long URLs are mined and matched
 whole; an empty table gives an empty result. Other columns are not read.
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -32,7 +32,7 @@ from tokenloom.llm.common import lookup_join, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "label=bad"
-DENSE = 10  # paying tokens of a basket up to which all their combinations may be listed
+DENSE = 10  # tokens of a basket up to which all their combinations may be listed
 GIVEN = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
@@ -89,32 +89,66 @@ def _kept(level: DataFrame, below: DataFrame, gain: float) -> DataFrame:
         "items", "n", "n_bad", conf.alias("confidence")), "combinations")
 
 
-def _grown(baskets: DataFrame, least: int, n: int) -> Callable[[int, DataFrame], DataFrame]:
-    """Combinations of k tokens by FP-growth over (id, bad, items)."""
-    label = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
-    model = FPGrowth(itemsCol="items", minSupport=least / n).fit(staged(baskets.select(F.concat("items", label).alias("items")), "items"))
-    sets = staged(model.freqItemsets, "itemsets")
-    bad = sets.filter(F.array_contains("items", BAD)).select(
-        F.array_sort(F.array_remove("items", BAD)).alias("items"), F.col("freq").alias("n_bad"))
-    every = sets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")).join(bad, "items")
-    every = staged(every.filter(F.col("n_bad") >= least), "combinations")
-    return lambda k, below: every.filter(F.size("items") == k)
-
-
-def _levelled(baskets: DataFrame, least: int) -> Callable[[int, DataFrame], DataFrame]:
-    """Combinations of k tokens whose parts of k - 1 stayed, counted over (id, bad, items)."""
-    held = [baskets.select("id", "bad", F.explode("items").alias("t")).select("id", "bad", F.array("t").alias("items"))]
-
-    def level(k: int, below: DataFrame) -> DataFrame:
-        last = held.pop().join(below.select("items"), "items", "left_semi")
-        last = staged(last.select("id", "bad", F.slice("items", 1, k - 2).alias("head") if k > 2 else F.array().cast("array<string>")
-                                  .alias("head"), F.element_at("items", -1).alias("t")), "held")
-        other = last.select("id", "head", F.col("t").alias("t2"))
-        both = last.join(other, ["id", "head"]).filter("t < t2")
-        held.append(staged(both.select("id", "bad", F.concat("head", F.array("t", "t2")).alias("items")), "held"))
-        per = held[-1].groupBy("items").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"))
-        return per.filter(F.col("n_bad") >= least)
-    return level
+def _grown(bases: DataFrame, heads: DataFrame, least: int) -> DataFrame:
+    """Combinations (items, n, n_bad) of a head and tokens that follow it, by FP-growth over the heads' baskets (head, bad, items);
+    a token is another one with every head. Staged."""
+    def tagged(t: Column) -> Column:
+        return F.concat(F.col("head").cast("string"), F.lit(" "), t)
+
+    label = F.when(F.col("bad"), F.array(tagged(F.lit(BAD)))).otherwise(F.array().cast("array<string>"))
+    baskets = staged(bases.select(F.concat(F.transform("items", tagged), label).alias("items")), "items")
+    # half a basket less, as FP-growth rounds the product with the number of baskets up
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / baskets.count()).fit(baskets)
+    plain = F.transform("items", lambda t: F.regexp_replace(t, "^[0-9]+ ", ""))
+    sets = staged(model.freqItemsets.select(F.substring_index(F.col("items")[0], " ", 1).cast("long").alias("head"),
+                                            F.array_sort(plain).alias("items"), F.col("freq").alias("n")), "itemsets")
+    bad = sets.filter(F.array_contains("items", BAD)).select("head", F.array_remove("items", BAD).alias("items"),
+                                                             F.col("n").alias("n_bad"))
+    every = sets.join(bad.filter(F.size("items") > 0), ["head", "items"]).join(heads, "head")
+    return staged(every.select(F.concat("prefix", "items").alias("items"), "n", "n_bad"), "combinations")
+
+
+def _extended(bases: DataFrame, heads: DataFrame, below: DataFrame, least: int, gain: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The combinations of a head and one token that stayed, the heads they make, and the baskets (row, head, bad, next) of the old
+    heads with the tokens t that still extend them and the numbers of the new heads."""
+    each = staged(bases.withColumn("row", F.monotonically_increasing_id()), "heads-baskets").select(
+        "row", "head", "bad", F.explode("items").alias("t"))
+    level = _grown(each.select("head", "bad", F.array("t").alias("items")), heads, least)
+    kept = _kept(level, below, gain)
+    key = F.concat(F.col("head").cast("string"), F.lit(" "), F.col("t"))
+    longer = kept.select("items", F.slice("items", F.lit(1), F.size("items") - 1).alias("prefix"), F.element_at("items", -1).alias("t"))
+    longer = staged(longer.join(heads, "prefix").select(key.alias("key"), F.monotonically_increasing_id().alias("to"), "items"), "heads")
+    more = lookup_join(each.withColumn("key", key), longer.select("key", "to"), "key")
+    more = more.groupBy("row", "head", "bad").agg(F.array_sort(F.collect_list(F.struct("t", "to"))).alias("next"))
+    return kept, longer.select(F.col("to").alias("head"), F.col("items").alias("prefix")), staged(more, "extended")
+
+
+def _combinations(bases: DataFrame, root: DataFrame, least: int, gain: float, dense: int) -> list[DataFrame]:
+    """Those of each size, from 0 (``root``) on, that stayed, over the baskets (bad, items) of sorted tokens."""
+    stayed, size, dense = [root], 0, max(dense, 1)
+    heads = root.select(F.lit(0).cast("long").alias("head"), F.col("items").alias("prefix"))
+    bases = bases.withColumn("head", F.lit(0).cast("long"))
+    while most := bases.agg(F.max(F.size("items"))).first()[0]:
+        if most > dense:
+            kept, longer, bases = _extended(bases, heads, stayed[-1], least, gain)
+            stayed.append(kept)
+            most = bases.agg(F.max(F.size("next"))).first()[0]
+            if not most:
+                break
+            if most > dense:  # every token that stayed becomes a head, followed by those after it
+                rest = bases.select("bad", "next", F.posexplode("next").alias("at", "x"))
+                tokens = F.transform(F.slice("next", F.col("at") + 2, F.size("next")), lambda x: x["t"])
+                bases = staged(rest.select("bad", F.col("x.to").alias("head"), tokens.alias("items")).filter(F.size("items") > 0), "bases")
+                heads, size = longer, size + 1
+                continue
+            bases = bases.select("head", "bad", F.transform("next", lambda x: x["t"]).alias("items"))
+        grown = _grown(bases, heads, least)
+        for k in range(len(stayed), size + most + 1):
+            stayed.append(_kept(grown.filter(F.size("items") == k), stayed[-1], gain))
+            if stayed[-1].isEmpty():
+                break
+        break
+    return stayed
 
 
 def mine_rules(pages: DataFrame, bad: DataFrame, *, page_id: str = "page_id", url: str = "url", min_support: float = 0.001,
@@ -130,20 +164,13 @@ def mine_rules(pages: DataFrame, bad: DataFrame, *, page_id: str = "page_id", ur
     least = max(1, math.ceil(max(min_support * n, min_rows)))
     classes = token_classes(baskets, least)
     spark = pages.sparkSession
-    below = spark.range(1 if n else 0).select(F.array().cast("array<string>").alias("items"), F.lit(n_bad / max(n, 1)).alias("confidence"))
+    root = spark.range(1 if n else 0).select(F.array().cast("array<string>").alias("items"), F.lit(n).cast("long").alias("n"),
+                                             F.lit(n_bad).cast("long").alias("n_bad"), F.lit(n_bad / max(n, 1)).alias("confidence"))
     each = lookup_join(baskets.select("id", "bad", F.explode("tokens").alias("token")), classes, "token")
     each = each.filter("token = rep")  # one of a class says what all say
-    level = each.groupBy(F.array("rep").alias("items")).agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"))
-    stayed = [_kept(level, below, min_gain)]
-    paying = staged(stayed[0].select(F.col("items")[0].alias("rep"), F.lit(True).alias("pays")), "paying")
-    left = staged(lookup_join(each, paying, "rep").groupBy("id", "bad").agg(F.array_sort(F.collect_list("rep")).alias("items")),
-                  "paying-baskets")
-    most = left.agg(F.max(F.size("items"))).first()[0] or 0
-    if most > 1:
-        source = _levelled(left, least) if most > dense else _grown(left, least, left.count())
-        while not stayed[-1].isEmpty() and len(stayed) < most:
-            stayed.append(_kept(source(len(stayed) + 1, stayed[-1]), stayed[-1], min_gain))
-    rules = functools.reduce(DataFrame.unionByName, stayed).filter(F.col("confidence") >= min_confidence)
+    bases = staged(each.groupBy("id", "bad").agg(F.array_sort(F.collect_list("rep")).alias("items")).select("bad", "items"), "bases")
+    stayed = _combinations(bases, root, least, min_gain, dense)
+    rules = functools.reduce(DataFrame.unionByName, stayed).filter((F.col("confidence") >= min_confidence) & (F.size("items") > 0))
     rules = staged(rules.select(F.col("items").alias("antecedent"), "confidence", (F.col("n_bad") / F.lit(float(max(n, 1)))).alias("support")),
                    "rules")
     used = rules.select(F.explode("antecedent").alias("rep")).distinct()
