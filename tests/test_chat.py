@@ -118,6 +118,30 @@ def test_turn_pairs_across_buckets(spark):
         assert sorted(map(tuple, turn_pairs(df, bucket_turns=size).collect())) == want
 
 
+def test_tokenizers_see_a_piece_of_a_batch_at_a_time():
+    """Elements of a row stay together, whatever a batch holds, and no call gets more than a row beyond ``PIECE`` bytes."""
+    import pyarrow as pa
+
+    from tokenloom.operators import tokenize as tk
+
+    calls = []
+
+    def fn(texts):
+        calls.append(texts)
+        return [[len(t)] * (len(t) % 3) for t in texts]
+
+    rows = [["a" * (k * 7919 % 90_000), None, "\u00e9" * (k % 5)] for k in range(300)] + [None, [], ["x" * (3 * tk.PIECE)]]
+    batch = pa.array([["before"], *rows], pa.list_(pa.string())).slice(1)
+    got = tk.ids_of_pieces(fn).func(batch).to_pylist()
+    assert got == [[[len(t or "")] * (len(t or "") % 3) for t in r or []] for r in rows]
+    assert len(calls) > 10 and sum(map(len, calls)) == 901
+    assert all(sum(len(t.encode()) for t in c) <= tk.PIECE or len(c) == 1 for c in calls)
+    flat = pa.array(["b", None, *("y" * 500_000 for _ in range(5))])
+    calls.clear()
+    assert tk._callable_udf(fn).func(flat).to_pylist() == [[1], [], *[[500_000] * 2] * 5] and len(calls) == 3
+    assert tk._callable_udf(fn).func(flat.slice(0, 0)).to_pylist() == [] == tk.ids_of_pieces(fn).func(batch.slice(0, 0)).to_pylist()
+
+
 def test_tokenize_pairs(spark):
     from tokenloom.operators.pairs import tokenize_pairs
 

@@ -103,8 +103,8 @@ def tokenize_pairs(df: DataFrame, fn: Callable[[list[str]], list[list[int]]], *,
                    output: str = "output", keep=()) -> DataFrame:
     """H8 with its tokenise step: ``keep..., violation, input_ids, output_ids, at_boundary``.
 
-    The space at the input's end moves to the output (``pair_boundary``) and both are encoded by one call of ``fn`` a
-    batch, with the joined text: ``at_boundary`` tells whether the joined text's ids are the input's followed by the output's,
+    The space at the input's end moves to the output (``pair_boundary``) and both are encoded by the same call of ``fn``,
+    with the joined text and other pairs up to a megabyte: ``at_boundary`` tells whether the joined text's ids are the input's followed by the output's,
     i.e. no token spans the boundary. An unknown ``tokenizer`` name fails while the plan is built; ill-formed pairs have a violation
     and no ids.
     """

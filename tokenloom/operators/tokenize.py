@@ -8,12 +8,14 @@ decoding is a projection (or a join to a vocabulary table).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,21 +38,53 @@ def tokenize(df: DataFrame, text: str = "text", *, ids_col: str = "input_ids", t
     return out
 
 
+PIECE = 1 << 20  # bytes of text that become Python strings, and go through one call of a tokenizer, together
+
+
+def pieces_of(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of consecutive stretches of rows of ``limit`` bytes at most in all, or of one row."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        done = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield first, end
+        first = end
+
+
+def _ids_of(texts: pa.Array, fn) -> pa.Array:
+    """The ids of each text as ``list<int32>``; NULL counts as empty."""
+    ids = pa.array(fn(["" if t is None else t for t in texts.to_pylist()]), pa.list_(pa.int32()))
+    if len(ids) != len(texts):
+        raise ValueError(f"the tokenizer gave {len(ids)} lists for {len(texts)} texts")
+    return ids
+
+
+def text_bytes(texts: pa.Array) -> np.ndarray:
+    """UTF-8 bytes of each text, NULL: 0."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _callable_udf(fn):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _tok(s: pd.Series) -> pd.Series:
-        return pd.Series(fn([("" if x is None else x) for x in s.tolist()]))
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def _tok(s: pa.Array) -> pa.Array:
+        done = [_ids_of(s.slice(a, b - a), fn) for a, b in pieces_of(text_bytes(s), PIECE)]
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.int32()))
 
     return _tok
 
 
 def ids_of_pieces(fn):
-    """A column function: ``array<string>`` to the ids of each element, all of a batch through one call of ``fn``."""
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-    def _pieces(s: pd.Series) -> pd.Series:
-        rows = [[] if x is None else ["" if t is None else t for t in x] for x in s.tolist()]
-        ids = iter(fn([t for r in rows for t in r]))
-        return pd.Series([[next(ids) for _ in r] for r in rows], dtype="object")
+    """A column function: ``array<string>`` to the ids of each element. The elements of a row go through the same call of ``fn``,
+    together with those of other rows up to ``PIECE`` bytes: of a batch only so many are Python strings and lists at a time."""
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def _pieces(s: pa.Array) -> pa.Array:
+        texts = s.flatten()
+        counts = pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False)
+        at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(text_bytes(texts))])
+        done = [_ids_of(texts.slice(at[a], at[b] - at[a]), fn) for a, b in pieces_of(np.diff(upto[at]), PIECE)]
+        ids = pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids)
 
     return _pieces
 

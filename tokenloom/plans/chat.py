@@ -6,6 +6,7 @@ import hashlib
 import re
 import string
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -252,9 +253,10 @@ def q_completion_of_text(spark, sf_dir):
     return d.select("doc_id", F.md5(comp).alias("completion_md5"), F.length(comp).alias("n_chars"))
 
 
-def _builtin_ids(texts: list[str]) -> list[list[int]]:
+def _builtin_ids(texts: list[str]) -> list[np.ndarray]:
     """The built-in tokenizer as a callable."""
-    return [[int(hashlib.md5(t.encode()).hexdigest()[:7], 16) for t in _PLAIN_TOKEN.findall(x)] for x in texts]
+    return [np.array([int.from_bytes(hashlib.md5(t.encode()).digest()[:4]) >> 4 for t in _PLAIN_TOKEN.findall(x)], np.int32)
+            for x in texts]
 
 
 _PLAIN_TOKEN = re.compile(r"[^ \t\n\x0b\f\r]+")
