@@ -150,3 +150,30 @@ def test_long_forms_are_linear(spark):
     spans = spark.range(n).select(F.lit(1).alias("doc_id"), (F.col("id") * 5 + 3).cast("int").alias("start"), (F.col("id") * 5 + 5).cast("int").alias("end"))
     assert spans_to_tokens_long(t, spans, ["doc_id"]).count() == n
     assert time.time() - began < 60
+
+
+def test_line_spans_leave_a_piece_of_a_batch_at_a_time():
+    """Spans of NULL, blank and long texts, in stretches of ``PIECE`` bytes with the other columns."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from tokenloom.operators.tokenize import PIECE
+    from tokenloom.plans.masks import _line_spans, scored_line_spans
+
+    class Docs:
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+        columns = ["doc_id", "text"]
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = ["a\n\nbé\n", None, "", "\n"] + ["line of text\n" * 20_000] * 12 + ["x" * (2 * PIECE)]
+    ids = [None, *range(1, len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, *ids]), pa.array(["left out", *texts])], ["doc_id", "text"]).slice(1)
+    got = list(scored_line_spans(Docs())(iter([batch])))
+    assert len(got) > 3 and all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b["text"].to_pylist()) <= PIECE for b in got)
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [(r["doc_id"], r["text"]) for r in rows] == list(zip(ids, texts))
+    assert [(s["start"], s["end"]) for s in rows[0]["spans"]] == [(0, 1), (3, 5)] and [r["spans"] for r in rows[1:4]] == [[], [], []]
+    assert rows[0]["spans"][0]["score"] == int("0cc175b", 16) / 2 ** 28 and len(rows[5]["spans"]) == 20_000
+    assert _line_spans([]).to_pylist() == []

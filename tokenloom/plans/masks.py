@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +25,7 @@ from tokenloom.operators.masks import (
     spans_to_tokens_long,
     zero_bad_words,
 )
-from tokenloom.operators.tokenize import token_offsets, token_spans
+from tokenloom.operators.tokenize import PIECE, pieces_of, text_bytes, token_offsets, token_spans
 from tokenloom.plans.chat import strip_sql
 from tokenloom.plans.registry import query, table
 from tokenloom.plans.training import TOKENS_SQL
@@ -36,29 +39,42 @@ SEED = 42
 _LINE_RE = re.compile(r"[^\n]+")
 
 
-def _line_spans(t: str) -> list[dict]:
-    return [{"start": m.start(), "end": m.end(),
-             "score": int(hashlib.md5(m.group().encode()).hexdigest()[:7], 16) / float(1 << 28)}
-            for m in _LINE_RE.finditer(t or "")]
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+
+
+def _line_spans(texts: list[str | None]) -> pa.Array:
+    """The spans of each text."""
+    upto, starts, ends, scores = array("i", [0]), array("i"), array("i"), array("d")
+    for t in texts:
+        for m in _LINE_RE.finditer(t or ""):
+            starts.append(m.start())
+            ends.append(m.end())
+            scores.append((int.from_bytes(hashlib.md5(m.group().encode()).digest()[:4]) >> 4) / float(1 << 28))
+        upto.append(len(starts))
+    spans = pa.StructArray.from_arrays([pa.array(np.asarray(c)) for c in (starts, ends, scores)], fields=list(_SPANS.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.asarray(upto)), spans)
 
 
 def scored_line_spans(docs: DataFrame) -> DataFrame:
     """Stand-in for an outside span classifier: adds ``spans`` = the non-empty lines of each
     text as ``(start, end, score)``, score = first 28 bits of md5(line) / 2^28.
 
-    ``mapInPandas`` over Arrow batches: per row, no shuffle (a window over exploded
-    lines would move every document through the network), and an opaque plan node, so
-    later filters on the spans are not pushed below it and the classifier runs once.
+    ``mapInArrow``: per row, no shuffle (a window over exploded lines would move every document through the network),
+    and an opaque plan node, so later filters on the spans are not pushed below it and the classifier runs once. The rows of
+    a batch are classified, and leave, ``PIECE`` bytes of text at a time.
     """
     schema = T.StructType(docs.schema.fields + [T.StructField("spans", T.ArrayType(T.StructType([
         T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
         T.StructField("score", T.DoubleType())])))])
+    names, at = schema.fieldNames(), docs.columns.index("text")
 
     def run(batches):
-        for pdf in batches:
-            yield pdf.assign(spans=[_line_spans(t) for t in pdf["text"].tolist()])
+        for batch in batches:
+            for a, b in pieces_of(text_bytes(batch.column(at)), PIECE):
+                rows = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*rows.columns, _line_spans(rows.column(at).to_pylist())], names)
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 @query("span_segments", f"""
